@@ -92,14 +92,21 @@ class MergeTable:
         self._newer: tuple | None = None
 
     def newer(self) -> tuple:
-        """(pattern of letters and numbers that this Python's Unicode tables don't know, the library's normaliser)."""
+        """(pattern of letters and numbers that the library doesn't know, its normaliser)."""
         if self._newer is None:
             from tokenizers import Tokenizer
 
+            library = Tokenizer.from_str(self.raw.decode())
+            split = library.pre_tokenizer.pre_tokenize_str
             known = regex.compile(r"[\p{L}\p{N}]")
-            marks = [c for c in range(0x500, 0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+            marks = [
+                c
+                for c in range(ord(NEW_FROM), 0x110000)
+                if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))
+                and len(split(x := f"a{chr(c)}b{chr(c) * 2}")) != len(self.word.findall(x))
+            ]
             ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs(marks))
-            self._newer = regex.compile(f"[{ranges}]") if ranges else None, Tokenizer.from_str(self.raw.decode()).normalizer.normalize_str
+            self._newer = regex.compile(f"[{ranges}]") if ranges else None, library.normalizer.normalize_str
         return self._newer
 
     def words(self, text: str) -> list[tuple[int, str]]:
@@ -107,10 +114,12 @@ class MergeTable:
 
         The library takes characters assigned after its own tables for neither letters nor numbers.
         """
-        plain = normal(text)
-        if text.isascii() or max(text) < NEW_FROM or not (newer := self.newer())[0] or not newer[0].search(text):
-            return [(m.start(), m[0]) for m in self.word.finditer(plain)]
+        if all(unicodedata.category(c) != "Cn" for c in set(text)):
+            return [(m.start(), m[0]) for m in self.word.finditer(normal(text))]
+        newer = self.newer()
         plain = newer[1](text)
+        if newer[0] is None:
+            return [(m.start(), m[0]) for m in self.word.finditer(plain)]
         return [(m.start(), plain[m.start() : m.end()]) for m in self.word.finditer(newer[0].sub("\ue000", plain))]
 
     def apart(self, a: int, b: int, limit: int = NEVER) -> bool:
