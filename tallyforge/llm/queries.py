@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, licenses, mixing
+from tallyforge.llm import bpe, licenses, mixing, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over whole tables."""
     return {
+        "op1_secrets": lambda spark, d: secrets.op1_secrets(_docs(spark, d)),
         "op2_bpe": lambda spark, d: bpe.op2_bpe(_docs(spark, d)),
         "op9_mix_sources": lambda spark, d: mixing.op9_mix_sources(_docs(spark, d)),
         "op10_license_scan": lambda spark, d: licenses.op10_license_scan(_docs(spark, d)),
