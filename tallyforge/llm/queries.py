@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, licenses, mixing, quality, secrets
+from tallyforge.llm import bpe, ctw, licenses, mixing, quality, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": lambda spark, d: secrets.op1_secrets(_docs(spark, d)),
         "op2_bpe": lambda spark, d: bpe.op2_bpe(_docs(spark, d)),
         "op3_quality": lambda spark, d: quality.op3_quality(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+        "op6_ctw": lambda spark, d: ctw.op6_ctw(_docs(spark, d)),
         "op9_mix_sources": lambda spark, d: mixing.op9_mix_sources(_docs(spark, d)),
         "op10_license_scan": lambda spark, d: licenses.op10_license_scan(_docs(spark, d)),
     }
