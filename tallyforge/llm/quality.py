@@ -149,7 +149,8 @@ def learn_rules(
     points = [i / bins for i in range(1, bins)]
     quantiles = [F.percentile_approx(x, points, 10_000) for s in stats for x in (F.col(s), F.nullif(F.col(s), F.lit(0.0)))]
     found = labelled.agg(*(q.alias(f"q{i}") for i, q in enumerate(quantiles))).first()
-    cuts = {s: sorted({*(found[2 * i] or []), *(found[2 * i + 1] or [])}) for i, s in enumerate(stats)}
+    seen = {s: sorted({*(found[2 * i] or []), *(found[2 * i + 1] or [])}) for i, s in enumerate(stats)}
+    cuts = {s: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for s, x in seen.items()}
     rules: list[Rule] = []
     plain = {s: F.col(s) for s in stats}
     for _ in range(most_rules):
