@@ -7,6 +7,7 @@ a local session) a temporary folder takes its place.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -52,3 +53,9 @@ def release(spark: SparkSession) -> int:
         path = hadoop(_kept.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

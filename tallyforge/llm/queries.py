@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, ctw, licenses, mixing, neardup, quality, secrets
+from tallyforge.llm import bpe, ctw, licenses, mixing, neardup, phrases, quality, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": lambda spark, d: quality.op3_quality(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op5_near_duplicates": lambda spark, d: neardup.op5_near_duplicates(_docs(spark, d)),
         "op6_ctw": lambda spark, d: ctw.op6_ctw(_docs(spark, d)),
+        "op7_repeated_phrases": lambda spark, d: phrases.op7_repeated_phrases(_docs(spark, d)),
         "op9_mix_sources": lambda spark, d: mixing.op9_mix_sources(_docs(spark, d)),
         "op10_license_scan": lambda spark, d: licenses.op10_license_scan(_docs(spark, d)),
     }
