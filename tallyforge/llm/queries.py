@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, ctw, licenses, mixing, neardup, phrases, quality, secrets
+from tallyforge.llm import bpe, ctw, langid, licenses, mixing, neardup, phrases, quality, secrets, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": lambda spark, d: secrets.op1_secrets(_docs(spark, d)),
         "op2_bpe": lambda spark, d: bpe.op2_bpe(_docs(spark, d)),
         "op3_quality": lambda spark, d: quality.op3_quality(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+        "op4_top_k": lambda spark, d: topk.op4_top_k(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op5_near_duplicates": lambda spark, d: neardup.op5_near_duplicates(_docs(spark, d)),
         "op6_ctw": lambda spark, d: ctw.op6_ctw(_docs(spark, d)),
         "op7_repeated_phrases": lambda spark, d: phrases.op7_repeated_phrases(_docs(spark, d)),
+        "op8_language_id": lambda spark, d: langid.op8_language_id(_docs(spark, d)),
         "op9_mix_sources": lambda spark, d: mixing.op9_mix_sources(_docs(spark, d)),
         "op10_license_scan": lambda spark, d: licenses.op10_license_scan(_docs(spark, d)),
     }
