@@ -12,7 +12,7 @@ table gives an empty result. Other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,16 +73,54 @@ def mix_sources(
     buckets resolve the threshold to 2**-(levels * bits) of a source.
     """
     span = levels * bits
-    sized = keep(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - span).alias("h"),
-        ),
-        "mix-sizes",
-    ).withColumns({"src": F.coalesce("source", F.lit("")), "src_null": F.col("source").isNull()})
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        _hash(F.col(id_col), F.col(text_col), span).alias("h"),
+    )
+    sized = keep(sized, "mix-sizes").withColumns({"src": F.coalesce("source", F.lit("")), "src_null": F.col("source").isNull()})
     key = ["src", "src_null"]
+    edges, dealt = _thresholds(sized, weights, most, levels, bits)
+    return (
+        sized.join(dealt(edges), key)
+        .withColumn("copies", _copies(most))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    )
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = (1, 2, 3), most: int = 3, levels: int = 3, bits: int = 12,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix_sources`` takes it."""
+    names = docs.columns
+    row = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    span, text, source = levels * bits, F.col(f"row.`{text_col}`"), F.col(f"row.`{source_col}`").cast("string")
+    full = row.select(
+        "row", word_count(text).alias("size"), _hash(F.col(f"row.`{id_col}`"), text, span).alias("h"),
+        F.coalesce(source, F.lit("")).alias("src"), source.isNull().alias("src_null"),
+    )
+    sized = keep(full.drop("row"), "mix-sizes")
+    edges, dealt = _thresholds(sized, weights, most, levels, bits)
+    taken = full.join(dealt(edges), ["src", "src_null"]).withColumn("copies", _copies(most)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n")).select(
+        *(F.col(f"row.`{n}`").alias(n) for n in names)
+    )
+
+
+def _hash(key: Column, text: Column, span: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key, text), 64 - span)
+
+
+def _copies(most: int) -> Column:
+    copies = F.least(F.lit(most).cast("long"), F.col("whole") + (F.col("h") < F.col("below")).cast("long"))
+    return F.when(F.col("target") > 0, copies).otherwise(F.lit(0).cast("long"))
+
+
+def _thresholds(sized: DataFrame, weights: Sequence[int], most: int, levels: int, bits: int) -> tuple[DataFrame, Callable]:
+    """(for each source its size, target, whole copies and the hash below which one more is taken; how to deal it out)."""
+    span, key = levels * bits, ["src", "src_null"]
     totals = sized.groupBy(*key).agg(F.sum("size").alias("source_size"))
     targets = keep(source_targets(totals, weights, most), "mix-targets")
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -103,12 +141,7 @@ def mix_sources(
     # The last bucket goes in if that comes nearer to the target than leaving it out.
     below = state.select(*key, (F.col("prefix") + (2 * F.col("budget") >= F.col("n")).cast("long")).alias("below"))
     edges = targets.join(below, key, "left").select(*key, "source_size", "target", full.alias("whole"), F.coalesce("below", F.lit(1 << span)).alias("below"))
-    copies = F.least(F.lit(most).cast("long"), F.col("whole") + (F.col("h") < F.col("below")).cast("long"))
-    return (
-        sized.join(dealt(edges), key)
-        .withColumn("copies", F.when(F.col("target") > 0, copies).otherwise(F.lit(0).cast("long")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    return edges, dealt
 
 
 def op9_mix_sources(docs: DataFrame) -> DataFrame:
