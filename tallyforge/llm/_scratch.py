@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _kept: list[str] = []
 
@@ -39,19 +40,51 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files that led to it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """Tables that are needed for a while: ``keep`` as above, all deleted at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.first = spark, 0
+
+    def __enter__(self) -> Scope:
+        self.first = len(_kept)
+        return self
+
+    def hand_over(self, df: DataFrame, name: str) -> DataFrame:
+        """Keep a table beyond the end of the block."""
+        out = keep(df, name)
+        _kept.insert(self.first, _kept.pop())
+        self.first += 1
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, _kept[self.first :])
+        del _kept[self.first :]
+        sweep(self.spark)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables kept so far, once no result still reads them; returns how many."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _kept:
-        path = hadoop(_kept.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+    n = len(_kept)
+    _delete(spark, _kept)
+    _kept.clear()
     return n
 
 
