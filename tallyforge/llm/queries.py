@@ -29,6 +29,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words of each document in DuckDB.
+_WORDS = (
+    "d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), "
+    "lambda x: x <> '') AS w FROM documents)"
+)
+_TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
+"""
+_NEAR = f"""
+WITH RECURSIVE {_WORDS}, g AS (
+    SELECT doc_id, list_slice(w, i, i + 4) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+), s AS (SELECT doc_id, k, count(*) AS c FROM g GROUP BY doc_id, k), n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS i FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (
+    SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * i >= 4 * (a.n + b.n - i)
+    UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.text = b.text AND a.doc_id < b.doc_id
+), r(doc_id, c) AS (
+    SELECT doc_id, doc_id FROM d UNION SELECT f.y, r.c FROM r JOIN (SELECT x, y FROM e UNION SELECT y, x FROM e) f ON f.x = r.doc_id
+)
+SELECT doc_id, min(c) AS class_id FROM r GROUP BY doc_id
+"""
+_REPEATED = f"""
+WITH {_WORDS}, g AS (
+    SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), o AS (SELECT k, min(doc_id) AS owner FROM g GROUP BY k),
+r AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN o USING (k), range(13) t(j) WHERE owner < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM x ANTI JOIN r USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for queries that it can express."""
-    return {}
+    """DuckDB SQL for queries that it can express; the others are tested against brute-force versions."""
+    return {"op4_top_k": _TOP_K, "op5_near_duplicates": _NEAR, "op7_repeated_phrases": _REPEATED}
