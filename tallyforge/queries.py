@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +11,9 @@ from pyspark.sql.window import Window
 from tallyforge.functions import text as tx
 from tallyforge.operators import catalog, evaluation, learning, retrieval
 from tallyforge.plans import formulas, metrics, policy, validate
+from tallyforge.registry import QUERIES, SQL, query
 from tallyforge.session import register, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 CATALOG = metrics.load_catalog(
     json.dumps(
         {
@@ -42,18 +38,6 @@ CATALOG = metrics.load_catalog(
 )
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and, where SQL can express it, its twin."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def _facts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "lineitem": table(spark, d, "lineitem").withColumn("ship_date", F.to_date("l_shipdate")),
@@ -568,3 +552,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+from tallyforge import queries_routing  # noqa: E402, F401  (registers more queries)
+
+__all__ = ["CATALOG", "QUERIES", "SQL"]
