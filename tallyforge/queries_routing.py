@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import catalog, learning, routing
+from tallyforge.operators import catalog, documents, learning, routing
 from tallyforge.registry import query
 from tallyforge.session import table
 
@@ -172,3 +172,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     each = [table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t in ("orders", "events", "documents")]
     return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("markdown_chunks")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chunked(table(spark, d, "documents"))
+
+
+@query("hash_embeddings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return documents.embedded(table(spark, d, "benchmark")).select("item_id", "embedding")
+
+
+@query("edit_diff")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "conversations")
+    later = x.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    x = x.select("conv_id", "turn", F.col("text").alias("before")).join(later, ["conv_id", "turn"])
+    return x.select("conv_id", "turn", documents.edit_operations(F.col("before"), F.col("after")).alias("ops"))
