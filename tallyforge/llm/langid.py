@@ -38,8 +38,8 @@ def is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code of each run of three letters, number of its text, whether each text has a letter)."""
+def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of the distinct runs of three letters, the number of each run in them, its text's number, whether texts have letters)."""
     lower = [f" {t.lower()} " for t in texts]
     size = np.array([len(t) for t in lower], np.int64)
     code = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -52,10 +52,23 @@ def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = letter | np.concatenate([[True], letter[:-1]]) | first
     code, which = code[keep], which[keep]
     if len(code) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), has
-    runs = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), has
+    seen = np.zeros(0x110000, bool)
+    seen[code] = True
+    alphabet = np.flatnonzero(seen)
+    number = np.cumsum(seen)[code] - 1
+    n = len(alphabet)
+    runs = (number[:-2] * n + number[1:-1]) * n + number[2:]
     same = which[:-2] == which[2:]
-    return runs[same], which[:-2][same], has
+    runs, which = runs[same], which[:-2][same]
+    if n**3 <= 1 << 24:  # few letters: a table of all runs instead of sorting
+        found = np.zeros(n**3, bool)
+        found[runs] = True
+        distinct, place = np.flatnonzero(found), (np.cumsum(found) - 1)[runs]
+    else:
+        distinct, place = np.unique(runs, return_inverse=True)
+    codes = (alphabet[distinct // (n * n)] << 42) | (alphabet[distinct // n % n] << 21) | alphabet[distinct % n]
+    return codes, place, which, has
 
 
 def run_vectors(runs: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -67,17 +80,13 @@ def run_vectors(runs: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return np.roll(vectors, 2, axis=1)[a] * np.roll(vectors, 1, axis=1)[b] * vectors[c]
 
 
-def bundle(runs: np.ndarray, which: np.ndarray, n: int, dims: int = DIMS, weights: np.ndarray | None = None) -> np.ndarray:
+def bundle(distinct: np.ndarray, place: np.ndarray, which: np.ndarray, n: int, dims: int = DIMS, weights: np.ndarray | None = None) -> np.ndarray:
     """Sums of run vectors for each of ``n`` texts, some thousand distinct runs at a time."""
-    distinct, place = np.unique(runs, return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    place, which = place[order], which[order]
-    weights = None if weights is None else weights[order]
     out = np.zeros((n, dims), np.float32)
     for at in range(0, len(distinct), _COLUMNS):
-        a, b = np.searchsorted(place, [at, at + _COLUMNS])
         part = distinct[at : at + _COLUMNS]
-        counts = np.bincount(which[a:b] * len(part) + place[a:b] - at, None if weights is None else weights[a:b], n * len(part))
+        held = (place >= at) & (place < at + _COLUMNS) if len(distinct) > _COLUMNS else slice(None)
+        counts = np.bincount(which[held] * len(part) + place[held] - at, None if weights is None else weights[held], n * len(part))
         out += counts.reshape(n, len(part)).astype(np.float32) @ run_vectors(part, dims)
     return out
 
@@ -87,8 +96,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
         number = np.array([names.index(x) for x in langs])
-        runs, which, _ = letter_runs(batch.column("text").to_pylist())
-        distinct, place = np.unique(runs, return_inverse=True)
+        distinct, place, which, _ = letter_runs(batch.column("text").to_pylist())
         n = np.bincount(number[which] * len(distinct) + place, minlength=len(names) * len(distinct))
         held = np.flatnonzero(n)
         for at in range(0, len(held), 1 << 16):
@@ -105,7 +113,8 @@ def _bundled(dims: int):
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             which = np.array([names.index(x) for x in langs], np.int64)
-            sums = bundle(batch.column("run").to_numpy(), which, len(names), dims, batch.column("n").to_numpy().astype(float)) if names else np.zeros((0, dims))
+            distinct, place = np.unique(batch.column("run").to_numpy(), return_inverse=True)
+            sums = bundle(distinct, place, which, len(names), dims, batch.column("n").to_numpy().astype(float))
             for name, row in zip(names, sums, strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(row.astype(float))], names=["lang", "dim", "x"]
@@ -142,8 +151,8 @@ def identify_languages(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vectors = model.value
         for batch in slices(batches, most=8 << 20):
-            runs, which, has = letter_runs([x or "" for x in batch.column("text").to_pylist()])
-            sums = bundle(runs, which, batch.num_rows, dims)
+            distinct, place, which, has = letter_runs([x or "" for x in batch.column("text").to_pylist()])
+            sums = bundle(distinct, place, which, batch.num_rows, dims)
             sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
             near = sums @ vectors.T if known else np.zeros((batch.num_rows, 1))
             best = near.argmax(axis=1)
