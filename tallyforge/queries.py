@@ -554,6 +554,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-from tallyforge import queries_routing  # noqa: E402, F401  (registers more queries)
+from tallyforge import queries_routing, queries_text  # noqa: E402, F401  (register more queries)
 
 __all__ = ["CATALOG", "QUERIES", "SQL"]
