@@ -24,6 +24,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,10 @@ class MergeTable:
             self._made[t] = known
         return known
 
+    @cached_property
+    def lookahead(self) -> int:
+        return self.sufficient_lookahead()
+
     def sufficient_lookahead(self) -> int:
         """A number of symbols after which no more text can change a token, from the merge list alone.
 
@@ -230,6 +235,8 @@ class WordTransducer:
                 self._step("")
             self.most = max(self.most, len(self.text))
             out += self._emit(self.meeting())
+            if len(self.text) > 64 * self.table.longest and len(self.text) > self.table.lookahead:
+                raise AssertionError("a token stayed open beyond the sufficient lookahead")
         return out
 
     def meeting(self) -> int:
