@@ -1,7 +1,7 @@
 """Substring dedup by recurring phrases, confirmed and located by sharded automata.
 
 A phrase is a window of 13 words. Each window names an anchor, the least hash among its
-runs of five words, so equal windows have equal anchors and a document has few of them.
+runs of seven words, so equal windows have equal anchors and a document has few of them.
 Anchors that several documents hold tell which windows can recur; these windows are
 counted by hash, and each recurring one belongs to the least document that holds it.
 The owners' own words are compiled into Aho-Corasick automata, sharded by owner, with a
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm._scratch import keep, sweep
+from tallyforge.llm._scratch import Scope, keep
 from tallyforge.llm._words import slices, window_hashes, word_hashes
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 7
 #: About so many windows go into one automaton, and so many documents through one copy of it.
-SHARD_WINDOWS, SHARD_DOCS = 40_000, 400
+SHARD_WINDOWS, SHARD_DOCS = 20_000, 2000
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> np.ndarray:
@@ -88,23 +88,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class WordAlphabet(dict):
-    """A character for each word of the phrases; other words share one that no phrase holds."""
+    """Two characters for each word of the phrases; other words share two that no phrase holds.
 
-    def letter(self, word: bytes) -> str:
-        n = len(self) + 1
-        return self.setdefault(word, chr(n if n < 0xD800 else n + 0x800))
+    An automaton looks through a node's branches one by one, so a word takes a character for
+    its number by 256 and one for the rest, which keeps branches few.
+    """
+
+    def letters(self, word: bytes) -> str:
+        n = len(self)
+        return self.setdefault(word, chr(0x100 + n // 256) + chr(n % 256))
 
     def __missing__(self, word: bytes) -> str:
-        return "\0"
+        return "\U00010000\U00010000"
 
 
 def phrase_automaton(owners: list[tuple[object, bytes, list[int]]], window: int = WINDOW) -> tuple[ahocorasick.Automaton, WordAlphabet]:
     """An automaton over the windows of (owner, text, places), each with its owner."""
     a, alphabet = ahocorasick.Automaton(), WordAlphabet()
     for owner, text, places in owners:
-        line = "".join(map(alphabet.letter, text.split()))
+        line = "".join(map(alphabet.letters, text.split()))
         for p in places:
-            a.add_word(line[p : p + window], owner)
+            if 2 * (p + window) <= len(line):
+                a.add_word(line[2 * p : 2 * (p + window)], owner)
     a.make_automaton()
     return a, alphabet
 
@@ -120,11 +125,11 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
             runs: list[int] = []
             for end, owner in automaton.iter("".join(map(alphabet.__getitem__, text.as_py().split()))):
                 if owner < doc_id:
-                    start = end - WINDOW + 1
-                    if runs and start <= runs[-1]:
-                        runs[-1] = end + 1
+                    end = end // 2 + 1
+                    if runs and end - WINDOW <= runs[-1]:
+                        runs[-1] = end
                     else:
-                        runs += [start, end + 1]
+                        runs += [end - WINDOW, end]
             if runs:
                 ids.append(i)
                 spans.append(np.array(runs))
@@ -158,48 +163,63 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
+    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("tk"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    survey = keep(picked.mapInArrow(_survey, f"doc_id {kind}, tk long, n_words long, whole_sha256 string, anchors array<long>"), "phrase-survey")
+    shape = f"doc_id {kind}, tk binary, n_words long, whole_sha256 string, anchors array<long>"
+    with Scope(spark) as passing:
+        survey = keep(picked.mapInArrow(_survey, shape), "phrase-survey")
+        held = survey.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("h"))
+        again = held.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+        again = keep(again, "phrase-anchors")
+        hits = keep(held.join(again, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits")), "phrase-hits")
+        # A copy of an earlier text loses all of its windows; only the first of equal texts goes on.
+        firsts = survey.groupBy("tk").agg(F.min("doc_id").alias("first"))
+        firsts = passing.hand_over(firsts, "phrase-firsts")
+        first = firsts.select("tk", F.col("first").alias("doc_id"))
+        hits = first.join(hits, "doc_id")
+        affected = passing.hand_over(picked.join(hits, ["doc_id", "tk"]).select("doc_id", "tk", "text", "hits"), "phrase-affected")
+        survey = passing.hand_over(survey.drop("anchors"), "phrase-sizes")
+    with Scope(spark) as passing:
+        spans = passing.hand_over(_spans(affected, kind), "phrase-spans")
+    cut = affected.drop("hits").join(spans, ["doc_id", "tk"]).mapInArrow(
+        _rewrite, f"doc_id {kind}, tk binary, n_removed long, kept_sha256 string, kept_text string"
+    )
+    cut = cut.dropDuplicates(["doc_id", "tk"])
+    sized = survey.join(firsts, "tk", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False)))
+    gone = lambda whole, part, none: F.when(F.col("copy"), whole).otherwise(F.coalesce(part, none))
+    return sized.join(cut, ["doc_id", "tk"], "left").select(
+        "doc_id", "n_words", gone(F.col("n_words"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        gone(F.sha2(F.lit(""), 256), F.col("kept_sha256"), F.col("whole_sha256")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+    )
 
-    held = survey.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("h"))
-    again = held.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    hits = held.join(again, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    hits = keep(hits, "phrase-hits")
-    sweep(spark)
-    affected = keep(picked.join(hits, "doc_id").select("doc_id", "tk", "text", "hits"), "phrase-affected")
-    sweep(spark)
 
+def _spans(affected: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, tk, spans): runs of words to remove, as found by the automata."""
     windows = affected.mapInArrow(_windows, f"w long, doc_id {kind}, place int")
-    least = windows.groupBy("w").agg(F.min(F.struct("doc_id", "place")).alias("own"), F.max("doc_id").alias("b")).where("own.doc_id < b")
-    least = keep(least.select("w", F.col("own.doc_id").alias("owner"), F.col("own.place").alias("place")), "phrase-windows")
-    sweep(spark)
+    least = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).where("owner < b").select("w", "owner")
+    least = keep(least, "phrase-windows")
     shards = max(1, -(-least.count() // SHARD_WINDOWS))
-    shard = lambda x: F.pmod(F.xxhash64(x), F.lit(shards))
-    routes = windows.select("w", "doc_id").join(least.select("w", "owner"), "w").where("owner < doc_id")
-    routes = keep(routes.select("doc_id", shard("owner").alias("shard")).distinct(), "phrase-routes")
-    sweep(spark)
-
+    own_place = F.when(F.col("doc_id") == F.col("owner"), F.col("place"))
+    shared = windows.join(least, "w").groupBy("doc_id", "owner").agg(F.count("*").alias("n"), F.collect_list(own_place).alias("places"))
+    shared = keep(shared, "phrase-shared")
+    # Owners go where the document goes that owns most of their own windows, so copies of one text share a shard.
+    leader = shared.groupBy(F.col("doc_id").alias("owner")).agg(F.max(F.struct("n", "owner"))["owner"].alias("leader"))
+    leader = keep(leader.select("owner", F.pmod(F.xxhash64("leader"), F.lit(shards)).alias("shard")), "phrase-leaders")
+    routes = keep(shared.where("owner < doc_id").join(leader, "owner").select("doc_id", "shard").distinct(), "phrase-routes")
     # A shard that many documents visit has several copies, so its documents spread over tasks.
     copies = routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("copies"))
-    visits = affected.drop("hits").join(routes, "doc_id").join(copies, "shard")
-    visits = visits.withColumn("copy", F.pmod(F.xxhash64("doc_id", "tk", F.lit(7)), F.col("copies"))).drop("copies")
-    places = least.groupBy("owner").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    owners = affected.select(F.col("doc_id").alias("owner"), F.col("text").alias("own_text")).join(places, "owner")
+    goes = routes.join(copies, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("copies")).alias("copy"))
+    visits = affected.select("doc_id", "tk", "text").join(goes, "doc_id").select("shard", "copy", "doc_id", "tk", "text")
     # Of rows that repeat an owner's id, any may hold a place; each text adds its own words there.
-    owners = owners.withColumn("own_shard", shard("owner")).join(copies.select(F.col("shard").alias("own_shard"), "copies"), "own_shard")
-    owners = owners.withColumn("own_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    places = shared.where("owner = doc_id").select("owner", "places").join(leader, "owner").join(copies, "shard")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("own_copy")
+    places = places.select(F.col("shard").alias("own_shard"), each, "owner", "places")
+    owners = affected.select(F.col("doc_id").alias("owner"), F.col("text").alias("own_text")).join(places, "owner")
     owners = owners.select("own_shard", "own_copy", "owner", "own_text", "places")
-    spans = visits.groupBy("shard", "copy").cogroup(owners.groupBy("own_shard", "own_copy")).applyInArrow(_locate, f"doc_id {kind}, tk long, spans array<int>")
-    spans = spans.groupBy("doc_id", "tk").agg(F.collect_list("spans").alias("spans"))
-    cut = affected.drop("hits").join(spans, ["doc_id", "tk"]).mapInArrow(
-        _rewrite, f"doc_id {kind}, tk long, n_removed long, kept_sha256 string, kept_text string"
-    )
-    cut = cut.dropDuplicates(["doc_id", "tk"])
-    return survey.drop("anchors").join(cut, ["doc_id", "tk"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept_text",
-    )
+    found = visits.groupBy("shard", "copy").cogroup(owners.groupBy("own_shard", "own_copy"))
+    found = found.applyInArrow(_locate, f"doc_id {kind}, tk binary, spans array<int>")
+    return found.groupBy("doc_id", "tk").agg(F.collect_list("spans").alias("spans"))
 
 
 def op7_repeated_phrases(docs: DataFrame) -> DataFrame:
