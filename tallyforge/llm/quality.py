@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm._scratch import keep
+from tallyforge.llm._scratch import Scope, keep
 
 GAPS = r"[\x20\x09-\x0D]+"
 NON_GAP = r"[^\x20\x09-\x0D]"
@@ -61,8 +61,8 @@ def _repeat_words(words: Column, n: Column) -> Column:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_marks", "n_lines"]
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", into: str = "counts") -> DataFrame:
-    """``docs`` with a struct column of text statistics, ``COUNTS``, of each whole text."""
+def counts_of(text_col: str = "text") -> Column:
+    """A struct of text statistics, ``COUNTS``, of a whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, GAPS), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_GAP))
@@ -78,7 +78,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", into: str = "counts") -
         ]
         return F.struct(*(v.cast("long").alias(c) for v, c in zip(values, COUNTS, strict=True)))
 
-    return docs.withColumn(into, _let(split, counts))
+    return _let(split, counts)
 
 
 def base_failed(c: Column) -> Column:
@@ -238,8 +238,7 @@ def fit_rules(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, counts, base_failed, kept) for every row of ``docs``."""
-    counted = with_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
-    counted = keep(counted, "quality-counts")
+    counted = keep(docs.select(F.col(id_col).alias("doc_id"), counts_of(text_col).alias("counts")), "quality-counts")
     rules = fit_rules(counted, labels, id_col)
     c = F.col("counts")
     return counted.select(
@@ -249,14 +248,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that neither the base rules nor the learned list reject."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rules = fit_rules(with_counts(narrow).drop("text"), labels, id_col)
-    into = "counts"
-    while into in docs.columns:
-        into += "_"
-    c = F.col(into)
-    counted = with_counts(docs, text_col, into)
-    return counted.where(~base_failed(c) & verdict(rules, statistics(c))).select(*(F.col(f"`{x}`") for x in docs.columns))
+    with Scope(docs.sparkSession):
+        counted = keep(docs.select(F.col(id_col).alias("doc_id"), counts_of(text_col).alias("counts")), "quality-counts")
+        rules = fit_rules(counted, labels, id_col)
+    # One expression of the text alone, so the counts are worked out once for each row.
+    return docs.where(_let(counts_of(text_col), lambda c: ~base_failed(c) & verdict(rules, statistics(c))))
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
