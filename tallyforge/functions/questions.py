@@ -27,6 +27,56 @@ ORDERS = (
     ("ASC", r"\b(?:lowest|minimum|least)\s+(\w+)"),
     ("ASC", r"\b(?:order(?:ed)?\s+by|sort(?:ed)?\s+by)\s+(\w+)"),
 )
+#: Words that speak of time.
+TIME_WORDS = (
+    r"\b(quarters?|weeks?|months?|years?|days?|dates?|time|periods?|ago|last|next|past|recent(?:ly)?|since|until|between|before|after|"
+    r"q[1-4]|ytd|qtd|mtd|holidays?)\b"
+)
+TIME_SIGNS = "季度 周 月 年 天 日 时间 期间 前 后 以来 至今 假期 春节".split()
+TABLES = (r"\b(?:from|table)\s+(\S+)", r"\bthe\s+(\S+)\s+table\b")
+QUOTED = r"[\u300c\u300e\"']([^'\"\u300c\u300d\u300e\u300f]+)['\"\u300d\u300f]"
+
+
+def speaks_of_time(text: Column) -> Column:
+    """Whether a text has words of time; false for null."""
+    found = F.lower(text).rlike(TIME_WORDS)
+    for sign in TIME_SIGNS:
+        found = found | text.contains(sign)
+    return F.coalesce(found, F.lit(False))
+
+
+def shifted_range(text: Column, now: str) -> Column:
+    """(start, end) dates of "n units ago" and "next n units" from a reference date, ends exclusive; null without one.
+
+    Days, and weeks of seven days, are counted from the date; months and years ago are whole
+    ones. The next units begin on the date and hold the day on which they end.
+    """
+    low, today = F.lower(text), F.to_date(F.lit(now))
+    ago = [F.regexp_extract(low, r"\b(\d{1,4})\s+(day|week|month|year)s?\s+ago\b", i) for i in (1, 2)]
+    ahead = [F.regexp_extract(low, r"\bnext\s+(\d{1,4})\s+(day|week|month)s?\b", i) for i in (1, 2)]
+    n, k = (F.when(x != "", x.cast("int")).otherwise(0) for x in (ago[0], ahead[0]))
+    month, year = F.to_date(F.date_trunc("month", today)), F.to_date(F.date_trunc("year", today))
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    return (
+        F.when(ago[1] == "day", pair(F.date_sub(today, n), F.date_sub(today, n - 1)))
+        .when(ago[1] == "week", pair(F.date_sub(today, n * 7), F.date_sub(today, n * 7 - 7)))
+        .when(ago[1] == "month", pair(F.add_months(month, -n), F.add_months(month, 1 - n)))
+        .when(ago[1] == "year", pair(F.add_months(year, n * -12), F.add_months(year, 12 - n * 12)))
+        .when(ahead[1] == "day", pair(today, F.date_add(today, k + 1)))
+        .when(ahead[1] == "week", pair(today, F.date_add(today, k * 7 + 1)))
+        .when(ahead[1] == "month", pair(today, F.date_add(F.add_months(today, k), 1)))
+    )
+
+
+def named_tables(text: Column) -> Column:
+    """Tables that an English question names, by pattern, then place; final marks are cut off."""
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in TABLES))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"[,.;\x{ff0c}\x{3002}\x{ff1b}]+$", "")), lambda x: x != ""))
+
+
+def quoted_values(text: Column) -> Column:
+    """What stands in quotes, in order."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), F.trim), lambda x: x != "")
 
 
 def ambiguities(text: Column, intent: Column) -> Column:

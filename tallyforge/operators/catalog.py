@@ -59,3 +59,70 @@ def schema_documents(columns: DataFrame) -> DataFrame:
     """(table_name, text): one searchable line per table."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("position", "column_name", "data_type"))), lambda c: F.concat_ws(" ", c["column_name"], c["data_type"]))
     return columns.groupBy("table_name").agg(parts.alias("p")).select("table_name", F.concat_ws(": ", "table_name", F.array_join("p", ", ")).alias("text"))
+
+
+def keyword_scan(columns: DataFrame, tokens: list[str]) -> DataFrame:
+    """(column_name, tables) of the columns that hold a token; none if no token touches a table's name.
+
+    Tokens of two characters must equal the column's name, shorter ones are left out.
+    """
+    asked = list(dict.fromkeys(t.lower().strip() for t in tokens if len(t.strip()) >= 2))
+    t, c = F.lower("table_name"), F.lower("column_name")
+    touch, hold = F.lit(False), F.lit(False)
+    for x in asked:
+        inside = (F.length(t) >= 3) & F.lit(x).contains(t)
+        touch = touch | (t == x) | (t.contains(x) | inside if len(x) >= 3 else F.lit(False))
+        hold = hold | (c.contains(x) if len(x) >= 3 else c == x)
+    touched = columns.agg(F.bool_or(touch)).first()[0]
+    found = columns.where(hold if touched else F.lit(False))
+    return found.groupBy("column_name").agg(F.sort_array(F.collect_set("table_name")).alias("tables"))
+
+
+def search(columns: DataFrame, asked: str, most: int = 20) -> DataFrame:
+    """(table_name, table_match, matched): the first ``most`` tables whose name or columns hold a keyword."""
+    low = asked.strip().lower()
+    x = columns.groupBy("table_name").agg(
+        F.sort_array(F.collect_list(F.when(F.lower("column_name").contains(low), F.col("column_name")))).alias("matched")
+    ).withColumn("table_match", F.lower("table_name").contains(low))
+    return x.where(F.col("table_match") | (F.size("matched") > 0)).orderBy("table_name").limit(most).select("table_name", "table_match", "matched")
+
+
+def filtered(columns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(table_name, columns): all columns of the wanted tables, of the others the name alone."""
+    full = wanted.select(F.col("table_name").alias("want")).distinct()
+    x = columns.join(full, F.col("table_name") == F.col("want"), "left").groupBy("table_name")
+    return x.agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("want").isNotNull(), F.struct("position", "column_name")))), lambda c: c["column_name"]).alias("columns"))
+
+
+def live_hits(hits: DataFrame, columns: DataFrame) -> DataFrame:
+    """The hits whose table still exists."""
+    return hits.join(columns.select("table_name").distinct(), "table_name", "left_semi")
+
+
+def schema_text(columns: DataFrame, personal: str = "mask") -> DataFrame:
+    """(table_name, text): a line of name and type per column, personal ones masked, left out ("exclude") or as they are ("off")."""
+    if personal not in ("mask", "exclude", "off"):
+        raise ValueError(personal)
+    x = columns.withColumn("kind", personal_kind(F.col("column_name")))
+    line = F.concat_ws(": ", "column_name", "data_type")
+    if personal == "mask":
+        line = F.when(F.col("kind") != "", F.concat(F.lit("<pii:"), "kind", F.lit(">: "), "data_type")).otherwise(line)
+    if personal == "exclude":
+        line = F.when(F.col("kind") == "", line)
+    lines = F.transform(F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("position", line.alias("line"))))), lambda c: c["line"])
+    return x.groupBy("table_name").agg(lines.alias("lines")).select("table_name", F.array_join("lines", "\n").alias("text"))
+
+
+def join_evidence(joins: DataFrame, keys: DataFrame) -> DataFrame:
+    """Joins (left_table, left_column, right_table, right_column) and whether a foreign key of one column backs them, either way.
+
+    ``keys`` are (key_name, from_table, from_column, to_table, to_column), a row per column of a key.
+    """
+    alone = keys.groupBy("key_name", "from_table", "to_table").agg(
+        F.count("*").alias("width"), F.first("from_column").alias("from_column"), F.first("to_column").alias("to_column")
+    ).where("width = 1")
+    a, b = ["from_table", "from_column"], ["to_table", "to_column"]
+    ends = alone.select(F.explode(F.array(F.concat_ws("\u0001", *a, *b), F.concat_ws("\u0001", *b, *a))).alias("ends")).distinct()
+    names = ["left_table", "left_column", "right_table", "right_column"]
+    x = joins.withColumn("ends", F.concat_ws("\u0001", *names)).join(ends.withColumn("backed", F.lit(True)), "ends", "left")
+    return x.select(*names, F.coalesce("backed", F.lit(False)).alias("backed"))
