@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as texts
+
 #: Fixed values: (aspect, pattern) of words that may mean several columns, measures or spans.
 AMBIGUITIES = (
     ("attribute", r"\b(?:by|per|for each|different)\s+(region|city|cities|area|location)\b"),
@@ -122,3 +124,13 @@ def word_hits(words: Column, text: Column) -> Column:
     asked = F.filter(words, lambda w: F.length(w) >= 2)
     low = F.lower(text)
     return F.when(F.size(asked) > 0, F.round(F.size(F.filter(asked, lambda w: low.contains(w))) / F.size(asked), 4)).otherwise(0.0)
+
+
+def parsed(text: Column, now: str) -> Column:
+    """All that is read from a question: language, intent, time range, what is open, limit, order, tables and quoted values."""
+    intent = texts.intent(text)
+    return F.struct(
+        texts.language(text).alias("language"), intent.alias("intent"), F.coalesce(texts.time_range(text, now), shifted_range(text, now), absolute_period(text)).alias("period"),
+        ambiguities(text, intent).alias("ambiguities"), texts.limit_value(text).alias("most"), order_by(text).alias("ordering"),
+        named_tables(text).alias("tables"), quoted_values(text).alias("quoted"),
+    )

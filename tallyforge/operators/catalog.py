@@ -126,3 +126,17 @@ def join_evidence(joins: DataFrame, keys: DataFrame) -> DataFrame:
     names = ["left_table", "left_column", "right_table", "right_column"]
     x = joins.withColumn("ends", F.concat_ws("\u0001", *names)).join(ends.withColumn("backed", F.lit(True)), "ends", "left")
     return x.select(*names, F.coalesce("backed", F.lit(False)).alias("backed"))
+
+
+def sharing_parts(tables: DataFrame, asked: str, tokens: list[str]) -> DataFrame:
+    """Tables with a part of their name, between underscores, of four letters in the question or of three in a token.
+
+    A token of four letters within a part counts as well.
+    """
+    low, words = asked.lower(), [t.lower() for t in tokens if len(t) >= 4]
+    part = F.explode(F.split(F.lower("table_name"), "_")).alias("part")
+    p = F.col("part")
+    hit = (F.length(p) >= 4) & F.lit(low).contains(p)
+    for w in words:
+        hit = hit | p.contains(w) | ((F.length(p) >= 3) & F.lit(w).contains(p))
+    return tables.select("table_name", part).where(hit).select("table_name").distinct()

@@ -153,3 +153,18 @@ def reflection(ran: Column, failed: Column, rows: Column) -> Column:
         .when(F.coalesce(rows, F.lit(0)) == 0, what(True, "broaden_filters", 0.6))
         .otherwise(what(False, "none", 1.0))
     )
+
+
+def expanded(tokens: DataFrame, key: str, token: str, synonyms: DataFrame) -> DataFrame:
+    """(key, candidate): tokens and their synonyms from a table (term, candidate), without repeats; Spark chooses the join."""
+    named = synonyms.select(F.lower("term").alias("term"), F.lower("candidate").alias("candidate"))
+    own = tokens.select(key, F.lower(token).alias("term")).where("term IS NOT NULL")
+    return own.select(key, F.col("term").alias("candidate")).unionByName(own.join(named, "term").select(key, "candidate")).distinct()
+
+
+def term_documents(terms: DataFrame, domain: str) -> DataFrame:
+    """(doc_id, text): a searchable document per term (term, english, description, expression, table_name), empty parts left out."""
+    part = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), c))
+    english = F.when(F.coalesce("english", F.lit("")) != "", F.concat(F.lit("("), "english", F.lit(")")))
+    parts = [F.concat(F.lit("业务术语: "), "term"), english, part("描述: ", "description"), part("SQL表达式: ", "expression"), part("关联表: ", "table_name")]
+    return terms.select(F.concat_ws(".", F.lit("glossary"), F.lit(domain), "term").alias("doc_id"), F.concat(F.concat_ws("。", *parts), F.lit("。")).alias("text"))

@@ -69,6 +69,22 @@ def query_metrics(
     return out.limit(limit) if limit is not None else out
 
 
+def lineage(fact: DataFrame, metric: FormulaMetric) -> dict[str, list[str]]:
+    """Columns that a formula reads and the files behind them."""
+    out = fact.agg(F.expr(require_expression(metric.formula)).alias(metric.name))
+    seen = out._jdf.queryExecution().analyzed().references().mkString(",")
+    return {"columns": sorted({re.sub(r"#\d+L?$", "", c) for c in seen.split(",") if c}), "files": sorted(out.inputFiles())}
+
+
+def from_terms(terms: list[tuple[str, str]], known: list[FormulaMetric], domain: str = "") -> list[FormulaMetric]:
+    """Metrics of (name, expression) terms that have both and are no metric yet."""
+    new: list[FormulaMetric] = []
+    for name, expression in terms:
+        if name and expression and not resolve([*known, *new], name, domain):
+            new.append(FormulaMetric(name, expression, domain=domain))
+    return new
+
+
 def suggested_dimensions(metrics: list[FormulaMetric]) -> list[str]:
     """Dimensions of any of the metrics, in order."""
     return sorted({d for m in metrics for d in m.dimensions})

@@ -191,3 +191,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         spark.createDataFrame(joins, "left_table string, left_column string, right_table string, right_column string"),
         spark.createDataFrame(keys, "key_name string, from_table string, from_column string, to_table string, to_column string"),
     )
+
+
+@query(
+    "parsed_questions",
+    "SELECT event_id, 'en' AS language, 'AGGREGATE' AS intent, CASE event_id % 4 WHEN 0 THEN DATE '2024-05-14' WHEN 1 THEN DATE '2024-05-15' - 3 END AS period_start, "
+    "CASE event_id % 4 WHEN 2 THEN 'attribute' ELSE '' END AS open_aspects, CASE event_id % 4 WHEN 3 THEN 5 END::BIGINT AS most, event_type AS quoted FROM events",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("concat('total of \"', event_type, '\"', CASE event_id % 4 WHEN 0 THEN ' yesterday' WHEN 1 THEN ' 3 days ago' WHEN 2 THEN ' by region' ELSE ' top 5' END)")
+    x = table(spark, d, "events").select("event_id", questions.parsed(text, _NOW).alias("p"))
+    return x.select(
+        "event_id", "p.language", "p.intent", F.col("p.period.start").alias("period_start"), F.array_join("p.ambiguities", ",").alias("open_aspects"), "p.most",
+        F.array_join("p.quoted", ",").alias("quoted"),
+    )
+
+
+@query(
+    "synonyms",
+    "SELECT event_id, event_type AS candidate FROM events UNION SELECT event_id, unnest(CASE event_type WHEN 'click' THEN ['press', 'view'] ELSE ['see'] END) FROM events WHERE event_type IN ('click', 'view')",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame([("Click", "press"), ("click", "View"), ("view", "see")], "term string, candidate string")
+    return knowledge.expanded(table(spark, d, "events"), "event_id", "event_type", known)
+
+
+@query("term_documents", "SELECT * FROM (VALUES ('glossary.shop.gmv', '业务术语: gmv。(sales)。SQL表达式: sum(x)。'), ('glossary.shop.a', '业务术语: a。描述: b。关联表: t。')) AS t(doc_id, text)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("gmv", "sales", "", "sum(x)", None), ("a", None, "b", None, "t")]
+    return knowledge.term_documents(spark.createDataFrame(rows, "term string, english string, description string, expression string, table_name string"), "shop")
+
+
+@query("shared_parts", "SELECT * FROM (VALUES ('order_items'), ('user_log')) AS t(table_name)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    tables = spark.createDataFrame([("order_items",), ("user_log",), ("parts",), ("a_b",)], "table_name string")
+    return catalog.sharing_parts(tables, "Orders by day", ["userlogs", "by", "item"])

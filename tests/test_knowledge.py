@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import questions
 from tallyforge.operators import catalog, knowledge
+from tallyforge.plans import formulas, validate
+from tallyforge.session import register, table
 
 
 def _of(spark, texts, column):
@@ -50,3 +52,27 @@ def test_schema_text(spark, mode, text):
 def test_unknown_mode_is_refused(spark):
     with pytest.raises(ValueError):
         catalog.schema_text(spark.createDataFrame([], "table_name string, column_name string, data_type string, position int"), "other")
+
+
+def test_comparison_warnings(spark, sf):
+    register(spark, sf, ("orders",))
+    of = lambda where: [w for w in validate.validate(spark, f"SELECT count(*) FROM orders WHERE {where}").warnings if w.startswith("type:")]
+    assert of("o_orderkey > 3 AND o_totalprice > 1 AND o_orderdate >= DATE '1995-01-01' AND o_orderpriority = 'x'") == []
+    assert of("o_orderpriority = 5") == ["type: o_orderpriority is string and compared as bigint"]
+    assert of("CAST(o_orderpriority AS INT) = 5") == []
+
+
+def test_heal(spark, sf):
+    register(spark, sf, ("orders",))
+    answers = iter([None, "SELECT no_column FROM orders", "SELECT count(*) FROM orders WHERE o_orderkey > 1"])
+    assert validate.heal(spark, "SELEC", lambda sql, errors: next(answers)).rounds == 3
+    assert validate.heal(spark, "SELEC", lambda sql, errors: "SELECT nothing_known") is None
+    assert validate.heal(spark, "SELEC", lambda sql, errors: "SELECT 1").confidence == pytest.approx(0.6)
+
+
+def test_lineage_and_terms(spark, sf):
+    one = formulas.FormulaMetric("per_head", "sum(o_totalprice) / count(DISTINCT o_custkey)")
+    found = formulas.lineage(table(spark, sf, "orders"), one)
+    assert found["columns"] == ["o_custkey", "o_totalprice"] and found["files"][0].endswith("orders.parquet")
+    new = formulas.from_terms([("PER_HEAD", "1"), ("b", "max(x)"), ("b", "min(x)"), ("c", "")], [one])
+    assert [(m.name, m.formula) for m in new] == [("b", "max(x)")]
