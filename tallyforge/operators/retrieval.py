@@ -23,9 +23,11 @@ def bm25(docs: DataFrame, tokens: Column, terms: list[str], k: int, id_col: str
     those few sums and k rows a task.
     """
     asked = list(dict.fromkeys(terms))
-    x = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
-    tf = [F.size("tokens") - F.size(F.array_remove("tokens", t)) for t in asked]
-    x = x.select("doc_id", F.size("tokens").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
+    counts = lambda x: F.struct(
+        F.size(x).alias("len"), *((F.size(x) - F.size(F.array_remove(x, t))).alias(f"tf{i}") for i, t in enumerate(asked))
+    )
+    # Generated columns: a filter on them can't be pushed down, which would tokenise a text once more for each term.
+    x = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.transform(F.array(tokens), counts)))
     stats = x.agg(
         F.count("*").alias("n_docs"), F.avg("len").alias("mean"),
         *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))),
