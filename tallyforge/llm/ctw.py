@@ -7,10 +7,10 @@ all depths: a context's weighted probability is half its own estimate's and half
 product of its longer contexts', and the same halves give the share of each depth in
 the prediction. The code length of a text is the sum over its bytes.
 
-Spark counts byte strings of depth + 1 over the training texts, sums them up the tree,
-sends shares down it, and packs the predictions of all nodes into a table of fixed
-size, which alone is broadcast. Word counts for the base score stay distributed: they
-meet the words of each chunk of documents by joins.
+Spark counts byte strings of depth + 1 over all texts, those of held-out ones as 0, sums
+them up the tree and sends shares down it, so every node of the training texts is used
+at any size. Nothing is broadcast or brought to the driver: scores of byte strings and
+counts of words for the base score meet those of each chunk of documents by joins.
 
 Cases: a null or empty text has no words, the end alone is scored. A null id counts as
 an empty text of an id. Repeated rows count each time and score alike. With no training
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,32 +68,32 @@ def _pieces(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[int]]:
 
 
 def count_strings(docs: DataFrame, depth: int) -> DataFrame:
-    """(code, n): byte strings of ``depth`` + 1 bytes in column ``text`` (binary) and how often they occur."""
+    """(chunk, code, n): the byte strings of ``depth`` + 1 bytes of each chunk, and how often its training documents hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(inverse, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
-
-        def out(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(codes), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(codes[part].astype(np.int64)), pa.array(n[part])], names=["code", "n"])
-
         for batch in batches:
-            texts = [x.as_py().lower() for x in batch.column("text")]
-            for piece in _pieces(texts):
-                held.append(np.unique(byte_strings([texts[i] for i in piece], depth)[0], return_counts=True))
-                if sum(len(c) for c, _ in held) > 2_000_000:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 1_000_000:
-                        yield from out(*held.pop())
-        if held:
-            yield from out(*merged())
+            by: dict[int, tuple[list[bytes], list[bytes]]] = {}
+            for chunk, train, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "text")), strict=True):
+                by.setdefault(chunk, ([], []))[0 if train else 1].append(text.lower())
+            for chunk, (trained, others) in by.items():
+                codes, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for texts, counts in ((trained, True), (others, False)):
+                    for piece in _pieces(texts):
+                        more, m = np.unique(byte_strings([texts[i] for i in piece], depth)[0], return_counts=True)
+                        both = np.union1d(codes, more)
+                        total = np.zeros(len(both), np.int64)
+                        total[np.searchsorted(both, codes)] = n
+                        if counts:
+                            total[np.searchsorted(both, more)] += m
+                        codes, n = both, total
+                for at in range(0, len(codes), 1 << 16):
+                    c = codes[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(c), chunk, np.int64)), pa.array(c.astype(np.int64)), pa.array(n[at : at + (1 << 16)])],
+                        names=["chunk", "code", "n"],
+                    )
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("chunk", "train", "text").mapInArrow(run, "chunk long, code long, n long")
 
 
 def _log_gamma(x: Column) -> Column:
@@ -110,120 +111,86 @@ def _log_kt(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1.0)
 
 
-def weighted_nodes(strings: DataFrame, depth: int) -> list[DataFrame]:
-    """A DataFrame (context, node, n, p) for each depth from 0: the mixed probability of a one if that depth is the last known."""
+def _steps() -> Column:
+    """The eight decisions (node, one) of a code's last byte."""
     bit = lambda k: F.shiftright("code", 7 - k).bitwiseAND(1)
-    node = lambda k: F.shiftright(F.col("code").bitwiseAND(255), 8 - k) + F.lit(1 << k)
-    steps = F.explode(F.array(*(F.struct(node(k).alias("node"), bit(k).alias("one")) for k in range(8))))
-    x = strings.select(F.shiftrightunsigned("code", 8).alias("context"), "n", steps.alias("s"))
+    node = lambda k: (F.shiftright(F.col("code").bitwiseAND(255), 8 - k) + F.lit(1 << k)).cast("int")
+    return F.explode(F.array(*(F.struct(node(k).alias("node"), bit(k).alias("one")) for k in range(8))))
+
+
+def weighted_nodes(strings: DataFrame, depth: int) -> DataFrame:
+    """(context, node, p) for the nodes of all codes: the probability of a one after ``depth`` bytes.
+
+    Codes with ``n`` = 0 are asked about but teach nothing: an empty count weighs nothing
+    in the tree, and its node has the prediction of the longest context with a count.
+    """
+    x = strings.select(F.shiftrightunsigned("code", 8).alias("context"), "n", _steps().alias("s"))
     ones = F.sum(F.col("n") * F.col("s.one"))
-    level = x.groupBy("context", F.col("s.node").cast("int").alias("node")).agg((F.sum("n") - ones).alias("zeros"), ones.alias("ones"))
+    level = x.groupBy("context", F.col("s.node").alias("node")).agg((F.sum("n") - ones).alias("zeros"), ones.alias("ones"))
     half = math.log(0.5)
-    level = level.withColumn("log_kt", _log_kt(F.col("zeros"), F.col("ones"))).withColumn("log_w", F.col("log_kt")).withColumn("share", F.lit(1.0))
-    levels = [keep(level.drop("log_kt"), f"ctw-{depth}")]
+    seen = F.col("zeros") + F.col("ones") > 0
+    log_kt = F.when(seen, _log_kt(F.col("zeros"), F.col("ones"))).otherwise(0.0)
+    level = level.withColumn("log_w", log_kt).withColumn("share", F.lit(1.0))
+    levels = [keep(level, f"ctw-{depth}")]
     for d in range(depth - 1, -1, -1):
         shorter = F.col("context").bitwiseAND((1 << (8 * d)) - 1)
         level = levels[0].groupBy(shorter.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below"))
-        level = level.withColumn("log_kt", _log_kt(F.col("zeros"), F.col("ones")))
+        level = level.withColumn("log_kt", log_kt)
         own, rest = F.col("log_kt") + half, F.col("below") + half
         top = F.greatest(own, rest)
         level = level.withColumn("log_w", top + F.ln(F.exp(own - top) + F.exp(rest - top))).drop("below")
         levels.insert(0, keep(level.withColumn("share", F.exp(F.col("log_kt") + half - F.col("log_w"))).drop("log_kt"), f"ctw-{d}"))
         sweep(strings.sparkSession)
     kt = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-    out = []
-    above = None  # (context, node, so_far, left): what shorter contexts give and what share is left
+    above = None  # (context, node, so_far, left, p_above): what shorter contexts give, what share is left, what they predict
     for d, level in enumerate(levels):
         level = level.withColumn("kt", kt)
         if above is None:
-            level = level.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
+            level = level.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0), "p_above": F.lit(0.5)})
         else:
             key = F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)
             level = level.withColumn("shorter", key).join(above, ["shorter", "node"]).drop("shorter")
-        level = level.withColumn("p", F.col("so_far") + F.col("left") * F.col("kt"))
+        level = level.withColumn("p", F.when(seen, F.col("so_far") + F.col("left") * F.col("kt")).otherwise(F.col("p_above")))
         if d < depth:
             level = keep(level, f"ctw-mixed-{d}")
             above = level.select(
                 F.col("context").alias("shorter"), "node",
                 (F.col("so_far") + F.col("left") * F.col("share") * F.col("kt")).alias("so_far"),
-                (F.col("left") * (1.0 - F.col("share"))).alias("left"),
+                (F.col("left") * (1.0 - F.col("share"))).alias("left"), F.col("p").alias("p_above"),
             )
-        out.append(level.select("context", "node", (F.col("zeros") + F.col("ones")).alias("n"), "p"))
-    return out
+    return level.select("context", "node", "p")
 
 
-class NodeTable:
-    """Predictions of nodes in 2**bits slots; a slot shared by several nodes holds the most frequent one."""
+def score_strings(strings: DataFrame, depth: int) -> DataFrame:
+    """(code, log_p) for each row of ``strings`` (code, n), one a code: ln of the probability of its last byte after the bytes before it."""
+    nodes = keep(weighted_nodes(strings, depth), "ctw-nodes")
+    sweep(strings.sparkSession)
+    asked = strings.select("code", F.shiftrightunsigned("code", 8).alias("context"), _steps().alias("s"))
+    asked = asked.select("code", "context", F.col("s.node").alias("node"), F.col("s.one").alias("one"))
+    log_p = F.ln(F.when(F.col("one") == 1, F.col("p")).otherwise(1.0 - F.col("p")))
+    return asked.join(nodes, ["context", "node"]).groupBy("code").agg(F.sum(log_p).alias("log_p"))
 
-    def __init__(self, bits: int, depth: int):
-        self.bits, self.depth = bits, depth
-        self.tag = np.zeros(1 << bits, np.uint32)
-        self.p = np.full(1 << bits, 0.5, np.float32)
 
-    @staticmethod
-    def key(depth: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        x = (context.astype(np.uint64) * np.uint64(256) + node.astype(np.uint64)) * np.uint64(8) + np.uint64(depth)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
+class Model:
+    """The counts of training texts, to ask about codes in small numbers."""
 
-    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (key >> np.uint64(64 - self.bits)).astype(np.int64), ((key & np.uint64(0xFFFFFFFF)) | np.uint64(1)).astype(np.uint32)
+    def __init__(self, strings: DataFrame, depth: int):
+        self.strings, self.depth = strings, depth
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """ln of the probability of each code's last byte after the bytes before it."""
-        out = np.zeros(len(codes))
-        byte = codes & np.uint64(255)
-        for k in range(8):
-            node = (byte >> np.uint64(8 - k)) + np.uint64(1 << k)
-            one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            p = np.full(len(codes), 0.5)
-            open_ = np.ones(len(codes), bool)
-            for d in range(self.depth, -1, -1):
-                context = (codes >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
-                slot, tag = self.place(self.key(d, context, node))
-                hit = open_ & (self.tag[slot] == tag)
-                p[hit] = self.p[slot[hit]]
-                open_ &= ~hit
-            out += np.log(np.where(one, p, 1.0 - p))
-        return out
-
-
-def fit_model(docs: DataFrame, depth: int = 4, bits: int = 22) -> NodeTable:
-    """The node table of training texts (column ``text``, binary): at most 2**bits entries come to the driver."""
-    with Scope(docs.sparkSession):
-        return _fitted(docs, depth, bits)
-
-
-def _fitted(docs: DataFrame, depth: int, bits: int) -> NodeTable:
-    table = NodeTable(bits, depth)
-    strings = keep(count_strings(docs, depth), "ctw-strings")
-    sweep(docs.sparkSession)
-
-    def placed(d: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shape = NodeTable(bits=1, depth=0)
-            shape.bits = bits
-            for b in batches:
-                slot, tag = shape.place(NodeTable.key(d, b.column("context").to_numpy(), b.column("node").to_numpy()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(tag.astype(np.int64)), b.column("n"), b.column("p").cast(pa.float32())],
-                    names=["slot", "tag", "n", "p"],
-                )
-
-        return run
-
-    rows = None
-    for d, level in enumerate(weighted_nodes(strings, depth)):
-        x = level.mapInArrow(placed(d), "slot long, tag long, n long, p float")
-        rows = x if rows is None else rows.unionByName(x)
-    best = rows.groupBy("slot").agg(F.max(F.struct("n", "tag", "p")).alias("b"))
-    best = keep(best.select(F.col("slot").cast("int").alias("slot"), F.col("b.tag").alias("tag"), F.col("b.p").alias("p")), "ctw-table")
-    found = best.toArrow()
-    slot = found.column("slot").to_numpy()
-    table.tag[slot] = found.column("tag").to_numpy().astype(np.uint32)
-    table.p[slot] = found.column("p").to_numpy()
-    return table
+        spark = self.strings.sparkSession
+        asked = spark.createDataFrame([(c,) for c in np.unique(codes).astype(np.int64).tolist()], "code long")
+        with Scope(spark):
+            strings = self.strings.unionByName(asked.withColumn("n", F.lit(0).cast("long"))).groupBy("code").agg(F.sum("n").alias("n"))
+            found = dict(score_strings(keep(strings, "ctw-asked"), self.depth).join(asked, "code").select("code", "log_p").collect())
+        return np.array([found[c] for c in codes.astype(np.int64).tolist()])
+
+
+def fit_model(docs: DataFrame, depth: int = 4, bits: int | None = None) -> Model:
+    """The model of training texts (column ``text``, binary). ``bits`` has no effect: every node is kept."""
+    strings = count_strings(docs.select(F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("train"), "text"), depth)
+    return Model(keep(strings.groupBy("code").agg(F.sum("n").alias("n")), "ctw-strings"), depth)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -256,7 +223,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def score_documents(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, bits: int = 22
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4
 ) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
 
@@ -272,18 +239,31 @@ def score_documents(
         F.coalesce(chunk, F.lit(-1)).cast("long").alias("chunk"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    table = docs.sparkSession.sparkContext.broadcast(fit_model(picked.where("train"), depth, bits))
+    with Scope(docs.sparkSession) as passing:
+        codes = keep(count_strings(picked, depth), "ctw-codes")
+        strings = keep(codes.groupBy("code").agg(F.sum("n").alias("n")), "ctw-strings")
+        scores = keep(score_strings(strings, depth), "ctw-scores")
+        sweep(docs.sparkSession)
+        log_p = F.col("log_p").alias("value")
+        known_codes = passing.hand_over(codes.join(scores, "code").select("chunk", F.lit(None).cast("binary").alias("word"), "code", log_p), "ctw-known")
     with Scope(docs.sparkSession) as passing:
         words = keep(count_words(picked), "lm-words")
         counts = keep(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
         sweep(docs.sparkSession)
         total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        known = passing.hand_over(words.join(counts, "word").select("chunk", "word", "c"), "lm-known")
+        c = F.col("c").cast("double").alias("value")
+        known_words = passing.hand_over(words.join(counts, "word").select("chunk", "word", F.lit(None).cast("long").alias("code"), c), "lm-known")
+    known = known_words.unionByName(known_codes)
     norm = math.log10(total + distinct + 1)
     kind = picked.schema["doc_id"].dataType
 
     def run(docs_: pa.Table, known_: pa.Table) -> pa.Table:
-        log = {w: math.log10(c + 1) - norm for w, c in zip(known_.column("word").to_pylist(), known_.column("c").to_pylist(), strict=True)}
+        is_word = pc.is_valid(known_.column("word"))
+        of_words, of_codes = known_.filter(is_word), known_.filter(pc.invert(is_word))
+        log = {w: math.log10(c + 1) - norm for w, c in zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist(), strict=True)}
+        code, log_p = of_codes.column("code").to_numpy(), of_codes.column("value").to_numpy()
+        order = np.argsort(code)
+        code, log_p = code[order], log_p[order]
         texts = [x.as_py().lower() for x in docs_.column("text")]
         n_tokens, n_known, base = [], [], []
         for text in texts:
@@ -294,9 +274,8 @@ def score_documents(
             base.append(math.fsum(found) - norm * (len(tokens) - len(found)))
         score = np.zeros(len(texts))
         for piece in _pieces(texts):
-            codes, which = byte_strings([texts[i] for i in piece], depth)
-            distinct_, inverse = np.unique(codes, return_inverse=True)
-            score[piece] = np.bincount(which, table.value.log_probability(distinct_)[inverse], len(piece))
+            codes_, which = byte_strings([texts[i] for i in piece], depth)
+            score[piece] = np.bincount(which, log_p[np.searchsorted(code, codes_.astype(np.int64))], len(piece))
         size = np.array([len(t) + 1 for t in texts])
         return pa.table(
             {

@@ -346,6 +346,47 @@ def test_tree_equals_a_plain_one(spark):
     assert abs(table.log_probability(codes).sum() - want) < 1e-3
 
 
+def test_every_node_of_the_training_texts_is_used(spark):
+    """A corpus of many nodes: each held-out text is scored as by a tree of all of them, held as plain counts."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=400)) for _ in range(700)]
+    rows_ = [(i, t, True) for i, t in enumerate(texts)] + [(10_000 + i, t, False) for i, t in enumerate(texts[::7])]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r for r in ctw.score_documents(df, F.col("learn")).collect()}
+    assert all(abs(got[10_000 + i].score - got[7 * i].score) < 1e-6 for i in range(len(texts[::7])))
+    depth = 4
+    nodes: list = [defaultdict(lambda: [0, 0]) for _ in range(depth + 1)]
+    for t in texts:
+        for c in ctw.byte_strings([t.encode()], depth)[0].tolist():
+            for k in range(8):
+                node, one = (1 << k) | ((c & 255) >> (8 - k)), ((c & 255) >> (7 - k)) & 1
+                for d in range(depth + 1):
+                    nodes[d][(c >> 8) & ((1 << (8 * d)) - 1), node][one] += 1
+    kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
+    log_w, share = [{} for _ in nodes], [{} for _ in nodes]
+    for d in range(depth, -1, -1):
+        below: dict = defaultdict(float)
+        for (ctx, node), w in (log_w[d + 1] if d < depth else {}).items():
+            below[ctx & ((1 << (8 * d)) - 1), node] += w
+        for key, n in nodes[d].items():
+            own = kt(n)
+            log_w[d][key] = own if d == depth else float(np.logaddexp(own, below[key])) + math.log(0.5)
+            share[d][key] = 1.0 if d == depth else math.exp(own + math.log(0.5) - log_w[d][key])
+    for i in range(0, len(texts), 70):
+        want = 0.0
+        for c in ctw.byte_strings([texts[i].encode()], depth)[0].tolist():
+            for k in range(8):
+                node, one = (1 << k) | ((c & 255) >> (8 - k)), ((c & 255) >> (7 - k)) & 1
+                p, left = 0.0, 1.0
+                for d in range(depth + 1):
+                    key = (c >> 8) & ((1 << (8 * d)) - 1), node
+                    a, b = nodes[d][key]
+                    p += left * share[d][key] * (b + 0.5) / (a + b + 1)
+                    left *= 1 - share[d][key]
+                want += math.log10(p if one else 1 - p)
+        assert abs(got[i].score - want) < 1e-4
+
+
 # 7: repeated phrases
 
 
