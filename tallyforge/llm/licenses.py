@@ -54,7 +54,9 @@ TAG = "spdx license identifier"
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+_TAG_AT = re.compile(r"spdx-license-identifier:", re.IGNORECASE | re.ASCII)
+#: Where the expression after a tag ends at the latest.
+_TAG_END = re.compile(r"[\r\n]|spdx-license-identifier:", re.IGNORECASE | re.ASCII)
 _PIECE = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -159,8 +161,10 @@ def scan_text(raw: bytes, automaton: ahocorasick.Automaton) -> dict:
     score = 0.9 if base else 0.7 if labels else 0.0
     expressions: list[str] = []
     if tagged:
-        for m in _TAG_AT.finditer(raw.decode("utf-8", "replace")):
-            postfix = parse_expression(m[1])
+        text = raw.decode("utf-8", "replace")
+        for m in _TAG_AT.finditer(text):
+            stop = _TAG_END.search(text, m.end())
+            postfix = parse_expression(text[m.end() : stop.start() if stop else len(text)])
             _, named, sure = evaluate_expression(postfix)
             labels |= named
             score = max(score, sure)

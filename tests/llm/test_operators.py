@@ -495,3 +495,9 @@ def test_license_places(request, which):
 def test_expressions(text, postfix, labels):
     parsed = licenses.parse_expression(text)
     assert " ".join(parsed) == postfix and licenses.evaluate_expression(parsed)[1] == labels
+
+
+def test_every_tag_of_a_line_is_evaluated():
+    text = "SPDX-License-Identifier: MIT some code; SPDX-License-Identifier: Apache-2.0 OR SPDX-License-Identifier: LicenseRef-x\nSPDX-License-Identifier: ISC"
+    got = licenses.scan_text(text.encode(), licenses._automaton())
+    assert got["expressions"] == ["MIT", "Apache-2.0", "LicenseRef-x", "ISC"] and got["labels"] == "apache,isc,mit" and got["score"] == 1.0
