@@ -50,6 +50,12 @@ IDENTIFIERS = (
 )
 
 
+def _copies(s: str) -> list[str]:
+    """What counts as a copy of a candidate: itself, and its parts between signs that may join it to a name."""
+    parts = {s, s.strip("+/_=-"), *(x.strip("+/_-") for x in s.split("="))}
+    return sorted((x for x in parts if len(x) >= 16), key=lambda x: (-len(x), x))
+
+
 class Novelty:
     """Bytes that a string adds to its surroundings, by zstandard with a raw dictionary."""
 
@@ -57,8 +63,16 @@ class Novelty:
         self.primer, self.around, self.level = identifiers.encode(), around, level
 
     def bytes_added(self, text: str, start: int, end: int) -> int:
-        """Compressed size of ``text[start:end]`` beyond an empty frame, primed by identifiers and the text around it."""
-        near = f"{text[max(0, start - self.around) : start]}\n{text[end : end + self.around]}".encode()
+        """Compressed size of ``text[start:end]`` beyond an empty frame, primed by identifiers and the text around it.
+
+        Copies of the string around it, whole or cut by the edge, are no part of the primer:
+        a secret that stands twice is as novel in both places.
+        """
+        size = end - start
+        before, after = text[max(0, start - self.around - size) : start], text[end : end + self.around + size]
+        for copy in _copies(text[start:end]):
+            before, after = before.replace(copy, " "), after.replace(copy, " ")
+        near = f"{before[-self.around :]}\n{after[: self.around]}".encode()
         primer = zstandard.ZstdCompressionDict(self.primer + near, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         squeeze = zstandard.ZstdCompressor(
             level=self.level, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False
@@ -78,8 +92,8 @@ def novel_spans(text: str, novelty: Novelty, reach: int = 80, least: float = 0.5
             start, end = m.span()
             if start > context.end() + reach:
                 break
-            while end < len(text) and end - start < 4096 and CANDIDATE.fullmatch(text, start, end + 1):
-                end += 1
+            if end == len(text) or end == context.end() + reach + 256:
+                end = CANDIDATE.match(text, start).end()  # the true end of a run that the window cuts
             done = end
             s = text[start:end]
             if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):

@@ -99,6 +99,20 @@ def test_novel_strings_are_found_and_words_are_not():
     assert secrets.redacted(text, [x for x in spans if x[2] == "novel"]).startswith("authorization: bearer [SECRET];")
 
 
+def test_a_secret_that_stands_twice_is_found_in_both_places():
+    key = "Zx8Qv2LmT7pRw4Ks9YbN1cJdE5gHf3Ua"
+    for text in (f"Send the bearer {key} with each call. Authorization header again: Bearer {key}.", f"the bearer {key}; then authorization={key}"):
+        spans = secrets.secret_spans(text, secrets.Novelty())
+        assert len(spans) == 2 and all(text[a:b].endswith(key) for a, b, _ in spans) and key not in secrets.redacted(text, spans)
+
+
+def test_a_long_secret_is_found_to_its_end():
+    key = "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=9_000))
+    text = f"private key {key} end"
+    spans = secrets.secret_spans(text, secrets.Novelty())
+    assert [(a, b) for a, b, k in spans if k == "novel"] == [(12, 9_012)] and secrets.redacted(text, spans) == "private key [SECRET] end"
+
+
 # 2: BPE
 
 
