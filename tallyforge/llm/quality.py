@@ -1,7 +1,7 @@
 """Quality rules: text statistics in Spark SQL and a learned decision list over them.
 
-The list is learned by sequential covering. Thresholds are quantiles of each statistic
-over all labelled rows. A rule grows, one threshold condition at a time by information
+The list is learned by sequential covering. Thresholds lie between quantiles of each
+statistic, tails included, over the labelled rows that are left at each step. A rule grows, one threshold condition at a time by information
 gain on two thirds of the rows, is pruned from its end on the other third, and is kept
 while it is precise; the rows that it covers leave and the next rule is grown. Every
 step is one aggregate over labelled rows that returns a count for each threshold, so
@@ -136,28 +136,25 @@ def learn_rules(
     labelled: DataFrame,
     stats: list[str],
     bins: int = 48,
-    most_rules: int = 8,
-    most_conditions: int = 3,
     precise: float = 0.97,
     least: int = 8,
 ) -> list[Rule]:
     """A decision list from rows of statistics with ``bad`` (boolean) and ``prune`` (boolean).
 
     A rule must hold for ``least`` bad rows and be right for a share of ``precise`` of what
-    it covers, on the growing and, where it has rows, on the pruning part.
+    it covers, on the growing and, where it has rows, on the pruning part. Rules are grown
+    until none is precise; each covers bad rows that no earlier one did.
     """
-    points = [i / bins for i in range(1, bins)]
-    quantiles = [F.percentile_approx(x, points, 10_000) for s in stats for x in (F.col(s), F.nullif(F.col(s), F.lit(0.0)))]
-    found = labelled.agg(*(q.alias(f"q{i}") for i, q in enumerate(quantiles))).first()
-    seen = {s: sorted({*(found[2 * i] or []), *(found[2 * i + 1] or [])}) for i, s in enumerate(stats)}
-    cuts = {s: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for s, x in seen.items()}
+    tails = [0.5**k / bins for k in range(1, 7)]
+    points = sorted({0.0, 1.0, *(i / bins for i in range(1, bins)), *tails, *(1 - x for x in tails)})
     rules: list[Rule] = []
     plain = {s: F.col(s) for s in stats}
-    for _ in range(most_rules):
+    while True:
         open_rows = labelled.where(verdict(rules, plain))
         rule: Rule = ()
-        while len(rule) < most_conditions:
+        while True:
             rows = open_rows.where(~F.col("prune") & ~verdict([rule], plain) if rule else ~F.col("prune"))
+            cuts = _cuts(rows, stats, points)
             candidates = [Condition(s, above, t) for s in stats for t in cuts[s] for above in (True, False)]
             counted = _threshold_counts(rows, stats, cuts)
             p0, n0 = counted["all"]
@@ -182,10 +179,27 @@ def learn_rules(
     return rules
 
 
+def _cuts(rows: DataFrame, stats: list[str], points: list[float]) -> dict[str, list[float]]:
+    """Thresholds between quantiles of each statistic over the rows at hand, their non-zero values and their bad rows."""
+    views = lambda s: (f"`{s}`", f"nullif(`{s}`, 0D)", f"if(bad, `{s}`, NULL)")
+    at = ", ".join(f"{x!r}D" for x in points)
+    quantiles = [F.expr(f"percentile_approx({x}, array({at}), 10000)") for s in stats for x in views(s)]
+    found = rows.agg(*(q.alias(f"q{i}") for i, q in enumerate(quantiles))).first()
+    seen = [sorted({v for q in found[3 * i : 3 * i + 3] for v in q or []}) for i in range(len(stats))]
+    return {s: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for s, x in zip(stats, seen, strict=True)}
+
+
 def _threshold_counts(rows: DataFrame, stats: list[str], cuts: dict[str, list[float]]) -> dict:
     """(bad, good) rows that each condition holds for, from one histogram per statistic."""
-    place = lambda s: sum((F.when(F.col(s) > F.lit(t), 1).otherwise(0) for t in cuts[s]), F.lit(0))
-    cells = F.array(*(F.struct(F.lit(k).alias("k"), place(s).alias("b")) for k, s in enumerate(stats)))
+
+    def place(s: str, low: int, high: int) -> str:
+        """How many cuts a value is above, by halving."""
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"if(`{s}` > {cuts[s][mid]!r}D, {place(s, mid + 1, high)}, {place(s, low, mid)})"
+
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(place(s, 0, len(cuts[s]))).alias("b")) for k, s in enumerate(stats)))
     hist = rows.select("bad", F.explode(cells).alias("c")).groupBy("c.k", "c.b").agg(
         F.sum(F.col("bad").cast("long")).alias("p"), F.count("*").alias("n")
     )

@@ -200,6 +200,18 @@ def test_decision_list_is_learned_and_native(spark, sf, real):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rare_kinds_of_bad_rows_are_all_learned(spark):
+    """Ten kinds, each beyond the good rows of one statistic and rarer than a 48th of the rows."""
+    stats = [f"s{k}" for k in range(10)]
+    x = spark.range(12_000).withColumn("kind", F.when(F.col("id") % 20 == 0, F.pmod(F.floor(F.col("id") / 20), F.lit(10))).otherwise(-1))
+    value = lambda k: F.when(F.col("kind") == k, 1.01 + F.col("id") / 1e6).otherwise(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0)
+    x = x.select((F.col("kind") >= 0).alias("bad"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune"), *(value(k).alias(s) for k, s in enumerate(stats)))
+    x = x.localCheckpoint()
+    kept = quality.verdict(quality.learn_rules(x, stats), {s: F.col(s) for s in stats})
+    assert x.where(~F.col("bad") & ~kept).count() <= 60
+    assert x.where(F.col("bad") & kept).count() <= 30
+
+
 # 4: top-k
 
 
