@@ -413,6 +413,15 @@ def test_every_node_of_the_training_texts_is_used(spark):
         assert abs(got[i].score - want) < 1e-4
 
 
+def test_no_branch_reaches_probability_zero(spark):
+    """A bit that was 1 in each of very many visits leaves the other branch its share."""
+    for n in (20_000_000, 30_000_000_000):
+        code, other = 0x6162, 0x6163  # b then c after a: the last of eight decisions differs
+        strings = spark.createDataFrame([(code, n), (other, 0)], "code long, n long")
+        got = dict(ctw.score_strings(strings, 1).collect())
+        assert abs(got[other] - math.log(0.5 / (n + 1))) < 1e-3 and -1e-6 < got[code] < 0
+
+
 # 7: repeated phrases
 
 
