@@ -5,16 +5,22 @@ node has counts of zeros and ones under each context of 0 to ``depth`` bytes, an
 Krichevsky-Trofimov estimate from them. Context-tree weighting mixes the estimates of
 all depths: a context's weighted probability is half its own estimate's and half the
 product of its longer contexts', and the same halves give the share of each depth in
-the prediction. The code length of a text is the sum over its bytes.
+the prediction. A longer context that training never saw is an empty subtree: it
+predicts 1/2 with the share that is left to it. The code length of a text is the sum
+over its bytes.
 
 Spark counts byte strings of depth + 1 over all texts, those of held-out ones as 0, sums
 them up the tree and sends shares down it, so every node of the training texts is used
 at any size. Nothing is broadcast or brought to the driver: scores of byte strings and
-counts of words for the base score meet those of each chunk of documents by joins.
+counts of words for the base score meet those of each chunk of documents by joins. A
+chunk is a run of rows of one input partition with a bounded sum of bytes, whatever
+their ids, so neither null ids nor repeated ones gather in a task.
 
 Cases: a null or empty text has no words, the end alone is scored. A null id counts as
-an empty text of an id. Repeated rows count each time and score alike. With no training
-text each binary decision has probability 1/2. An empty table gives an empty result.
+an empty text of an id. Repeated rows count each time and score alike. A very long text
+is a chunk of its own and read in pieces. With no training text each binary decision has
+probability 1/2. Other columns are not looked at, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyforge.llm._scratch import Scope, keep, sweep
 
-#: Ids in a row share a chunk of this many; a chunk's documents and words fit in a task.
-CHUNK = 1024
+#: A chunk ends once its texts have so many bytes, or it has so many rows; its codes and words fit in a task.
+CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 1 << 15
 EDGE = 0xFF  # never a byte of UTF-8: stands before a text and ends it
 END = b""  # the end token among words
 LOG10E = math.log10(math.e)
@@ -67,6 +73,25 @@ def _pieces(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[int]]:
         yield held
 
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, train, text) with a number ``chunk``: rows of a partition in their order, bounded by bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        chunk, size, rows = 0, 0, 0
+        for batch in batches:
+            at = []
+            for n in pc.binary_length(batch.column("text")).to_pylist():
+                if rows and (size + n > CHUNK_BYTES or rows == CHUNK_ROWS):
+                    chunk, size, rows = chunk + 1, 0, 0
+                size, rows = size + n, rows + 1
+                at.append(first + chunk)
+            yield batch.append_column("chunk", pa.array(at, pa.int64()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, train boolean, text binary, chunk long")
+
+
 def count_strings(docs: DataFrame, depth: int) -> DataFrame:
     """(chunk, code, n): the byte strings of ``depth`` + 1 bytes of each chunk, and how often its training documents hold them."""
 
@@ -121,15 +146,15 @@ def _steps() -> Column:
 def weighted_nodes(strings: DataFrame, depth: int) -> DataFrame:
     """(context, node, p) for the nodes of all codes: the probability of a one after ``depth`` bytes.
 
-    Codes with ``n`` = 0 are asked about but teach nothing: an empty count weighs nothing
-    in the tree, and its node has the prediction of the longest context with a count.
+    Codes with ``n`` = 0 are asked about but teach nothing: an empty subtree has probability 1
+    and predicts 1/2, by the same formulas.
     """
     x = strings.select(F.shiftrightunsigned("code", 8).alias("context"), "n", _steps().alias("s"))
     ones = F.sum(F.col("n") * F.col("s.one"))
     level = x.groupBy("context", F.col("s.node").alias("node")).agg((F.sum("n") - ones).alias("zeros"), ones.alias("ones"))
     half = math.log(0.5)
     seen = F.col("zeros") + F.col("ones") > 0
-    log_kt = F.when(seen, _log_kt(F.col("zeros"), F.col("ones"))).otherwise(0.0)
+    log_kt = F.when(seen, _log_kt(F.col("zeros"), F.col("ones"))).otherwise(0.0)  # exactly 0 for no counts
     level = level.withColumn("log_w", log_kt).withColumn("share", F.lit(1.0))
     levels = [keep(level, f"ctw-{depth}")]
     for d in range(depth - 1, -1, -1):
@@ -142,22 +167,18 @@ def weighted_nodes(strings: DataFrame, depth: int) -> DataFrame:
         levels.insert(0, keep(level.withColumn("share", F.exp(F.col("log_kt") + half - F.col("log_w"))).drop("log_kt"), f"ctw-{d}"))
         sweep(strings.sparkSession)
     kt = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-    above = None  # (context, node, so_far, left, p_above): what shorter contexts give, what share is left, what they predict
+    above = None  # (context, node, so_far, left): what shorter contexts give, and what share is left
     for d, level in enumerate(levels):
         level = level.withColumn("kt", kt)
         if above is None:
-            level = level.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0), "p_above": F.lit(0.5)})
+            level = level.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
         else:
             key = F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)
             level = level.withColumn("shorter", key).join(above, ["shorter", "node"]).drop("shorter")
-        level = level.withColumn("p", F.when(seen, F.col("so_far") + F.col("left") * F.col("kt")).otherwise(F.col("p_above")))
+        level = level.withColumn("p", F.col("so_far") + F.col("left") * F.col("share") * F.col("kt"))
         if d < depth:
-            level = keep(level, f"ctw-mixed-{d}")
-            above = level.select(
-                F.col("context").alias("shorter"), "node",
-                (F.col("so_far") + F.col("left") * F.col("share") * F.col("kt")).alias("so_far"),
-                (F.col("left") * (1.0 - F.col("share"))).alias("left"), F.col("p").alias("p_above"),
-            )
+            level = keep(level.select("context", "node", "p", (F.col("left") * (1.0 - F.col("share"))).alias("left")), f"ctw-mixed-{d}")
+            above = level.select(F.col("context").alias("shorter"), "node", F.col("p").alias("so_far"), "left")
     return level.select("context", "node", "p")
 
 
@@ -187,8 +208,8 @@ class Model:
         return np.array([found[c] for c in codes.astype(np.int64).tolist()])
 
 
-def fit_model(docs: DataFrame, depth: int = 4, bits: int | None = None) -> Model:
-    """The model of training texts (column ``text``, binary). ``bits`` has no effect: every node is kept."""
+def fit_model(docs: DataFrame, depth: int = 4) -> Model:
+    """The model of training texts (column ``text``, binary), with every node."""
     strings = count_strings(docs.select(F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("train"), "text"), depth)
     return Model(keep(strings.groupBy("code").agg(F.sum("n").alias("n")), "ctw-strings"), depth)
 
@@ -230,15 +251,12 @@ def score_documents(
     ``train`` tells which rows to learn from. ``score`` is log10 of the model's probability
     of the text with A-Z in lower case; ``bits_per_byte`` its code length per byte.
     """
-    id_type = docs.schema[id_col].dataType
-    whole = isinstance(id_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    chunk = F.floor(F.col(id_col) / CHUNK) if whole else F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, docs.count() // CHUNK)))
     picked = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(train, F.lit(False)).alias("train"),
-        F.coalesce(chunk, F.lit(-1)).cast("long").alias("chunk"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
+    picked = keep(chunked(picked), "lm-documents")  # read three times, in the same chunks
     with Scope(docs.sparkSession) as passing:
         codes = keep(count_strings(picked, depth), "ctw-codes")
         strings = keep(codes.groupBy("code").agg(F.sum("n").alias("n")), "ctw-strings")
