@@ -1,21 +1,29 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Base finds are assignments of secrets, access keys and hex runs. To these the method
-adds strings near words of a sensitive context: each candidate is compressed with its
-surrounding text and a dictionary of identifiers as the primer, and what it adds in
-bytes, against the primer alone, is its novelty. Random strings stay incompressible;
-words, identifiers and repeats of the neighbourhood shrink.
+adds strings near words of a sensitive context that are novel: zstandard, primed with a
+dictionary of identifiers, compresses a frame of the surrounding text and reference
+names without and with the candidate, and the difference in bytes, against that of random
+strings of its length, is its novelty. The frame is long enough for entropy coding to act
+on the candidate's letters, so words and identifiers of any make shrink and random
+strings of any alphabet do not. Novelty alone decides; a candidate is any run of 14 or more letters, digits
+and signs of such strings, up to 80 characters after a context word or 40 before one.
 
 Cases: a null or empty text has no spans. Overlapping finds of several kinds are all
-kept. Very long texts are scanned whole. Repeated rows give equal results; an empty
-table an empty one; other columns are not looked at.
+kept; equal starts go by kind. Very long texts are scanned whole in linear time and a
+long candidate is followed to its end and measured in pieces. Repeated rows give equal
+results; an empty table an empty one; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import zstandard
@@ -36,7 +44,13 @@ CONTEXT = re.compile(
     r"|(?:api|access|private|account|auth|signing|encryption)[_ -]?key|client[_-]secret|conn(?:ection)?[_-]?string)(?![A-Za-z])",
     re.IGNORECASE | re.ASCII,
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}={0,2}")
+#: Characters after a context word, and before one, in which a candidate may lie.
+REACH, BACK = 80, 40
+#: A candidate is novel if it adds at least this part of what random strings of its length add; the README has the rates.
+LEAST_NOVELTY = 0.85
+#: A long candidate is measured in pieces of about this length, so that it can't bring its own code tables.
+MEASURED = 32
 #: Words and identifiers that configuration and code hold near secrets; they prime the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret authorization bearer signature "
@@ -50,56 +64,81 @@ IDENTIFIERS = (
 )
 
 
-def _copies(s: str) -> list[str]:
-    """What counts as a copy of a candidate: itself, and its parts between signs that may join it to a name."""
-    parts = {s, s.strip("+/_=-"), *(x.strip("+/_-") for x in s.split("="))}
-    return sorted((x for x in parts if len(x) >= 16), key=lambda x: (-len(x), x))
+#: Public modules whose names and documentation make up the dictionary, and others whose names stand in every frame.
+MODULES = (
+    "builtins os json collections logging threading subprocess argparse datetime pathlib string re socket ssl urllib.request configparser "
+    "hashlib hmac getpass http.client email.message"
+)
+FRAME_MODULES = "decimal calendar mailbox shutil tempfile optparse smtplib zipfile csv statistics"
 
 
-class Novelty:
-    """Bytes that a string adds to its surroundings, by zstandard with a raw dictionary."""
+def _names(modules: str, documented: bool) -> list[str]:
+    out: list[str] = []
+    for name in modules.split():
+        module = importlib.import_module(name)
+        for attribute in dir(module):
+            value = getattr(module, attribute)
+            out += [attribute, *(dir(value) if isinstance(value, type) else ())]
+            out += [str(getattr(value, "__doc__", None) or "")[:2000]] * documented
+    return [x for x in out if x]
+
 
-    def __init__(self, identifiers: str = IDENTIFIERS, around: int = 256, level: int = 3):
-        self.primer, self.around, self.level = identifiers.encode(), around, level
+@cache
+def identifier_dictionary(size: int = 32_768, framed: int = 1600) -> tuple[bytes, str]:
+    """(content that zstandard's trainer picks from public names and documentation, IDENTIFIERS and about ``framed`` characters of other names)."""
+    content = zstandard.train_dictionary(size, [x.encode() for x in _names(MODULES, True)], level=19).as_bytes()
+    others = sorted({x for x in _names(FRAME_MODULES, False) if re.fullmatch("[A-Za-z][A-Za-z0-9_]{5,24}", x)})
+    every = max(1, sum(len(x) + 1 for x in others) // framed)
+    return content, IDENTIFIERS + " ".join(others[::every])
 
-    def bytes_added(self, text: str, start: int, end: int) -> int:
-        """Compressed size of ``text[start:end]`` beyond an empty frame, primed by identifiers and the text around it.
 
-        Copies of the string around it, whole or cut by the edge, are no part of the primer:
+def _copies(s: str) -> list[str]:
+    """What counts as a copy of a candidate: itself, and itself without signs that may join it to a name."""
+    return sorted({x for x in (s, s.strip("+/_=-")) if len(x) >= 12}, key=lambda x: (-len(x), x))
+
+
+class Novelty:
+    """Bytes that a string adds to a frame of its surroundings, by zstandard with a dictionary of identifiers."""
+
+    def __init__(self, dictionary: tuple[bytes, str] | None = None, around: int = 256, level: int = 19):
+        content, self.reference = dictionary or identifier_dictionary()
+        primer = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self.size = lambda x, squeeze=zstandard.ZstdCompressor(level=level, dict_data=primer, **plain): len(squeeze.compress(x))
+        self.around = around
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        draw = random.Random(20240611)
+        self.noise = ["".join(draw.choices(letters, k=MEASURED)) for _ in range(4)]
+
+    def of(self, text: str, start: int, end: int) -> float:
+        """What ``text[start:end]`` adds to the compressed frame of reference names and the text around it,
+        in parts of what random base64 of the same length adds to that frame.
+
+        Copies of the string around it, whole or cut by the edge, are no part of the frame:
         a secret that stands twice is as novel in both places.
         """
         size = end - start
         before, after = text[max(0, start - self.around - size) : start], text[end : end + self.around + size]
         for copy in _copies(text[start:end]):
             before, after = before.replace(copy, " "), after.replace(copy, " ")
-        near = f"{before[-self.around :]}\n{after[: self.around]}".encode()
-        primer = zstandard.ZstdCompressionDict(self.primer + near, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        squeeze = zstandard.ZstdCompressor(
-            level=self.level, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False
-        ).compress
-        return len(squeeze(text[start:end].encode())) - len(squeeze(b""))
-
-
-def novel_spans(text: str, novelty: Novelty, reach: int = 80, least: float = 0.5) -> Iterator[tuple[int, int, str]]:
-    """Candidates within ``reach`` characters after a context word that add at least ``least`` bytes a character.
-
-    A candidate holds digits and letters; its length, its share of added bytes and its mix
-    of characters decide, not its form.
-    """
-    done = 0
-    for context in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, context.end()), min(len(text), context.end() + reach + 256)):
-            start, end = m.span()
-            if start > context.end() + reach:
-                break
-            if end == len(text) or end == context.end() + reach + 256:
-                end = CANDIDATE.match(text, start).end()  # the true end of a run that the window cuts
-            done = end
-            s = text[start:end]
-            if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-                continue
-            if novelty.bytes_added(text, start, end) >= least * (end - start):
-                yield start, end, "novel"
+        frame = f"{self.reference}{after[: self.around]}\n{before[-self.around :]}".encode()
+        alone, pieces = self.size(frame), -(-size // MEASURED)
+        added = lambda part: self.size(frame + part.encode()) - alone
+        parts = [text[start + i * size // pieces : start + (i + 1) * size // pieces] for i in range(pieces)]
+        usual = sum(added(x[: len(parts[-1])]) for x in self.noise) / len(self.noise) / len(parts[-1])
+        return sum(map(added, parts)) / size / usual
+
+
+def novel_spans(text: str, novelty: Novelty, least: float = LEAST_NOVELTY) -> Iterator[tuple[int, int, str]]:
+    """Candidates near a context word whose novelty is at least ``least``."""
+    contexts = [m.span() for m in CONTEXT.finditer(text)]
+    starts, ends = [a for a, _ in contexts], [b for _, b in contexts]
+    for m in CANDIDATE.finditer(text) if contexts else ():
+        start, end = m.span()
+        before, after = bisect_left(ends, start + 1) - 1, bisect_left(starts, end)
+        near = (before >= 0 and start - ends[before] <= REACH) or (after < len(starts) and starts[after] - end <= BACK)
+        if near and novelty.of(text, start, end) >= least:
+            yield start, end, "novel"
 
 
 def secret_spans(text: str, novelty: Novelty) -> list[tuple[int, int, str]]:
@@ -135,8 +174,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
 
+    dictionary = identifier_dictionary()  # 36 KB, sent with the function: all executors measure alike
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(dictionary)
         for batch in batches:
             found, clean = [], []
             for x in batch.column("text"):
@@ -154,8 +195,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs``, all columns and rows, with the secrets of each text replaced by a mark."""
 
+    dictionary = identifier_dictionary()  # 36 KB, sent with the function: all executors measure alike
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(dictionary)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             clean = []
