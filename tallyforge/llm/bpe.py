@@ -3,18 +3,26 @@
 Encoding. A sequence of tokens is what a merge list makes of a text if and only if
 each pair of neighbours is kept apart by the merge list. So every prefix of a word has
 one last token, found from the last tokens of shorter prefixes, and reading a symbol
-adds one link to a chain of tokens. Tokens are at most ``longest`` symbols long, hence
-whatever follows, the final chain passes through one of the last ``longest`` prefixes;
-where their chains meet, all before is stable and is emitted. ``sufficient_lookahead``
-bounds from the merge list how far back the meeting point can lie, so a run of letters
-of any length is encoded in constant memory.
+adds one link to a chain of tokens. A token is emitted once it is stable, which two
+rules tell. Any continuation has a border between tokens among the last ``longest``
+prefixes, and up to there it consists of the chain of that prefix, as the beginning of
+a sequence of tokens is what the merge list makes of the text it covers; so where those
+chains meet, all before is stable. And no text further than the sufficient lookahead,
+worked out from the merge list, can change a token: whatever ends before that is stable
+even if chains have not met. So an open word holds a bounded number of symbols.
+
+Texts are read in pieces and cut inside words of any script, where neither the
+normaliser nor the splitter looks across; the open word goes on in the next piece.
 
 Decoding. Tokens go one by one through a state machine that joins their surface forms,
 or maps them to bytes and completes UTF-8 sequences that are split over tokens.
 
 Cases: a null or empty text has no tokens. Strings of special tokens in a text are
-those tokens, as the tokenizers library reads them. Very long texts are read in pieces.
-Repeated rows give equal results; an empty table an empty one.
+those tokens, as the tokenizers library reads them. Very long texts are read in pieces;
+only a run of combining marks or of unassigned code points is held whole, as the
+normaliser orders and joins marks over the whole run. Ties do not arise. Repeated rows
+give equal results; an empty table an empty one; columns other than id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,8 +98,13 @@ class MergeTable:
         split = next((x["pattern"]["Regex"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if "pattern" in x), None)
         self.word = regex.compile(split or r"\S+")
         self.raw = raw
+        self.joins_bytes = spec.get("decoder") is not None
         self._newer: tuple | None = None
 
+    def decoder(self) -> SurfaceDecoder | ByteDecoder:
+        """A new state machine for the file's own decoder: surface forms if it names none, else bytes."""
+        return ByteDecoder(self.surface) if self.joins_bytes else SurfaceDecoder(self.surface)
+
     def newer(self) -> tuple:
         """(pattern of letters and numbers that the library doesn't know, its normaliser)."""
         if self._newer is None:
@@ -168,25 +181,27 @@ class MergeTable:
     def sufficient_lookahead(self) -> int:
         """A number of symbols after which no more text can change a token, from the merge list alone.
 
-        More text breaks a token only by a merge over its right border, and that break reaches the
-        token before only by a later merge over their common border. So changes run left along
-        merges of growing rank. The longest such run, counting each token it crosses at the
-        greatest length that its first and last symbols allow, bounds the reach of later text.
+        What happens at a border first differs between two continuations by some merge (c, d) over it,
+        and only because token d came about or not: the border at d's right, or at the right of a
+        token that d's leftmost parts go back to, differed by an earlier merge (a, b) with a the part
+        that begins there. So differences run left along merges of growing rank, from (a, b) to (c, d)
+        with a on the left edge of d, and cross one token a on each step. The longest such run, in
+        symbols, bounds the reach of later text.
         """
-        text = {t: s.removesuffix(END) for s, t in self.ids.items()}
-        code: dict[str, int] = {}
-        for s in text.values():
-            code.setdefault(s[0], len(code))
-            code.setdefault(s[-1], len(code))
-        n = len(code)
-        reach = np.full((n, n), -1, np.int64)  # greatest length of a token by first and last symbol
-        for s in text.values():
-            reach[code[s[0]], code[s[-1]]] = max(reach[code[s[0]], code[s[-1]]], len(s))
-        run = np.full(n, self.longest, np.int64)  # longest run so far, by last symbol of the merge's left side
-        for (a, b), _ in sorted(self.pair.items(), key=lambda x: x[1]):
-            row, k = reach[code[text[b][0]]], code[text[a][-1]]
-            run[k] = max(run[k], int(np.max(np.where(row >= 0, row + run, 0))))
-        return int(run.max()) + self.longest
+        length = {t: len(s.removesuffix(END)) for s, t in self.ids.items()}
+        reach: dict[int, int] = {}  # longest run so far that starts at the right border of a token
+        most = 0
+        for (c, d), _ in sorted(self.pair.items(), key=lambda x: x[1]):
+            run, part = length[d], d
+            while True:
+                if part in reach:
+                    run = max(run, length[part] + reach[part])
+                if part not in self.parts:
+                    break
+                part = self.parts[part][0]
+            reach[c] = max(reach.get(c, 0), run)
+            most = max(most, run)
+        return most + self.longest
 
 
 class WordTransducer:
@@ -235,10 +250,17 @@ class WordTransducer:
                 self._step("")
             self.most = max(self.most, len(self.text))
             out += self._emit(self.meeting())
-            if len(self.text) > 64 * self.table.longest and len(self.text) > self.table.lookahead:
-                raise AssertionError("a token stayed open beyond the sufficient lookahead")
+            if len(self.text) > 2 * self.table.lookahead:
+                out += self._emit(self.settled())
         return out
 
+    def settled(self) -> int:
+        """The end of the last token that lies the sufficient lookahead before the last symbol read."""
+        at = len(self.text)
+        while at > len(self.text) - self.table.lookahead:
+            at = self.prev[at]
+        return max(at, 0)
+
     def meeting(self) -> int:
         """The place through which the chains of the last ``longest`` prefixes all pass."""
         n = len(self.text)
@@ -296,41 +318,67 @@ def normal(text: str) -> str:
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
-_CUT = regex.compile(r"[A-Za-z]{8}(?=[A-Za-z])")
+def _kind(c: str) -> str:
+    """Class of a character as to cuts: L letter, N number, S white space, O other; "" where a cut before it is not safe."""
+    k = unicodedata.category(c)
+    if c.isspace():
+        return "S"
+    if k[0] == "M" or k == "Cn" or "\u1160" <= c <= "\u11ff":  # marks and medial or final Hangul letters join what stands before them
+        return ""
+    return k[0] if k[0] in "LN" else "O"
+
+
+def safe_cut(text: str, within: int = 4096) -> tuple[int, str]:
+    """(the last place to cut a text, the class of the word that goes on after it or ""); -1 if there is none.
+
+    Both sides, normalised and split apart from each other, give what the whole gives. Contractions
+    span an apostrophe and up to two letters, so no cut lies in their reach.
+    """
+    for i in range(len(text) - 2, max(3, len(text) - within), -1):
+        before, after = "O" if text[i - 1] == "İ" else _kind(text[i - 1]), _kind(text[i])  # its lower case ends with a mark
+        if not before or not after:
+            continue
+        if text[i] == "'" or "'" in text[i - 3 : i]:
+            if text[i - 1 : i + 2] == "'''":
+                return i, "O"
+            continue
+        return i, before if before == after and before in "LO" else ""
+    return -1, ""
 
 
 class StreamEncoder:
-    """Encodes a text that comes in pieces; holds a piece and an open word at most."""
+    """Encodes a text that comes in pieces; holds a piece, less than another one and an open word."""
 
     def __init__(self, cache: WordCache):
         self.cache, self.table = cache, cache.table
         self.tail = ""
         self.open: WordTransducer | None = None
-        self.owed = ""  # the open word's last letters, not read yet
+        self.kind = ""  # class of the open word
+        self.owed = ""  # the open word's last characters, not read yet
 
     def feed(self, piece: str) -> bytes:
-        """Ids, as little-endian unsigned 32-bit integers, of the words known to be whole."""
+        """Ids, as little-endian unsigned 32-bit integers, of the words known to be whole, and tokens of an open one that are stable."""
+        new = max(1, len(self.tail) - 1)
         held = self.tail + piece
-        cut = max(held.rfind(" "), held.rfind("\n"))
+        cut, kind = max(held.rfind(" ", new), held.rfind("\n", new)), ""
         if cut < 0:
             if len(held) < PIECE:
                 self.tail = held
                 return b""
-            cut = next((m.end() for m in _CUT.finditer(held, len(held) - 4096)), -1)
+            cut, kind = safe_cut(held)
             if cut < 0:
                 self.tail = held
                 return b""
-            self.tail = held[cut:]
-            return self._words(held[:cut], open_end=True)
         self.tail = held[cut:]
-        return self._words(held[:cut])
+        return self._words(held[:cut], kind)
 
     def finish(self) -> bytes:
         """The ids of all that is left."""
         held, self.tail = self.tail, ""
-        return self._words(held)
+        return self._words(held, "")
 
-    def _words(self, text: str, open_end: bool = False) -> bytes:
+    def _words(self, text: str, open_end: str) -> bytes:
+        """Ids of a text whose last word goes on if ``open_end`` tells a class."""
         if self.open is None and not open_end:
             if text.isascii() or (text and max(text) < NEW_FROM):
                 return b"".join(map(self.cache.__getitem__, self.table.word.findall(normal(text))))
@@ -338,7 +386,7 @@ class StreamEncoder:
         found = self.table.words(text)
         out = []
         if self.open is not None:
-            if found and found[0][0] == 0 and found[0][1][0].isalpha():
+            if found and found[0][0] == 0 and self._goes_on(found[0][1][0]):
                 self.owed += found.pop(0)[1]
             if found or not open_end:
                 out.append(np.array(self.open.finish(symbols_of(self.owed)), "<u4").tobytes())
@@ -346,12 +394,15 @@ class StreamEncoder:
         last = found.pop()[1] if open_end and found else ""
         out += [self.cache[w] for _, w in found]
         if last:
-            self.open, self.owed = WordTransducer(self.table), last
+            self.open, self.owed, self.kind = WordTransducer(self.table), last, open_end
         if self.open is not None and len(self.owed) > 8:
             ready, self.owed = self.owed[:-8], self.owed[-8:]
             out.append(np.array(self.open.feed(symbols_of(ready)), "<u4").tobytes())
         return b"".join(out)
 
+    def _goes_on(self, first: str) -> bool:
+        return regex.match(r"\p{L}" if self.kind == "L" else r"[^\s\p{L}\p{N}]", first) is not None
+
 
 def encode_pieces(text: str, cache: WordCache) -> Iterator[bytes]:
     """Ids of a text, piece by piece."""
@@ -382,6 +433,9 @@ class SurfaceDecoder:
         self.begun = True
         return out
 
+    def finish(self) -> str:
+        return ""
+
 
 class ByteDecoder:
     """Byte symbols to text: word ends become spaces and UTF-8 sequences may span tokens."""
@@ -401,6 +455,10 @@ class ByteDecoder:
                 out.append(" ")
         return "".join(out)
 
+    def finish(self) -> str:
+        """What an unfinished sequence at the end gives."""
+        return self.utf8.decode(b"", True)
+
 
 _tables: dict[str, WordCache] = {}
 
@@ -416,13 +474,14 @@ def word_cache(raw: bytes) -> WordCache:
 def encode_row(text: str | None, cache: WordCache, keep_ids: bool) -> tuple[int, str, str, bytes]:
     """(number of tokens, digest of ids, digest of the decoded text, ids) of one text."""
     ids_hash, text_hash = hashlib.sha256(), hashlib.sha256()
-    decoder, n, kept = SurfaceDecoder(cache.table.surface), 0, []
+    decoder, n, kept = cache.table.decoder(), 0, []
     for ids in encode_pieces(text or "", cache):
         n += len(ids) // 4
         ids_hash.update(ids)
         text_hash.update(decoder.push(np.frombuffer(ids, "<u4").tolist()).encode())
         if keep_ids:
             kept.append(ids)
+    text_hash.update(decoder.finish().encode())
     return n, ids_hash.hexdigest(), text_hash.hexdigest(), b"".join(kept)
 
 
@@ -455,6 +514,28 @@ def encode_documents(
     return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
 
 
+def decode_documents(tokens: DataFrame, vocabulary: str, as_bytes: bool | None = None, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
+    """(doc_id, text) for every row of ``tokens``, from its list of token ids; null ids give a null text.
+
+    ``as_bytes`` chooses the byte decoder or the joining of surface forms; None leaves it to the file.
+    """
+    with open(vocabulary, "rb") as f:
+        raw = tokens.sparkSession.sparkContext.broadcast(f.read())
+    picked = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    kind = picked.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_cache(raw.value).table
+        for batch in batches:
+            texts = []
+            for ids in batch.column("ids").to_pylist():
+                decoder = table.decoder() if as_bytes is None else ByteDecoder(table.surface) if as_bytes else SurfaceDecoder(table.surface)
+                texts.append(None if ids is None else decoder.push(ids) + decoder.finish())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return picked.mapInArrow(run, f"doc_id {kind}, text string")
+
+
 def op2_bpe(docs: DataFrame) -> DataFrame:
     """The digest of ``encode_documents`` over documents with the public word vocabulary."""
     import public_tokenizers
