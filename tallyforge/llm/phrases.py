@@ -10,7 +10,9 @@ the shards that own one of its windows, which locate all places word by word.
 
 Cases: a null or short text has no window and loses nothing. A document without an id
 neither owns windows nor loses words. Rows that repeat an id are one document as to
-ownership, and each row is rewritten by itself. An empty table gives an empty result.
+ownership, and each row is rewritten by itself. Very long texts count whole; a tie for
+the owner cannot arise between ids. Other columns are not looked at, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -196,16 +198,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _spans(affected: DataFrame, kind: str) -> DataFrame:
     """(doc_id, tk, spans): runs of words to remove, as found by the automata."""
-    windows = affected.mapInArrow(_windows, f"w long, doc_id {kind}, place int")
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).where("owner < b").select("w", "owner")
-    least = keep(least, "phrase-windows")
-    shards = max(1, -(-least.count() // SHARD_WINDOWS))
-    own_place = F.when(F.col("doc_id") == F.col("owner"), F.col("place"))
-    shared = windows.join(least, "w").groupBy("doc_id", "owner").agg(F.count("*").alias("n"), F.collect_list(own_place).alias("places"))
-    shared = keep(shared, "phrase-shared")
+    with Scope(affected.sparkSession) as passing:
+        windows = keep(affected.mapInArrow(_windows, f"w long, doc_id {kind}, place int"), "phrase-places")
+        least = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).where("owner < b").select("w", "owner")
+        least = keep(least, "phrase-windows")
+        shards = max(1, -(-least.count() // SHARD_WINDOWS))
+        own_place = F.when(F.col("doc_id") == F.col("owner"), F.col("place"))
+        shared = windows.join(least, "w").groupBy("doc_id", "owner").agg(F.count("*").alias("n"), F.collect_list(own_place).alias("places"))
+        shared = passing.hand_over(shared, "phrase-shared")
     # Owners go where the document goes that owns most of their own windows, so copies of one text share a shard.
-    leader = shared.groupBy(F.col("doc_id").alias("owner")).agg(F.max(F.struct("n", "owner"))["owner"].alias("leader"))
-    leader = keep(leader.select("owner", F.pmod(F.xxhash64("leader"), F.lit(shards)).alias("shard")), "phrase-leaders")
+    # A leader whose followers own more than an automaton holds has them dealt over several shards.
+    own = shared.where("owner = doc_id").select("owner", F.size("places").alias("own"))
+    leader = shared.groupBy(F.col("doc_id").alias("owner")).agg(F.max(F.struct("n", "owner"))["owner"].alias("leader")).join(own, "owner")
+    parts = leader.groupBy("leader").agg(F.ceil(F.sum("own") / SHARD_WINDOWS).alias("parts"))
+    part = F.pmod(F.xxhash64("owner", F.lit(3)), F.greatest("parts", F.lit(1)))
+    leader = leader.join(parts, "leader").select("owner", F.pmod(F.xxhash64("leader", part), F.lit(shards)).alias("shard"))
+    leader = keep(leader, "phrase-leaders")
     routes = keep(shared.where("owner < doc_id").join(leader, "owner").select("doc_id", "shard").distinct(), "phrase-routes")
     # A shard that many documents visit has several copies, so its documents spread over tasks.
     copies = routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("copies"))
