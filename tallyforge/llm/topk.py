@@ -14,13 +14,15 @@ vector in one pass; a pass keeps k scores per query and task.
 Cases: vectors that are null or hold a null or a value that is not finite take no part,
 nor do rows without an id; shorter vectors are padded with zeros. Equal scores go to
 the smaller id. A query id that repeats is answered once, from its least vector, and
-leaves out all rows of its id; other repeated rows are candidates each. Components are
-whole up to 2**24 in size. An empty table gives an empty result.
+leaves out all rows of its id; other repeated rows are candidates each. Vectors so long
+that a score might not fit into 64 bits are refused. Other columns are not looked at,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm._scratch import keep
+from tallyforge.llm._scratch import Scope, keep
 
 SCALE = 1024
 #: Queries in a block, the longest vectors that seed the limits, and rows of a step.
@@ -53,12 +55,21 @@ def _moments(d: int):
         for batch in batches:
             m = _matrix(batch.column("v"), d).astype(float)
             total += m.T @ m
-        i, j = np.indices((d, d)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), _lists(total)], names=["i", "x"])
 
     return run
 
 
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One row of the moments from all tasks' shares of it."""
+    total = sum(np.array(x.as_py()) for x in table.column("x"))
+    return pa.table({"i": table.column("i").slice(0, 1), "x": _lists(total[None, :])})
+
+
 class BestOf:
     """The k best (score, id) of each query so far."""
 
@@ -125,6 +136,11 @@ def compare(best: BestOf, floor: np.ndarray, ids: np.ndarray, queries: np.ndarra
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest whole inner product for each query, its own aside."""
+    with Scope(vectors.sparkSession) as passing:
+        return passing.hand_over(_top_k(vectors, is_query, id_col, vector_col, k, scale), "topk-found")
+
+
+def _top_k(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int, scale: int) -> DataFrame:
     spark = vectors.sparkSession
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
@@ -137,19 +153,21 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     ordered = keep(
         picked.repartitionByRange(parts, F.col("norm2").desc(), F.xxhash64("vec_id")).sortWithinPartitions(F.col("norm2").desc()), "topk-vectors"
     )
-    d = ordered.agg(F.max(F.size("v"))).first()[0] or 0
+    d, longest = ordered.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max("norm2"), F.lit(0.0))).first()
+    if longest >= 2.0**62:
+        raise ValueError("scores of vectors of this length do not fit into 64 bits: choose a smaller scale")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not d:
         return empty
-    moments = np.zeros((d, d))
-    for r in ordered.select("v").mapInArrow(_moments(d), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
-        moments[r["i"], r["j"]] = r["x"]
-    rotation = Rotation(moments)
+    shares = ordered.select("v").mapInArrow(_moments(d), "i int, x array<double>")
+    summed = shares.groupBy("i").applyInArrow(_summed, "i int, x array<double>").orderBy("i").toArrow()
+    rotation = Rotation(summed.column("x").combine_chunks().flatten().to_numpy().reshape(d, d))
     seeds = ordered.orderBy(F.col("norm2").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
     seed_ids, seed_m = seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v").combine_chunks(), d)
     queries = keep(ordered.where("q").groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
     blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    parts: list[DataFrame] = []
     for b in range(blocks):
         held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         if not held.num_rows:
@@ -171,12 +189,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
             )
 
         part = ordered.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        part = part.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+        parts.append(keep(part.select("query_id", "rank", "vec_id", "score"), "topk-block"))
+        block.unpersist()
+        if len(parts) == 64:
+            parts = [keep(reduce(DataFrame.unionByName, parts), "topk-blocks")]
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def op4_top_k(vectors: DataFrame) -> DataFrame:
