@@ -12,7 +12,10 @@ Only DataFrame functions run on the way from documents to verdicts.
 Cases: a null or empty text has no words and fails the base rules. Labels that are null
 or belong to no document teach nothing; of several labels of one document the lowest
 counts. Without labels no rule is learned and the base rules alone decide. Repeated
-rows get equal verdicts; an empty table gives an empty result.
+rows get equal verdicts. Very long texts count whole. Of thresholds that separate alike
+the middle one is taken; quantiles are approximate beyond 10,000 distinct values, so
+thresholds there may differ a little between runs with other partitions. Columns that
+clash with names in use here are kept apart. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -246,8 +249,8 @@ def fit_rules(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     rows = counted.where(~base_failed(F.col("counts"))).join(marks, "doc_id").select(
         "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), *(c.alias(s) for s, c in stats.items())
     )
-    rows = keep(rows, "quality-labelled")
-    return learn_rules(rows, list(stats))
+    with Scope(counted.sparkSession):
+        return learn_rules(keep(rows, "quality-labelled"), list(stats))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,11 +265,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that neither the base rules nor the learned list reject."""
-    with Scope(docs.sparkSession):
-        counted = keep(docs.select(F.col(id_col).alias("doc_id"), counts_of(text_col).alias("counts")), "quality-counts")
-        rules = fit_rules(counted, labels, id_col)
-    # One expression of the text alone, so the counts are worked out once for each row.
-    return docs.where(_let(counts_of(text_col), lambda c: ~base_failed(c) & verdict(rules, statistics(c))))
+    # Rows are written with their counts, which are worked out once and serve learning and filtering.
+    name = "counts_of_text"
+    while name in docs.columns:
+        name += "_"
+    counted = keep(docs.withColumn(name, counts_of(text_col)), "quality-rows")
+    rules = fit_rules(counted.select(F.col(id_col).alias("doc_id"), F.col(name).alias("counts")), labels, id_col)
+    c = F.col(name)
+    return counted.where(~base_failed(c) & verdict(rules, statistics(c))).drop(name)
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
