@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from tallyforge.llm import secrets
-from tests.llm.test_operators import brute_classes, counts_of, pairs
+from tests.llm.test_operators import brute_classes, brute_targets, counts_of, pairs
 
 
 def test_stages(spark, sf):
@@ -37,6 +40,19 @@ def test_stages(spark, sf):
 
     mixed = mix(spark, clean, sf)
     assert mixed.columns == columns
+    sizes, by = {}, Counter()
+    for r in clean.collect():
+        sizes[r.doc_id] = r.source, len(r.text.split())
+        by[r.source] += sizes[r.doc_id][1]
+    copies, taken, target = Counter(i for i, _ in pairs(mixed)), Counter(), brute_targets(dict(by))
+    for i, n in copies.items():
+        assert n <= 3
+        taken[sizes[i][0]] += n * sizes[i][1]
+    assert all(abs(taken[s] - target[s]) <= 2 * max(n for x, n in sizes.values() if x == s) for s in by)
+
     tokens = encode(spark, mixed, sf)
-    assert tokens.count() == mixed.count()
-    assert all(len(r.token_ids) == r.n_tokens for r in tokens.collect())
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((i, tuple(library.encode(x, add_special_tokens=False).ids)) for i, x in pairs(mixed))
+    assert Counter((r.doc_id, tuple(r.token_ids)) for r in tokens.collect()) == want
+    whole = Counter((r.doc_id, tuple(r.token_ids)) for r in corpus_pipeline.run(spark, sf).collect())
+    assert whole == want
