@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -60,7 +61,7 @@ def byte_strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     return code[np.repeat(start, size + 1) + offset], which
 
 
-def _pieces(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[int]]:
+def _pieces(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[int]]:
     """Numbers of texts, together of about ``most`` bytes."""
     held, n = [], 0
     for i, t in enumerate(texts):
@@ -279,9 +280,8 @@ def score_documents(
         is_word = pc.is_valid(known_.column("word"))
         of_words, of_codes = known_.filter(is_word), known_.filter(pc.invert(is_word))
         log = {w: math.log10(c + 1) - norm for w, c in zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist(), strict=True)}
-        code, log_p = of_codes.column("code").to_numpy(), of_codes.column("value").to_numpy()
-        order = np.argsort(code)
-        code, log_p = code[order], log_p[order]
+        code, once = np.unique(of_codes.column("code").to_numpy(), return_index=True)
+        log_p, place = of_codes.column("value").to_numpy()[once], pd.Index(code)
         texts = [x.as_py().lower() for x in docs_.column("text")]
         n_tokens, n_known, base = [], [], []
         for text in texts:
@@ -293,7 +293,7 @@ def score_documents(
         score = np.zeros(len(texts))
         for piece in _pieces(texts):
             codes_, which = byte_strings([texts[i] for i in piece], depth)
-            score[piece] = np.bincount(which, log_p[np.searchsorted(code, codes_.astype(np.int64))], len(piece))
+            score[piece] = np.bincount(which, log_p[place.get_indexer(codes_.astype(np.int64))], len(piece))
         size = np.array([len(t) + 1 for t in texts])
         return pa.table(
             {
