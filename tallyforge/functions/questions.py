@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as texts
+from tallyforge.functions.patterns import ORDERS
 
 #: Fixed values: (aspect, pattern) of words that may mean several columns, measures or spans.
 AMBIGUITIES = (
@@ -21,14 +22,6 @@ AMBIGUITIES = (
     ("range", r"\b(?:high|low|large|small|many|few)\b"),
     ("temporal", r"\b(?:recent(?:ly)?|lately|soon)\b"),
 )
-#: Fixed values: (direction, pattern) that order by the column in its group.
-ORDERS = (
-    ("ASC", r"\b(?:order(?:ed)?\s+by|sort(?:ed)?\s+by)\s+(\w+)\s+(?:asc|ascending)\b"),
-    ("DESC", r"\b(?:order(?:ed)?\s+by|sort(?:ed)?\s+by)\s+(\w+)\s+(?:desc|descending)\b"),
-    ("DESC", r"\b(?:highest|maximum|most|greatest)\s+(\w+)"),
-    ("ASC", r"\b(?:lowest|minimum|least)\s+(\w+)"),
-    ("ASC", r"\b(?:order(?:ed)?\s+by|sort(?:ed)?\s+by)\s+(\w+)"),
-)
 #: Words that speak of time.
 TIME_WORDS = (
     r"\b(quarters?|weeks?|months?|years?|days?|dates?|time|periods?|ago|last|next|past|recent(?:ly)?|since|until|between|before|after|"
@@ -88,13 +81,21 @@ def ambiguities(text: Column, intent: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def order_by(text: Column) -> Column:
-    """"column direction" of the first way to order that a question names; null without one."""
-    low, out = F.lower(text), None
-    for direction, p in ORDERS:
-        hit, value = low.rlike(p), F.concat_ws(" ", F.regexp_extract(low, p, 1), F.lit(direction))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+def orders(text: Column) -> Column:
+    """Array of "column direction": the columns to order by, in order of patterns and places; the first direction said of a column counts, else ASC."""
+    lang, parts = texts.language(text), []
+    for spoken, direction, p in ORDERS:
+        other = "en" if spoken == "zh" else "zh"
+        named = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1), lambda x: F.regexp_replace(x, r"[,.;\x{ff0c}\x{3002}\x{ff1b}]+$", ""))
+        found = F.transform(named, lambda x: F.struct(x.alias("name"), F.lit(direction).alias("way")))
+        parts.append(F.when(lang != other, found).otherwise(F.filter(found, lambda x: F.lit(False))))
+    every = F.filter(F.concat(*parts), lambda x: x["name"] != "")
+
+    def directed(name: Column) -> Column:
+        said = F.filter(every, lambda x: (x["name"] == name) & (x["way"] != F.lit("")))
+        return F.concat_ws(" ", name, F.coalesce(F.get(said, F.lit(0))["way"], F.lit("ASC")))
+
+    return F.transform(F.array_distinct(F.transform(every, lambda x: x["name"])), directed)
 
 
 def absolute_period(text: Column) -> Column:
@@ -131,6 +132,6 @@ def parsed(text: Column, now: str) -> Column:
     intent = texts.intent(text)
     return F.struct(
         texts.language(text).alias("language"), intent.alias("intent"), F.coalesce(texts.time_range(text, now), shifted_range(text, now), absolute_period(text)).alias("period"),
-        ambiguities(text, intent).alias("ambiguities"), texts.limit_value(text).alias("most"), order_by(text).alias("ordering"),
+        ambiguities(text, intent).alias("ambiguities"), texts.limit_value(text).alias("most"), orders(text).alias("ordering"),
         named_tables(text).alias("tables"), quoted_values(text).alias("quoted"),
     )

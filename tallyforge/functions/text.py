@@ -5,28 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CJK = r"[\x{4e00}-\x{9fff}]"
-#: English words that searches leave out.
-STOP_WORDS = (
-    "a an and are as at be been but by can could did do does for from had has have he her his how i if in is it its may me my no not "
-    "of on or our she should so than that the their them then there these they this those to was we were what when where which who "
-    "will with would you your"
-).split()
-#: Fixed values: (intent, pattern, weight), scored for English text.
-INTENTS = (
-    ("SELECT", r"\bfind\b", 2), ("SELECT", r"\blist\b", 2), ("SELECT", r"\bshow\b", 1), ("SELECT", r"\bget\b", 1),
-    ("SELECT", r"\bretrieve\b", 2), ("SELECT", r"\bdisplay\b", 1), ("SELECT", r"\bfetch\b", 1), ("SELECT", r"\bsearch\b", 1),
-    ("AGGREGATE", r"\bcount\b", 3), ("AGGREGATE", r"\bsum\b", 3), ("AGGREGATE", r"\baverage\b", 3), ("AGGREGATE", r"\bavg\b", 3),
-    ("AGGREGATE", r"\btotal\b", 3), ("AGGREGATE", r"\bmax\b", 2), ("AGGREGATE", r"\bmin\b", 2), ("AGGREGATE", r"\bhow many\b", 2),
-    ("AGGREGATE", r"\bhow much\b", 2), ("AGGREGATE", r"\bgroup\s*by\b", 3),
-    ("JOIN", r"\bjoin\b", 3), ("JOIN", r"\btogether with\b", 2), ("JOIN", r"\bacross\b", 1), ("JOIN", r"\bcombine\b", 2),
-    ("COMPARISON", r"\bcompare\b", 3), ("COMPARISON", r"\bversus\b", 3), ("COMPARISON", r"\bgreater than\b", 2),
-    ("COMPARISON", r"\bless than\b", 2), ("COMPARISON", r"\bdifference\b", 1),
-)
-#: Specific intents win ties.
-PRIORITY = ("JOIN", "COMPARISON", "AGGREGATE", "SELECT")
-
+from tallyforge.functions.patterns import INTENTS, PRIORITY, STOP_WORDS, TIMES_EN, TIMES_ZH
 
+CJK = r"[\x{4e00}-\x{9fff}]"
 def language(text: Column) -> Column:
     """zh if over half of the characters other than spaces are CJK, mixed if over a tenth, else en."""
     all_ = F.length(F.regexp_replace(text, r"\s", ""))
@@ -54,10 +35,9 @@ def mixed_tokens(text: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """ASCII characters other than spaces by four, others by one and a half."""
-    plain = F.length(F.regexp_replace(text, r"[^\x21-\x7E]", ""))
-    wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
-    return F.floor(plain / 4.0 + wide / 1.5).cast("long")
+    """ASCII characters other than white space by four, all others by one and a half; 0 for null."""
+    plain = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0E-\x1B\x21-\x7F]", ""))
+    return F.coalesce(F.floor(plain / 4.0 + (F.length(text) - plain) / 1.5).cast("long"), F.lit(0).cast("long"))
 
 
 def compact(text: Column, most: int, marker: str = "\n...\n") -> Column:
@@ -66,15 +46,21 @@ def compact(text: Column, most: int, marker: str = "\n...\n") -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(side)), F.lit(marker), F.right(text, F.lit(side))))
 
 
+def intent_scores(text: Column) -> dict[str, Column]:
+    """For each intent the sum of weights of its patterns in the text; Chinese ones count in Chinese and mixed texts, English ones in English and mixed."""
+    low, lang = F.lower(text), language(text)
+    of = lambda patterns: sum((F.when(low.rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0))
+    return {i: F.when(lang != "en", of(zh)).otherwise(0) + F.when(lang != "zh", of(en)).otherwise(0) + of(both) for i, (zh, en, both) in INTENTS.items()}
+
+
 def intent(text: Column) -> Column:
     """The intent with the greatest sum of weights; ties by priority, UNKNOWN without any match."""
-    low = F.lower(text)
-    score = {i: sum((F.when(low.rlike(p), w).otherwise(0) for k, p, w in INTENTS if k == i), F.lit(0)) for i in PRIORITY}
+    score = intent_scores(text)
     top = F.greatest(*score.values())
     out = F.when(top == 0, "UNKNOWN")
     for i in PRIORITY:
         out = out.when(score[i] == top, i)
-    return out
+    return F.coalesce(out, F.lit("UNKNOWN"))
 
 
 def limit_value(text: Column) -> Column:
@@ -85,33 +71,52 @@ def limit_value(text: Column) -> Column:
     return F.array_min(F.transform(found, lambda x: x.cast("long")))
 
 
+def _period(name: str, today: Column, groups: list[Column]) -> tuple[Column, Column]:
+    """(first day, day after the last) of a named time. What is under way ends today."""
+    n = F.coalesce(F.least(groups[0].try_cast("int"), F.lit(10_000)), F.lit(0))
+    week, month, quarter, year = (F.to_date(F.date_trunc(u, today)) for u in ("week", "month", "quarter", "year"))
+    after = F.date_add(today, 1)
+    one = lambda day: (day, F.date_add(day, 1))
+    made = lambda y, m, d: F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    num = lambda c: c.try_cast("int")
+    if name == "absolute_ymd":
+        return one(made(num(groups[0]), num(groups[1]), num(groups[2])))
+    if name == "absolute_ym":
+        first = made(num(groups[0]), num(groups[1]), F.lit(1))
+        return first, F.add_months(first, 1)
+    if name == "absolute_quarter":
+        first = made(F.year(today), num(F.translate(groups[0], "一二三四", "1234")) * 3 - 2, F.lit(1))
+        return first, F.add_months(first, 3)
+    return {
+        "day_before_yesterday": lambda: one(F.date_sub(today, 2)), "yesterday": lambda: one(F.date_sub(today, 1)), "today": lambda: one(today),
+        "tomorrow": lambda: one(after), "day_after_tomorrow": lambda: one(F.date_add(today, 2)),
+        "this_week": lambda: (week, after), "last_week": lambda: (F.date_sub(week, 7), week), "next_week": lambda: (F.date_add(week, 7), F.date_add(week, 14)),
+        "this_month": lambda: (month, after), "last_month": lambda: (F.add_months(month, -1), month), "next_month": lambda: (F.add_months(month, 1), F.add_months(month, 2)),
+        "this_quarter": lambda: (quarter, after), "last_quarter": lambda: (F.add_months(quarter, -3), quarter),
+        "next_quarter": lambda: (F.add_months(quarter, 3), F.add_months(quarter, 6)),
+        "this_year": lambda: (year, after), "last_year": lambda: (F.add_months(year, -12), year), "next_year": lambda: (F.add_months(year, 12), F.add_months(year, 24)),
+        "same_period_last_year": lambda: (F.add_months(today, -12), after), "ytd": lambda: (year, after), "qtd": lambda: (quarter, after), "mtd": lambda: (month, after),
+        "last_n_days": lambda: (F.date_sub(today, n), after), "last_n_weeks": lambda: (F.date_sub(today, n * 7), after),
+        "last_n_months": lambda: (F.add_months(today, -n), after), "last_n_years": lambda: (F.add_months(today, n * -12), after),
+        "n_days_ago": lambda: one(F.date_sub(today, n)), "n_weeks_ago": lambda: (F.date_sub(today, n * 7), F.date_sub(today, n * 7 - 7)),
+        "n_months_ago": lambda: (F.add_months(month, -n), F.add_months(month, 1 - n)), "n_years_ago": lambda: (F.add_months(year, n * -12), F.add_months(year, 12 - n * 12)),
+        "next_n_days": lambda: (today, F.date_add(today, n + 1)), "next_n_weeks": lambda: (today, F.date_add(today, n * 7 + 1)),
+        "next_n_months": lambda: (today, F.date_add(F.add_months(today, n), 1)),
+    }[name]()
+
+
 def time_range(text: Column, now: str) -> Column:
-    """(start, end) dates of the first relative time named, from a reference date; null without one.
+    """(start, end) dates of the first pattern that a text holds, from a reference date, ends exclusive; null without one.
 
-    Weeks begin on Monday; ends are exclusive.
+    Chinese patterns come first and count in Chinese and mixed texts, English ones in English and mixed.
     """
-    low, today = F.lower(text), F.to_date(F.lit(now))
-    week, month, quarter, year = (F.to_date(F.date_trunc(u, today)) for u in ("week", "month", "quarter", "year"))
-    n = F.regexp_extract(low, r"(?:last|past)\s+(\d+)\s+(?:days?|weeks?|months?|years?)", 1)
-    n = F.when(n != "", n.cast("int")).otherwise(0)
-    unit = F.regexp_extract(low, r"(?:last|past)\s+\d+\s+(day|week|month|year)s?", 1)
-    day = F.date_add(today, 1)
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    return (
-        F.when(low.rlike(r"\bday before yesterday\b"), pair(F.date_sub(today, 2), F.date_sub(today, 1)))
-        .when(low.rlike(r"\byesterday\b"), pair(F.date_sub(today, 1), today))
-        .when(low.rlike(r"\btoday\b"), pair(today, day))
-        .when(low.rlike(r"\btomorrow\b"), pair(day, F.date_add(today, 2)))
-        .when(low.rlike(r"\bthis week\b"), pair(week, F.date_add(week, 7)))
-        .when(low.rlike(r"\blast week\b"), pair(F.date_sub(week, 7), week))
-        .when(low.rlike(r"\bthis month\b"), pair(month, F.add_months(month, 1)))
-        .when(low.rlike(r"\blast month\b"), pair(F.add_months(month, -1), month))
-        .when(low.rlike(r"\bthis quarter\b"), pair(quarter, F.add_months(quarter, 3)))
-        .when(low.rlike(r"\blast quarter\b"), pair(F.add_months(quarter, -3), quarter))
-        .when(low.rlike(r"\bthis year\b"), pair(year, F.add_months(year, 12)))
-        .when(low.rlike(r"\blast year\b"), pair(F.add_months(year, -12), year))
-        .when(unit == "day", pair(F.date_sub(today, n), day))
-        .when(unit == "week", pair(F.date_sub(today, n * 7), day))
-        .when(unit == "month", pair(F.add_months(today, -n), day))
-        .when(unit == "year", pair(F.add_months(today, -n * 12), day))
-    )
+    low, today, lang = F.lower(text), F.to_date(F.lit(now)), language(text)
+    out = None
+    for spoken, patterns in (("zh", TIMES_ZH), ("en", TIMES_EN)):
+        other = "en" if spoken == "zh" else "zh"
+        for name, p in patterns:
+            groups = [F.regexp_extract(low, p, i) for i in range(1, p.replace("(?", "").count("(") + 1)] or [F.lit("")]
+            start, end = _period(name, today, groups)
+            hit, value = (lang != other) & low.rlike(p), F.struct(start.alias("start"), end.alias("end"))
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out

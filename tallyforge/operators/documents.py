@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.versions import Versions
+
 MOST, SHARED = 2048, 256
 DIMENSION = 256
 _HEADING = re.compile(r"\n(?=#{1,6}\s)")
@@ -90,10 +92,11 @@ def edit_operations(before: Column, after: Column) -> Column:
 
 
 class VectorTable:
-    """A Parquet folder of vectors under one embedding version; a replacement takes effect at once or not at all."""
+    """Vectors of one dimension under one embedding version; a replacement takes effect at once or not at all."""
 
     def __init__(self, spark: SparkSession, path: str, dimension: int, version: str):
         self.spark, self.path, self.dimension, self.version = spark, path, dimension, version
+        self.versions = Versions(spark, f"{path}/data")
 
     def _guard(self) -> None:
         held = self.spark.read.parquet(f"{self.path}/version").first()
@@ -101,21 +104,32 @@ class VectorTable:
             raise ValueError(f"held vectors have dimension {held['dimension']} and version {held['version']}")
 
     def create(self, x: DataFrame) -> None:
-        self.spark.createDataFrame([(self.dimension, self.version, 0)], "dimension int, version string, n int").write.parquet(f"{self.path}/version")
-        self._write(x, 0)
+        self.spark.createDataFrame([(self.dimension, self.version)], "dimension int, version string").write.parquet(f"{self.path}/version")
+        self._write(x)
 
-    def _write(self, x: DataFrame, n: int) -> None:
-        x.where(F.size("embedding") == self.dimension).write.mode("overwrite").parquet(f"{self.path}/data-{n}")
-        self.spark.createDataFrame([(n,)], "n int").write.mode("overwrite").parquet(f"{self.path}/current")
+    def _write(self, x: DataFrame) -> None:
+        """A new version; a row of another dimension fails it as a whole."""
+        wrong = F.raise_error(F.lit(f"a vector has not {self.dimension} components"))
+        fits = F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(wrong)
+        self.versions.add(lambda folder: x.withColumn("embedding", fits).write.parquet(f"{folder}/rows"))
 
     def read(self) -> DataFrame:
         self._guard()
-        return self.spark.read.parquet(f"{self.path}/data-{self.spark.read.parquet(f'{self.path}/current').first()['n']}")
+        return self.spark.read.parquet(f"{self.versions.current()}/rows")
+
+    def count(self) -> int:
+        return self.read().count()
 
     def replace(self, scope: Column, x: DataFrame) -> None:
-        """Rows of ``scope`` give way to ``x``: a new version of the data, then the pointer to it."""
-        n = self.spark.read.parquet(f"{self.path}/current").first()["n"] + 1
-        self._write(self.read().where(~F.coalesce(scope, F.lit(False))).unionByName(x), n)
+        """Rows of ``scope`` give way to ``x``."""
+        self._write(self.read().where(~F.coalesce(scope, F.lit(False))).unionByName(x))
 
     def delete(self, where: Column) -> None:
         self.replace(where, self.read().limit(0))
+
+    def restore(self, n: int) -> None:
+        """The rows of version ``n`` as the newest version."""
+        self._guard()
+        if n not in self.versions.numbers():
+            raise ValueError(f"no complete version {n}")
+        self._write(self.spark.read.parquet(f"{self.versions.folder(n)}/rows"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -39,14 +44,13 @@ def normal_sql(text: Column) -> Column:
 
 
 def lifecycle(state: Column, kind: Column, age_days: Column, score: Column) -> Column:
-    """The next state: stale after 7 (schema) or 30 days, archived after 90, active again at 0.8 within 14."""
-    stale_after = F.when(kind == "schema", 7).otherwise(30)
-    return (
-        F.when((state == "active") & (age_days > stale_after), "stale")
-        .when((state == "stale") & (age_days > 90), "archived")
-        .when((state == "stale") & (score >= 0.8) & (age_days < 14), "active")
-        .otherwise(state)
-    )
+    """The next state: active schema items are stale after 7 days, SQL ones after 30, others never; stale ones are archived after 90.
+
+    Then whatever is stale or archived, by now or before, is active again at a score of 0.8 within 14 days.
+    """
+    old = ((kind == "schema") & (age_days > 7)) | ((kind == "sql") & (age_days > 30))
+    aged = F.when((state == "active") & old, "stale").when((state == "stale") & (age_days > 90), "archived").otherwise(state)
+    return F.when(aged.isin("stale", "archived") & (score >= 0.8) & (age_days < 14), "active").otherwise(aged)
 
 
 def attempt_rate(x: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
@@ -70,3 +74,80 @@ def fragment_kind(text: Column) -> Column:
         hit = F.lower(text).rlike(pattern)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("OTHER")
+
+
+def admitted(x: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
+    """``x`` with ``admitted``: an attempt passes if fewer than ``limit`` admitted ones of its key lie within the last ``seconds``.
+
+    Refused attempts do not count, so each verdict depends on those before it: rows of a key stream
+    through one task in order of time, which holds the last ``limit`` admissions of one key only.
+    """
+    names = x.columns
+    flow = x.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "_at", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, recent = None, deque()
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column(key).to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                if k != now:
+                    now, recent = k, deque()
+                while recent and recent[0] <= at - seconds * 1_000_000:
+                    recent.popleft()
+                out.append(len(recent) < limit)
+                if out[-1]:
+                    recent.append(at)
+            yield batch.select(names).append_column("admitted", pa.array(out, pa.bool_()))
+
+    return flow.mapInArrow(run, T.StructType([*x.schema.fields, T.StructField("admitted", T.BooleanType())]))
+
+
+def normal_question(text: Column) -> Column:
+    """Lower case, marks as spaces, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+", " "))
+
+
+def similar_questions(asked: DataFrame, history: DataFrame, tokens: Callable[[Column], Column], least: float = 0.6, k: int = 5) -> DataFrame:
+    """(ask_id, id, similarity, place): for each question (ask_id, question) the ``k`` closest of history (id, question).
+
+    Equal normal texts come first, at 1; then those of Jaccard similarity of tokens ``least`` or more, the later id first.
+    Only questions that share a token meet.
+    """
+    a = asked.select("ask_id", normal_question("question").alias("na"), F.array_distinct(tokens(F.col("question"))).alias("ta"))
+    h = history.select("id", normal_question("question").alias("nh"), F.array_distinct(tokens(F.col("question"))).alias("th"))
+    exact = a.where("na <> ''").join(h, F.col("na") == F.col("nh")).select("ask_id", "id", F.lit(1.0).alias("similarity"), F.lit(0).alias("tier"))
+    words = lambda x, *keep: x.select(*keep, F.explode(keep[-1]).alias("w"))
+    met = words(a, "ask_id", "na", "ta").join(words(h, "id", "nh", "th"), "w").groupBy("ask_id", "id").agg(
+        F.count("*").alias("both"), F.first(F.size("ta")).alias("m"), F.first(F.size("th")).alias("n"), F.first(F.col("na") == F.col("nh")).alias("same")
+    )
+    like = F.col("both") / (F.col("m") + F.col("n") - F.col("both"))
+    near = met.where(~F.col("same") & (like >= least)).select("ask_id", "id", F.round(like, 4).alias("similarity"), F.lit(1).alias("tier"))
+    place = F.row_number().over(Window.partitionBy("ask_id").orderBy("tier", F.col("similarity").desc(), F.col("id").desc()))
+    return exact.unionByName(near).withColumn("place", place).where(F.col("place") <= k).drop("tier")
+
+
+#: What no SQL holds, and words that make an appended tail an edit.
+INVALID_SQL = r"(?i)==|;\s*[A-Za-z0-9]+\s*;|;\s*\d+\s*$|\b(wher|selec|form|formm|updte|delte)\b"
+EDIT_WORDS = "select where and or order group having limit join union insert update delete".split()
+
+
+def plain_sql(sql: Column) -> Column:
+    """A text without comments."""
+    return F.trim(F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", ""), r"--[^\n]*", ""))
+
+
+def plausible_sql(sql: Column) -> Column:
+    """Whether a text looks like SQL: not only comments, none of the usual slips."""
+    plain = plain_sql(F.coalesce(sql, F.lit("")))
+    return (plain != "") & ~plain.rlike(INVALID_SQL)
+
+
+def meaningful_edit(before: Column, after: Column) -> Column:
+    """Whether a change is more than a stray tail: comments aside, a tail counts only with a word of SQL."""
+    a, b = plain_sql(before), plain_sql(after)
+    tail = F.lower(F.trim(F.substring(b, F.length(a) + 1, F.length(b))))
+    has_word = F.lit(False)
+    for w in EDIT_WORDS:
+        has_word = has_word | tail.contains(w)
+    present = (F.coalesce(before, F.lit("")) != "") & (F.coalesce(after, F.lit("")) != "")
+    return present & F.when(a == b, False).when(b.startswith(a), has_word).otherwise(True)

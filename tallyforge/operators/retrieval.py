@@ -78,3 +78,16 @@ def chunk_windows(docs: DataFrame, size: int = 2048, overlap: int = 256, id_col:
     return docs.where(n > 0).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), F.explode(F.sequence(F.lit(0), last)).alias("chunk")).select(
         "doc_id", "chunk", F.substring("whole", F.col("chunk") * step + 1, F.lit(size)).alias("text")
     )
+
+
+def cached_answers(asked: DataFrame, held: DataFrame, most: float, id_col: str = "vec_id") -> DataFrame:
+    """(asked, vec_id, distance): for each asked vector the nearest held one, if it lies within ``most``.
+
+    A stated set of questions meets all held vectors in one pass; minima are pre-aggregated.
+    """
+    a = asked.select(F.col(id_col).alias("asked"), F.col("embedding").alias("a"))
+    x = held.select(F.col(id_col).alias("vec_id"), F.col("embedding").alias("b")).crossJoin(a)
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    distance = F.round(1 - dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b"))), 6)
+    best = x.select("asked", F.struct(distance.alias("distance"), "vec_id").alias("p")).groupBy("asked").agg(F.min("p").alias("p"))
+    return best.select("asked", "p.vec_id", "p.distance").where(F.col("distance") <= most)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.operators import catalog
+
 #: Fixed values: (complexity, pattern) for English questions, first match wins.
 COMPLEXITY = (
     ("multi_step", r"first.*then|after.*then|step\s*\d|next.*then|separately|respectively|each"),
@@ -92,3 +94,35 @@ def parents(hits: DataFrame, scope: str, parent: str, rank: str, k: int) -> Data
     best = hits.groupBy(scope, parent).agg(F.min(rank).alias("best"))
     w = Window.partitionBy(scope).orderBy("best", parent)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(scope, parent, "rank")
+
+
+def domain_shares(asked: DataFrame, domains: DataFrame, tables: list[str]) -> DataFrame:
+    """(ask_id, domain, score) for each question (ask_id, question) and domain (domain, keywords, terms, tables), arrays of words.
+
+    Shares of keywords and terms in the question; of tables, the mean of the shares that exist and that it names.
+    """
+    x = asked.select("ask_id", F.lower("question").alias("q")).crossJoin(domains)  # a catalog's domains
+    within = lambda words: F.size(F.filter(words, lambda w: F.col("q").contains(F.lower(w)))) / F.greatest(F.size(words), F.lit(1))
+    held = F.transform(F.array_distinct(F.transform("tables", F.lower)), lambda t: t.isin(tables).cast("int") + F.col("q").contains(t).cast("int"))
+    schema = F.aggregate(held, F.lit(0), lambda a, b: a + b) / F.greatest(2 * F.size(held), F.lit(1))
+    return x.select("ask_id", "domain", domain_score(within(F.col("keywords")), within(F.col("terms")), schema).alias("score"))
+
+
+def retrieval_confidence(rank_mean: Column, column_mean: Column, tables: Column, hits: Column) -> Column:
+    """Four tenths mean rank score, four tenths mean column confidence (1 without columns), two tenths coverage; 0 without tables."""
+    cover = F.when(hits > 0, F.least(F.lit(1.0), tables / hits)).otherwise(0.5)
+    score = 0.4 * F.coalesce(rank_mean, F.lit(0.0)) + 0.4 * F.coalesce(column_mean, F.lit(1.0)) + 0.2 * cover
+    return F.when(tables > 0, F.round(score, 3)).otherwise(0.0)
+
+
+def linked_schema(hits: DataFrame, matched: DataFrame, terms: DataFrame, columns: DataFrame, links: DataFrame) -> DataFrame:
+    """(table_name, score, is_seed, columns): five steps from a question to a filtered schema.
+
+    Tables of search hits, of matched names and of glossary terms, each (table_name, score), are those that exist, at their
+    best score; foreign keys add neighbours without one; the columns of all are listed by place.
+    """
+    exist = columns.select("table_name").distinct()
+    found = hits.unionByName(matched).unionByName(terms).join(exist, "table_name", "left_semi").groupBy("table_name").agg(F.max("score").alias("score"))
+    wide = catalog.neighbours(found.select("table_name"), links).join(exist, "table_name", "left_semi")
+    listed = columns.groupBy("table_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "column_name"))), lambda c: c["column_name"]).alias("columns"))
+    return wide.join(found, "table_name", "left").join(listed, "table_name").select("table_name", "score", "is_seed", "columns")

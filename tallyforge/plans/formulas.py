@@ -42,10 +42,14 @@ def truncated(col: Column, grain: str) -> Column:
 
 def fill_template(template: str, filters: dict[str, object]) -> Column:
     """A template as an expression; its ``{filters}`` become a conjunction, true when empty."""
-    clause = " AND ".join(f"({k} = {_literal(v)})" for k, v in filters.items()) or "1=1"
+    clause = " AND ".join(f"({_quoted(k)} = {_literal(v)})" for k, v in filters.items()) or "1=1"
     return F.expr(require_expression(template.replace("{filters}", clause)))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _literal(v: object) -> str:
     if isinstance(v, bool) or v is None:
         return str(v).upper() if v is not None else "NULL"

@@ -156,10 +156,7 @@ def compile_selection(catalog: Catalog, s: Selection, tables: dict[str, DataFram
     looked = {a: c for a, c in first.lookup.dimensions} if first.lookup else {}
     wanted = {*s.dimensions, *(k for k, _ in s.filters)}
     if wanted & set(looked):
-        dim = tables[first.lookup.table].select(
-            F.col(first.lookup.key).alias("lookup_key"), *(F.col(c).alias(f"lookup_{a}") for a, c in looked.items() if a in wanted)
-        )
-        fact = fact.join(dim, fact[first.lookup.fact_key] == F.col("lookup_key"), "left")
+        fact = fact.join(_lookup(first.lookup, fact, tables, wanted), fact[first.lookup.fact_key] == F.col("lookup_key"), "left")
         own |= {a: F.col(f"lookup_{a}") for a in looked if a in wanted}
     for name, value in s.filters:
         fact = fact.where(own[name] == F.lit(value))
@@ -174,6 +171,17 @@ def compile_selection(catalog: Catalog, s: Selection, tables: dict[str, DataFram
     return out.orderBy(*(F.col(g).asc_nulls_first() for g in groups)) if groups else out
 
 
+def _lookup(look: Lookup, fact: DataFrame, tables: dict[str, DataFrame], wanted: set[str]) -> DataFrame:
+    """The dimension table by its key. Keys are whole numbers, and one that repeats fails the query: it would multiply sums."""
+    dim = tables[look.table]
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if not isinstance(fact.schema[look.fact_key].dataType, whole) or not isinstance(dim.schema[look.key].dataType, whole):
+        raise CatalogError("a lookup needs whole-number keys")
+    once = lambda c: F.when(F.count("*") > 1, F.raise_error(F.lit(f"lookup key repeats: {look.table}.{look.key}"))).otherwise(F.first(c))
+    keyed = dim.where(F.col(look.key).isNotNull()).groupBy(F.col(look.key).alias("lookup_key"))
+    return keyed.agg(*(once(c).alias(f"lookup_{a}") for a, c in look.dimensions if a in wanted))
+
+
 def _aggregate(m: Metric) -> Column:
     return F.count(F.lit(1) if m.column == "*" else F.col(m.column)) if m.aggregation == "count" else getattr(F, m.aggregation)(m.column)
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.session import require_revision
+
 #: Kinds of parsed plan nodes that only read.
 NODES = set(
     "Project Filter Join Aggregate Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias "
@@ -50,50 +53,81 @@ class PolicyViolation(ValueError):
     """A text that isn't one read of allowed tables with allowed functions."""
 
 
-def _walk(node, seen: set[int], found: list[tuple[str, str]]) -> None:
-    """Names of all nodes: children, inner children (bodies of WITH) and plans inside expressions."""
-    found.append((node.getClass().getSimpleName().rstrip("$"), node.nodeName()))
-    if node.getClass().getSimpleName() == "UnresolvedRelation":
-        parts = node.multipartIdentifier()
-        found.append(("table", ".".join(parts.apply(i) for i in range(parts.size()))))
-    for group in (node.children(), node.innerChildren()):
-        it = group.iterator()
-        while it.hasNext():
-            child = it.next()
-            if hasattr(child, "expressions"):
-                _walk(child, seen, found)
-    it = node.expressions().iterator()
+def _items(seq) -> Iterator:
+    """Members of a Scala sequence or iterator."""
+    it = seq.iterator()
     while it.hasNext():
-        _walk_expression(it.next(), seen, found)
+        yield it.next()
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
 
+def _walk(node, found: list[tuple[str, str]], bound: frozenset[str] = frozenset()) -> None:
+    """Names of all nodes: children, bodies of WITH, and plans inside expressions.
 
-def _walk_expression(e, seen: set[int], found: list[tuple[str, str]]) -> None:
-    name = e.getClass().getSimpleName()
+    ``bound`` are the names that WITH gives in this scope; other relations are tables.
+    """
+    kind = _kind(node)
+    found.append((kind, node.nodeName()))
+    if kind == "UnresolvedRelation":
+        parts = list(_items(node.multipartIdentifier()))
+        if len(parts) > 1 or parts[0].lower() not in bound:
+            found.append(("table", ".".join(parts)))
+    if kind == "UnresolvedWith":
+        for relation in _items(node.cteRelations()):
+            name = relation._1().lower()
+            _walk(relation._2(), found, bound | {name} if node.allowRecursion() else bound)
+            bound = bound | {name}
+    for child in _items(node.children()):
+        _walk(child, found, bound)
+    for e in _items(node.expressions()):
+        _walk_expression(e, found, bound)
+
+
+def _walk_expression(e, found: list[tuple[str, str]], bound: frozenset[str] = frozenset()) -> None:
+    name = _kind(e)
+    found.append(("expression", name))
     if name == "UnresolvedFunction":
-        parts = e.nameParts()
-        found.append(("function", ".".join(parts.apply(i) for i in range(parts.size())).lower()))
-    if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-        _walk(e.plan(), seen, found)
-    if name == "InSubquery":
-        _walk(e.query().plan(), seen, found)
-    it = e.children().iterator()
-    while it.hasNext():
-        _walk_expression(it.next(), seen, found)
+        found.append(("function", ".".join(_items(e.nameParts())).lower()))
+    holder = e.getClass().getClassLoader().loadClass("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    if holder.isInstance(e):  # any kind of subquery
+        _walk(e.plan(), found, bound)
+    for child in _items(e.children()):
+        _walk_expression(child, found, bound)
 
 
 def parsed_nodes(spark: SparkSession, sql: str) -> list[tuple[str, str]]:
     """(kind, name) of every node, table and function of a parsed text."""
+    found: list[tuple[str, str]] = []
+    _walk(_parsed(spark, sql, "parsePlan"), found)
+    return found
+
+
+def _parsed(spark: SparkSession, text: str, how: str):
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return getattr(spark._jsparkSession.sessionState().sqlParser(), how)(text)
     except Exception as e:
         raise PolicyViolation(f"not one statement: {str(e).splitlines()[0][:200]}") from None
-    found: list[tuple[str, str]] = []
-    _walk(plan, set(), found)
-    return found
+
+
+_FILE_NAME = re.compile(r"[/\\:]|\.(?:csv|parquet|json|txt|orc|avro)(?:\.|$)", re.I)
+
+
+def _require_table(spark: SparkSession, name: str, tables: set[str] | None) -> None:
+    """A table by its plain name, or by a database that exists; none outside ``tables`` where these are given."""
+    if tables is not None and name.lower() not in {t.lower() for t in tables}:
+        raise PolicyViolation(f"table not allowed: {name}")
+    if _FILE_NAME.search(name):
+        raise PolicyViolation(f"files are no tables: {name}")
+    database = name.rpartition(".")[0]
+    if database and not spark.catalog.databaseExists(database):
+        raise PolicyViolation(f"no such database: {database}")
 
 
 def require_read_query(spark: SparkSession, sql: str, tables: set[str] | None = None) -> str:
-    """The text, if it is one read; EXPLAIN of a read is one too."""
+    """The text, if it is one read; EXPLAIN of a read is one too. ``tables`` are all that it may name."""
     for pattern, what in _LEXICAL:
         if pattern.search(sql):
             raise PolicyViolation(what)
@@ -103,20 +137,23 @@ def require_read_query(spark: SparkSession, sql: str, tables: set[str] | None =
             if name not in FUNCTIONS:
                 raise PolicyViolation(f"function not allowed: {name}")
         elif kind == "table":
-            if tables is not None and name not in tables and "." in name:
-                raise PolicyViolation(f"table not allowed: {name}")
-        elif kind not in NODES:
+            _require_table(spark, name, tables)
+        elif kind != "expression" and kind not in NODES:
             raise PolicyViolation(f"not allowed: {kind}")
     return sql
 
 
-def require_expression(text: str) -> str:
-    """An expression text without statements, comments, subqueries or functions off the list."""
-    if re.search(r";|--|/\*|\bselect\b", text, re.I):
+def require_expression(text: str, spark: SparkSession | None = None) -> str:
+    """An expression text without comments, subqueries or functions off the list, by Spark's own parser."""
+    if re.search(r";|--|/\*", text):
         raise PolicyViolation("an expression only")
-    for name in re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", text):
-        if name.lower() not in FUNCTIONS | {"filter", "distinct", "then", "else", "over"}:
+    found: list[tuple[str, str]] = []
+    _walk_expression(_parsed(spark or SparkSession.active(), text, "parseExpression"), found)
+    for kind, name in found:
+        if kind == "function" and name not in FUNCTIONS:
             raise PolicyViolation(f"function not allowed: {name}")
+        if kind not in ("function", "expression"):
+            raise PolicyViolation("no subquery in an expression")
     return text
 
 
@@ -154,9 +191,19 @@ def bounded(df: DataFrame, most: int = 1000, seconds: float = 30.0) -> Bounded:
     return Bounded(df.columns, [tuple(r) for r in rows[:most]], len(rows) > most)
 
 
-def run_query(spark: SparkSession, sql: str, most: int = 1000, seconds: float = 30.0) -> Bounded:
-    """Gate a text, then run it bounded."""
-    return bounded(spark.sql(require_read_query(spark, sql)), most, seconds)
+def run_query(
+    spark: SparkSession, sql: str, most: int = 1000, seconds: float = 30.0, tables: set[str] | None = None, revisions: dict[str, str] | None = None
+) -> Bounded:
+    """Gate and validate a text, see that the tables' schemas are those captured, then run it bounded."""
+    from tallyforge.plans.validate import validate
+
+    require_read_query(spark, sql, tables)
+    report = validate(spark, sql, tables=tables)
+    if not report.valid:
+        raise PolicyViolation("; ".join(report.errors))
+    for name, captured in (revisions or {}).items():
+        require_revision(spark.table(name), captured)
+    return bounded(spark.sql(sql), most, seconds)
 
 
 @dataclass
@@ -164,24 +211,84 @@ class PlanFacts:
     """What a physical plan does."""
 
     scans: list[str] = field(default_factory=list)
+    full_scans: list[str] = field(default_factory=list)
     joins: list[str] = field(default_factory=list)
     pushed: bool = False
     exchanges: int = 0
+    estimated_bytes: int = 0
+    estimated_rows: int | None = None
     warnings: list[str] = field(default_factory=list)
 
 
+def physical_nodes(node) -> Iterator:
+    """All nodes of a physical plan, through adaptive plans and their stages."""
+    kind = _kind(node)
+    if kind == "AdaptiveSparkPlanExec":
+        yield from physical_nodes(node.executedPlan())
+        return
+    yield node
+    if kind.endswith("QueryStageExec"):
+        yield from physical_nodes(node.plan())
+    for child in _items(node.children()):
+        yield from physical_nodes(child)
+
+
+def logical_nodes(node) -> Iterator:
+    """All nodes of a logical plan."""
+    yield node
+    for child in _items(node.children()):
+        yield from logical_nodes(child)
+
+
+def _wrapped_columns(e) -> Iterator[str]:
+    """Columns that a comparison reaches only through a function, so no source can skip by them."""
+    if _kind(e) in ("EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "In", "InSet"):
+        side = next(_items(e.children()))
+        if _kind(side) not in ("AttributeReference", "Literal", "Cast") and not side.foldable():
+            yield from (a.name() for a in _items(side.references()))
+    for child in _items(e.children()):
+        yield from _wrapped_columns(child)
+
+
 def plan_facts(df: DataFrame) -> PlanFacts:
-    """Scans, joins, pushed filters and exchanges of a plan, and what looks costly."""
-    text = df._jdf.queryExecution().executedPlan().toString()
-    out = PlanFacts(
-        re.findall(r"FileScan (\w+)", text),
-        re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|CartesianProduct|BroadcastNestedLoopJoin)", text),
-        bool(re.search(r"PushedFilters: \[[^\]]+", text)),
-        len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", text)),
-    )
-    optimized = df._jdf.queryExecution().optimizedPlan().toString()
-    if out.scans and "Filter" not in optimized:
+    """Scans, joins, pushed filters, exchanges and sizes of a plan, and what looks costly."""
+    execution, out = df._jdf.queryExecution(), PlanFacts()
+    for node in physical_nodes(execution.executedPlan()):
+        kind = _kind(node)
+        if kind == "FileSourceScanExec":
+            name = node.relation().fileFormat().toString()
+            pushed = node.metadata().get("PushedFilters")
+            held = pushed.isDefined() and pushed.get() != "[]"
+            out.scans.append(name)
+            out.pushed = out.pushed or held
+            if not held and not node.partitionFilters().nonEmpty():
+                out.full_scans.append(name)
+        elif kind.endswith(("JoinExec", "CartesianProductExec")):
+            out.joins.append(kind.removesuffix("Exec"))
+        elif kind == "ShuffleExchangeExec":
+            out.exchanges += 1
+    stats = execution.optimizedPlan().stats()
+    out.estimated_bytes = int(str(stats.sizeInBytes()))
+    out.estimated_rows = int(str(stats.rowCount().get())) if stats.rowCount().isDefined() else None
+    filters = [x for x in logical_nodes(execution.optimizedPlan()) if _kind(x) == "Filter"]
+    if out.scans and not filters:
         out.warnings.append("no filter: every row is read")
+    for name in dict.fromkeys(c for x in filters for c in _wrapped_columns(x.condition())):
+        out.warnings.append(f"a filter over a function of {name} is not pushed")
     if {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(out.joins):
         out.warnings.append("a join without an equality condition")
     return out
+
+
+def merged_facts(facts: list[PlanFacts]) -> PlanFacts:
+    """Facts of several plans as one: lists joined, sizes added, each warning once."""
+    out = PlanFacts()
+    for x in facts:
+        for name in ("scans", "full_scans", "joins"):
+            getattr(out, name).extend(getattr(x, name))
+        out.pushed, out.exchanges = out.pushed or x.pushed, out.exchanges + x.exchanges
+        out.estimated_bytes += x.estimated_bytes
+        out.warnings += [w for w in x.warnings if w not in out.warnings]
+    rows = [x.estimated_rows for x in facts]
+    out.estimated_rows = sum(rows) if rows and None not in rows else None
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,16 +99,6 @@ _metric(
 )
 
 
-@query(
-    "metric_listing",
-    "SELECT * FROM (VALUES ('revenue', 'lineitem', 'sum'), ('line_count', 'lineitem', 'count'), ('mean_quantity', 'lineitem', 'avg'), "
-    "('least_discount', 'lineitem', 'min'), ('most_discount', 'lineitem', 'max'), ('order_total', 'orders', 'sum'), ('order_count', 'orders', 'count')) "
-    "AS t(metric, fact, aggregation)",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(m["metric"], m["table"], m["aggregation"]) for m in CATALOG.listing()], "metric string, fact string, aggregation string")
-
-
 def _formula(name: str, sql: str, fact: str, formula: str, **asked) -> None:
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -142,8 +133,8 @@ def _sql(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
         return spark.sql(policy.require_read_query(spark, spark_sql))
 
 
-_sql("sql_select", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderkey < 1000")
-_sql("sql_where", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'F' AND o_orderkey <= 5000")
+_sql("sql_select", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
+_sql("sql_where", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'F'")
 _sql("sql_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
 _sql("sql_between", "SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 1000")
 _sql("sql_like", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1'")
@@ -185,31 +176,31 @@ _sql(
     "sql_date_functions", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)",
     "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n FROM orders GROUP BY 1, 2",
 )
+_sql(
+    "sql_null_keys",  # NULL meets no NULL in a join; IS NOT DISTINCT FROM does
+    "WITH a AS (SELECT l_returnflag AS k, count(*) AS n FROM (SELECT NULLIF(l_returnflag, 'N') AS l_returnflag FROM lineitem) GROUP BY l_returnflag) "
+    "SELECT x.k, x.n, count(y.n) AS met, count(z.n) AS met_null FROM a x LEFT JOIN a y ON x.k = y.k LEFT JOIN a z ON x.k IS NOT DISTINCT FROM z.k GROUP BY x.k, x.n",
+)
+_sql(
+    "sql_null_groups",  # NULLs form one group, are left out of count(column) and avg, and make NOT IN unknown
+    "SELECT NULLIF(event_type, 'click') AS kind, count(*) AS n, count(NULLIF(event_type, 'click')) AS named, sum(CASE WHEN NULLIF(event_type, 'click') NOT IN ('view') THEN 1 ELSE 0 END) AS other FROM events GROUP BY 1",
+    "SELECT NULLIF(event_type, 'click') AS kind, count(*) AS n, count(NULLIF(event_type, 'click')) AS named, CAST(sum(CASE WHEN NULLIF(event_type, 'click') NOT IN ('view') THEN 1 ELSE 0 END) AS BIGINT) AS other FROM events GROUP BY 1",
+)
+_sql("sql_typeof_printf", "SELECT n_nationkey, lower(typeof(n_nationkey)) AS kind, printf('%05d|%s', n_nationkey, n_name) AS line FROM nation".replace("typeof(n_nationkey)", "typeof(CAST(n_nationkey AS BIGINT))"))
+_sql(
+    "sql_string_agg", "SELECT n_regionkey, string_agg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+)
+_sql("sql_abs", "SELECT c_custkey, abs(c_acctbal) AS size, abs(c_custkey - 100) AS away FROM customer")
 _sql("sql_round", "SELECT o_orderkey, round(o_totalprice / 3, 2) AS third FROM orders")
 
 
-@query("bounded_truncated", "SELECT 100 AS n_rows, true AS truncated")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    got = policy.bounded(table(spark, d, "orders").orderBy("o_orderkey"), most=100)
-    return spark.createDataFrame([(len(got.rows), got.truncated)], "n_rows int, truncated boolean")
-
-
 @query("validation_score", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE greatest(0.5, round(1 - 0.05 * (o_orderkey % 7) - 0.02 * (o_custkey % 11), 4)) END::DOUBLE AS score FROM orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     score = validate.score_column(F.col("o_orderstatus") == "F", F.col("o_orderkey") % 7, F.col("o_custkey") % 11)
     return table(spark, d, "orders").select("o_orderkey", F.round(score, 4).alias("score"))
 
 
-_MESSAGES = ("Query timed out", "Table not found: t", "syntax error near", "type mismatch", "no rows", "disk full")
-
-
-@query(
-    "error_classes",
-    "SELECT * FROM (VALUES ('Query timed out', 'timeout'), ('Table not found: t', 'schema'), ('syntax error near', 'syntax'), ('type mismatch', 'type'), "
-    "('no rows', 'empty'), ('disk full', 'execution')) AS t(message, class)",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in _MESSAGES], "message string").select("message", validate.error_class_column(F.col("message")).alias("class"))
 
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains([{}], w))".format(
@@ -237,16 +228,6 @@ def _bm25_sql(where: str, k: int, terms: list[str] = _TERMS) -> str:
     )
 
 
-@query("bm25_topk", _bm25_sql("true", 20))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), tx.english_tokens(F.col("text")), _TERMS, 20)
-
-
-@query("bm25_filtered", _bm25_sql("lang = 'en'", 20))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents").where("lang = 'en'"), tx.english_tokens(F.col("text")), _TERMS, 20)
-
-
 _VECTOR = [((i * 37) % 11 - 5) / 8.0 for i in range(64)]
 _COS = f"round(1 - list_cosine_similarity(embedding::DOUBLE[], [{', '.join(map(str, _VECTOR))}]::DOUBLE[]), 6)"
 _COS_SQL = "SELECT vec_id, distance, round(1 / (1 + distance), 6) AS score FROM (SELECT vec_id, {} AS distance FROM embeddings WHERE {}) ORDER BY distance, vec_id LIMIT {}"
@@ -262,18 +243,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.cosine_top(table(spark, d, "embeddings"), _VECTOR, 10, F.col("label") == 3)
 
 
-@query(
-    "rrf_fuse",
-    f"WITH s AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25_sql('true', 20)})), "
-    f"v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_COS_SQL.format(_COS, 'true', 20)})) "
-    "SELECT id, round(coalesce(0.5 / (60 + v.r), 0) + coalesce(0.5 / (60 + s.r), 0), 8) AS score FROM v FULL JOIN s USING (id)",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    sparse = retrieval.bm25(table(spark, d, "documents"), tx.english_tokens(F.col("text")), _TERMS, 20)
-    dense = retrieval.cosine_top(table(spark, d, "embeddings"), _VECTOR, 20)
-    return retrieval.fuse(retrieval.ranked(dense, F.col("score"), "vec_id"), retrieval.ranked(sparse, F.col("score"), "doc_id"))
-
-
 @query(
     "chunk_windows",
     "SELECT doc_id, chunk::INTEGER AS chunk, substring(text, chunk * 1792 + 1, 2048) AS text FROM (SELECT doc_id, text, "
@@ -288,7 +257,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.language(F.col("text")).alias("language"))
 
 
-@query("token_estimate", "SELECT doc_id, CAST(floor(length(regexp_replace(text, '[^\\x21-\\x7E]', '', 'g')) / 4.0 + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / 1.5) AS BIGINT) AS tokens FROM documents")
+@query("token_estimate", "SELECT doc_id, CAST(floor(a / 4.0 + (n - a) / 1.5) AS BIGINT) AS tokens FROM (SELECT doc_id, length(coalesce(text, '')) AS n, length(regexp_replace(coalesce(text, ''), '[^\\x00-\\x08\\x0E-\\x1B\\x21-\\x7F]', '', 'g')) AS a FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
@@ -298,33 +267,52 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.compact(F.col("text"), 205).alias("text"))
 
 
-_QUESTION = (
-    "concat(CASE event_id % 6 WHEN 0 THEN 'show the top 5 ' WHEN 1 THEN 'count ' WHEN 2 THEN 'compare ' WHEN 3 THEN 'list 20 records of ' "
-    "WHEN 4 THEN 'how many ' ELSE 'join ' END, event_type, CASE event_id % 7 WHEN 0 THEN ' yesterday' WHEN 1 THEN ' last month' WHEN 2 THEN ' this week' "
-    "WHEN 3 THEN ' last 30 days' WHEN 4 THEN ' this quarter' WHEN 5 THEN ' last 3 months' ELSE '' END)"
-)
+#: Questions in many phrasings; events take them in turn.
+_PHRASES = (
+    "show the top 5 products yesterday", "count orders last month", "compare sales this week and last week", "list 20 records of the last 30 days", "how many users this quarter",
+    "join orders and customers over the past 3 months", "monthly trend of revenue year to date", "funnel conversion mtd", "retention qtd", "total by region, same period last year",
+    "what was sold the day before yesterday?", "deliveries the day after tomorrow", "plan for next week", "budget of next quarter", "forecast next year", "sales 3 weeks ago",
+    "orders 2 months ago", "signups 5 days ago limit 7", "revenue 2 years ago", "shipments in the next 10 days", "bookings for the next 2 weeks", "targets for the next 6 months",
+    "tomorrow first 3 rows", "today's growth", "last 4 weeks of churn", "past 2 years breakdown", "no time here at all", "查询昨天的订单", "统计上个月各个地区的销售额", "对比本周和上周", "去年同期的趋势",
+    "最近7天的转化率", "未来2周", "3个月前的订单", "2024年3月5日的收入", "2025年11月 合计", "第三季度 汇总", "今年以来 top 8", "后天", "plain 查询 last week 订单", "",
+)
+_QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _PHRASES)
+_QUESTION = f"[{_QUOTED}][event_id % {len(_PHRASES)} + 1]"
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.expr(_QUESTION).alias("question"))
+    asked = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("event_id") % len(_PHRASES) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", asked.alias("question"))
 
 
-_SCORES = {
-    i: " + ".join(f"(CASE WHEN regexp_matches(q, '{p}') THEN {w} ELSE 0 END)" for k, p, w in tx.INTENTS if k == i) for i in tx.PRIORITY
-}
+def _score_sql(intent: str) -> str:
+    zh, en, both = tx.INTENTS[intent]
+    hits = lambda patterns, when: [f"(CASE WHEN {when} AND regexp_matches(q, '{p}') THEN {w} ELSE 0 END)" for p, w in patterns]
+    return " + ".join(hits(zh, "lang <> 'en'") + hits(en, "lang <> 'zh'") + hits(both, "true"))
+
+
+_LANG = (
+    "CASE WHEN length(regexp_replace(q, '\\s', '', 'g')) = 0 THEN 'en' WHEN length(regexp_replace(q, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / length(regexp_replace(q, '\\s', '', 'g')) > 0.5 THEN 'zh' "
+    "WHEN length(regexp_replace(q, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / length(regexp_replace(q, '\\s', '', 'g')) > 0.1 THEN 'mixed' ELSE 'en' END"
+)
+_ASKED = f"(SELECT event_id, q, {_LANG} AS lang FROM (SELECT event_id, lower({_QUESTION}) AS q FROM events))"
 
 
 @query(
     "intent",
-    f"SELECT event_id, CASE WHEN greatest(j, c, a, s) = 0 THEN 'UNKNOWN' WHEN j = greatest(j, c, a, s) THEN 'JOIN' WHEN c = greatest(j, c, a, s) THEN 'COMPARISON' "
-    f"WHEN a = greatest(j, c, a, s) THEN 'AGGREGATE' ELSE 'SELECT' END AS intent FROM (SELECT event_id, {_SCORES['JOIN']} AS j, {_SCORES['COMPARISON']} AS c, "
-    f"{_SCORES['AGGREGATE']} AS a, {_SCORES['SELECT']} AS s FROM (SELECT event_id, lower({_QUESTION}) AS q FROM events))",
+    f"WITH s AS (SELECT event_id, {', '.join(f'{_score_sql(i)} AS s_{i}' for i in tx.PRIORITY)} FROM {_ASKED}), "
+    f"m AS (SELECT *, greatest({', '.join(f's_{i}' for i in tx.PRIORITY)}) AS most FROM s) "
+    f"SELECT event_id, CASE WHEN most = 0 THEN 'UNKNOWN' {' '.join(f'WHEN s_{i} = most THEN {chr(39)}{i}{chr(39)}' for i in tx.PRIORITY)} END AS intent FROM m",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("event_id", tx.intent(F.col("question")).alias("intent"))
 
 
-@query("limit_extract", f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN 5 WHEN 3 THEN 20 END::BIGINT AS row_limit FROM events")
+@query(
+    "limit_extract",
+    "SELECT event_id, list_min(list_transform(regexp_extract_all(q, '\\b(?:top|first)\\s+(\\d+)', 1) || regexp_extract_all(q, '\\b(\\d+)\\s+(?:results?|records?|rows?|items?)\\b', 1) "
+    f"|| regexp_extract_all(q, '\\blimit\\s+(\\d+)', 1) || regexp_extract_all(q, '\\btop\\s*(\\d+)', 1), lambda x: x::BIGINT)) AS row_limit FROM {_ASKED}",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("event_id", tx.limit_value(F.col("question")).alias("row_limit"))
 
@@ -332,11 +320,42 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _NOW = "2026-07-15"
 
 
+#: First day and day after the last by name, for a reference date d and a number n, as DuckDB has them.
+_SPANS = {
+    "day_before_yesterday": ("d - 2", "d - 1"), "yesterday": ("d - 1", "d"), "today": ("d", "d + 1"), "day_after_tomorrow": ("d + 2", "d + 3"), "tomorrow": ("d + 1", "d + 2"),
+    "this_week": ("date_trunc('week', d)", "d + 1"), "last_week": ("date_trunc('week', d) - INTERVAL 7 DAY", "date_trunc('week', d)"),
+    "next_week": ("date_trunc('week', d) + INTERVAL 7 DAY", "date_trunc('week', d) + INTERVAL 14 DAY"),
+    **{f"this_{u}": (f"date_trunc('{u}', d)", "d + 1") for u in ("month", "quarter", "year")},
+    **{f"last_{u}": (f"date_trunc('{u}', date_trunc('{u}', d) - INTERVAL 1 DAY)", f"date_trunc('{u}', d)") for u in ("month", "quarter", "year")},
+    "next_month": ("date_trunc('month', d) + INTERVAL 1 MONTH", "date_trunc('month', d) + INTERVAL 2 MONTH"),
+    "next_quarter": ("date_trunc('quarter', d) + INTERVAL 3 MONTH", "date_trunc('quarter', d) + INTERVAL 6 MONTH"),
+    "next_year": ("date_trunc('year', d) + INTERVAL 1 YEAR", "date_trunc('year', d) + INTERVAL 2 YEAR"),
+    "same_period_last_year": ("d - INTERVAL 1 YEAR", "d + 1"), "ytd": ("date_trunc('year', d)", "d + 1"), "qtd": ("date_trunc('quarter', d)", "d + 1"), "mtd": ("date_trunc('month', d)", "d + 1"),
+    "last_n_days": ("d - n", "d + 1"), "last_n_weeks": ("d - 7 * n", "d + 1"), "last_n_months": ("d - to_months(n)", "d + 1"), "last_n_years": ("d - to_years(n)", "d + 1"),
+    "n_days_ago": ("d - n", "d - n + 1"), "n_weeks_ago": ("d - 7 * n", "d - 7 * n + 7"), "n_months_ago": ("date_trunc('month', d - to_months(n))", "date_trunc('month', d - to_months(n)) + INTERVAL 1 MONTH"),
+    "n_years_ago": ("date_trunc('year', d - to_years(n))", "date_trunc('year', d - to_years(n)) + INTERVAL 1 YEAR"),
+    "next_n_days": ("d", "d + n + 1"), "next_n_weeks": ("d", "d + 7 * n + 1"), "next_n_months": ("d", "(d + to_months(n)) + INTERVAL 1 DAY"),
+    "absolute_ymd": ("make_date(n, m, k)", "make_date(n, m, k) + 1"), "absolute_ym": ("make_date(n, m, 1)", "make_date(n, m, 1) + INTERVAL 1 MONTH"),
+    "absolute_quarter": ("make_date(year(d)::INT, 3 * n - 2, 1)", "make_date(year(d)::INT, 3 * n - 2, 1) + INTERVAL 3 MONTH"),
+}
+
+
+def _spans_sql(side: int) -> str:
+    """The CASE over all patterns that gives one side of the span, reading its numbers from the text."""
+    whens = []
+    for spoken, patterns in (("zh", tx.TIMES_ZH), ("en", tx.TIMES_EN)):
+        for name, p in patterns:
+            value = _SPANS[name][side]
+            number = lambda i, p=p: f"TRY_CAST(translate(regexp_extract(q, '{p}', {i}), '一二三四', '1234') AS INT)"
+            for i, letter in enumerate("nmk", 1):
+                value = re.sub(rf"\b{letter}\b", lambda _, i=i: number(i), value) if i <= p.replace("(?", "").count("(") else value
+            whens.append(f"WHEN lang <> '{'en' if spoken == 'zh' else 'zh'}' AND regexp_matches(q, '{p}') THEN CAST({value} AS DATE)")
+    return f"CASE {' '.join(whens)} END"
+
+
 @query(
     "time_ranges",
-    "SELECT event_id, CASE event_id % 7 WHEN 0 THEN DATE '2026-07-14' WHEN 1 THEN DATE '2026-06-01' WHEN 2 THEN DATE '2026-07-13' WHEN 3 THEN DATE '2026-06-15' "
-    "WHEN 4 THEN DATE '2026-07-01' WHEN 5 THEN DATE '2026-04-15' END AS range_start, CASE event_id % 7 WHEN 0 THEN DATE '2026-07-15' WHEN 1 THEN DATE '2026-07-01' "
-    "WHEN 2 THEN DATE '2026-07-20' WHEN 3 THEN DATE '2026-07-16' WHEN 4 THEN DATE '2026-10-01' WHEN 5 THEN DATE '2026-07-16' END AS range_end FROM events",
+    f"SELECT event_id, {_spans_sql(0)} AS range_start, {_spans_sql(1)} AS range_end FROM (SELECT *, DATE '{_NOW}' AS d FROM {_ASKED})",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     x = _questions(spark, d).select("event_id", tx.time_range(F.col("question"), _NOW).alias("r"))
@@ -414,13 +433,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.paired(a, x.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("good")), "o_orderkey", "good")
 
 
-@query("eq_multiset", "SELECT true AS same, false AS same_without_one")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "orders").select("o_custkey", "o_orderstatus")
-    y = x.repartition(3)
-    return spark.createDataFrame([(evaluation.same_multiset(x, y), evaluation.same_multiset(x, y.union(x.limit(1))))], "same boolean, same_without_one boolean")
-
-
 _USAGE = "SELECT user_id % 5 AS team, event_type AS model, CASE WHEN event_id % 97 <> 0 THEN event_id % 1000 END AS prompt_tokens, event_id % 300 AS completion_tokens FROM events"
 
 
@@ -490,11 +502,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return x.orderBy(F.col("similarity").desc(), "item_id").limit(10)
 
 
-@query("lifecycle", "SELECT event_id, CASE WHEN s = 'active' AND age > (CASE WHEN k = 'schema' THEN 7 ELSE 30 END) THEN 'stale' WHEN s = 'stale' AND age > 90 THEN 'archived' WHEN s = 'stale' AND score >= 0.8 AND age < 14 THEN 'active' ELSE s END AS state FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'active' ELSE 'stale' END AS s, CASE WHEN event_id % 3 = 0 THEN 'schema' ELSE 'sql' END AS k, event_id % 120 AS age, (event_id % 10) / 10.0 AS score FROM events)")
+@query(
+    "lifecycle",
+    "SELECT event_id, CASE WHEN t <> 'active' AND score >= 0.8 AND age < 14 THEN 'active' ELSE t END AS state FROM (SELECT *, CASE WHEN s = 'active' AND ((k = 'schema' AND age > 7) OR (k = 'sql' AND age > 30)) THEN 'stale' "
+    "WHEN s = 'stale' AND age > 90 THEN 'archived' ELSE s END AS t FROM (SELECT event_id, ['active', 'stale', 'archived'][event_id % 3 + 1] AS s, ['schema', 'sql', 'term', 'rule'][event_id % 4 + 1] AS k, "
+    "event_id % 113 AS age, (event_id % 11) / 10.0 AS score FROM events))",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    state, kind = F.when(e % 2 == 0, "active").otherwise("stale"), F.when(e % 3 == 0, "schema").otherwise("sql")
-    return table(spark, d, "events").select("event_id", learning.lifecycle(state, kind, e % 120, e % 10 / 10.0).alias("state"))
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (e % len(names) + 1).cast("int"))
+    state, kind = pick("active", "stale", "archived"), pick("schema", "sql", "term", "rule")
+    return table(spark, d, "events").select("event_id", learning.lifecycle(state, kind, e % 113, e % 11 / 10.0).alias("state"))
 
 
 @query("rate_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS attempts FROM events")
@@ -508,34 +526,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return learning.latest(x, ["user_id"], [F.col("n").desc(), F.col("event_type")])
 
 
-_COLUMNS = [("customer", "customer_name"), ("customer", "email"), ("customer", "mobile"), ("orders", "status"), ("orders", "phone_no_2"), ("orders", "cert_no"), ("users", "birthday"), ("users", "pan"), ("users", "customer_phone"), ("users", "ADDRESS")]
 
 
-@query(
-    "pii_columns",
-    "SELECT * FROM (VALUES ('customer', 'customer_name', 'name'), ('customer', 'email', 'email'), ('customer', 'mobile', 'phone'), ('orders', 'status', ''), "
-    "('orders', 'phone_no_2', 'phone'), ('orders', 'cert_no', 'id_card'), ('users', 'birthday', 'dob'), ('users', 'pan', 'bank_card'), ('users', 'customer_phone', ''), "
-    "('users', 'ADDRESS', 'address')) AS t(table_name, column_name, kind)",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame(_COLUMNS, "table_name string, column_name string")
-    return x.select("table_name", "column_name", catalog.personal_kind(F.col("column_name")).alias("kind"))
-
+_NAMES = ("BUILDING", "Building", "build", "the automobile industry", "customer#0000", "n", "households")
 
-@query("fk_expand", "SELECT * FROM (VALUES ('orders', true), ('customer', false), ('lineitem', false)) AS t(table_name, is_seed)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    links = [("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("customer", "nation"), ("supplier", "nation"), ("nation", "region")]
-    return catalog.neighbours(spark.createDataFrame([("orders",)], "table_name string"), spark.createDataFrame(links, "from_table string, to_table string"))
 
-
-@query("schema_docs", "SELECT * FROM (VALUES ('region', 'region: r_regionkey int, r_name string'), ('nation', 'nation: n_nationkey int, n_name string, n_regionkey int')) AS t(table_name, text)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.schema_documents(catalog.columns_of(spark, {t: table(spark, d, t) for t in ("region", "nation")}))
-
-
-@query("name_match", "SELECT c_custkey, CASE WHEN c_mktsegment = 'building' THEN 1.0 WHEN lower(c_mktsegment) = 'building' THEN 0.95 ELSE 0.0 END::DOUBLE AS score FROM customer")
+@query(
+    "name_match",
+    "SELECT c_custkey, CASE WHEN name = asked THEN 1.0 WHEN lower(name) = lower(asked) THEN 0.95 WHEN contains(lower(note), lower(asked)) THEN 0.75 WHEN contains(lower(name), lower(asked)) THEN 0.65 "
+    "WHEN contains(lower(asked), lower(name)) THEN 0.6 ELSE 0.0 END::DOUBLE AS score, CASE WHEN name = asked THEN 1.0 WHEN lower(name) = lower(asked) THEN 0.95 WHEN contains(lower(note), lower(asked)) THEN 0.7 "
+    "WHEN contains(lower(name), lower(asked)) OR contains(lower(asked), lower(name)) THEN 0.65 ELSE 0.0 END::DOUBLE AS table_score "
+    f"FROM (SELECT c_custkey, c_mktsegment AS name, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS note, [{', '.join(f'{chr(39)}{n}{chr(39)}' for n in _NAMES)}][c_custkey % {len(_NAMES)} + 1] AS asked FROM customer)",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", catalog.name_score(F.col("c_mktsegment"), F.lit(None).cast("string"), F.lit("building")).alias("score"))
+    asked = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % len(_NAMES) + 1).cast("int"))
+    note = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))
+    score = lambda of_table: catalog.name_score(F.col("c_mktsegment"), note, asked, of_table)
+    return table(spark, d, "customer").select("c_custkey", score(False).alias("score"), score(True).alias("table_score"))
 
 
 @query("window_tumbling", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -554,6 +561,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-from tallyforge import queries_knowledge, queries_routing, queries_text  # noqa: E402, F401  (register more queries)
+from tallyforge import queries_catalog, queries_knowledge, queries_routing, queries_search, queries_text  # noqa: E402, F401  (register more queries)
 
 __all__ = ["CATALOG", "QUERIES", "SQL"]

@@ -158,41 +158,6 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
     return catalog.columns_of(spark, {t: table(spark, d, t) for t in ("region", "nation", "customer")})
 
 
-@query("keyword_scan", "SELECT * FROM (VALUES ('n_nationkey', 'nation'), ('c_nationkey', 'customer')) AS t(column_name, tables)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.keyword_scan(_columns(spark, d), ["NATION", "x"]).select("column_name", F.array_join("tables", "|").alias("tables"))
-
-
-@query("schema_search", "SELECT * FROM (VALUES ('customer', false, 'c_nationkey'), ('nation', true, 'n_nationkey')) AS t(table_name, table_match, matched)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.search(_columns(spark, d), " Nation ").withColumn("matched", F.array_join("matched", "|"))
-
-
-@query("schema_filtered", "SELECT * FROM (VALUES ('customer', ''), ('nation', 'n_nationkey|n_name|n_regionkey'), ('region', '')) AS t(table_name, columns)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    hits = catalog.live_hits(spark.createDataFrame([("nation",), ("gone",)], "table_name string"), _columns(spark, d))
-    return catalog.filtered(_columns(spark, d), hits).withColumn("columns", F.array_join("columns", "|"))
-
-
-@query("schema_masked", "SELECT * FROM (VALUES ('users', 'id: bigint' || chr(10) || '<pii:email>: string')) AS t(table_name, text)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.schema_text(spark.createDataFrame([("users", "email", "string", 1), ("users", "id", "bigint", 0)], "table_name string, column_name string, data_type string, position int"))
-
-
-@query(
-    "join_evidence",
-    "SELECT * FROM (VALUES ('orders', 'o_custkey', 'customer', 'c_custkey', true), ('customer', 'c_custkey', 'orders', 'o_custkey', true), "
-    "('lineitem', 'l_partkey', 'partsupp', 'ps_partkey', false)) AS t(left_table, left_column, right_table, right_column, backed)",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    joins = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("lineitem", "l_partkey", "partsupp", "ps_partkey")]
-    keys = [("f1", "orders", "o_custkey", "customer", "c_custkey"), ("f2", "lineitem", "l_partkey", "partsupp", "ps_partkey"), ("f2", "lineitem", "l_suppkey", "partsupp", "ps_suppkey")]
-    return catalog.join_evidence(
-        spark.createDataFrame(joins, "left_table string, left_column string, right_table string, right_column string"),
-        spark.createDataFrame(keys, "key_name string, from_table string, from_column string, to_table string, to_column string"),
-    )
-
-
 @query(
     "parsed_questions",
     "SELECT event_id, 'en' AS language, 'AGGREGATE' AS intent, CASE event_id % 4 WHEN 0 THEN DATE '2024-05-14' WHEN 1 THEN DATE '2024-05-15' - 3 END AS period_start, "
@@ -214,15 +179,3 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     known = spark.createDataFrame([("Click", "press"), ("click", "View"), ("view", "see")], "term string, candidate string")
     return knowledge.expanded(table(spark, d, "events"), "event_id", "event_type", known)
-
-
-@query("term_documents", "SELECT * FROM (VALUES ('glossary.shop.gmv', '业务术语: gmv。(sales)。SQL表达式: sum(x)。'), ('glossary.shop.a', '业务术语: a。描述: b。关联表: t。')) AS t(doc_id, text)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("gmv", "sales", "", "sum(x)", None), ("a", None, "b", None, "t")]
-    return knowledge.term_documents(spark.createDataFrame(rows, "term string, english string, description string, expression string, table_name string"), "shop")
-
-
-@query("shared_parts", "SELECT * FROM (VALUES ('order_items'), ('user_log')) AS t(table_name)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    tables = spark.createDataFrame([("order_items",), ("user_log",), ("parts",), ("a_b",)], "table_name string")
-    return catalog.sharing_parts(tables, "Orders by day", ["userlogs", "by", "item"])

@@ -139,25 +139,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy((F.col("user_id") % 20).alias("arm")).agg(F.when(F.count("*") == F.count("bill"), F.round(F.sum("bill"), 4)).alias("billed"))
 
 
-@query("schema_diff", "SELECT * FROM (VALUES ('c', 'added'), ('b', 'removed')) AS t(column_name, change)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    old, new = spark.createDataFrame([("a", "int"), ("b", "int")], "c string, t string"), spark.createDataFrame([("a", "int"), ("c", "int")], "c string, t string")
-    side = lambda x, y, what: x.exceptAll(y).select(F.col("c").alias("column_name"), F.lit(what).alias("change"))
-    return side(new, old, "added").unionByName(side(old, new, "removed"))
-
-
-@query("pii_summary", "SELECT * FROM (VALUES ('phone', 2::BIGINT), ('email', 1::BIGINT)) AS t(kind, n)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame([("mobile",), ("tel",), ("email",), ("status",)], "column_name string").select(catalog.personal_kind(F.col("column_name")).alias("kind"))
-    return x.where("kind <> ''").groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("ambiguous_columns", "SELECT * FROM (VALUES ('o_custkey', 1::BIGINT), ('id', 2::BIGINT)) AS t(column_name, n_tables)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame([("orders", "o_custkey"), ("orders", "id"), ("users", "id")], "table_name string, column_name string")
-    return x.groupBy("column_name").agg(F.count_distinct("table_name").alias("n_tables"))
-
-
 @query("keep_newest", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 100")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").orderBy(F.col("event_id").desc()).limit(100).select("event_id")
@@ -168,12 +149,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
 
 
-@query("table_rows", "SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    each = [table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t in ("orders", "events", "documents")]
-    return each[0].unionByName(each[1]).unionByName(each[2])
-
-
 @query("markdown_chunks")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunked(table(spark, d, "documents"))

@@ -29,9 +29,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("event_id", F.array_join(questions.ambiguities(F.col("q"), F.lit("AGGREGATE")), ",").alias("aspects"))
 
 
-@query("order_extract", "SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'price DESC' WHEN 4 THEN 'value DESC' END AS ordering FROM events")
+#: Questions and the orders that they ask for, by hand.
+_ORDERED = (
+    ("sales order by t.price desc", "t.price DESC"), ("users sorted by age ascending, please", "age ASC"), ("list items ordered by name", "name ASC"), ("the highest revenue, then the lowest cost", "revenue DESC, cost ASC"),
+    ("sort by day desc and sort by day", "day DESC"), ("Order By Total DESCENDING;", "Total DESC"), ("order by city; sort by zip asc", "zip ASC, city ASC"), ("nothing to sort", ""),
+    ("按销售额降序", "销售额 DESC"), ("按照 地区 排序", "地区 ASC"), ("销量最高", "销量 DESC"), ("价格最低", "价格 ASC"), ("", ""),
+)
+
+
+@query(
+    "order_extract",
+    f"SELECT event_id, ordering FROM (SELECT event_id, [{', '.join(f'{chr(39)}{q}{chr(39)}' for q, _ in _ORDERED)}][event_id % {len(_ORDERED)} + 1] AS q FROM events) "
+    f"JOIN (VALUES {', '.join(f'({chr(39)}{q}{chr(39)}, {chr(39)}{o}{chr(39)})' for q, o in _ORDERED)}) AS t(q, ordering) USING (q)",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d).select("event_id", questions.order_by(F.col("q")).alias("ordering"))
+    q = F.element_at(F.array(*(F.lit(q) for q, _ in _ORDERED)), (F.col("event_id") % len(_ORDERED) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", F.array_join(questions.orders(q), ", ").alias("ordering"))
 
 
 @query(
@@ -63,17 +76,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", questions.word_hits(words, F.col("text")).alias("relevance"))
 
 
-@query(
-    "semantic_cache",
-    "SELECT vec_id, d AS distance FROM (SELECT e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS d FROM embeddings e, "
-    "(SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE d <= 0.05 ORDER BY d, vec_id LIMIT 1",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "embeddings")
-    asked = [float(v) for v in x.where("vec_id = 0").first()["embedding"]]
-    return retrieval.cosine_top(x, asked, 1).where("distance <= 0.05").select("vec_id", "distance")
-
-
 @query("approved_rules", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'regex' WHEN contains(event_type, 'ie') THEN 'substring' END AS rule FROM events")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
@@ -118,8 +120,3 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("fingerprints", "SELECT o_orderkey, sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS fingerprint FROM orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.sha2(F.to_json(F.struct("o_custkey", "o_orderstatus")), 256).alias("fingerprint"))
-
-
-@query("generated_scale", "SELECT i AS id, 'table_' || (i % 10) AS name FROM range(1000) t(i)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1000).select("id", F.concat(F.lit("table_"), F.col("id") % 10).alias("name"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +19,26 @@ def build_session(app: str = "tallyforge", master: str | None = None, **conf: st
     """A session in UTC with adaptive execution; ``conf`` overrides."""
     builder = SparkSession.builder.appName(app)
     builder = builder.master(master) if master else builder
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.runSQLOnFiles": "false"}
     return builder.config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, by spark.checkpoint.dir; a local session may go without and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tallyforge-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,13 +37,20 @@ def test_edits(spark):
 
 
 def test_vector_table(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "b", [1.0])], "id int, scope string, embedding array<float>")
+    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0])], "id int, scope string, embedding array<float>")
+    short = spark.createDataFrame([(3, "b", [1.0])], rows.schema)
     t = documents.VectorTable(spark, str(tmp_path / "v"), 2, "one")
     t.create(rows)
-    assert t.read().count() == 2
+    with pytest.raises(Exception, match="a vector has not 2 components"):
+        t.replace(F.col("id") == 1, short)
+    assert t.count() == 2  # the failed version is not read
     t.replace(F.col("scope") == "b", spark.createDataFrame([(4, "b", [1.0, 1.0])], rows.schema))
     t.delete(F.col("id") == 1)
     assert [r.id for r in t.read().collect()] == [4]
+    t.restore(0)
+    assert sorted(r.id for r in t.read().collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        t.restore(1)
     with pytest.raises(ValueError):
         documents.VectorTable(spark, str(tmp_path / "v"), 3, "one").read()
 

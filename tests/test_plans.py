@@ -4,9 +4,10 @@ import json
 import time
 
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
-from tallyforge.operators import catalog, evaluation, learning
+from tallyforge.operators import catalog, evaluation, evidence, learning
 from tallyforge.plans import formulas, metrics, policy, validate
 from tallyforge.queries import CATALOG, _facts
 from tallyforge.session import register, require_revision, schema_revision, SchemaChanged, table
@@ -27,8 +28,98 @@ ALLOWED = [
 
 @pytest.mark.parametrize("sql", REFUSED)
 def test_gate_refuses(spark, sf, sql):
+    register(spark, sf, ("orders",))
     with pytest.raises(policy.PolicyViolation):
-        policy.require_read_query(spark, sql, tables=set())
+        policy.run_query(spark, sql)
+
+
+@pytest.mark.parametrize("form", ["parquet.`{}/region.parquet`", "`parquet`.`{}/region.parquet`", "json.`{}`", "`{}/region.parquet`", "text.`/etc/hostname`", "`file.csv`", "no_database.region"])
+def test_no_file_is_read(spark, sf, form):
+    with pytest.raises(policy.PolicyViolation):
+        policy.run_query(spark, f"SELECT count(*) FROM {form.format(sf)}")
+
+
+def test_gate_keeps_to_its_tables(spark, sf):
+    register(spark, sf, ("region", "nation"))
+    assert policy.run_query(spark, "SELECT r_name FROM Region ORDER BY 1", tables={"region"}).rows[0] == ("AFRICA",)
+    assert policy.run_query(spark, "WITH x AS (SELECT r_name FROM region) SELECT count(*) FROM x", tables={"region"}).rows == [(5,)]
+    for sql in (
+        "SELECT * FROM nation", "SELECT * FROM region JOIN nation ON r_regionkey = n_regionkey", "SELECT (SELECT max(n_name) FROM nation) FROM region",
+        "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)", "SELECT * FROM nation, (WITH nation AS (SELECT 1) SELECT * FROM nation) x",
+        "WITH a AS (SELECT * FROM nation) SELECT * FROM a", "SELECT * FROM default.region",
+    ):
+        with pytest.raises(policy.PolicyViolation):
+            policy.run_query(spark, sql, tables={"region"})
+
+
+def test_runs_are_validated_and_tied_to_schemas(spark, sf):
+    register(spark, sf, ("region",))
+    for sql in ("SELECT nothing FROM region", "SELECT sum(r_name) FROM region"):
+        with pytest.raises(policy.PolicyViolation):
+            policy.run_query(spark, sql)
+    seen = schema_revision(spark.table("region"))
+    assert policy.run_query(spark, "SELECT count(*) FROM region", revisions={"region": seen}).rows == [(5,)]
+    with pytest.raises(SchemaChanged):
+        policy.run_query(spark, "SELECT count(*) FROM region", revisions={"region": "another"})
+    with pytest.raises(ArithmeticException):
+        policy.run_query(spark, "SELECT abs(cast('-9223372036854775808' AS BIGINT)) AS x")
+
+
+@pytest.mark.parametrize("text", ["`approx_percentile`(x, 0.5)", "reflect('a', 'b')", "(SELECT max(x) FROM t)", "x IN (SELECT 1)", "sum(x) -- y", "sum(", "sys.sum(x)", "exists(SELECT 1)"])
+def test_expressions_off_the_list(spark, text):
+    x = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(policy.PolicyViolation):
+        formulas.query_metrics(x, [formulas.FormulaMetric("m", text)])
+
+
+def test_lookup_keys_do_not_repeat(spark):
+    look = metrics.Lookup("k", "dim", "id", (("name", "name"),))
+    held = metrics.Catalog("1", (metrics.Metric("total", "fact", "v", "sum", (), None, look),))
+    tables = {"fact": spark.createDataFrame([(1, 10)], "k int, v int"), "dim": spark.createDataFrame([(1, "a"), (1, "a")], "id int, name string")}
+    asked = metrics.Selection(("total",), ("name",))
+    with pytest.raises(Exception, match="lookup key repeats"):
+        metrics.compile_selection(held, asked, tables).collect()
+    tables["dim"] = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "id int, name string")
+    assert [tuple(r) for r in metrics.compile_selection(held, asked, tables).collect()] == [("a", 10)]
+    with pytest.raises(metrics.CatalogError):
+        metrics.compile_selection(held, asked, tables | {"dim": spark.createDataFrame([("1", "a")], "id string, name string")})
+
+
+def test_validation_reads_plans_not_words(spark, sf):
+    register(spark, sf, ("orders", "customer"))
+    warned = lambda sql: validate.validate(spark, sql).warnings
+    assert "no WHERE" in warned("SELECT o_orderkey AS where_x FROM (SELECT * FROM orders WHERE o_orderkey > 1) t LIMIT 5")
+    assert "no WHERE" not in warned("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'no limit' LIMIT 5")
+    assert "no LIMIT" in warned("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'no limit'")
+    assert "LIKE with a leading wildcard" in warned("SELECT o_orderkey FROM orders WHERE o_orderstatus LIKE '%F' LIMIT 1")
+    assert "a join without a condition" in warned("SELECT o_orderkey FROM orders, customer WHERE o_orderkey = 1 LIMIT 1")
+    assert not validate.validate(spark, "SELECT o_orderkey FROM orders LIMIT 1", {"require_time_range": ""}).valid
+    assert validate.validate(spark, "SELECT o_orderkey FROM orders WHERE o_orderdate > DATE '1995-01-01' LIMIT 1", {"require_time_range": ""}).valid
+    assert not validate.validate(spark, "SELECT round(o_totalprice, 5) FROM orders", {"precision": "2"}).valid
+    assert validate.validate(spark, "SELECT sum(cast(o_orderstatus AS double)) FROM orders").valid
+
+
+def test_plan_facts_come_from_nodes(spark, sf):
+    register(spark, sf, ("orders", "customer"))
+    whole, part = (policy.plan_facts(spark.sql(f"SELECT * FROM orders {x}")) for x in ("", "WHERE year(o_orderdate) = 1995 AND o_orderstatus = 'F'"))
+    assert whole.full_scans == ["Parquet"] and whole.estimated_bytes > 0 and part.pushed and not part.full_scans
+    assert "a filter over a function of o_orderdate is not pushed" in part.warnings
+    both = policy.merged_facts([whole, part, whole])
+    assert both.scans == ["Parquet"] * 3 and both.estimated_bytes == 2 * whole.estimated_bytes + part.estimated_bytes and len(both.warnings) == 2
+
+
+def test_evidence(spark, sf):
+    register(spark, sf, ("orders", "customer", "nation"))
+    keys = spark.createDataFrame([("k", "orders", "o_custkey", "customer", "c_custkey")], "key_name string, from_table string, from_column string, to_table string, to_column string")
+    sql = "-- ASSUMPTION: net of tax\nSELECT count(*) FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey\n-- CLARIFICATION: which year?"
+    got = evidence.evidence(spark, sql, keys, executed=True)
+    assert dict((n, s) for n, s, _ in got.checks) == {
+        "syntax": "passed", "tables and columns": "passed", "types": "passed", "rules": "unverified", "execution": "passed", "joins": "passed", "meaning": "unverified",
+    }
+    assert got.assumptions == ["net of tax"] and got.clarifications == ["which year?"]
+    more = evidence.evidence(spark, "SELECT 1 FROM orders JOIN customer ON o_orderkey = c_custkey JOIN nation ON n_nationkey = c_nationkey AND n_name = 'x'", keys)
+    assert ("joins", "unverified", "0 of 2 backed by a key") in more.checks and len(more.assumptions) == 2
+    assert ("tables and columns", "failed") in [c[:2] for c in evidence.evidence(spark, "SELECT x FROM orders").checks]
 
 
 @pytest.mark.parametrize("sql", ALLOWED)
