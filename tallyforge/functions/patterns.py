@@ -115,3 +115,80 @@ ORDERS = (
     ("en", "DESC", r"\b(?:highest|maximum|most|greatest)\s+(\S+)"),
     ("en", "ASC", r"\b(?:lowest|minimum|least)\s+(\S+)"),
 )
+
+#: Fixed values: (aspect, pattern) of words that may mean several columns, measures or spans; case does not matter.
+AMBIGUITIES = (
+    ("attribute", r"(?:各个?|每个?|不同|按|根据|依照)\s*(?:的)?\s*(地区|区域|城市|省份)"),
+    ("attribute", r"(?:按|根据|依照)\s*(名称|名字|标题)"),
+    ("attribute", r"(?:按|根据|依照)\s*(类型|类别|种类|分类)"),
+    ("attribute", r"(?:按|根据|依照)\s*(日期|时间)"),
+    ("attribute", r"(?:按|根据|依照)\s*(状态)"),
+    ("attribute", r"(?:按|根据|依照)\s*(级别|等级|层级)"),
+    ("attribute", r"(?:按|根据|依照)\s*(id|编号|代码|编码)"),
+    ("attribute", r"\b(?:by|per|for each|different)\s+(region|city|cities|area|location)\b"),
+    ("attribute", r"\b(?:by|per)\s+(name|title)\b"),
+    ("attribute", r"\b(?:by|per)\s+(type|category|kind|class)\b"),
+    ("attribute", r"\b(?:by|per)\s+(date|time)\b"),
+    ("attribute", r"\b(?:by|per)\s+(status|state)\b"),
+    ("attribute", r"\b(?:by|per)\s+(level|tier|grade)\b"),
+    ("attribute", r"\b(?:by|per)\s+(id|code)\b"),
+    ("aggregation", r"平均(?:值|数|金额|价格|工资|收入|年龄|时长|时间)?"),
+    ("aggregation", r"排名|排行|第.*名|前\d+名"),
+    ("aggregation", r"(?:占比|比例|百分比|份额)"),
+    ("aggregation", r"分组|归类"),
+    ("aggregation", r"\baverage\b"),
+    ("aggregation", r"\brank(?:ing)?\b"),
+    ("aggregation", r"\bpercent(?:age|ile)?\b|\bratio\b"),
+    ("aggregation", r"\bgroup\b"),
+    ("range", r"(大额|大单|大宗)(?:订单|交易|客户|采购)?"),
+    ("range", r"(高价值|高净值|高客单价|优质|重点|vip|核心)(?:客户|用户|订单|商品|产品)?"),
+    ("range", r"(高价|高端|高档)(?:商品|产品|客户|市场)?"),
+    ("range", r"(低价值|低端|低档|劣质)(?:客户|商品|产品)?"),
+    ("range", r"(?:高|低)(?:评分|评价|信用|信誉|热度|活跃度)"),
+    ("range", r"\bhigh[\s-]value\b"),
+    ("range", r"\bpremium\b|\bvip\b|\btop[\s-]tier\b"),
+    ("range", r"\b(?:big|large|major)\s+(?:orders?|customers?|clients?|deals?)\b"),
+    ("range", r"\b(?:small|minor)\s+(?:orders?|customers?|clients?)\b"),
+    ("range", r"\b(?:high|low)[\s-](?:score|rat(?:ing|ed)|credit)\b"),
+    ("temporal", r"最近(?!\s*(?:\d+|一|两|三|四|五|六|七|八|九|十|几|数|多)\s*个?\s*的?\s*(?:天|周|星期|月|季度|年|小时|分钟))"),
+    ("temporal", r"近期|近来"),
+    ("temporal", r"过去(?!\s*(?:\d+|一|两|三|四|五|六|七|八|九|十|几|数|多)\s*个?\s*的?\s*(?:天|周|星期|月|季度|年|小时|分钟))"),
+    ("temporal", r"以往|历史上"),
+    ("temporal", r"历史(?!\s*(?:\d+|一|两|几|数)\s*个?\s*的?\s*(?:天|周|月|季度|年))"),
+    ("temporal", r"\brecent(?:ly)?\b(?!\s+\d+\s*(?:day|week|month|year|hour)s?)"),
+    ("temporal", r"\blately\b|\bof late\b"),
+    ("temporal", r"\bpast\b(?!\s+\d+\s*(?:day|week|month|year|hour)s?)"),
+    ("temporal", r"\bhistorical\b(?!\s+\d+\s*(?:day|week|month|year)s?)"),
+)
+
+#: Fixed values: (complexity, pattern) of questions in lower case, first match wins; else simple.
+COMPLEXITY = (
+    ("multi_step", r"然后|再|接着|之后|第二步|第三步"),
+    ("multi_step", r"first.*then|after.*then|step\s*\d|next.*then"),
+    ("multi_step", r"分别|各自|separately|respectively|each"),
+    ("ambiguous", r"或者|还是|要么|不确定|大概|也许|可能"),
+    ("ambiguous", r"or maybe|either|not sure|perhaps|maybe|approximately"),
+    ("complex", r"\bjoin\b|\bcte\b|\bwindow\b|子查询|嵌套|窗口函数|递归"),
+    ("complex", r"\bgroup\s+by\b.*\bhaving\b|\bpartition\b|\bover\b"),
+    ("complex", r"对比|比较|同比|环比|vs|versus|compared?\s+to"),
+    ("complex", r"排名|排行|前\d+|top\s*\d+|rank|dense_rank"),
+    ("medium", r"\bjoin\b|关联|联合"),
+    ("medium", r"\bgroup\s+by\b|分组|汇总|统计|sum|avg|count"),
+    ("medium", r"趋势|变化|走势|trend|monthly|daily|weekly"),
+)
+#: Fixed values: (plan, pattern) of SQL texts and questions in lower case, first match wins; else default.
+PLANS = (
+    ("gensql_agentic", r"\bjoin\b"),
+    ("gensql_agentic", r"\bgroup\s+by\b"),
+    ("gensql_agentic", r"\bhaving\b"),
+    ("gensql_agentic", r"\bunion\b|\bintersect\b|\bexcept\b"),
+    ("gensql_agentic", r"\bsubquery\b|\b子查询\b|\(\s*select\b"),
+    ("gensql_agentic", r"\bcase\s+when\b|\bwindow\b|\bover\s*\(|row_number|rank\s*\(|dense_rank"),
+    ("gensql_agentic", r"[一-鿿]*?(?:关联|多表|跨表|联合|连接)[一-鿿]*"),
+    ("gensql_agentic", r"[一-鿿]*?(?:复杂|分析|对比|比较|同比|环比|占比)[一-鿿]*"),
+    ("ez_query", r"^(?:select\s+)?\*\s+from\s+[\w一-鿿]+\s*$"),
+    ("ez_query", r"^(?:select\s+)?[\w一-鿿]+(,\s*[\w一-鿿]+)*\s+from\s+[\w一-鿿]+\s*$"),
+    ("ez_query", r"^(?:查看|显示|列出|show|list|display|get)\s*[\w一-鿿]+"),
+    ("ez_query", r"^(?:select\s+)?count\(\*\)"),
+    ("ez_query", r"^\s*(?:什么|哪个|多少|怎么|how|what|which|when|who)"),
+)

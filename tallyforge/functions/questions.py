@@ -6,22 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as texts
-from tallyforge.functions.patterns import ORDERS
-
-#: Fixed values: (aspect, pattern) of words that may mean several columns, measures or spans.
-AMBIGUITIES = (
-    ("attribute", r"\b(?:by|per|for each|different)\s+(region|city|cities|area|location)\b"),
-    ("attribute", r"\b(?:by|per)\s+(name|title)\b"),
-    ("attribute", r"\b(?:by|per)\s+(type|category|kind|class)\b"),
-    ("attribute", r"\b(?:by|per)\s+(date|time)\b"),
-    ("attribute", r"\b(?:by|per)\s+(status|state)\b"),
-    ("attribute", r"\b(?:by|per)\s+(level|tier|grade)\b"),
-    ("attribute", r"\b(?:by|per)\s+(id|code)\b"),
-    ("aggregation", r"\baverage\b"),
-    ("aggregation", r"\brank(?:ing)?\b"),
-    ("range", r"\b(?:high|low|large|small|many|few)\b"),
-    ("temporal", r"\b(?:recent(?:ly)?|lately|soon)\b"),
-)
+from tallyforge.functions.patterns import AMBIGUITIES, ORDERS
+
 #: Words that speak of time.
 TIME_WORDS = (
     r"\b(quarters?|weeks?|months?|years?|days?|dates?|time|periods?|ago|last|next|past|recent(?:ly)?|since|until|between|before|after|"
@@ -78,7 +64,7 @@ def ambiguities(text: Column, intent: Column) -> Column:
     """Aspects that a question leaves open; those of aggregation only where it aggregates."""
     low = F.lower(text)
     found = [F.when(low.rlike(p) & ((intent == "AGGREGATE") if a == "aggregation" else F.lit(True)), a) for a, p in AMBIGUITIES]
-    return F.array_compact(F.array(*found))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def orders(text: Column) -> Column:
@@ -129,9 +115,9 @@ def word_hits(words: Column, text: Column) -> Column:
 
 def parsed(text: Column, now: str) -> Column:
     """All that is read from a question: language, intent, time range, what is open, limit, order, tables and quoted values."""
-    intent = texts.intent(text)
-    return F.struct(
+    whole = lambda intent: F.struct(
         texts.language(text).alias("language"), intent.alias("intent"), F.coalesce(texts.time_range(text, now), shifted_range(text, now), absolute_period(text)).alias("period"),
         ambiguities(text, intent).alias("ambiguities"), texts.limit_value(text).alias("most"), orders(text).alias("ordering"),
         named_tables(text).alias("tables"), quoted_values(text).alias("quoted"),
     )
+    return texts.let(texts.intent(text), whole)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,21 +48,28 @@ def compact(text: Column, most: int, marker: str = "\n...\n") -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(side)), F.lit(marker), F.right(text, F.lit(side))))
 
 
-def intent_scores(text: Column) -> dict[str, Column]:
-    """For each intent the sum of weights of its patterns in the text; Chinese ones count in Chinese and mixed texts, English ones in English and mixed."""
-    low, lang = F.lower(text), language(text)
-    of = lambda patterns: sum((F.when(low.rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0))
-    return {i: F.when(lang != "en", of(zh)).otherwise(0) + F.when(lang != "zh", of(en)).otherwise(0) + of(both) for i, (zh, en, both) in INTENTS.items()}
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _read(text: Column) -> Column:
+    return F.struct(F.lower(text).alias("low"), language(text).alias("lang"))
 
 
 def intent(text: Column) -> Column:
-    """The intent with the greatest sum of weights; ties by priority, UNKNOWN without any match."""
-    score = intent_scores(text)
-    top = F.greatest(*score.values())
-    out = F.when(top == 0, "UNKNOWN")
-    for i in PRIORITY:
-        out = out.when(score[i] == top, i)
-    return F.coalesce(out, F.lit("UNKNOWN"))
+    """The intent with the greatest sum of weights; ties by priority, UNKNOWN without any match.
+
+    Chinese patterns count in Chinese and mixed texts, English ones in English and mixed.
+    """
+
+    def scores(x: Column) -> Column:
+        of = lambda patterns: sum((F.when(x["low"].rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0))
+        sums = ((of(zh), of(en), of(both)) for zh, en, both in (INTENTS[i] for i in PRIORITY))
+        return F.array(*(F.when(x["lang"] != "en", zh).otherwise(0) + F.when(x["lang"] != "zh", en).otherwise(0) + both for zh, en, both in sums))
+
+    first = lambda s: F.when(F.array_max(s) > 0, F.element_at(F.array(*map(F.lit, PRIORITY)), F.array_position(s, F.array_max(s)).cast("int")))
+    return F.coalesce(let(let(_read(text), scores), first), F.lit("UNKNOWN"))
 
 
 def limit_value(text: Column) -> Column:
@@ -110,13 +119,17 @@ def time_range(text: Column, now: str) -> Column:
 
     Chinese patterns come first and count in Chinese and mixed texts, English ones in English and mixed.
     """
-    low, today, lang = F.lower(text), F.to_date(F.lit(now)), language(text)
-    out = None
-    for spoken, patterns in (("zh", TIMES_ZH), ("en", TIMES_EN)):
-        other = "en" if spoken == "zh" else "zh"
-        for name, p in patterns:
-            groups = [F.regexp_extract(low, p, i) for i in range(1, p.replace("(?", "").count("(") + 1)] or [F.lit("")]
-            start, end = _period(name, today, groups)
-            hit, value = (lang != other) & low.rlike(p), F.struct(start.alias("start"), end.alias("end"))
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    today = F.to_date(F.lit(now))
+
+    def first(x: Column) -> Column:
+        out = None
+        for spoken, patterns in (("zh", TIMES_ZH), ("en", TIMES_EN)):
+            other = "en" if spoken == "zh" else "zh"
+            for name, p in patterns:
+                groups = [F.regexp_extract(x["low"], p, i) for i in range(1, p.replace("(?", "").count("(") + 1)] or [F.lit("")]
+                start, end = _period(name, today, groups)
+                hit, value = (x["lang"] != other) & x["low"].rlike(p), F.struct(start.alias("start"), end.alias("end"))
+                out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out
+
+    return let(_read(text), first)

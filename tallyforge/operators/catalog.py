@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,3 +158,22 @@ def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(column_name, data_type, change): columns added and removed between two lists of (column_name, data_type)."""
     side = lambda x, y, what: x.exceptAll(y).withColumn("change", F.lit(what))
     return side(new, old, "added").unionByName(side(old, new, "removed"))
+
+
+#: Most columns that a scan of a database's metadata brings in.
+MOST_COLUMNS = 20_000
+
+
+def scanned_columns(read: Callable[[str], DataFrame], schema: str, most: int = MOST_COLUMNS) -> DataFrame:
+    """(table_name, column_name, data_type, position) from a database's information_schema, through ``read`` (a query to a DataFrame).
+
+    A schema of more columns is refused as a whole: a part of it would pass for all.
+    """
+    if not re.fullmatch(r"\w{1,128}", schema):
+        raise ValueError("a plain schema name")
+    ask = f"SELECT table_name, column_name, data_type, ordinal_position FROM information_schema.columns WHERE table_schema = '{schema}'"
+    found = read(ask).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns")
+    spark = SparkSession.active()
+    return spark.createDataFrame([(r[0], r[1], str(r[2]).lower(), int(r[3]) - 1) for r in found], "table_name string, column_name string, data_type string, position int")

@@ -91,6 +91,29 @@ def edit_operations(before: Column, after: Column) -> Column:
     return diff(before, after)
 
 
+def edit_ratio(before: Column, after: Column) -> Column:
+    """How alike two texts are by words, from 0 to 1, rounded to 4 places."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(difflib.SequenceMatcher(None, (x or "").split(), (y or "").split(), autojunk=False).ratio(), 4) for x, y in zip(a, b, strict=True)])
+
+    return ratio(before, after)
+
+
+def rolled_back(history: DataFrame, item: str, version: str, to: DataFrame) -> DataFrame:
+    """``history`` with a new last version of each item in ``to`` (item, version): the content of the version named. Nothing is lost."""
+    last = history.groupBy(item).agg(F.max(version).alias("_last"))
+    again = history.join(to, [item, version]).join(last, item).withColumn(version, F.col("_last") + 1).select(history.columns)
+    return history.unionByName(again)
+
+
+def branched(history: DataFrame, item: str, version: str, source: object, upto: int, target: object) -> DataFrame:
+    """``history`` with versions up to ``upto`` of one item under another name as well."""
+    copied = history.where((F.col(item) == F.lit(source)) & (F.col(version) <= upto)).withColumn(item, F.lit(target).cast(history.schema[item].dataType))
+    return history.unionByName(copied)
+
+
 class VectorTable:
     """Vectors of one dimension under one embedding version; a replacement takes effect at once or not at all."""
 

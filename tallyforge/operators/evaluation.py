@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +73,33 @@ def cost(usage: DataFrame, prices: DataFrame, keys: list[str], by: str) -> DataF
         F.count_if(F.col("prompt_price").isNull()).alias("no_price"),
         F.count_if(F.col("prompt_tokens").isNull() | F.col("completion_tokens").isNull()).alias("no_usage"),
     )
+
+
+def load_levels(work: Callable[[], object], levels: tuple[int, ...] = (1, 2, 4), samples: int = 8, most_p95: float = 30.0, most_errors: float = 0.1) -> list[dict]:
+    """Latency of ``work`` at growing numbers of callers; stops after a level whose 95th percentile or error share is over its limit.
+
+    ``work`` is what a user submits, as a Spark action; Spark schedules the jobs of the callers side by side.
+    """
+    out = []
+    for n in levels:
+        took, errors = [], 0
+
+        def once(_: int) -> float | None:
+            began = time.perf_counter()
+            try:
+                work()
+            except Exception:  # whatever the work raises counts as an error
+                return None
+            return time.perf_counter() - began
+
+        with ThreadPoolExecutor(n) as pool:
+            for seconds in pool.map(once, range(samples * n)):
+                errors += seconds is None
+                took += [seconds] if seconds is not None else []
+        took.sort()
+        p95 = took[min(len(took) - 1, int(0.95 * len(took)))] if took else math.inf
+        level = {"callers": n, "calls": samples * n, "errors": errors, "p50": took[len(took) // 2] if took else math.inf, "p95": p95}
+        out.append(level | {"stopped": p95 > most_p95 or errors / (samples * n) > most_errors})
+        if out[-1]["stopped"]:
+            break
+    return out

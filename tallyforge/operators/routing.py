@@ -6,21 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.functions.patterns import COMPLEXITY, PLANS
 from tallyforge.operators import catalog
 
-#: Fixed values: (complexity, pattern) for English questions, first match wins.
-COMPLEXITY = (
-    ("multi_step", r"first.*then|after.*then|step\s*\d|next.*then|separately|respectively|each"),
-    ("ambiguous", r"or maybe|either|not sure|perhaps|maybe|approximately"),
-    ("complex", r"\bjoin\b|\bcte\b|\bwindow\b|\bgroup\s+by\b.*\bhaving\b|\bpartition\b|\bover\b|vs|versus|compared?\s+to|top\s*\d+|rank|dense_rank"),
-    ("medium", r"\bgroup\s+by\b|sum|avg|count|trend|monthly|daily|weekly"),
-)
-#: Fixed values: (plan, pattern) for SQL texts and questions, first match wins.
-PLANS = (
-    ("gensql_agentic", r"\bjoin\b|\bgroup\s+by\b|\bhaving\b|\bunion\b|\bintersect\b|\bexcept\b|\(\s*select\b|\bcase\s+when\b|\bover\s*\(|row_number|rank\s*\("),
-    ("ez_query", r"^(?:show|list|display|get)\s*\w+|^(?:select\s+)?count\(\*\)|^\s*(?:how|what|which|when|who)"),
-)
-
 
 def first_match(text: Column, rules: tuple, otherwise: str) -> Column:
     """The name of the first rule whose pattern a text in lower case matches."""
@@ -80,6 +68,13 @@ def cached(asked: DataFrame, held: DataFrame, text: str, keep: int) -> DataFrame
     return asked.withColumn("k", norm(F.col(text))).join(alive.select("k", F.lit(True).alias("hit")), "k", "left").drop("k").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def suggested_plans(runs: DataFrame, least: int = 10) -> DataFrame:
+    """``better_plans`` that need attention, with the plan of most success that needs none; null if there is no such plan."""
+    x = better_plans(runs, least)
+    good = x.where(~F.coalesce("attention", F.lit(False))).agg(F.max(F.struct("success", F.negate("edited").alias("e"), "plan"))["plan"].alias("suggested"))
+    return x.where("attention").crossJoin(good)  # one row
+
+
 def better_plans(runs: DataFrame, least: int = 10) -> DataFrame:
     """Plans with enough runs, their success and edit shares and mean rating, and whether they need attention."""
     x = runs.groupBy("plan").agg(

@@ -76,20 +76,45 @@ class Catalog:
         ]
 
 
-def load_catalog(text: str) -> Catalog:
-    """A catalog from JSON: version and metrics; repeated keys and names are refused."""
-    if len(text) > 1 << 20:
-        raise CatalogError("a catalog has 1 MiB at most")
+def _unique(pairs: list[tuple]) -> dict:
+    out: dict = {}
+    for k, v in pairs:
+        if k in out:
+            raise CatalogError(f"repeated key: {k}")
+        out[k] = v
+    return out
+
+
+def _yaml(text: str) -> object:
+    """Plain YAML: no aliases, no repeated keys, no tags beyond the safe ones."""
+    try:
+        import yaml
+    except ImportError:
+        raise CatalogError("PyYAML is not installed: give the catalog as JSON") from None
+
+    class Loader(yaml.SafeLoader):
+        def compose_node(self, parent, index):
+            if self.check_event(yaml.events.AliasEvent):
+                raise CatalogError("no aliases in a catalog")
+            return super().compose_node(parent, index)
+
+        def construct_mapping(self, node, deep=False):
+            return _unique([(self.construct_object(k, deep=True), self.construct_object(v, deep=True)) for k, v in node.value])
+
+    Loader.add_constructor("tag:yaml.org,2002:map", Loader.construct_mapping)
+    try:
+        return yaml.load(text, Loader)  # a safe loader
+    except yaml.YAMLError as e:
+        raise CatalogError(f"no YAML: {str(e).splitlines()[0]}") from None
 
-    def unique(pairs: list[tuple]) -> dict:
-        out: dict = {}
-        for k, v in pairs:
-            if k in out:
-                raise CatalogError(f"repeated key: {k}")
-            out[k] = v
-        return out
 
-    spec = json.loads(text, object_pairs_hook=unique)
+def load_catalog(text: str) -> Catalog:
+    """A catalog from JSON or YAML: version and metrics; repeated keys and names, and aliases, are refused."""
+    if len(text.encode()) > 1 << 20:
+        raise CatalogError("a catalog has 1 MiB at most")
+    spec = json.loads(text, object_pairs_hook=_unique) if text.lstrip().startswith("{") else _yaml(text)
+    if not isinstance(spec, dict) or not {"version", "metrics"} <= set(spec):
+        raise CatalogError("a catalog has a version and metrics")
     metrics = []
     for m in spec["metrics"]:
         if m["aggregation"] not in AGGREGATIONS:

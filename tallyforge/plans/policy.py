@@ -292,3 +292,15 @@ def merged_facts(facts: list[PlanFacts]) -> PlanFacts:
     rows = [x.estimated_rows for x in facts]
     out.estimated_rows = sum(rows) if rows and None not in rows else None
     return out
+
+
+def structure(spark: SparkSession, sql: str) -> dict:
+    """What a text is made of, by its parsed plan: tables, joins, and whether it filters, sorts, groups, nests or names statements."""
+    found = parsed_nodes(spark, sql)
+    kinds = [k for k, _ in found]
+    functions = {n for k, n in found if k == "function"}
+    return {
+        "tables": sorted({n for k, n in found if k == "table"}), "joins": kinds.count("Join") + kinds.count("LateralJoin"), "where": "Filter" in kinds, "order": "Sort" in kinds,
+        "aggregate": "Aggregate" in kinds or bool(functions & {"count", "sum", "avg", "min", "max"}),
+        "subquery": any(k == "expression" and n in ("ScalarSubquery", "Exists", "ListQuery") for k, n in found) or kinds.count("Project") > 1, "cte": "UnresolvedWith" in kinds,
+    }

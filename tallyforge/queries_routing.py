@@ -11,7 +11,7 @@ from tallyforge.session import table
 
 _Q = (
     "concat(CASE event_id % 8 WHEN 0 THEN 'first list then count ' WHEN 1 THEN 'maybe show ' WHEN 2 THEN 'top 5 ' WHEN 3 THEN 'select a join b ' "
-    "WHEN 4 THEN 'daily ' WHEN 5 THEN 'how much ' WHEN 6 THEN 'select x from t group by ' ELSE 'plain ' END, event_type)"
+    "WHEN 4 THEN 'daily ' WHEN 5 THEN 'how much ' WHEN 6 THEN 'select x from t group by ' ELSE CASE event_id % 10 WHEN 1 THEN '列出' WHEN 3 THEN '关联查询' WHEN 5 THEN '或者 ' WHEN 7 THEN '统计' ELSE 'plain ' END END, event_type)"
 )
 
 

@@ -10,23 +10,22 @@ from tallyforge.operators import retrieval
 from tallyforge.registry import query
 from tallyforge.session import table
 
-_A = (
-    "concat('total ', event_type, CASE event_id % 6 WHEN 0 THEN ' by region' WHEN 1 THEN ' per status and average high' WHEN 2 THEN ' recently' "
-    "WHEN 3 THEN ' sorted by price descending' WHEN 4 THEN ' with highest value' ELSE '' END)"
-)
-
-
-def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.expr(_A).alias("q"))
+#: Questions and what they leave open where they aggregate, by hand.
+_OPEN = (
+    ("total click by region", "attribute"), ("total view per status and average of large orders", "attribute,aggregation,range"), ("sum of recently bought", "temporal"), ("total of the past 7 days", ""),
+    ("percentage by type in the past", "attribute,aggregation,temporal"), ("high-value clients", "range"), ("count per user", ""), ("按地区统计平均金额", "attribute,aggregation"), ("最近的大额订单", "range,temporal"),
+    ("最近7天的订单", ""), ("历史上的VIP客户", "range,temporal"), ("按状态", "attribute"), ("", ""),
+)
 
 
 @query(
     "ambiguity",
-    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'attribute' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'attribute,aggregation,range' "
-    "ELSE 'attribute,aggregation,range' END WHEN 2 THEN 'temporal' ELSE '' END AS aspects FROM events",
+    f"SELECT event_id, aspects FROM (SELECT event_id, [{', '.join(f'{chr(39)}{q}{chr(39)}' for q, _ in _OPEN)}][event_id % {len(_OPEN)} + 1] AS q FROM events) "
+    f"JOIN (VALUES {', '.join(f'({chr(39)}{q}{chr(39)}, {chr(39)}{o}{chr(39)})' for q, o in _OPEN)}) AS t(q, aspects) USING (q)",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d).select("event_id", F.array_join(questions.ambiguities(F.col("q"), F.lit("AGGREGATE")), ",").alias("aspects"))
+    q = F.element_at(F.array(*(F.lit(q) for q, _ in _OPEN)), (F.col("event_id") % len(_OPEN) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", F.array_join(questions.ambiguities(q, F.lit("AGGREGATE")), ",").alias("aspects"))
 
 
 #: Questions and the orders that they ask for, by hand.

@@ -65,3 +65,12 @@ def test_declared_schemas():
     for bad in ("DROP TABLE x", "CREATE TABLE a (x INT); CREATE TABLE a (x INT)", "SELECT 1"):
         with pytest.raises(ValueError):
             declared(bad)
+
+
+def test_versions_of_texts(spark):
+    x = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two"), ("b", 1, "uno")], "item string, version int, text string")
+    back = documents.rolled_back(x, "item", "version", spark.createDataFrame([("a", 1)], "item string, version int"))
+    assert sorted(map(tuple, back.collect())) == [("a", 1, "one"), ("a", 2, "two"), ("a", 3, "one"), ("b", 1, "uno")]
+    assert sorted(map(tuple, documents.branched(x, "item", "version", "a", 1, "c").where("item = 'c'").collect())) == [("c", 1, "one")]
+    ratio = spark.createDataFrame([("a b", "a b"), ("a b", "a c"), (None, "x")], "p string, q string").select(documents.edit_ratio(F.col("p"), F.col("q")).alias("r"))
+    assert [r.r for r in ratio.collect()] == [1.0, 0.5, 0.0]

@@ -229,3 +229,34 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     x = table(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n"))
     whole = {(r.window.start, r.event_type): r.n for r in x.collect()}
     assert closed and all(whole[k] == n for k, n in closed.items())
+
+
+def test_catalog_reads_yaml_without_tricks(spark):
+    text = "version: '1'\nmetrics:\n- {name: a, table: t, column: c, aggregation: sum, dimensions: [d]}\n"
+    assert metrics.load_catalog(text).metric("a").dimensions == ("d",)
+    for bad in (
+        "version: '1'\nversion: '2'\nmetrics: []", "version: &v '1'\nmetrics: []\nother: *v", "version: '1'", "- 1", "version: !!python/object/apply:os.getcwd []\nmetrics: []", "a: [", "x" * (1 << 20) + "yy",
+    ):
+        with pytest.raises(metrics.CatalogError):
+            metrics.load_catalog(bad)
+
+
+def test_metadata_scans_are_whole_or_refused(spark):
+    rows = spark.createDataFrame([("t", f"c{i}", "BIGINT", i + 1) for i in range(5)], "a string, b string, c string, d int")
+    assert [tuple(r) for r in catalog.scanned_columns(lambda q: rows, "public").collect()][0] == ("t", "c0", "bigint", 0)
+    for schema, most in (("public", 4), ("x' OR 1=1", 9)):
+        with pytest.raises(ValueError):
+            catalog.scanned_columns(lambda q: rows, schema, most)
+
+
+def test_structure(spark):
+    got = policy.structure(spark, "WITH a AS (SELECT * FROM t) SELECT k, count(*) FROM a JOIN u USING (k) WHERE k IN (SELECT k FROM w) GROUP BY k ORDER BY 2")
+    assert got == {"tables": ["t", "u", "w"], "joins": 1, "where": True, "order": True, "aggregate": True, "subquery": True, "cte": True}
+    assert policy.structure(spark, "SELECT x FROM t") == {"tables": ["t"], "joins": 0, "where": False, "order": False, "aggregate": False, "subquery": False, "cte": False}
+
+
+def test_load_levels_stop(spark):
+    levels = evaluation.load_levels(lambda: spark.range(10).count(), (1, 2), 2)
+    assert [x["callers"] for x in levels] == [1, 2] and not levels[0]["errors"]
+    levels = evaluation.load_levels(lambda: 1 / 0, (1, 2), 2)
+    assert len(levels) == 1 and levels[0]["stopped"] and levels[0]["errors"] == 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import questions
 from tallyforge.functions import text as tx
-from tallyforge.operators import catalog, learning, retrieval, search
+from tallyforge.operators import catalog, learning, retrieval, routing, search
 from tallyforge.plans.policy import _kind, physical_nodes
 
 
@@ -125,3 +125,16 @@ def test_small_values(spark):
     assert score("total", "the amount paid", "amount") == 0.75 and score("total", "the amount paid", "amount", True) == 0.7
     assert score("order_total", None, "total") == 0.65 and score("id", None, "user id") == 0.6 and score("id", None, "user id", True) == 0.65 and score("a", "", "z") == 0.0
     assert len(tx.STOP_WORDS) == len(set(tx.STOP_WORDS)) == 98
+
+
+def test_a_plan_in_need_gets_a_better_one(spark):
+    runs = [("good", True, 0, 5)] * 12 + [("poor", False, 3, 1)] * 12 + [("fair", True, 0, 4)] * 5
+    x = spark.createDataFrame(runs, "plan string, ok boolean, edits int, rating int")
+    assert [(r.plan, r.suggested) for r in routing.suggested_plans(x).collect()] == [("poor", "good")]
+    assert [r.suggested for r in routing.suggested_plans(x.where("plan = 'poor'")).collect()] == [None]
+
+
+def test_an_absent_question_finds_no_answer(spark):
+    x = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert retrieval.cached_answers(x.where("vec_id = 77"), x, 0.05).count() == 0
+    assert [tuple(r) for r in retrieval.cached_answers(x.where("vec_id = 3"), x.where("vec_id < 3"), 0.05).collect()] == []
