@@ -14,8 +14,8 @@ vector in one pass; a pass keeps k scores per query and task.
 Cases: vectors that are null or hold a null or a value that is not finite take no part,
 nor do rows without an id; shorter vectors are padded with zeros. Equal scores go to
 the smaller id. A query id that repeats is answered once, from its least vector, and
-leaves out all rows of its id; other repeated rows are candidates each. Vectors so long
-that a score might not fit into 64 bits are refused. Other columns are not looked at,
+leaves out all rows of its id; other repeated rows are candidates each. Ids that are no
+whole numbers, and vectors so long that a score might not fit into 64 bits, are refused. Other columns are not looked at,
 whatever their names. An empty table gives an empty result.
 """
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyforge.llm._scratch import Scope, keep
@@ -142,6 +143,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
 def _top_k(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int, scale: int) -> DataFrame:
     spark = vectors.sparkSession
+    if not isinstance(vectors.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} holds no whole numbers")
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
