@@ -92,6 +92,37 @@ def test_scratch_tables_belong_to_their_scope(spark):
     assert _scratch.scratch_root(cluster).startswith("file:///")
 
 
+def test_very_long_texts(spark, labels):
+    """A text of some megabytes beside a short one that shares a passage with it, through every operator."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(5000)] + ["été", "中文", "it's", "12", "#"]
+    words = rng.choices(vocabulary, k=350_000)
+    key = "Zx8Qv2LmT7pRw4Ks9YbN1cJd"
+    long = " ".join(words[:200_000]) + f"\nbearer {key} Apache License GPLv3\n" + " ".join(words[200_000:])
+    short = " ".join(words[1000:1040])
+    df = spark.createDataFrame([(5, short, "en", "a"), (7, long, "en", "b"), (9, long, None, "b"), (11, None, "en", None)], "doc_id long, text string, lang string, source string")
+    texts = {5: short, 7: long, 9: long, 11: ""}
+    n = {i: len(WORD.findall(t)) for i, t in texts.items()}
+
+    got = {r.doc_id: r for r in secrets.op1_secrets(df).collect()}
+    assert got[7].spans == got[9].spans and f"novel:{long.index(key)}:{long.index(key) + len(key)}" in got[7].spans and got[5].spans == ""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert all(r.ids_sha256 == hashlib.sha256(np.array(t.encode(texts[r.doc_id]).ids, "<u4").tobytes()).hexdigest() for r in bpe.op2_bpe(df).collect())
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts_of(texts[r.doc_id]) for r in quality.op3_quality(df, labels).collect())
+    assert {(r.doc_id, r.class_id) for r in neardup.op5_near_duplicates(df).collect()} == {(5, 5), (7, 7), (9, 7), (11, 11)}
+    scored = {r.doc_id: r for r in ctw.op6_ctw(df).collect()}
+    assert all(scored[i].n_tokens == n[i] + 1 for i in n) and scored[7].score == scored[9].score < scored[5].score < 0
+    cut = {r.doc_id: r for r in phrases.op7_repeated_phrases(df).collect()}
+    assert (cut[5].n_removed, cut[7].n_removed, cut[9].n_removed) == (0, 40, n[9])
+    assert {r.doc_id: r.lang_pred for r in langid.identify_languages(df, F.lit(True)).collect()} == {5: "en", 7: "en", 9: "en", 11: "und"}
+    assert {r.doc_id: r.size for r in mixing.op9_mix_sources(df).collect()} == n
+    found = {r.doc_id: r for r in licenses.op10_license_scan(df).collect()}
+    assert (found[7].n_base, found[7].labels, found[5].labels) == (1, "apache,gpl", "")
+
+
 # 1: secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -378,6 +409,8 @@ def test_top_k_takes_many_blocks_and_refuses_scores_beyond_64_bits(spark, monkey
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.op4_top_k(df).collect()) == want
     with pytest.raises(ValueError):
         topk.op4_top_k(spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e7, 0.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
 
 
 # 5: near-duplicates
