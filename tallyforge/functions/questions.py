@@ -14,7 +14,13 @@ TIME_WORDS = (
     r"q[1-4]|ytd|qtd|mtd|holidays?)\b"
 )
 TIME_SIGNS = "季度 周 月 年 天 日 时间 期间 前 后 以来 至今 假期 春节".split()
-TABLES = (r"\b(?:from|table)\s+(\S+)", r"\bthe\s+(\S+)\s+table\b")
+#: Fixed values: (language, pattern) that name a table in the group.
+TABLES = (
+    ("zh", r"从\s*(\S+?)\s*(?:表|中|里)"),
+    ("zh", r"(?:查询|查找|获取|读取|统计|分析|关联|从|在|的)?(\S{1,4})表(?:格|中|里|的)?"),
+    ("en", r"\b(?:from|table)\s+(\S+)"),
+    ("en", r"\bthe\s+(\S+)\s+table\b"),
+)
 QUOTED = r"[\u300c\u300e\"']([^'\"\u300c\u300d\u300e\u300f]+)['\"\u300d\u300f]"
 
 
@@ -50,11 +56,26 @@ def shifted_range(text: Column, now: str) -> Column:
 
 
 def named_tables(text: Column) -> Column:
-    """Tables that an English question names, by pattern, then place; final marks are cut off."""
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in TABLES))
+    """Tables that a question names, by pattern, then place; Chinese patterns count in Chinese and mixed texts, English ones in English and mixed. Final marks are cut off."""
+    lang, none = texts.language(text), F.array().cast("array<string>")
+    found = F.concat(*(F.when(lang != ("en" if spoken == "zh" else "zh"), F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1)).otherwise(none) for spoken, p in TABLES))
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"[,.;\x{ff0c}\x{3002}\x{ff1b}]+$", "")), lambda x: x != ""))
 
 
+def quoted_entities(text: Column) -> Column:
+    """array<struct<value,first,past>>: what stands in quotes, trimmed, and the places of the untrimmed text, from 0."""
+    whole = F.regexp_extract_all(text, F.lit(QUOTED), 0)  # the first place from the last match on that holds the whole match is the match
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<value:string,first:int,past:int>>").alias("found"))
+
+    def add(state: Column, match: Column) -> Column:
+        at = F.position(match, text, state["at"]).cast("int")
+        size = F.length(match)
+        value = F.struct(F.trim(F.substring(match, F.lit(2), size - 2)).alias("value"), at.alias("first"), (at + size - 2).alias("past"))
+        return F.struct((at + size).alias("at"), F.concat(state["found"], F.array(value)).alias("found"))
+
+    return F.filter(F.aggregate(whole, start, add)["found"], lambda x: x["value"] != "")
+
+
 def quoted_values(text: Column) -> Column:
     """What stands in quotes, in order."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), F.trim), lambda x: x != "")

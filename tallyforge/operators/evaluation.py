@@ -64,7 +64,7 @@ def paired(a: DataFrame, b: DataFrame, key: str, good: str) -> DataFrame:
 
 def cost(usage: DataFrame, prices: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Exact cost by ``by``: tokens times decimal prices; null with a reason where a price or a count is missing."""
-    x = usage.join(F.broadcast(prices), keys, "left")
+    x = usage.join(prices, keys, "left")
     each = (F.col("prompt_tokens").cast("decimal(18,0)") * F.col("prompt_price") + F.col("completion_tokens").cast("decimal(18,0)") * F.col("completion_price"))
     x = x.withColumn("cost", each / F.lit(1_000_000).cast("decimal(7,0)"))
     complete = F.count("*") == F.count("cost")

@@ -168,3 +168,18 @@ def term_documents(terms: DataFrame, domain: str) -> DataFrame:
     english = F.when(F.coalesce("english", F.lit("")) != "", F.concat(F.lit("("), "english", F.lit(")")))
     parts = [F.concat(F.lit("业务术语: "), "term"), english, part("描述: ", "description"), part("SQL表达式: ", "expression"), part("关联表: ", "table_name")]
     return terms.select(F.concat_ws(".", F.lit("glossary"), F.lit(domain), "term").alias("doc_id"), F.concat(F.concat_ws("。", *parts), F.lit("。")).alias("text"))
+
+
+def rule_documents(rules: DataFrame, domain: str) -> DataFrame:
+    """(doc_id, text): a searchable document per rule (rule, description, pattern, directives), empty parts left out."""
+    part = lambda label, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(label), c))
+    said = rules.withColumn("enforced", F.array_join("directives", "; "))
+    parts = [F.concat(F.lit("业务规则: "), "rule"), part("描述: ", "description"), part("条件: ", "pattern"), part("约束: ", "enforced")]
+    return said.select(F.concat_ws(".", F.lit("rules"), F.lit(domain), "rule").alias("doc_id"), F.concat(F.concat_ws("。", *parts), F.lit("。")).alias("text"))
+
+
+def merged_items(items: DataFrame, key: str, content: str, updated: str) -> DataFrame:
+    """(key, version, contents, updated): items of one key as one, its version their number, each content once, newest first."""
+    newest = F.array_sort(F.collect_list(F.struct(F.col(updated).alias("u"), F.col(content).alias("c"))), lambda a, b: F.when(a["u"] > b["u"], -1).when(a["u"] < b["u"], 1).when(a["c"] < b["c"], -1).when(a["c"] > b["c"], 1).otherwise(0))
+    once = items.where(F.col(key).isNotNull()).groupBy(key, content).agg(F.max(updated).alias(updated), F.count("*").alias("_n"))
+    return once.groupBy(key).agg(F.sum("_n").alias("version"), F.transform(newest, lambda x: x["c"]).alias("contents"), F.max(updated).alias(updated))

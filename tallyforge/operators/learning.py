@@ -151,3 +151,17 @@ def meaningful_edit(before: Column, after: Column) -> Column:
         has_word = has_word | tail.contains(w)
     present = (F.coalesce(before, F.lit("")) != "") & (F.coalesce(after, F.lit("")) != "")
     return present & F.when(a == b, False).when(b.startswith(a), has_word).otherwise(True)
+
+
+def history_plan(asked: DataFrame, history: DataFrame, tokens: Callable[[Column], Column], available: list[str], least: float = 0.6, k: int = 5) -> DataFrame:
+    """(ask_id, plan, wins): the plan with most successes among the ``k`` closest of history (id, question, plan, ok); ties by name."""
+    near = similar_questions(asked, history, tokens, least, k).select("ask_id", "id")
+    won = near.join(history.select("id", "plan", "ok"), "id").where(F.col("ok") & F.col("plan").isin(available))
+    count = won.groupBy("ask_id", "plan").agg(F.count("*").alias("wins"))
+    best = F.min(F.struct((-F.col("wins")).alias("w"), "plan"))
+    return count.groupBy("ask_id").agg(best.alias("b")).select("ask_id", "b.plan", (-F.col("b.w")).alias("wins"))
+
+
+def hit_rates(asked: DataFrame, by: str) -> DataFrame:
+    """(by, asked, hits, rate) of questions with a flag ``hit``."""
+    return asked.groupBy(by).agg(F.count("*").alias("asked"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import questions
 from tallyforge.functions import text as tx
-from tallyforge.operators import catalog, learning, retrieval, routing, search
+from tallyforge.operators import catalog, knowledge, learning, retrieval, routing, search
 from tallyforge.plans.policy import _kind, physical_nodes
 
 
@@ -138,3 +138,42 @@ def test_an_absent_question_finds_no_answer(spark):
     x = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert retrieval.cached_answers(x.where("vec_id = 77"), x, 0.05).count() == 0
     assert [tuple(r) for r in retrieval.cached_answers(x.where("vec_id = 3"), x.where("vec_id < 3"), 0.05).collect()] == []
+
+
+def test_a_stream_is_admitted_as_a_table(spark, tmp_path):
+    from tallyforge.streaming.admission import admitted_stream
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), 1_700_000_000 + i * 7) for i in range(120)]
+    x = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    for part in (0, 1):  # two triggers, in order of time
+        x.where((F.unix_timestamp("ts") < 1_700_000_420) == (part == 0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = admitted_stream(stream, "k", "ts", 2).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.key, str(r.ts), r.admitted) for r in spark.table("admitted").collect())
+    assert got == sorted((r.k, str(r.ts), r.admitted) for r in learning.admitted(x, "k", "ts", 2).collect())
+
+
+def test_history_names_a_plan(spark):
+    held = [(1, "count orders by city", "a", True), (2, "count orders by town", "b", True), (3, "count orders by city!", "b", True), (4, "Count orders, by city", "b", False), (5, "other words", "c", True)]
+    history = spark.createDataFrame(held, "id int, question string, plan string, ok boolean")
+    asked = spark.createDataFrame([(1, "count orders by city"), (2, "nothing alike"), (3, "")], "ask_id int, question string")
+    assert [tuple(r) for r in learning.history_plan(asked, history, tx.english_tokens, ["a", "b"], 0.5).collect()] == [(1, "b", 2)]
+    rates = learning.hit_rates(spark.createDataFrame([("x", True), ("x", False), ("y", False)], "k string, hit boolean"), "k")
+    assert sorted(map(tuple, rates.collect())) == [("x", 2, 1, 0.5), ("y", 1, 0, 0.0)]
+
+
+def test_entities_have_places(spark):
+    text = "a \"a\" and ' b c ' or 「中文」 and \"\" end"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "q string").select(questions.quoted_entities(F.col("q")).alias("e")).collect()
+    assert [(x.value, text[x.first : x.past]) for x in got[0].e] == [("a", "a"), ("b c", " b c "), ("中文", "中文")] and got[1].e == []
+    tables = spark.createDataFrame([("查询订单表的金额",), ("from orders, and the users table",)], "q string").select(questions.named_tables(F.col("q")).alias("t")).collect()
+    assert "订单" in tables[0].t[0] and tables[1].t == ["orders", "users"]
+
+
+def test_rules_and_items_become_documents(spark):
+    rules = spark.createDataFrame([("r1", "net only", "sum", ["precision=2", "require=net"]), ("r2", None, None, [])], "rule string, description string, pattern string, directives array<string>")
+    assert [r.text for r in knowledge.rule_documents(rules, "shop").orderBy("doc_id").collect()] == ["业务规则: r1。描述: net only。条件: sum。约束: precision=2; require=net。", "业务规则: r2。"]
+    items = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "x", 2), ("b", "z", 1), (None, "z", 1)], "k string, c string, u int")
+    assert sorted((r.k, r.version, r.contents, r.u) for r in knowledge.merged_items(items, "k", "c", "u").collect()) == [("a", 3, ["y", "x"], 3), ("b", 1, ["z"], 1)]
