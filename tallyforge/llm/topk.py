@@ -4,7 +4,7 @@ Components become whole numbers, so scores are exact. The vectors' second moment
 a rotation that puts most of their length into the first coordinates. Vectors lie in
 order of descending length; for each query a lower limit of its k-th score is known
 from the longest vectors, and grows. A vector is dropped as soon as the partial sum
-over the first coordinates plus the Cauchy-Schwarz bound on the rest, the product of
+over the coordinates so far plus the Cauchy-Schwarz bound on the rest, the product of
 the two residual lengths, cannot reach the limit; scores of all others are worked out
 in whole numbers.
 
@@ -36,6 +36,8 @@ from tallyforge.llm._scratch import Scope, keep
 SCALE = 1024
 #: Queries in a block, the longest vectors that seed the limits, and rows of a step.
 BLOCK, SEEDS, STEP = 2048, 2048, 2048
+#: Partial sums end once fewer pairs than this share can still count.
+FEW = 0.01
 NONE = np.iinfo(np.int64).min
 
 
@@ -98,35 +100,44 @@ class BestOf:
 
 
 class Rotation:
-    """Coordinates in which the first few carry most of the length."""
+    """Coordinates in which the first few carry most of the length, taken some at a time."""
 
-    def __init__(self, moments: np.ndarray, first: int = 16):
+    def __init__(self, moments: np.ndarray, step: int = 16):
         values, vectors = np.linalg.eigh(moments)
         self.axes = vectors[:, np.argsort(-values)]
-        self.first = min(first, len(moments))
+        self.ends = [*range(step, len(moments), step), len(moments)]
 
     def split(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first coordinates, length of the rest) of each row."""
+        """(coordinates, lengths of what is left: of all, then after each stage) of each row."""
         r = m.astype(float) @ self.axes
-        return r[:, : self.first], np.sqrt((r[:, self.first :] ** 2).sum(axis=1))
+        after = np.cumsum((r * r)[:, ::-1], axis=1)[:, ::-1]
+        return r, np.sqrt(np.column_stack([after[:, [0, *self.ends[:-1]]], np.zeros(len(r))]))
 
 
 def compare(best: BestOf, floor: np.ndarray, ids: np.ndarray, queries: np.ndarray, q_split, cand_ids: np.ndarray, cands: np.ndarray, rotation: Rotation) -> int:
-    """Meet queries with candidates; returns how many scores had to be worked out."""
+    """Meet queries with candidates; returns how many scores had to be worked out in whole numbers.
+
+    Partial sums grow stage by stage until few pairs can still reach their query's limit.
+    """
     worked = 0
-    q_first, q_rest = q_split
-    q_norm = np.sqrt((q_first**2).sum(axis=1) + q_rest**2)
+    q_at, q_rest = q_split
     for at in range(0, len(cands), STEP):
         m, v = cands[at : at + STEP], cand_ids[at : at + STEP]
-        first, rest = rotation.split(m)
-        norm = np.sqrt((first**2).sum(axis=1) + rest**2)
+        c_at, c_rest = rotation.split(m)
+        longest = c_rest[:, 0].max(initial=0)
         limit = np.maximum(floor, best.limit()).astype(float)
-        slack = 1e-9 * q_norm * norm.max(initial=0) + 1e-6
-        live = np.flatnonzero(q_norm * norm.max(initial=0) >= limit - slack)
+        slack = 1e-9 * q_rest[:, 0] * longest + 1e-6
+        live = np.flatnonzero(q_rest[:, 0] * longest >= limit - slack)
         if not len(live):
             continue
-        bound = q_first[live] @ first.T + q_rest[live, None] * rest[None, :]
-        qi, ci = np.nonzero((bound >= (limit - slack)[live, None]) & (v[None, :] != ids[live, None]))
+        least, part, begin = (limit - slack)[live, None], np.zeros((len(live), len(m))), 0
+        for stage, end in enumerate(rotation.ends, 1):
+            part += q_at[live, begin:end] @ c_at[:, begin:end].T
+            open_ = part + q_rest[live, stage, None] * c_rest[None, :, stage] >= least
+            begin = end
+            if np.count_nonzero(open_) < FEW * open_.size:
+                break
+        qi, ci = np.nonzero(open_ & (v[None, :] != ids[live, None]))
         qi = live[qi]
         for a in range(0, len(qi), 1 << 18):
             q, c = qi[a : a + (1 << 18)], ci[a : a + (1 << 18)]
