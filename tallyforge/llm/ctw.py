@@ -308,7 +308,9 @@ def score_documents(
         f"doc_id {kind.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double, bits_per_byte double"
     )
-    return picked.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, out)
+    parts = 2 * max(1, picked.select("chunk").distinct().count())  # so that a task meets a few chunks at most, at any size
+    dealt = lambda x: x.repartition(parts, "chunk").groupBy("chunk")
+    return dealt(picked).cogroup(dealt(known)).applyInArrow(run, out)
 
 
 def op6_ctw(docs: DataFrame) -> DataFrame:
