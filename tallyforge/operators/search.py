@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.operators import retrieval
 from tallyforge.sources.versions import Versions
@@ -65,19 +66,27 @@ class PostingsIndex:
         """Drop the documents with ids in column doc_id."""
         return self._write(self._without("postings", ids), self._without("lengths", ids))
 
+    def _read(self, folder: str, part: str) -> DataFrame:
+        """A part of a version; postings of no document at all have no file that tells their columns."""
+        lengths = self.spark.read.parquet(f"{folder}/lengths")
+        if part == "lengths":
+            return lengths
+        more = [T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
+        return self.spark.read.schema(T.StructType([*lengths.schema.fields, *more])).parquet(f"{folder}/postings")
+
     def _without(self, part: str, ids: DataFrame) -> DataFrame:
-        return self.spark.read.parquet(f"{self.versions.current()}/{part}").join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+        return self._read(self.versions.current(), part).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
     def search(self, terms: list[str], k: int, where: Column | None = None) -> DataFrame:
         """(doc_id, score): the ``k`` best documents by BM25 for any of ``terms``; ``where`` is over the fields, and so are all counts."""
         folder, asked = self.versions.current(), list(dict.fromkeys(terms))
         buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in asked})
-        x = self.spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+        x = self._read(folder, "postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
         if where is None:
             stats = self.spark.read.parquet(f"{folder}/stats")
         else:
             x = x.where(where)
-            stats = self.spark.read.parquet(f"{folder}/lengths").where(where).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+            stats = self._read(folder, "lengths").where(where).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
         df = x.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term asked
         y = x.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # and one row
         idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.session import require_revision
@@ -122,10 +123,17 @@ def _require_table(spark: SparkSession, name: str, tables: set[str] | None) -> N
     if _FILE_NAME.search(name):
         raise PolicyViolation(f"files are no tables: {name}")
     database = name.rpartition(".")[0]
-    if database and not spark.catalog.databaseExists(database):
+    if database and not _database_exists(spark, database):
         raise PolicyViolation(f"no such database: {database}")
 
 
+def _database_exists(spark: SparkSession, name: str) -> bool:
+    try:
+        return spark.catalog.databaseExists(name)
+    except AnalysisException:  # a catalog that is not configured
+        return False
+
+
 def require_read_query(spark: SparkSession, sql: str, tables: set[str] | None = None) -> str:
     """The text, if it is one read; EXPLAIN of a read is one too. ``tables`` are all that it may name."""
     for pattern, what in _LEXICAL:

@@ -33,7 +33,7 @@ def test_gate_refuses(spark, sf, sql):
         policy.run_query(spark, sql)
 
 
-@pytest.mark.parametrize("form", ["parquet.`{}/region.parquet`", "`parquet`.`{}/region.parquet`", "json.`{}`", "`{}/region.parquet`", "text.`/etc/hostname`", "`file.csv`", "no_database.region"])
+@pytest.mark.parametrize("form", ["parquet.`{}/region.parquet`", "`parquet`.`{}/region.parquet`", "json.`{}`", "`{}/region.parquet`", "text.`/etc/hostname`", "`file.csv`", "no_database.region", "no_catalog.a.region"])
 def test_no_file_is_read(spark, sf, form):
     with pytest.raises(policy.PolicyViolation):
         policy.run_query(spark, f"SELECT count(*) FROM {form.format(sf)}")

@@ -44,6 +44,15 @@ def test_documents_are_replaced_at_once(index, spark):
     assert x.search(["unheardof"], 5).count() == 0 and x.versions.current() != before
 
 
+def test_an_index_of_nothing_answers(spark, tmp_path):
+    x = search.PostingsIndex(spark, str(tmp_path / "none"), fields=("lang",))
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    x.build(docs, tx.english_tokens(F.col("text")))
+    assert x.search(["a"], 3).count() == 0
+    x.replace(spark.createDataFrame([(1, "some words", "en"), (2, None, None)], docs.schema), tx.english_tokens(F.col("text")))
+    assert [r.doc_id for r in x.search(["words"], 3).collect()] == [1] and x.search(["words"], 3, F.col("lang") == "de").count() == 0
+
+
 def test_fields_of_the_dense_arm_win(spark):
     sparse = spark.createDataFrame([("a", 3.0, "s"), ("b", 2.0, "s")], "id string, score double, side string")
     dense = spark.createDataFrame([("b", 0.9, "d"), ("c", 0.8, None), ("c", 0.1, "later")], "id string, score double, side string")
