@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm._scratch import Scope, keep, sweep
 
 #: A chunk ends once its texts have so many bytes, or it has so many rows; its codes and words fit in a task.
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 15
+CHUNK_BYTES, CHUNK_ROWS = 14 << 20, 1 << 15
 EDGE = 0xFF  # never a byte of UTF-8: stands before a text and ends it
 END = b""  # the end token among words
 LOG10E = math.log10(math.e)
