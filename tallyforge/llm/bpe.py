@@ -321,7 +321,7 @@ def normal(text: str) -> str:
 def _kind(c: str) -> str:
     """Class of a character as to cuts: L letter, N number, S white space, O other; "" where a cut before it is not safe."""
     k = unicodedata.category(c)
-    if c.isspace():
+    if c.isspace() and not "\x1c" <= c <= "\x1f":  # separators that are white space to Python alone
         return "S"
     if k[0] == "M" or k == "Cn" or "\u1160" <= c <= "\u11ff":  # marks and medial or final Hangul letters join what stands before them
         return ""

@@ -252,6 +252,9 @@ def test_bpe_cut_anywhere_equals_the_library(monkeypatch):
         for _ in range(60):
             text = "".join(rng.choices(letters, k=rng.randint(1, 400)))
             assert np.frombuffer(b"".join(bpe.encode_pieces(text, cache)), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for c in "\x0b\x1c\x1d\x1e\x1f\x85\xa0\u180e\u200b\u2028\u3000":
+        text = f"-{c}{c}-a{c}b" * 40
+        assert np.frombuffer(b"".join(bpe.encode_pieces(text, cache)), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_the_lookahead_alone_is_sufficient(monkeypatch):
