@@ -93,7 +93,7 @@ def bundle(distinct: np.ndarray, place: np.ndarray, which: np.ndarray, n: int, d
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=8 << 20):
+    for batch in slices(batches, most=2 << 20):
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
         number = np.array([names.index(x) for x in langs])
@@ -151,7 +151,7 @@ def identify_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vectors = model.value
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=2 << 20):
             distinct, place, which, has = letter_runs([x or "" for x in batch.column("text").to_pylist()])
             sums = bundle(distinct, place, which, batch.num_rows, dims)
             sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
