@@ -89,8 +89,9 @@ def mix_sources(
     span = levels * bits
     with Scope(docs.sparkSession) as passing:
         sized = _keyed(docs, id_col, text_col, source_col, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-        sized = keep(sized, "mix-keys")
-        sized = passing.hand_over(_numbered(sized, keep(_repeated(sized), "mix-repeated"), span), "mix-sizes")
+        sized = passing.hand_over(sized, "mix-keys")
+        again = keep(_repeated(sized), "mix-repeated")
+        sized = sized.withColumn("h", _hash(F.col("k"), span)) if again.isEmpty() else passing.hand_over(_numbered(sized, again, span), "mix-sizes")
         edges, dealt = _thresholds(sized, weights, most, levels, bits)
         edges = passing.hand_over(edges, "mix-edges")
     return (
@@ -110,10 +111,11 @@ def mixed(
     with Scope(docs.sparkSession) as passing:
         sized = keep(full.drop("row"), "mix-keys")
         again = passing.hand_over(_repeated(sized), "mix-repeated")
-        sized = keep(_numbered(sized, again, span), "mix-sizes")
+        once = again.isEmpty()
+        sized = sized.withColumn("h", _hash(F.col("k"), span)) if once else keep(_numbered(sized, again, span), "mix-sizes")
         edges, dealt = _thresholds(sized, weights, most, levels, bits)
         edges = passing.hand_over(edges, "mix-edges")
-        if again.isEmpty():
+        if once:
             rows = full.withColumn("h", _hash(F.col("k"), span))
         else:  # only repeated rows are moved, to be numbered
             rest = full.join(again, [*key, "k"], "left_anti").withColumn("h", _hash(F.col("k"), span))
@@ -146,8 +148,6 @@ def _numbered(rows: DataFrame, again: DataFrame, span: int) -> DataFrame:
     Numbers run within each input partition, after the counts of the partitions before it.
     """
     key = ["src", "src_null", "k"]
-    if again.isEmpty():
-        return rows.withColumn("h", _hash(F.col("k"), span)).drop("part")
     some = rows.join(again, key, "left_semi")
     before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = some.groupBy(*key, "part").agg(F.count("*").alias("n"))  # a row for each partition that holds the key
