@@ -64,3 +64,16 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n]
     return mix(out)
+
+
+def pieces(clean: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text whose only separators are spaces in parts of about ``most`` bytes, cut where a word ends; a longer word comes whole."""
+    at = 0
+    while at < len(clean):
+        upto = at + most
+        if upto < len(clean):
+            cut = clean.rfind(b" ", at, upto)
+            cut = cut if cut >= 0 else clean.find(b" ", upto)
+            upto = cut + 1 if cut >= 0 else len(clean)
+        yield clean[at:upto]
+        at = upto

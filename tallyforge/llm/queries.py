@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, ctw, langid, licenses, mixing, neardup, phrases, quality, secrets, topk
+from tallyforge.llm import bpe, conversations, ctw, decontamination, langid, licenses, mixing, neardup, periodic, phrases, quality, secrets, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": lambda spark, d: langid.op8_language_id(_docs(spark, d)),
         "op9_mix_sources": lambda spark, d: mixing.op9_mix_sources(_docs(spark, d)),
         "op10_license_scan": lambda spark, d: licenses.op10_license_scan(_docs(spark, d)),
+        "op11_conversation_trie": lambda spark, d: conversations.op11_conversation_trie(spark.read.parquet(f"{d}/conversations.parquet")),
+        "op12_decontamination": lambda spark, d: decontamination.op12_decontamination(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+        "op13_periodic_runs": lambda spark, d: periodic.op13_periodic_runs(_docs(spark, d)),
     }
 
 
@@ -68,7 +71,48 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FRO
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+#: CRC-32 of the decimal digits of conv_id.
+_CRC32 = (
+    "xor(4294967295, list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), "
+    "lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+_TRIE = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS p FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, p, {_CRC32} % 6 AS h FROM own),
+r AS (SELECT c.conv_id, coalesce(list_slice(b.p, 1, h), []) || list_slice(c.p, h + 1, len(c.p)) AS p FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+x AS (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM r),
+n AS (
+    SELECT list_slice(p, 1, d) AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p) = d), '')) AS ends_sha256
+    FROM x GROUP BY list_slice(p, 1, d), d
+), s AS (
+    SELECT n.*, (SELECT count(*) FROM n u WHERE u.d = n.d + 1 AND list_slice(u.k, 1, n.d) = n.k) AS n_children,
+        CASE WHEN d > 0 THEN (n_convs - 1) * length(k[d].text) ELSE 0 END AS saved FROM n
+), up AS (SELECT list_slice(k, 1, a) AS k, a AS d, n_children, saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM s)),
+sub AS (SELECT k, d, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY k, d)
+SELECT s.conv_id, s.d AS depth, q.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+FROM s JOIN sub ON sub.d = s.d AND sub.k = s.k LEFT JOIN n q ON q.d = s.d - 1 AND q.k = list_slice(s.k, 1, s.d - 1)
+"""
+_LOW = "regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTAMINATED = f"""
+WITH d AS (SELECT doc_id, list_filter({_LOW}, lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter({_LOW}, lambda x: x <> '') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS k FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(k) AS n FROM g),
+p AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, n, i FROM p JOIN g USING (k)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(n)) AS j FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for queries that it can express; the others are tested against brute-force versions."""
-    return {"op4_top_k": _TOP_K, "op5_near_duplicates": _NEAR, "op7_repeated_phrases": _REPEATED}
+    return {"op4_top_k": _TOP_K, "op5_near_duplicates": _NEAR, "op7_repeated_phrases": _REPEATED, "op11_conversation_trie": _TRIE, "op12_decontamination": _CONTAMINATED}
