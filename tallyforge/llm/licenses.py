@@ -3,8 +3,10 @@ and a shunting-yard parser evaluates and/or/with licence expressions after a tag
 
 Identifiers come from families and their versions by rule; each gives the label of its
 family, a whole identifier with its version, and the ways in which notices write it
-("GPLv3", "GPL version 3", "BSD 3-Clause License"). An evaluated expression tells the
-licences that bind whatever is chosen from those that are only offered.
+("GPLv3", "GPL version 3", "BSD 3-Clause License"). Names that products share ("Python
+2.0") count only where the text names a licence next to them or writes the identifier
+itself. An evaluated expression tells the licences that bind whatever is chosen from those
+that are only offered.
 
 Words are runs of letters a-z (A-Z folded), digits and anything beyond ASCII. A null
 text is empty; a very long one is scanned whole, in linear time. Repeated places are all
@@ -81,6 +83,11 @@ FAMILIES = {
     "Unlicense": ("unlicense", ""), "UPL": ("upl", "1.0"), "Vim": ("vim", ""), "W3C": ("w3c", ""), "WTFPL": ("wtfpl", ""), "X11": ("x11", ""),
     "Zend": ("zend", "2.0"), "Zlib": ("zlib", ""), "ZPL": ("zpl", "1.1 2.0 2.1"),
 }
+#: Families whose names also stand for products or other things; their bare name and version tell no licence.
+PRODUCTS = (
+    "AFL", "Apache", "Artistic", "BlueOak", "CAL", "CPL", "ECL", "EFL", "HPND", "ICU", "IPL", "LPL", "OpenSSL", "PHP", "PostgreSQL", "PSF",
+    "Python", "Ruby", "Unicode", "UPL", "Vim", "W3C", "X11", "Zend", "Zlib",
+)
 #: Families whose identifiers may end in -only, -or-later or a plus sign.
 GNU = ("AGPL", "GFDL", "GPL", "LGPL")
 
@@ -99,28 +106,40 @@ def identifiers() -> dict[str, tuple[str, str]]:
 KNOWN = identifiers()
 
 
-def identifier_phrases() -> dict[str, tuple[str, str]]:
-    """(label, identifier) by the ways in which notices write a licence and its version; none of one plain word."""
-    out: dict[str, tuple[str, str]] = {}
+def identifier_phrases() -> dict[str, tuple[str, str, bool]]:
+    """(label, identifier, whether a licence must be named close by) by the ways in which notices write a licence and its version."""
+    out: dict[str, tuple[str, str, bool]] = {}
     for family, (label, versions) in FAMILIES.items():
         name = " ".join(re.findall("[a-z0-9]+", family.lower()))
         for version in versions.split(" "):
             identifier = f"{family}-{version}" if version else family
             words = " ".join(re.findall("[a-z0-9]+", version.lower()))
             forms = [f"{name} {words} license", f"{name} {words} licence"] if version else [f"{name} license", f"{name} licence"]
+            bare = []
             if re.match(r"\d+\.\d", version):
                 short = words.removesuffix(" 0")
-                forms += [f"{name} {w} {v}" for w in ("version", "license version", "v") for v in (words, short)]
-                forms += [f"{name} {words}", f"{name} v{words}", f"{name} v{short}", f"{name}v{words}", f"{name}v{short}", f"{name}{words}"]
-                forms += [f"{name}{short}"] if family in GNU else []
+                forms += [f"{name} {w} {v}" for w in ("license version", "license v", "license") for v in (words, short)]
+                bare += [f"{name} {w} {v}" for w in ("version", "v") for v in (words, short)]
+                bare += [f"{name} {words}", f"{name} v{words}", f"{name} v{short}", f"{name}v{words}", f"{name}v{short}", f"{name}{words}"]
+                bare += [f"{name}{short}"] if family in GNU else []
             elif " " in words:
-                forms.append(f"{name} {words}")
-            for form in forms:
+                bare.append(f"{name} {words}")
+            for form in forms + bare:
                 if form not in BASE_PHRASES:
-                    out.setdefault(form, (label, identifier))
+                    out.setdefault(form, (label, identifier, family in PRODUCTS and form in bare))
     return out
 
 
+#: Characters of the normalised text before and after a bare name in which a licence must be named.
+BEFORE, AFTER = 40, 20
+_NAMED = re.compile(r" (?:re|sub|dual)?licen[cs](?:e|es|ed|ing) ")
+
+
+def licence_near(line: str, start: int, end: int, raw: bytes, identifier: str) -> bool:
+    """Whether the text names a licence next to ``line[start:end]``, or writes the identifier itself."""
+    return bool(_NAMED.search(f" {line[max(0, start - BEFORE) : start]} ") or _NAMED.search(f" {line[end : end + AFTER]} ")) or identifier.lower().encode() in raw.lower()
+
+
 #: Words that name an identifier tag in a text.
 TAG = "spdx license identifier"
 
@@ -179,8 +198,8 @@ def parse_expression(text: str) -> list[str]:
                 break
             out.append(piece)
             operand_next = False
-    if operand_next and waiting and waiting[-1] in _BINDS:
-        waiting.pop()
+    while operand_next and waiting:  # what lacks an operand goes, with brackets that hold nothing
+        operand_next = waiting.pop() == "("
     out.extend(x for x in reversed(waiting) if x != "(")
     return out
 
@@ -208,15 +227,15 @@ def evaluate_expression(postfix: list[str]) -> tuple[set[str], set[str], float]:
 
 
 def _automaton() -> ahocorasick.Automaton:
-    """Phrases to (words, label, whole identifier, whether of the base)."""
+    """Phrases to (words, characters, label, whole identifier, whether of the base, whether a licence must be named close by)."""
     a = ahocorasick.Automaton()
-    for phrase, (label, identifier) in identifier_phrases().items():
-        a.add_word(f" {phrase} ", (phrase.count(" "), label, identifier, False))
+    for phrase, (label, identifier, bare) in identifier_phrases().items():
+        a.add_word(f" {phrase} ", (phrase.count(" "), len(phrase), label, identifier, False, bare))
     for phrase, label in NOTICE_PHRASES.items():
-        a.add_word(f" {phrase} ", (phrase.count(" "), label, None, False))
+        a.add_word(f" {phrase} ", (phrase.count(" "), len(phrase), label, None, False, False))
     for phrase, label in BASE_PHRASES.items():
-        a.add_word(f" {phrase} ", (phrase.count(" "), label, None, True))
-    a.add_word(f" {TAG} ", (TAG.count(" "), None, None, False))
+        a.add_word(f" {phrase} ", (phrase.count(" "), len(phrase), label, None, True, False))
+    a.add_word(f" {TAG} ", (TAG.count(" "), len(TAG), None, None, False, False))
     a.make_automaton()
     return a
 
@@ -231,20 +250,23 @@ def scan_text(raw: bytes, automaton: ahocorasick.Automaton) -> dict:
     found: dict[int, tuple[int, str]] = {}  # by start, of the longest phrase there
     binding: set[str] = set()
     offered: set[str] = set()
-    tagged, seen, at = False, 0, 0
-    for end, (gaps, label, identifier, is_base) in automaton.iter(line):
+    tagged, seen, at, named = False, 0, 0, False
+    for end, (gaps, size, label, identifier, is_base, alone) in automaton.iter(line):
         seen += line.count(" ", at, end)  # spaces before the phrase's last one: its last word's number, from 1
         at = end
         if label is None:
             tagged = True
             continue
+        if alone and not licence_near(line, end - size, end, raw, identifier):
+            continue
         labels.add(label)
+        named |= bool(identifier) and not alone
         if identifier:
             found[seen - 1 - gaps] = max(found.get(seen - 1 - gaps, (0, "")), (gaps, identifier))
         if is_base:
             base.add(label)
             starts.append(seen - 1 - gaps)
-    score = 0.9 if base or found else 0.7 if labels else 0.0
+    score = 0.9 if base or named else 0.8 if found else 0.7 if labels else 0.0
     expressions: list[str] = []
     if tagged:
         text = raw.decode("utf-8", "replace")

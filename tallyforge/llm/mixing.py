@@ -106,8 +106,8 @@ def mixed(
     weights: Sequence[int] = (1, 2, 3), most: int = 3, levels: int = 3, bits: int = 12,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix_sources`` takes it."""
-    names, span, key = docs.columns, levels * bits, ["src", "src_null"]
-    full = _keyed(docs, id_col, text_col, source_col, F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    span, key = levels * bits, ["src", "src_null"]
+    full = _keyed(docs, id_col, text_col, source_col, F.struct("*").alias("row"))
     with Scope(docs.sparkSession) as passing:
         sized = keep(full.drop("row"), "mix-keys")
         again = passing.hand_over(_repeated(sized), "mix-repeated")
@@ -123,9 +123,7 @@ def mixed(
             twice = passing.hand_over(_numbered(twice, again, span), "mix-rows")
             rows = rest.select("row", *key, "h").unionByName(twice.select("row", *key, "h"))
     taken = rows.join(dealt(edges), key).withColumn("copies", _copies(most)).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n")).select(
-        *(F.col(f"row.`{n}`").alias(n) for n in names)
-    )
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n")).select("row.*")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *payload: Column) -> DataFrame:

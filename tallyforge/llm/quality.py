@@ -266,13 +266,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that neither the base rules nor the learned list reject."""
     # Rows are written with their counts, which are worked out once and serve learning and filtering.
-    name = "counts_of_text"
-    while name in docs.columns:
-        name += "_"
-    counted = keep(docs.withColumn(name, counts_of(text_col)), "quality-rows")
-    rules = fit_rules(counted.select(F.col(id_col).alias("doc_id"), F.col(name).alias("counts")), labels, id_col)
-    c = F.col(name)
-    return counted.where(~base_failed(c) & verdict(rules, statistics(c))).drop(name)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), counts_of(text_col).alias("counts"))
+    counted = keep(rows, "quality-rows")
+    rules = fit_rules(counted.select("doc_id", "counts"), labels, id_col)
+    c = F.col("counts")
+    return counted.where(~base_failed(c) & verdict(rules, statistics(c))).select("row.*")
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -200,15 +200,21 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(dictionary)
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             clean = []
-            for x in batch.column(at):
+            for x in batch.column("text"):
                 text = x.as_py()
                 spans = secret_spans(text, novelty) if text else []
                 clean.append(redacted(text, spans) if spans else text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
-
-    return docs.mapInArrow(run, docs.schema)
+            yield batch.set_column(1, "text", pa.array(clean, pa.string()))
+
+    # The other columns travel in a struct, so their names do not matter.
+    at = docs.columns.index(text_col)
+    quoted = [f"`{n.replace('`', '``')}`" for n in docs.columns]
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(q) for i, q in enumerate(quoted) if i != at)).alias("row")
+    packed = docs.select(rest, F.col(quoted[at]).cast("string").alias("text"))
+    clean = packed.mapInArrow(run, packed.schema)
+    own = F.col("text").cast(docs.schema[at].dataType).alias(text_col)
+    return clean.select(*(own if i == at else F.col("row").getField(n).alias(n) for i, n in enumerate(docs.columns)))
 
 
 def op1_secrets(docs: DataFrame) -> DataFrame:

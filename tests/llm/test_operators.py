@@ -487,6 +487,48 @@ def test_signatures_are_unbiased():
     assert abs(same - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
 
 
+def test_signatures_of_a_text_of_equal_and_distinct_words_take_little():
+    import tracemalloc
+
+    e = np.random.default_rng(2).integers(0, 1 << 62, 150_001).astype(np.uint64)
+    w = np.ones(len(e), np.int64)
+    w[0] = 150_000
+    tracemalloc.start()
+    signature = neardup.bag_minhash(e, w, 160)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6 and 40 < len(np.unique(signature))
+    # Points are drawn in groups of any size with one result.
+    few = neardup.DRAWN
+    try:
+        neardup.DRAWN = 3000
+        assert (neardup.bag_minhash(e, w, 160) == signature).all()
+    finally:
+        neardup.DRAWN = few
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars int, TK_OF_TEXT string, COUNTS_OF_TEXT string, `a.b` string, `c``d` string, `Row` string, COUNTS int, `tk` string"
+
+
+def test_stages_keep_columns_of_any_name(spark, labels):
+    """Names that differ from the stages' own in case only, with dots, backticks; every value comes back."""
+    import corpus_pipeline
+
+    texts = {1: SENTENCE, 2: " ".join(SENTENCE.split()[::-1]) + " password = 'Zx81kQ0pLm33'", 3: "one two three four " * 9, 4: None}
+    values = {i: ("en", "s", i, f"t{i}", f"c{i}", f"ab{i}", None, f"r{i}", i, f"k{i}") for i in texts}
+    docs = spark.createDataFrame([(i, t, *values[i]) for i, t in texts.items()], CLASHING)
+    for out, kept in ((quality.keep_good(docs, labels), {1, 2}), (neardup.one_of_each(docs), {1, 2, 3, 4}), (secrets.redact_secrets(docs), set(texts)), (mixing.mixed(docs), None)):
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert kept is None or {r[0] for r in got} == kept
+        for r in got:
+            assert tuple(r[2:]) == values[r[0]] and (r[1] == texts[r[0]] or "[SECRET]" in r[1])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == [c.name for c in docs.schema] and len(docs.columns) == 12
+    assert all(tuple(r[5:]) == values[r[0]][3:] for r in docs.collect())
+
+
 def test_one_of_each_keeps_all_columns(docs):
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -866,7 +908,7 @@ def test_license_places(request, which):
         ("(MIT OR Apache-2.0) AND ISC", "MIT Apache-2.0 or ISC and", {"mit", "apache", "isc"}),
         ("GPL-2.0+ WITH Classpath-exception-2.0", "GPL-2.0+ Classpath-exception-2.0 with", {"gpl"}), ("MIT and", "MIT", {"mit"}), ("", "", set()), ("((", "", set()),
         ("GPL-9.9", "GPL-9.9", {"gpl"}),
-        ("LicenseRef-x", "LicenseRef-x", set()),
+        ("LicenseRef-x", "LicenseRef-x", set()), ("MIT AND (", "MIT", {"mit"}), ("MIT OR ISC AND ((", "MIT ISC or", {"mit", "isc"}), ("(MIT AND", "MIT", {"mit"}),
     ],
 )
 def test_expressions(text, postfix, labels):
@@ -888,7 +930,8 @@ def test_binding_and_offered_licences_differ(text, binding, offered):
 
 def test_labels_equal_a_plain_search(real, docs):
     """All labels beyond those of expressions: every phrase looked for in the joined words."""
-    phrases_ = {p: x[0] for p, x in licenses.identifier_phrases().items()} | licenses.NOTICE_PHRASES | licenses.BASE_PHRASES
+    phrases_ = {p: x[0] for p, x in licenses.identifier_phrases().items() if not x[2]} | licenses.NOTICE_PHRASES | licenses.BASE_PHRASES
+    alone = {p: x for p, x in licenses.identifier_phrases().items() if x[2]}
     for df in (docs, real):
         texts = dict(pairs(df))
         for r in licenses.op10_license_scan(df).collect():
@@ -896,14 +939,47 @@ def test_labels_equal_a_plain_search(real, docs):
             line = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', low))} "
             want = {label for p, label in phrases_.items() if f" {p} " in line}
             named = {x for e in r.expressions for x in e.split() if licenses.known(x)}
+            for p, (label, identifier, _) in alone.items():
+                for m in re.finditer(f"(?= {p} )", line):
+                    around = f" {line[max(0, m.start() + 1 - licenses.BEFORE) : m.start() + 1]} | {line[m.start() + 1 + len(p) :][: licenses.AFTER]} "
+                    if re.search(r" (?:re|sub|dual)?licen[cs](?:e|es|ed|ing) ", around) or identifier.lower() in low:
+                        want.add(label)
             assert set(filter(None, r.labels.split(","))) == want | {licenses.known(x)[1] for x in named if "exception" not in x}
 
 
-@pytest.mark.parametrize(("text", "noticed"), [("GPLv3", "GPL-3.0"), ("BSD 3-Clause License", "BSD-3-Clause"), ("under LGPL v2.1 or", "LGPL-2.1"), ("Apache 2.0", "Apache-2.0")])
+@pytest.mark.parametrize(("text", "noticed"), [("GPLv3", "GPL-3.0"), ("BSD 3-Clause License", "BSD-3-Clause"), ("under LGPL v2.1 or", "LGPL-2.1"), ("Apache 2.0 License", "Apache-2.0"), ("licensed under the Apache, version 2.0", "Apache-2.0"), ("see Apache-2.0 there", "Apache-2.0"), ("Python 2.0 is out", "")])
 def test_notices_give_whole_identifiers(text, noticed):
     assert licenses.scan_text(text.encode(), licenses._automaton())["noticed"] == noticed
 
 
+PRODUCT_SENTENCES = [
+    f"{lead} {name} {tail}"
+    for lead in ("We upgraded to", "Support for", "The")
+    for name, tail in (
+        ("Python 2.0", "was released in 2000."), ("PHP 3.0", "changed the engine."), ("Unicode 3.0", "standard added scripts."), ("Zend 2.0", "engine is faster."),
+        ("cal 1.0", "release fixes dates."), ("Apache 2.0", "web server runs here."), ("Apache version 2.0", "handles threads."), ("Vim", "editor opens it."), ("ICU", "ward is full."),
+        ("Ruby", "gem shines."), ("W3C", "draft says so."), ("X11", "window opens."), ("zlib", "shrinks it."), ("PostgreSQL", "server stores it."), ("AFL 2.0", "season begins."),
+        ("Artistic 2.0", "show tours."), ("ECL 2.0", "glue binds."),
+    )
+]
+LICENCE_SENTENCES = [
+    (lead.format(name), identifier)
+    for lead in ("This is licensed under {}.", "See the {} licence for details.", "Code here has a licence, {}, from its authors.")
+    for name, identifier in (
+        ("Python 2.0", "Python-2.0"), ("PHP 3.0", "PHP-3.0"), ("Unicode 3.0", "Unicode-3.0"), ("Zend 2.0", "Zend-2.0"), ("CAL 1.0", "CAL-1.0"), ("Apache 2.0", "Apache-2.0"),
+        ("Apache version 2.0", "Apache-2.0"), ("AFL 3.0", "AFL-3.0"), ("Artistic 2.0", "Artistic-2.0"), ("ECL 2.0", "ECL-2.0"), ("UPL 1.0", "UPL-1.0"), ("PSF 2.0", "PSF-2.0"),
+        ("GPLv3", "GPL-3.0"), ("MPL 2.0", "MPL-2.0"), ("EPL 2.0", "EPL-2.0"), ("LGPL 2.1", "LGPL-2.1"), ("EUPL 1.2", "EUPL-1.2"),
+    )
+]
+
+
+def test_products_are_no_licences_and_licences_of_like_names_are():
+    automaton = licenses._automaton()
+    assert len(PRODUCT_SENTENCES) == len(LICENCE_SENTENCES) == 51
+    assert [x for x in PRODUCT_SENTENCES if licenses.scan_text(x.encode(), automaton)["labels"]] == []
+    assert [x for x, identifier in LICENCE_SENTENCES if licenses.scan_text(x.encode(), automaton)["noticed"] != identifier] == []
+
+
 def test_every_tag_of_a_line_is_evaluated():
     text = "SPDX-License-Identifier: MIT some code; SPDX-License-Identifier: Apache-2.0 OR SPDX-License-Identifier: LicenseRef-x\nSPDX-License-Identifier: ISC"
     got = licenses.scan_text(text.encode(), licenses._automaton())
