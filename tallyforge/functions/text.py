@@ -23,17 +23,25 @@ def english_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
-def chinese_tokens(text: Column) -> Column:
-    """Characters, then pairs of neighbours, of CJK text."""
+def chinese_tokens(text: Column, words: Callable[[Column], Column] | None = None) -> Column:
+    """Words by a segmenter (``segment.segmenter``); without one characters, then pairs of neighbours, of CJK text."""
+    if words is not None:
+        return words(text)
     han = F.regexp_replace(text, rf"[^\x{{4e00}}-\x{{9fff}}]", "")
     n = F.length(han)
     at = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(han, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     return F.concat(at(1), at(2))
 
 
-def mixed_tokens(text: Column) -> Column:
+def mixed_tokens(text: Column, words: Callable[[Column], Column] | None = None) -> Column:
     """Chinese tokens, then English ones not seen yet."""
-    return F.array_distinct(F.concat(chinese_tokens(text), english_tokens(text)))
+    return F.array_distinct(F.concat(chinese_tokens(text, words), english_tokens(text)))
+
+
+def tokens_by_language(text: Column, words: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens as the text's language asks for."""
+    lang = language(text)
+    return F.when(lang == "zh", chinese_tokens(text, words)).when(lang == "mixed", mixed_tokens(text, words)).otherwise(english_tokens(text))
 
 
 def token_estimate(text: Column) -> Column:

@@ -561,6 +561,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-from tallyforge import queries_catalog, queries_knowledge, queries_routing, queries_search, queries_text  # noqa: E402, F401  (register more queries)
+from tallyforge import queries_catalog, queries_knowledge, queries_routing, queries_search, queries_text, queries_words  # noqa: E402, F401  (register more queries)
 
 __all__ = ["CATALOG", "QUERIES", "SQL"]
