@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources import statements
+
 #: Kinds of sources and their JDBC addresses; None where there is no reader.
 KINDS = {
     "parquet": "", "sqlite": "jdbc:sqlite:{database}", "duckdb": "jdbc:duckdb:{database}",
@@ -52,6 +54,13 @@ class Connections:
             reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
         return reader.load()
 
+    def statement(self, name: str, sql: str, **options: object) -> DataFrame:
+        """The result of a statement at a source that has an HTTP interface; options as of ``statements.StatementSource``."""
+        kind, own = self.held[name]
+        if kind not in statements.PROTOCOLS:
+            raise NotImplementedError(f"no statements by HTTP for {kind}")
+        return statements.statement(self.spark, kind, sql, **own | options)
+
 
 def keep_newest(x: DataFrame, n: int, order: str) -> DataFrame:
     """The ``n`` newest rows."""
