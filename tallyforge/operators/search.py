@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,71 +27,168 @@ def arm_size(k: int) -> int:
     return max(2 * k, ARM_LEAST)
 
 
+#: Small segments are merged beyond so many, and all are once tombstones hide this part of their documents.
+MOST_SEGMENTS, MOST_DEAD = 8, 0.2
+
+
+def _counted(fields: tuple[str, ...]):
+    """Terms of each document with their counts: tokens lie in one row, so no row has to meet another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", *fields]
+        for batch in batches:
+            tokens = batch.column("tokens")
+            coded = tokens.flatten().dictionary_encode()
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            n = max(1, len(coded.dictionary))
+            pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = pa.array(pair // n)
+            out = [batch.column(c).take(row) for c in names] + [pa.array(size[pair // n], pa.int32()), coded.dictionary.take(pa.array(pair % n)), pa.array(tf, pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "len", "term", "tf"])
+
+    return run
+
+
 class PostingsIndex:
-    """Postings in a folder, partitioned by a hash of the term, with the lengths of all documents.
+    """Postings of a folder in segments, each partitioned by a hash of the term, with the lengths of its documents.
 
-    A search reads the partitions of its own terms, and of these the terms' own row groups;
+    A search reads the partitions of its own terms in all segments, and of these the terms' own row groups;
     document frequencies are the postings' counts. ``fields`` are columns to filter by.
-    Replacing documents writes a new version; readers see the old one until it is whole.
+    Replacing documents writes one segment of them, and tombstones for their ids that hide them in earlier
+    segments. Many small segments are merged, the smallest first; all are when too many documents are hidden.
+    A version is a list of segments and tombstones: readers see the old one until the new one is whole, and
+    segments that a version names are never changed.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_col: str = "doc_id", fields: tuple[str, ...] = (), buckets: int = 64):
         self.spark, self.id_col, self.fields, self.buckets = spark, id_col, fields, buckets
-        self.versions = Versions(spark, path)
+        self.path, self.versions = path.rstrip("/"), Versions(spark, path)
 
-    def _postings(self, docs: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
-        x = docs.select(F.col(self.id_col).alias("doc_id"), *self.fields, tokens.alias("tokens")).withColumn("len", F.size("tokens"))
-        lengths = x.select("doc_id", *self.fields, "len")
-        terms = x.select("doc_id", *self.fields, "len", F.explode("tokens").alias("term")).groupBy("doc_id", *self.fields, "len", "term")
+    # Writing
+
+    def _segment(self, postings: DataFrame, lengths: DataFrame) -> str:
+        """Write a segment and give its name."""
+        name = uuid.uuid4().hex
+        folder = f"{self.path}/segments/{name}"
+        # Adaptive execution splits the partitions of frequent terms; within a file terms lie together, so row groups can be skipped.
+        dealt = postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
+        dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+        lengths.write.parquet(f"{folder}/lengths")
+        return name
+
+    def _new(self, docs: DataFrame, tokens: Column) -> str:
+        x = docs.select(F.col(self.id_col).alias("doc_id"), *self.fields, F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+        kept = T.StructType([*(f for f in x.schema.fields if f.name != "tokens"), T.StructField("len", T.IntegerType())])
+        terms = x.mapInArrow(_counted(self.fields), T.StructType([*kept.fields, T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
-        return terms.agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", bucket), lengths
+        return self._segment(terms.withColumn("bucket", bucket), x.select("doc_id", *self.fields, F.size("tokens").alias("len")))
+
+    def _stats(self, name: str) -> tuple[int, int]:
+        r = self._lengths(name).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
+        return r.n, r.tokens
 
-    def _write(self, postings: DataFrame, lengths: DataFrame) -> int:
+    def _publish(self, segments: list[Segment], dead: DataFrame | None) -> int:
         def write(folder: str) -> None:
-            # Adaptive execution splits the partitions of frequent terms; within a file terms lie together, so row groups can be skipped.
-            dealt = postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
-            dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-            lengths.write.parquet(f"{folder}/lengths")
-            held = self.spark.read.parquet(f"{folder}/lengths")
-            held.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean")).write.parquet(f"{folder}/stats")
+            self.spark.createDataFrame([tuple(vars(s).values()) for s in segments], _SEGMENTS).coalesce(1).write.parquet(f"{folder}/segments")
+            if dead is not None:
+                dead.write.parquet(f"{folder}/dead")
 
         return self.versions.add(write)
 
     def build(self, docs: DataFrame, tokens: Column) -> int:
         """Index ``docs``; returns the version."""
-        return self._write(*self._postings(docs, tokens))
+        name = self._new(docs, tokens)
+        return self._publish([Segment(name, 0, *self._stats(name), False)], None)
 
     def replace(self, docs: DataFrame, tokens: Column) -> int:
-        """Documents take the place of those with their ids, or are added."""
-        new, lengths = self._postings(docs, tokens)
-        ids = docs.select(F.col(self.id_col).alias("doc_id")).distinct()
-        return self._write(self._without("postings", ids).unionByName(new), self._without("lengths", ids).unionByName(lengths))
+        """Documents take the place of those with their ids, or are added; what is written is in proportion to them."""
+        return self._change(docs.select(F.col(self.id_col).alias("doc_id")), lambda: self._new(docs, tokens))
 
     def delete(self, ids: DataFrame) -> int:
         """Drop the documents with ids in column doc_id."""
-        return self._write(self._without("postings", ids), self._without("lengths", ids))
+        return self._change(ids.select("doc_id"), None)
+
+    def _change(self, ids: DataFrame, new: Callable[[], str] | None) -> int:
+        segments, dead = self._state()
+        seq = max((s.seq for s in segments), default=-1) + 1
+        name = new() if new else None
+        # Ids come from the new segment where there is one, as it is written and small.
+        ids = (self._lengths(name) if name else ids).select("doc_id").distinct()
+        hidden, gone = [], {}
+        if segments:
+            live = self._live("lengths", segments, dead).join(ids, "doc_id", "left_semi")
+            gone = {r.seq: (r.n, r.tokens) for r in live.groupBy("seq").agg(F.count("*").alias("n"), F.sum("len").alias("tokens")).collect()}
+            hidden = [live.select("doc_id", F.lit(seq).cast("long").alias("seq")).distinct()] if gone else []
+        segments = [replace(s, n_docs=s.n_docs - gone[s.seq][0], tokens=s.tokens - gone[s.seq][1], hides=True) if s.seq in gone else s for s in segments]
+        if name:
+            segments.append(Segment(name, seq, *self._stats(name), False))
+        if dead is not None:
+            hidden.append(dead)
+        return self._publish(segments, reduce(DataFrame.unionByName, hidden) if hidden else None)
+
+    def compact(self, everything: bool = False) -> int | None:
+        """Merge small segments where there are many, or all where much is hidden; the version, or None if nothing is to do."""
+        segments, dead = self._state()
+        hidden = dead.count() if dead is not None else 0
+        whole = everything or hidden > MOST_DEAD * (sum(s.n_docs for s in segments) + hidden)
+        by_size = sorted(segments, key=lambda s: s.tokens)
+        some = by_size if whole else by_size[: max(0, len(by_size) - MOST_SEGMENTS // 2)] if len(by_size) > MOST_SEGMENTS else []
+        if not some or (len(some) == 1 and not hidden):
+            return None
+        name = self._segment(self._live("postings", some, dead).drop("seq"), self._live("lengths", some, dead).drop("seq"))
+        left = [s for s in segments if s not in some]
+        left.append(Segment(name, max(s.seq for s in some), *self._stats(name), False))
+        # A tombstone is done with once no segment is older than it and hides a document.
+        oldest = min((s.seq for s in left if s.hides), default=None)
+        return self._publish(left, None if dead is None or oldest is None else dead.where(F.col("seq") > oldest))
 
-    def _read(self, folder: str, part: str) -> DataFrame:
-        """A part of a version; postings of no document at all have no file that tells their columns."""
-        lengths = self.spark.read.parquet(f"{folder}/lengths")
-        if part == "lengths":
-            return lengths
-        more = [T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
-        return self.spark.read.schema(T.StructType([*lengths.schema.fields, *more])).parquet(f"{folder}/postings")
+    # Reading
 
-    def _without(self, part: str, ids: DataFrame) -> DataFrame:
-        return self._read(self.versions.current(), part).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    def _state(self) -> tuple[list[Segment], DataFrame | None]:
+        """(segments of the current version, its tombstones (doc_id, seq), if any)."""
+        folder = self.versions.current()
+        segments = [Segment(*r) for r in self.spark.read.parquet(f"{folder}/segments").collect()]
+        held = self.versions.holds(f"{folder}/dead")
+        return sorted(segments, key=lambda s: s.seq), self.spark.read.parquet(f"{folder}/dead") if held else None
+
+    def _lengths(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/segments/{name}/lengths")
+
+    def _live(self, part: str, segments: list[Segment], dead: DataFrame | None) -> DataFrame:
+        """A part of several segments with ``seq``, without the documents that tombstones hide there."""
+        return self._without_dead(reduce(DataFrame.unionByName, (self._read(part, s) for s in segments)), segments, dead)
+
+    @staticmethod
+    def _without_dead(x: DataFrame, segments: list[Segment], dead: DataFrame | None) -> DataFrame:
+        if dead is None or not any(s.hides for s in segments):
+            return x
+        d = dead.select(F.col("doc_id").alias("dead_id"), F.col("seq").alias("dead_seq"))
+        return x.join(d, (F.col("doc_id") == F.col("dead_id")) & (F.col("dead_seq") > F.col("seq")), "left_anti")
+
+    def _read(self, part: str, s: Segment) -> DataFrame:
+        """A part of a segment; postings of no document at all have no file that tells their columns."""
+        x = self._lengths(s.name)
+        if part == "postings":
+            more = [T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
+            x = self.spark.read.schema(T.StructType([*x.schema.fields, *more])).parquet(f"{self.path}/segments/{s.name}/postings")
+        return x.withColumn("seq", F.lit(s.seq).cast("long"))
+
+    def postings(self) -> DataFrame:
+        """(doc_id, fields, len, term, tf, bucket) of all documents."""
+        return self._live("postings", *self._state()).drop("seq")
 
     def search(self, terms: list[str], k: int, where: Column | None = None) -> DataFrame:
         """(doc_id, score): the ``k`` best documents by BM25 for any of ``terms``; ``where`` is over the fields, and so are all counts."""
-        folder, asked = self.versions.current(), list(dict.fromkeys(terms))
+        (segments, dead), asked = self._state(), list(dict.fromkeys(terms))
         buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in asked})
-        x = self._read(folder, "postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+        x = reduce(DataFrame.unionByName, (self._read("postings", s).where(F.col("bucket").isin(buckets) & F.col("term").isin(asked)) for s in segments))
+        x = self._without_dead(x, segments, dead)
         if where is None:
-            stats = self.spark.read.parquet(f"{folder}/stats")
+            n = sum(s.n_docs for s in segments)
+            stats = self.spark.range(1).select(F.lit(n).alias("n_docs"), F.lit(sum(s.tokens for s in segments) / n if n else None).cast("double").alias("mean"))
         else:
             x = x.where(where)
-            stats = self._read(folder, "lengths").where(where).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+            stats = self._live("lengths", segments, dead).where(where).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
         df = x.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term asked
         y = x.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # and one row
         idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -94,6 +196,27 @@ class PostingsIndex:
         score = F.sum(idf * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + norm))
         return y.groupBy("doc_id").agg(F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
 
+    def clean(self, versions: int = 1) -> None:
+        """Delete all but the last ``versions`` and the segments that none of these names; only when nobody reads older ones."""
+        kept = self.versions.numbers()[-versions:]
+        named = {r.name for n in kept for r in self.spark.read.parquet(f"{self.versions.folder(n)}/segments").collect()}
+        self.versions.drop_before(kept[0])
+        self.versions.drop_others(f"{self.path}/segments", named)
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A segment's name, its place in time, its documents and tokens that are not hidden, and whether tombstones hide some."""
+
+    name: str
+    seq: int
+    n_docs: int
+    tokens: int
+    hides: bool
+
+
+_SEGMENTS = "name string, seq long, n_docs long, tokens long, hides boolean"
+
 
 def hybrid(sparse: DataFrame, dense: DataFrame, k: int, fields: list[str] = (), alpha: float = 0.5, c: int = 60) -> DataFrame:
     """(id, score, fields): the ``k`` best of two short lists (id, score, fields) by reciprocal ranks; of a field in both the dense one's counts."""

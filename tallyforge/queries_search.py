@@ -68,8 +68,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("index_build", f"SELECT lang, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    held = spark.read.parquet(f"{documents_index(spark, d).versions.current()}/postings")
-    return held.groupBy("lang", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return documents_index(spark, d).postings().groupBy("lang", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_REPLACED = (
+    "SELECT doc_id AS id, text || ' licensed segments' AS text FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 20 = 1 "
+    "UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 20 NOT IN (0, 2)"
+)
+
+
+@query("index_replace", _bm25(_REPLACED, 20, [*_TERMS, "segments"]).replace("SELECT p.id,", "SELECT p.id AS doc_id,"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs, tokens = table(spark, d, "documents").select("doc_id", "text"), tx.english_tokens(F.col("text"))
+    name = hashlib.sha256(fingerprint(spark, docs.inputFiles()).encode()).hexdigest()[:32]
+    index = search.PostingsIndex(spark, f"{shared_folder(spark)}/tallyforge-index/replaced-{name}")
+    if not index.versions.numbers():
+        index.build(docs, tokens)
+        index.replace(docs.where("doc_id % 20 = 0").withColumn("text", F.concat("text", F.lit(" licensed segments"))), tokens)
+        index.delete(docs.where("doc_id % 20 = 2"))
+        index.replace(docs.where("doc_id % 20 = 1").withColumn("doc_id", F.col("doc_id") + 1_000_000_000), tokens)
+        index.compact()
+    return index.search([*_TERMS, "segments"], 20)
 
 
 @query("rrf_fuse", _fused(_bm25(_DOCS, 20, _TERMS), f"SELECT vec_id AS id, score FROM ({_COS_SQL.format(_COS, 'true', 20)})", 40))

@@ -1,6 +1,7 @@
 """Versions of a table in a folder: each is written whole and then marked; readers take the highest marked one.
 
-A crash leaves an unmarked version, which nobody reads and the next writer passes over.
+A crash leaves an unmarked version, which nobody reads and the next writer passes over. Each writer claims its number
+first, so writers that start together fill folders of their own; the highest number counts.
 """
 
 from __future__ import annotations
@@ -43,9 +44,18 @@ class Versions:
     def folder(self, n: int) -> str:
         return f"{self.path}/v-{n}"
 
-    def add(self, write: Callable[[str], None]) -> int:
-        """Let ``write`` fill the next version's folder, then mark it."""
+    def _claim(self) -> int:
+        """A number that no other writer has: its claim is a file that only one can create."""
+        fs, p = self._at(self.path)
+        fs.mkdirs(p)
         n = max(self.numbers(marked=False), default=-1) + 1
+        while not fs.createNewFile(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claim-{n}")):
+            n += 1
+        return n
+
+    def add(self, write: Callable[[str], None]) -> int:
+        """Let ``write`` fill the folder of a version of its own, then mark it."""
+        n = self._claim()
         write(self.folder(n))
         fs, p = self._at(f"{self.folder(n)}/{_MARK}")
         fs.create(p, True).close()
@@ -58,6 +68,18 @@ class Versions:
                 fs, p = self._at(self.folder(k))
                 fs.delete(p, True)
 
+    def holds(self, path: str) -> bool:
+        """Whether there is something at ``path``."""
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def drop_others(self, path: str, kept: set[str]) -> None:
+        """Delete what lies in the folder ``path`` under other names than ``kept``."""
+        fs, p = self._at(path)
+        for x in fs.listStatus(p) if fs.exists(p) else ():
+            if x.getPath().getName() not in kept:
+                fs.delete(x.getPath(), True)
+
 
 def fingerprint(spark: SparkSession, files: list[str]) -> str:
     """Names, sizes and times of files, as a text that changes with them."""

@@ -11,6 +11,7 @@ from tallyforge.functions import questions
 from tallyforge.functions import text as tx
 from tallyforge.operators import catalog, knowledge, learning, retrieval, routing, search
 from tallyforge.plans.policy import _kind, physical_nodes
+from tallyforge.sources.versions import Versions
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,62 @@ def test_documents_are_replaced_at_once(index, spark):
     assert x.search(["unheardof"], 5).count() == 0 and x.versions.current() != before
 
 
+def _bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_segments_equal_a_fresh_index(spark, sf, tmp_path, monkeypatch):
+    """Random replacements and deletions, with merges of few and of all segments between them."""
+    monkeypatch.setattr(search, "MOST_SEGMENTS", 3)
+    rng, tokens = random.Random(6), F.split("text", " ")
+    words = [f"w{i}" for i in range(12)]
+    held = {i: " ".join(rng.choices(words, k=rng.randint(1, 9))) for i in range(40)}
+    frame = lambda x: spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in x.items()], "doc_id long, text string, lang string")
+    x = search.PostingsIndex(spark, str(tmp_path / "index"), fields=("lang",), buckets=4)
+    x.build(frame(held), tokens)
+    merged = 0
+    for step in range(6):
+        new = {rng.randint(0, 60): " ".join(rng.choices(words, k=4)) for _ in range(6)}
+        x.replace(frame(new), tokens)
+        held |= new
+        gone = rng.sample(sorted(held), 2)
+        x.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        held = {i: t for i, t in held.items() if i not in gone}
+        merged += x.compact() is not None if step != 4 else x.compact(everything=True) is not None
+        want = retrieval.bm25(frame(held), tokens, ["w1", "w2"], 50).collect()
+        assert x.search(["w1", "w2"], 50).collect() == want
+        want = retrieval.bm25(frame(held).where("lang = 'en'"), tokens, ["w3"], 50).collect()
+        assert x.search(["w3"], 50, F.col("lang") == "en").collect() == want
+    segments, dead = x._state()
+    assert merged >= 2 and sum(s.n_docs for s in segments) == len(held) and len(segments) <= 4
+    x.clean()
+    assert len(x.versions.numbers()) == 1 and x.search(["w3"], 50, F.col("lang") == "en").collect() == want
+
+
+def test_a_replacement_writes_in_proportion(spark, sf, tmp_path):
+    docs, tokens = spark.read.parquet(f"{sf}/documents.parquet"), tx.english_tokens(F.col("text"))
+    x = search.PostingsIndex(spark, str(tmp_path / "index"), buckets=2)
+    x.build(docs, tokens)
+    before, old = _bytes(tmp_path), x.search(["licensed"], 5)
+    seen = old.collect()
+    x.replace(docs.where("doc_id in (3, 5)"), tokens)
+    assert _bytes(tmp_path) - before < 0.1 * before
+    assert old.collect() == seen  # a reader of the version before sees all of it
+
+
+def test_writers_that_start_together_have_folders_of_their_own(spark, tmp_path):
+    a, b = (Versions(spark, str(tmp_path / "v")) for _ in range(2))
+    inner = []
+
+    def write(folder):
+        inner.append(b.add(lambda f: spark.range(2).write.parquet(f"{f}/t")))
+        spark.range(1).write.parquet(f"{folder}/t")
+
+    n = a.add(write)
+    assert n != inner[0] and a.numbers() == sorted([n, *inner])
+    assert spark.read.parquet(f"{a.folder(n)}/t").count() == 1 and spark.read.parquet(f"{a.folder(inner[0])}/t").count() == 2
+
+
 def test_an_index_of_nothing_answers(spark, tmp_path):
     x = search.PostingsIndex(spark, str(tmp_path / "none"), fields=("lang",))
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
