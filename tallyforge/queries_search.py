@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import catalog, learning, retrieval, routing, search
+from tallyforge.operators import catalog, learning, retrieval, routing, search, vectors
 from tallyforge.queries import _COS, _COS_SQL, _TERMS, _TOKENS, _VECTOR, CATALOG
 from tallyforge.queries_catalog import _C, columns
 from tallyforge.registry import query
@@ -28,6 +28,16 @@ def documents_index(spark: SparkSession, d: str) -> search.PostingsIndex:
     return index
 
 
+def embeddings_index(spark: SparkSession, d: str) -> vectors.VectorIndex:
+    """The vector index of a folder's embeddings; built once for the files as they are."""
+    x = table(spark, d, "embeddings")
+    name = hashlib.sha256(fingerprint(spark, x.inputFiles()).encode()).hexdigest()[:32]
+    index = vectors.VectorIndex(spark, f"{shared_folder(spark)}/tallyforge-index/embeddings-{name}", fields=("label",))
+    if not index.versions.numbers():
+        index.build(x)
+    return index
+
+
 def _bm25(source: str, k: int, terms: list[str]) -> str:
     """BM25 in DuckDB over a source (id, text)."""
     names = ", ".join(f"'{t}'" for t in terms)
@@ -169,8 +179,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), e.vec_id) AS r FROM embeddings e JOIN embeddings q ON q.vec_id IN (0, 7, 11)) WHERE r = 1 AND d <= 0.05",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "embeddings")
-    return retrieval.cached_answers(x.where("vec_id in (0, 7, 11)"), x, 0.05)
+    asked = table(spark, d, "embeddings").where("vec_id in (0, 7, 11)")
+    return embeddings_index(spark, d).nearest_within(asked.select(F.col("vec_id").alias("asked"), "embedding"), 0.05)
+
+
+@query("cosine_indexed", _COS_SQL.format(_COS, "true", 20))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings_index(spark, d).search(_VECTOR, 20)
+
+
+@query("cosine_indexed_filtered", _COS_SQL.format(_COS, "label = 3", 10))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings_index(spark, d).search(_VECTOR, 10, F.col("label") == 3)
 
 
 @query(
