@@ -9,6 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyforge.session import cut_lineage
 
 Z95 = 1.959963984540054
 
@@ -51,10 +54,57 @@ def hoeffding(mean: Column, n: Column) -> tuple[Column, Column]:
 
 
 def nearest_rank(col: str, points: dict[str, float]) -> list[Column]:
-    """Nearest-rank percentiles of a column."""
+    """Nearest-rank percentiles of a column as aggregates, which hold the values of a group in one task; ``exact_percentiles`` does not."""
     return [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {col})").alias(name) for name, p in points.items()]
 
 
+#: Buckets of a histogram pass, and groups up to which a pass sends their bounds to all tasks.
+BUCKETS, BROADCAST_GROUPS = 4096, 50_000
+
+
+def exact_percentiles(x: DataFrame, by: list[str], col: str, points: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ``points``): nearest-rank percentiles of ``col`` as doubles, by histogram passes.
+
+    A pass counts the values of each group in BUCKETS equal buckets between the bounds of each point, before anything is
+    shuffled, and takes the least and greatest value of the bucket that holds the rank as the next bounds, until the two are
+    one. No task holds the values of a group. Nulls do not count, NaN counts as greatest; a group without values has
+    nulls. A null key is a group.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = x.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(col).cast("double").alias("v"))
+    plain = F.when(~F.isnan("v") & (F.abs("v") < math.inf), F.col("v"))
+    groups = cut_lineage(rows.groupBy(*keys).agg(
+        F.count("v").alias("n"), F.count_if(F.col("v") == -math.inf).alias("under"), F.count(plain).alias("plain"),
+        F.count_if(F.isnan("v")).alias("odd"), F.min(plain).alias("lo"), F.max(plain).alias("hi"),
+    ))
+    sent = F.broadcast if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else (lambda s: s)
+    asked = F.array(*(F.struct(F.lit(name).alias("point"), F.lit(str(p)).cast("decimal(20,10)").alias("p")) for name, p in points.items()))
+    state = groups.select("*", F.inline(asked)).where("n > 0")
+    rank = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n"))).cast("long") - F.col("under")
+    past = F.when(rank <= F.col("n") - F.col("under") - F.col("odd"), math.inf).otherwise(math.nan)
+    bound = lambda c: F.when(rank <= 0, -math.inf).when(rank <= F.col("plain"), F.col(c)).otherwise(past).alias(c)
+    state = cut_lineage(state.select(*keys, "point", rank.alias("rank"), bound("lo"), bound("hi")))
+    within = Window.partitionBy(*keys, "point").orderBy("bucket")
+    while not (left := state.where("lo < hi")).isEmpty():
+        own = left.select(*(F.col(k).alias(f"s{k}") for k in keys), "point", "rank", "lo", "hi")
+        met = F.col("v").between(F.col("lo"), F.col("hi"))
+        for k in keys:
+            met = met & F.col(k).eqNullSafe(F.col(f"s{k}"))
+        width = F.col("hi") - F.col("lo")
+        part = F.when(width < math.inf, (F.col("v") - F.col("lo")) / width).otherwise((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor(part * BUCKETS).cast("int")).alias("bucket")
+        counts = rows.join(sent(own), met).groupBy(*keys, "point", "rank", bucket).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = counts.withColumn("upto", F.sum("c").over(within)).where(F.col("upto") >= F.col("rank")).withColumn("nth", F.row_number().over(within)).where("nth = 1")
+        finer = upto.select(*keys, "point", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), "lo", "hi")
+        state = cut_lineage(state.where("not (lo < hi)").unionByName(finer))
+    found = state.groupBy(*keys).agg(*(F.max(F.when(F.col("point") == name, F.col("lo"))).alias(name) for name in points))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"s{k}"))
+    found = found.select(*(F.col(k).alias(f"s{k}") for k in keys), *points)
+    return groups.select(*keys).join(found, same, "left").select(*(F.col(k).alias(b) for b, k in zip(by, keys, strict=True)), *points)
+
+
 def paired(a: DataFrame, b: DataFrame, key: str, good: str) -> DataFrame:
     """Counts of pairs by outcome (both, improved, regressed, neither) from two runs of the same cases."""
     x = a.select(key, F.col(good).alias("ga")).join(b.select(key, F.col(good).alias("gb")), key)

@@ -102,28 +102,109 @@ def admitted(x: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) ->
     return flow.mapInArrow(run, T.StructType([*x.schema.fields, T.StructField("admitted", T.BooleanType())]))
 
 
+def started(x: DataFrame, key: str, ts: str, limit: int, seconds: float = 60) -> DataFrame:
+    """``x`` with ``started``: when each request begins if it waits until fewer than ``limit`` of its key began within the last ``seconds``.
+
+    Requests of a key begin in order of arrival, equal arrivals by their other columns, so a request begins at
+    its arrival or ``seconds`` after the one ``limit`` places before began, whichever is later. Rows of a key stream through
+    one task in order of time, which holds the last ``limit`` starts of one key only. A request without a time begins at no time and takes no room.
+    """
+    names = x.columns
+    flow = x.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "_at", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, clock = None, None
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column(key).to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                if clock is None or k != now:
+                    now, clock = k, StartClock(limit, seconds)
+                out.append(None if at is None else clock.start(at))
+            yield batch.select(names).append_column("started", pa.array(out, pa.timestamp("us", "UTC")))
+
+    return flow.mapInArrow(run, T.StructType([*x.schema.fields, T.StructField("started", T.TimestampType())]))
+
+
+class StartClock:
+    """Start times of one key's requests on a clock in microseconds; ``recent`` holds the last ``limit``."""
+
+    def __init__(self, limit: int, seconds: float, recent: list[int] = ()):
+        if limit < 1:
+            raise ValueError("a limit of at least one request")
+        self.recent: deque[int] = deque(recent, maxlen=limit)
+        self.wait = round(seconds * 1_000_000)
+
+    def start(self, at: int) -> int:
+        if len(self.recent) == self.recent.maxlen:
+            at = max(at, self.recent[0] + self.wait)
+        at = max(at, self.recent[-1]) if self.recent else at
+        self.recent.append(at)
+        return at
+
+
 def normal_question(text: Column) -> Column:
     """Lower case, marks as spaces, single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+", " "))
 
 
+def by_rarity(sets: DataFrame, counts: DataFrame, id_col: str) -> DataFrame:
+    """(id, tokens, n): the distinct tokens of each set, those rarest by ``counts`` (token, df) first; unknown ones are rarest of all."""
+    each = sets.select(id_col, F.explode("tokens").alias("token")).join(counts, "token", "left")
+    placed = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
+    return placed.select(id_col, F.col("t.token").alias("tokens"), F.size("t").alias("n"))
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of sets that can have a Jaccard similarity of ``least``; ``a`` and ``b`` have (a or b, tokens by rarity, n).
+
+    Similar sets share a token among the first n - ceil(least n) + 1 of each, so only those rare tokens meet. Of the pairs
+    that meet, sizes too different go, and those whose tokens from the shared one on are too few for the overlap needed.
+    """
+    prefix = lambda x, name: x.select(
+        name, F.col("n").alias(f"n_{name}"), F.posexplode(F.slice("tokens", 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))).alias(f"at_{name}", "token")
+    )
+    m, n = F.col("n_a"), F.col("n_b")
+    needed = F.ceil(least / (1 + least) * (m + n) - 1e-9)
+    left = 1 + F.least(m - F.col("at_a"), n - F.col("at_b")) - 1
+    met = prefix(a, "a").join(prefix(b, "b"), "token")
+    return met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (left >= needed)).select("a", "b").distinct()
+
+
+def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of all pairs of sets, of ``a`` (a, tokens) and ``b`` (b, tokens) without repeats, with a Jaccard similarity of ``least`` or more."""
+    counts = b.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    x, y = by_rarity(a, counts, "a"), by_rarity(b, counts, "b")
+    pairs = candidate_pairs(x, y, least).join(x.select("a", F.col("tokens").alias("ta")), "a").join(y.select("b", F.col("tokens").alias("tb")), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    like = both / (F.size("ta") + F.size("tb") - both)
+    return pairs.select("a", "b", like.alias("similarity")).where(F.col("similarity") >= least)
+
+
+def newest_ids(x: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, ids): the ``k`` greatest ids of each key; a key that most rows have is ranked in slices first."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("id").desc()))
+    some = x.select(key, "id").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
+    some = some.withColumn("r", rank(key, "slice")).where(F.col("r") <= k)
+    some = some.withColumn("r", rank(key)).where(F.col("r") <= k)
+    return some.groupBy(key).agg(F.collect_list("id").alias("ids"))
+
+
 def similar_questions(asked: DataFrame, history: DataFrame, tokens: Callable[[Column], Column], least: float = 0.6, k: int = 5) -> DataFrame:
     """(ask_id, id, similarity, place): for each question (ask_id, question) the ``k`` closest of history (id, question).
 
     Equal normal texts come first, at 1; then those of Jaccard similarity of tokens ``least`` or more, the later id first.
-    Only questions that share a token meet.
+    Texts that are equal once normal are compared once, and meet only by tokens that are rare in history.
     """
-    a = asked.select("ask_id", normal_question("question").alias("na"), F.array_distinct(tokens(F.col("question"))).alias("ta"))
-    h = history.select("id", normal_question("question").alias("nh"), F.array_distinct(tokens(F.col("question"))).alias("th"))
-    exact = a.where("na <> ''").join(h, F.col("na") == F.col("nh")).select("ask_id", "id", F.lit(1.0).alias("similarity"), F.lit(0).alias("tier"))
-    words = lambda x, *keep: x.select(*keep, F.explode(keep[-1]).alias("w"))
-    met = words(a, "ask_id", "na", "ta").join(words(h, "id", "nh", "th"), "w").groupBy("ask_id", "id").agg(
-        F.count("*").alias("both"), F.first(F.size("ta")).alias("m"), F.first(F.size("th")).alias("n"), F.first(F.col("na") == F.col("nh")).alias("same")
-    )
-    like = F.col("both") / (F.col("m") + F.col("n") - F.col("both"))
-    near = met.where(~F.col("same") & (like >= least)).select("ask_id", "id", F.round(like, 4).alias("similarity"), F.lit(1).alias("tier"))
-    place = F.row_number().over(Window.partitionBy("ask_id").orderBy("tier", F.col("similarity").desc(), F.col("id").desc()))
-    return exact.unionByName(near).withColumn("place", place).where(F.col("place") <= k).drop("tier")
+    own = lambda x: F.array_distinct(tokens(F.col("question")))
+    a = asked.select("ask_id", normal_question("question").alias("a"), own(asked).alias("tokens"))
+    h = history.select("id", normal_question("question").alias("b"), own(history).alias("tokens"))
+    once = lambda x, name: x.groupBy(name).agg(F.first("tokens").alias("tokens"))
+    near = similar_sets(once(a, "a"), once(h, "b"), least).where("a <> b").select("a", "b", F.round("similarity", 4).alias("similarity"), F.lit(1).alias("tier"))
+    same = a.where("a <> ''").select("a").distinct().join(h.select("b").distinct(), F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("similarity"), F.lit(0).alias("tier"))
+    found = same.unionByName(near).join(newest_ids(h, "b", k), "b").select("a", "similarity", "tier", F.explode("ids").alias("id"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("tier", F.col("similarity").desc(), F.col("id").desc()))
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    return a.select("ask_id", "a").join(best, "a").select("ask_id", "id", "similarity", "place")
 
 
 #: What no SQL holds, and words that make an appended tail an edit.

@@ -409,7 +409,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("latency_pct", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*evaluation.nearest_rank("value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
+    return evaluation.exact_percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("capacity_metrics", "SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS failed, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.95) AS p95, count(DISTINCT user_id) AS users FROM events")
@@ -422,8 +422,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("slo_by_tenant", "SELECT user_id % 10 AS tenant, count(*) AS n, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.95) <= 100 AS met FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("tenant")).agg(F.count("*").alias("n"), *evaluation.nearest_rank("value", {"p95": 0.95}))
-    return x.withColumn("met", F.col("p95") <= 100)
+    x = table(spark, d, "events").withColumn("tenant", F.col("user_id") % 10)
+    p = evaluation.exact_percentiles(x, ["tenant"], "value", {"p95": 0.95}).withColumn("met", F.col("p95") <= 100)
+    n = x.groupBy("tenant").agg(F.count("*").alias("n"))
+    return n.join(p.withColumnRenamed("tenant", "t"), F.col("tenant").eqNullSafe(F.col("t"))).drop("t")
 
 
 @query("paired_outcomes", "SELECT CASE WHEN a AND b THEN 'both' WHEN b THEN 'improved' WHEN a THEN 'regressed' ELSE 'neither' END AS outcome, count(*) AS n FROM (SELECT o_custkey % 3 > 0 AS a, o_orderstatus = 'F' AS b FROM orders) GROUP BY 1")

@@ -39,6 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def cut_lineage(x: DataFrame) -> DataFrame:
+    """``x`` written to the shared folder as a checkpoint, which lost executors do not take with them."""
+    context = x.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(x.sparkSession))
+    return x.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
