@@ -10,6 +10,16 @@ STOP_WORDS = (
     "what which who whom"
 ).split()
 
+#: Patterns of limits in Chinese, in English and in any language; a text's language says which count.
+LIMITS_ZH = (
+    r"前\s*(\d+)\s*(?:名|个|条|位|项|行|笔|大|多|的)",
+    r"(?:取|只要)\s*(?:前\s*)?(\d+)\s*(?:名|个|条|位|项|行|笔)",
+    r"限制\s*(\d+)",
+    r"限量\s*(\d+)",
+)
+LIMITS_EN = (r"\b(?:top|first)\s+(\d+)", r"\b(\d+)\s+(?:results?|records?|rows?|items?)\b")
+LIMITS_ANY = (r"\blimit\s+(\d+)", r"\btop\s*(\d+)")
+
 #: Fixed values: (meaning, pattern) of times in Chinese; the first that a text holds counts.
 TIMES_ZH = (
     ("day_before_yesterday", "前天"), ("yesterday", "昨天"), ("today", "今天"), ("day_after_tomorrow", "后天"), ("tomorrow", "明天"),

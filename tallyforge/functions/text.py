@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.patterns import INTENTS, PRIORITY, STOP_WORDS, TIMES_EN, TIMES_ZH
+from tallyforge.functions.patterns import INTENTS, LIMITS_ANY, LIMITS_EN, LIMITS_ZH, PRIORITY, STOP_WORDS, TIMES_EN, TIMES_ZH
 
 CJK = r"[\x{4e00}-\x{9fff}]"
 def language(text: Column) -> Column:
@@ -81,11 +81,15 @@ def intent(text: Column) -> Column:
 
 
 def limit_value(text: Column) -> Column:
-    """The least number that asks for so many rows; null without one."""
-    low = F.lower(text)
-    patterns = (r"\b(?:top|first)\s+(\d+)", r"\b(\d+)\s+(?:results?|records?|rows?|items?)\b", r"\blimit\s+(\d+)", r"\btop\s*(\d+)")
-    found = F.concat(*(F.regexp_extract_all(low, F.lit(p), 1) for p in patterns))
-    return F.array_min(F.transform(found, lambda x: x.cast("long")))
+    """The least number that asks for so many rows, by the patterns of the text's language; null without one."""
+    hits = lambda x, patterns: [F.regexp_extract_all(x["low"], F.lit(p), 1) for p in patterns]
+    none = F.array().cast("array<string>")
+
+    def least(x: Column) -> Column:
+        zh, en = (F.when(x["lang"] != other, F.concat(*hits(x, patterns))).otherwise(none) for other, patterns in (("en", LIMITS_ZH), ("zh", LIMITS_EN)))
+        return F.array_min(F.transform(F.concat(zh, en, *hits(x, LIMITS_ANY)), lambda n: n.try_cast("long")))
+
+    return let(_read(text), least)
 
 
 def _period(name: str, today: Column, groups: list[Column]) -> tuple[Column, Column]:
@@ -123,7 +127,7 @@ def _period(name: str, today: Column, groups: list[Column]) -> tuple[Column, Col
 
 
 def time_range(text: Column, now: str) -> Column:
-    """(start, end) dates of the first pattern that a text holds, from a reference date, ends exclusive; null without one.
+    """(start, end) dates of the first pattern that a text holds, from a reference date, ends exclusive; null without one, or for a day that no calendar has.
 
     Chinese patterns come first and count in Chinese and mixed texts, English ones in English and mixed.
     """
@@ -136,7 +140,7 @@ def time_range(text: Column, now: str) -> Column:
             for name, p in patterns:
                 groups = [F.regexp_extract(x["low"], p, i) for i in range(1, p.replace("(?", "").count("(") + 1)] or [F.lit("")]
                 start, end = _period(name, today, groups)
-                hit, value = (x["lang"] != other) & x["low"].rlike(p), F.struct(start.alias("start"), end.alias("end"))
+                hit, value = (x["lang"] != other) & x["low"].rlike(p), F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
                 out = F.when(hit, value) if out is None else out.when(hit, value)
         return out
 

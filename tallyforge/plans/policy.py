@@ -7,6 +7,7 @@ row cap and a deadline.
 
 from __future__ import annotations
 
+import math
 import re
 import threading
 import uuid
@@ -14,7 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyforge.session import require_revision
 
@@ -174,8 +178,35 @@ class Bounded:
     truncated: bool
 
 
-def bounded(df: DataFrame, most: int = 1000, seconds: float = 30.0) -> Bounded:
-    """At most ``most`` rows within a deadline; one more is fetched to tell whether there are more."""
+#: Fixed value: the most bytes of a result.
+MOST_BYTES = 8 * 1024 * 1024
+
+
+def _size(f: T.StructField, c: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
+
+
+def _within(df: DataFrame, most_bytes: int) -> DataFrame:
+    """One column of rows in order, null from where they are over ``most_bytes`` together; for a limited number of rows."""
+    x = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    size = F.lit(0).cast("long")
+    for f in x.schema.fields:
+        size = size + _size(f, F.col(f.name))
+    upto = F.sum("bytes").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = x.select(F.struct("*").alias("row"), size.alias("bytes")).withColumn("n", F.monotonically_increasing_id())
+    return rows.withColumn("upto", upto).select(F.when(F.col("upto") <= most_bytes, F.col("row")).alias("row"), "n").orderBy("n").select("row")
+
+
+def bounded(df: DataFrame, most: int = 1000, seconds: float = 30.0, most_bytes: int = MOST_BYTES) -> Bounded:
+    """At most ``most`` rows of at most ``most_bytes`` within a deadline; one more is looked at to tell whether there are more.
+
+    Rows are measured where they are made; those beyond the bytes do not reach the driver.
+    """
     spark = df.sparkSession
     group = f"bounded-{uuid.uuid4().hex}"
     late = threading.Event()
@@ -188,7 +219,7 @@ def bounded(df: DataFrame, most: int = 1000, seconds: float = 30.0) -> Bounded:
     timer = threading.Timer(seconds, stop)
     timer.start()
     try:
-        rows = df.limit(most + 1).collect()
+        rows = [r.row for r in _within(df.limit(most + 1), most_bytes).collect()] if df.columns else df.limit(most + 1).collect()
     except Exception as e:
         if late.is_set():
             raise TimeoutError(f"stopped after {seconds} s") from e
@@ -196,7 +227,58 @@ def bounded(df: DataFrame, most: int = 1000, seconds: float = 30.0) -> Bounded:
     finally:
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    return Bounded(df.columns, [tuple(r) for r in rows[:most]], len(rows) > most)
+    held = rows.index(None) if None in rows else len(rows)
+    return Bounded(df.columns, [tuple(r) for r in rows[: min(held, most)]], len(rows) > min(held, most))
+
+
+#: Functions whose results are as long as an argument says, and the place of that argument.
+_GROWS = {"StringRepeat": 1, "StringLPad": 1, "StringRPad": 1, "ArrayRepeat": 1, "StringSpace": 0}
+
+
+def _longest(e, most: int) -> int:
+    """No constant of this expression is longer; refuses one over ``most`` and lengths that are no constants."""
+    children = list(_items(e.children()))
+    kind = _kind(e)
+    if kind == "Literal":
+        return len(str(e.value()))
+    sizes = [_longest(c, most) for c in children]
+    if kind in _GROWS:
+        n = children[_GROWS[kind]]
+        if not n.foldable():
+            raise PolicyViolation("a length that is no constant")
+        n = int(n.eval(None) or 0)
+        size = n * max(1, sizes[0]) if kind.endswith("Repeat") else max(n, *sizes) if len(sizes) > 1 else n
+    elif "Replace" in kind or "Translate" in kind:
+        size = math.prod(max(1, x) for x in sizes)
+    else:
+        size = sum(sizes)
+    if size > most:
+        raise PolicyViolation(f"a value of more than {most} bytes")
+    return size
+
+
+def require_short_values(spark: SparkSession, sql: str, most: int = MOST_BYTES) -> None:
+    """Refuse texts whose constants Spark would blow up beyond ``most`` bytes while it plans."""
+    body = re.sub(r"^\s*explain\s+(?=select|with|\()", "", sql, flags=re.I)
+    try:
+        plan = spark.sql(body)._jdf.queryExecution().analyzed()
+    except Exception:  # what does not resolve is for the validation to tell
+        return
+
+    def walk(node) -> None:
+        for x in logical_nodes(node):
+            for e in _items(x.expressions()):
+                _longest(e, most)
+                inner(e)
+
+    def inner(e) -> None:
+        holder = e.getClass().getClassLoader().loadClass("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+        if holder.isInstance(e):
+            walk(e.plan())
+        for c in _items(e.children()):
+            inner(c)
+
+    walk(plan)
 
 
 def run_query(
@@ -206,6 +288,7 @@ def run_query(
     from tallyforge.plans.validate import validate
 
     require_read_query(spark, sql, tables)
+    require_short_values(spark, sql)
     report = validate(spark, sql, tables=tables)
     if not report.valid:
         raise PolicyViolation("; ".join(report.errors))
@@ -302,13 +385,18 @@ def merged_facts(facts: list[PlanFacts]) -> PlanFacts:
     return out
 
 
+#: What an alias may stand for without being a subquery.
+_NAMED = ("UnresolvedRelation", "UnresolvedInlineTable", "LocalRelation", "UnresolvedTableValuedFunction", "SubqueryAlias")
+
+
 def structure(spark: SparkSession, sql: str) -> dict:
     """What a text is made of, by its parsed plan: tables, joins, and whether it filters, sorts, groups, nests or names statements."""
     found = parsed_nodes(spark, sql)
     kinds = [k for k, _ in found]
+    aliases = [next(_items(x.children())) for x in logical_nodes(_parsed(spark, sql, "parsePlan")) if _kind(x) == "SubqueryAlias"]
     functions = {n for k, n in found if k == "function"}
     return {
         "tables": sorted({n for k, n in found if k == "table"}), "joins": kinds.count("Join") + kinds.count("LateralJoin"), "where": "Filter" in kinds, "order": "Sort" in kinds,
         "aggregate": "Aggregate" in kinds or bool(functions & {"count", "sum", "avg", "min", "max"}),
-        "subquery": any(k == "expression" and n in ("ScalarSubquery", "Exists", "ListQuery") for k, n in found) or kinds.count("Project") > 1, "cte": "UnresolvedWith" in kinds,
+        "subquery": any(k == "expression" and n in ("ScalarSubquery", "Exists", "ListQuery") for k, n in found) or any(_kind(x) not in _NAMED for x in aliases), "cte": "UnresolvedWith" in kinds,
     }

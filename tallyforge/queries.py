@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions import text as tx
+from tallyforge.functions.patterns import LIMITS_ANY, LIMITS_EN, LIMITS_ZH
 from tallyforge.operators import catalog, evaluation, learning, retrieval
 from tallyforge.plans import formulas, metrics, policy, validate
 from tallyforge.registry import QUERIES, SQL, query
@@ -275,6 +276,7 @@ _PHRASES = (
     "orders 2 months ago", "signups 5 days ago limit 7", "revenue 2 years ago", "shipments in the next 10 days", "bookings for the next 2 weeks", "targets for the next 6 months",
     "tomorrow first 3 rows", "today's growth", "last 4 weeks of churn", "past 2 years breakdown", "no time here at all", "查询昨天的订单", "统计上个月各个地区的销售额", "对比本周和上周", "去年同期的趋势",
     "最近7天的转化率", "未来2周", "3个月前的订单", "2024年3月5日的收入", "2025年11月 合计", "第三季度 汇总", "今年以来 top 8", "后天", "plain 查询 last week 订单", "",
+    "前10名客户的订单", "取前 5 条记录", "只要3笔", "限制 20 行", "限量7", "客户 前 12 的销售额 top 4",
 )
 _QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _PHRASES)
 _QUESTION = f"[{_QUOTED}][event_id % {len(_PHRASES)} + 1]"
@@ -308,10 +310,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("event_id", tx.intent(F.col("question")).alias("intent"))
 
 
+_LIMITS = [" || ".join(f"regexp_extract_all(q, '{p}', 1)" for p in x) for x in (LIMITS_ZH, LIMITS_EN, LIMITS_ANY)]
+
+
 @query(
     "limit_extract",
-    "SELECT event_id, list_min(list_transform(regexp_extract_all(q, '\\b(?:top|first)\\s+(\\d+)', 1) || regexp_extract_all(q, '\\b(\\d+)\\s+(?:results?|records?|rows?|items?)\\b', 1) "
-    f"|| regexp_extract_all(q, '\\blimit\\s+(\\d+)', 1) || regexp_extract_all(q, '\\btop\\s*(\\d+)', 1), lambda x: x::BIGINT)) AS row_limit FROM {_ASKED}",
+    f"SELECT event_id, list_min(list_transform((CASE WHEN lang <> 'en' THEN {_LIMITS[0]} ELSE [] END) || (CASE WHEN lang <> 'zh' THEN {_LIMITS[1]} ELSE [] END) || {_LIMITS[2]}, lambda x: x::BIGINT)) AS row_limit FROM {_ASKED}",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("event_id", tx.limit_value(F.col("question")).alias("row_limit"))

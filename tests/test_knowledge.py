@@ -60,6 +60,10 @@ def test_comparison_warnings(spark, sf):
     assert of("o_orderkey > 3 AND o_totalprice > 1 AND o_orderdate >= DATE '1995-01-01' AND o_orderpriority = 'x'") == []
     assert of("o_orderpriority = 5") == ["type: o_orderpriority is string and compared as bigint"]
     assert of("CAST(o_orderpriority AS INT) = 5") == []
+    assert of("o_orderpriority IN (1, 2)") == ["type: o_orderpriority is string and compared as bigint"]
+    assert of("o_orderpriority BETWEEN 1 AND 2") == ["type: o_orderpriority is string and compared as bigint"]
+    assert of("o_orderkey > '5'") == ["type: o_orderkey is bigint and compared as string"]
+    assert of("o_orderdate BETWEEN '1995-01-01' AND '1996-01-01' AND o_orderkey IN (1, 2) AND o_totalprice = 1 AND o_orderpriority IN ('a', NULL)") == []
 
 
 def test_heal(spark, sf):

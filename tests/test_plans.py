@@ -260,3 +260,34 @@ def test_load_levels_stop(spark):
     assert [x["callers"] for x in levels] == [1, 2] and not levels[0]["errors"]
     levels = evaluation.load_levels(lambda: 1 / 0, (1, 2), 2)
     assert len(levels) == 1 and levels[0]["stopped"] and levels[0]["errors"] == 2
+
+
+def test_unions_are_no_subqueries(spark):
+    nested = lambda sql: policy.structure(spark, sql)["subquery"]
+    assert not nested("select r_name from region union select n_name from nation") and not nested("select a.x from t a join u as b on a.x = b.x")
+    assert nested("select x from (select x from t) s") and nested("select (select max(x) from t)") and nested("select x from t where exists (select 1 from u)")
+
+
+def test_results_are_bounded_by_bytes(spark):
+    x = spark.range(50).select("id", F.repeat(F.lit("é"), F.col("id").cast("int") * 100).alias("id"), F.array(F.lit("a"), F.lit(None)).alias("list"))
+    whole = policy.bounded(x)
+    assert len(whole.rows) == 50 and not whole.truncated and whole.rows[3] == (3, "é" * 300, ["a", None]) and whole.columns == ["id", "id", "list"]
+    cut = policy.bounded(x, most_bytes=20_000)
+    held = sum(8 + 200 * i + len("[a, null]") for i in range(len(cut.rows)))
+    assert cut.truncated and held <= 20_000 < held + 8 + 200 * len(cut.rows) + 9 and cut.rows == whole.rows[: len(cut.rows)]
+    one = policy.bounded(spark.range(1).select(F.repeat(F.lit("x"), 100).alias("a")), most_bytes=50)
+    assert one.rows == [] and one.truncated
+    assert policy.bounded(spark.range(5).orderBy(F.col("id").desc()), most=3).rows == [(4,), (3,), (2,)]
+
+
+@pytest.mark.parametrize("sql", [
+    "select repeat('x', 1000000000)", "explain select repeat('x', 1000000000)", "select length(repeat('x', 1000000000))", "select * from (select lpad('x', 900000000, 'y') as a) where a > 'b'",
+    "select repeat(repeat('x', 10000), 10000)", "select replace(repeat('a', 100000), 'a', repeat('b', 100000))", "select 1 where exists (select repeat('x', 1000000000))", "select repeat('x', cast(rand() * 10 as int))",
+])
+def test_texts_that_blow_up_are_refused(spark, sql):
+    with pytest.raises(policy.PolicyViolation):
+        policy.run_query(spark, sql)
+
+
+def test_short_constants_pass(spark):
+    assert policy.run_query(spark, "select repeat('ab', 3) as a, lpad('7', 4, '0') as b").rows == [("ababab", "0007")]

@@ -243,3 +243,11 @@ def test_rules_and_items_become_documents(spark):
     assert [r.text for r in knowledge.rule_documents(rules, "shop").orderBy("doc_id").collect()] == ["业务规则: r1。描述: net only。条件: sum。约束: precision=2; require=net。", "业务规则: r2。"]
     items = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "x", 2), ("b", "z", 1), (None, "z", 1)], "k string, c string, u int")
     assert sorted((r.k, r.version, r.contents, r.u) for r in knowledge.merged_items(items, "k", "c", "u").collect()) == [("a", 3, ["y", "x"], 3), ("b", 1, ["z"], 1)]
+
+
+def test_limits_in_chinese_and_days_that_are_none(spark):
+    texts = {"前10名客户": 10, "取前 5 条": 5, "只要3笔": 3, "限制20": 20, "限量 7": 7, "top 前 9 个订单 top 4": 4, "first 6 rows": 6, "前10名 of the first 3 rows and a long tail of english words": 3, "没有": None}
+    df = spark.createDataFrame(list(texts.items()), "q string, want long")
+    assert {r.q: r.n for r in df.select("q", tx.limit_value(F.col("q")).alias("n")).collect()} == texts
+    days = spark.createDataFrame([("2024年2月30日",), ("2024年2月29日",), ("plain",)], "q string").select("q", tx.time_range(F.col("q"), "2026-07-15").alias("r")).collect()
+    assert [r.r is None for r in days] == [True, False, True]
