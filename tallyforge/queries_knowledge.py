@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import questions
 from tallyforge.operators import catalog, knowledge
 from tallyforge.registry import query
-from tallyforge.session import table
+from tallyforge.session import shared_folder, table
+from tallyforge.streaming.sinks import LedgerSink
 
 _NOW = "2024-05-15"
 _N = "(event_id % 9 + 1)"
@@ -179,3 +182,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     known = spark.createDataFrame([("Click", "press"), ("click", "View"), ("view", "see")], "term string, candidate string")
     return knowledge.expanded(table(spark, d, "events"), "event_id", "event_type", known)
+
+
+@query(
+    "upserted_events",
+    "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_id % 7 > 0",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    flow = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("gone", F.col("event_id") % 7 == 0)
+    folder = f"{shared_folder(spark)}/tallyforge-sinks/{uuid.uuid4().hex}"
+    sink = LedgerSink(spark, folder, flow.schema, ["user_id", "event_type"], ["ts", "event_id"], "gone")
+    sink.start(flow, f"{folder}/checkpoint").awaitTermination()
+    return sink.read().select("user_id", "event_type", "event_id", "value")

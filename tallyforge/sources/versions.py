@@ -57,8 +57,7 @@ class Versions:
         """Let ``write`` fill the folder of a version of its own, then mark it."""
         n = self._claim()
         write(self.folder(n))
-        fs, p = self._at(f"{self.folder(n)}/{_MARK}")
-        fs.create(p, True).close()
+        self.mark(f"{self.folder(n)}/{_MARK}")
         return n
 
     def drop_before(self, n: int) -> None:
@@ -73,6 +72,16 @@ class Versions:
         fs, p = self._at(path)
         return fs.exists(p)
 
+    def names(self, path: str) -> list[str]:
+        """What lies in the folder ``path``; nothing if it is not there."""
+        fs, p = self._at(path)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def mark(self, path: str) -> None:
+        """An empty file at ``path``."""
+        fs, p = self._at(path)
+        fs.create(p, True).close()
+
     def drop_others(self, path: str, kept: set[str]) -> None:
         """Delete what lies in the folder ``path`` under other names than ``kept``."""
         fs, p = self._at(path)
