@@ -17,9 +17,10 @@ chunk is a run of rows of one input partition with a bounded sum of bytes, whate
 their ids, so neither null ids nor repeated ones gather in a task.
 
 Cases: a null or empty text has no words, the end alone is scored. A null id counts as
-an empty text of an id. Repeated rows count each time and score alike. A very long text
-is a chunk of its own and read in pieces. With no training text each binary decision has
-probability 1/2. Other columns are not looked at, whatever their names. An empty table
+an empty text of an id. Repeated rows count each time and score alike; equal texts tie.
+A very long text is a chunk of its own: its bytes are held, its byte strings and words are
+worked out a piece at a time, and the different ones are held, some 30 bytes each. With no
+training text each binary decision has probability 1/2. Other columns are not looked at, whatever their names. An empty table
 gives an empty result.
 """
 
@@ -38,11 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm._scratch import Scope, keep, sweep
+from tallyforge.llm._words import pieces
 
 #: A chunk ends once its texts have so many bytes, or it has so many rows; its codes and words fit in a task.
 CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 15
 EDGE = 0xFF  # never a byte of UTF-8: stands before a text and ends it
 END = b""  # the end token among words
+_SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 LOG10E = math.log10(math.e)
 
 
@@ -61,17 +64,44 @@ def byte_strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     return code[np.repeat(start, size + 1) + offset], which
 
 
-def _pieces(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[int]]:
-    """Numbers of texts, together of about ``most`` bytes."""
+#: Bytes of texts that are turned into byte strings at a time.
+PIECE_BYTES = 2 << 20
+
+
+def string_pieces(texts: list[bytes], depth: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of texts, code of each of their bytes with its context, place of its text among the numbers) of about PIECE_BYTES each.
+
+    A text of more than two pieces is read in parts, each after the ``depth`` bytes before it.
+    """
     held, n = [], 0
     for i, t in enumerate(texts):
+        if len(t) > 2 * PIECE_BYTES:
+            before = bytes([EDGE]) * depth
+            for at in range(0, len(t), PIECE_BYTES):
+                part = t[at : at + PIECE_BYTES]
+                codes, which = byte_strings([before + part], depth)
+                # Without the strings of the context itself, and of the end but for the last part.
+                last = at + PIECE_BYTES >= len(t)
+                yield [i], codes[depth : None if last else -1], which[depth : None if last else -1]
+                before = (before + part)[-depth:] if depth else b""
+            continue
         held.append(i)
         n += len(t)
-        if n >= most:
-            yield held
+        if n >= PIECE_BYTES:
+            yield held, *byte_strings([texts[j] for j in held], depth)
             held, n = [], 0
     if held:
-        yield held
+        yield held, *byte_strings([texts[j] for j in held], depth)
+
+
+def tokens_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text and its end, those of a long text a piece at a time."""
+    if len(text) <= 2 * PIECE_BYTES:
+        yield text.split()
+    else:
+        for part in pieces(text.translate(_SPACES), PIECE_BYTES):
+            yield part.split()
+    yield [END]
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -104,8 +134,8 @@ def count_strings(docs: DataFrame, depth: int) -> DataFrame:
             for chunk, (trained, others) in by.items():
                 codes, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for texts, counts in ((trained, True), (others, False)):
-                    for piece in _pieces(texts):
-                        more, m = np.unique(byte_strings([texts[i] for i in piece], depth)[0], return_counts=True)
+                    for _, found, _ in string_pieces(texts, depth):
+                        more, m = np.unique(found, return_counts=True)
                         both = np.union1d(codes, more)
                         total = np.zeros(len(both), np.int64)
                         total[np.searchsorted(both, codes)] = n
@@ -223,13 +253,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             by: dict[int, tuple[Counter, set]] = {}
             for chunk, train, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "text")), strict=True):
                 counts, others = by.setdefault(chunk, (Counter(), set()))
-                words = text.lower().split()
-                if train:
-                    counts.update(words)
-                    counts[END] += 1
-                else:
-                    others.update(words)
-                    others.add(END)
+                for words in tokens_of(text.lower()):
+                    (counts if train else others).update(words)
             for chunk, (counts, others) in by.items():
                 for w in others:
                     counts.setdefault(w, 0)
@@ -285,15 +310,17 @@ def score_documents(
         texts = [x.as_py().lower() for x in docs_.column("text")]
         n_tokens, n_known, base = [], [], []
         for text in texts:
-            tokens = [*text.split(), END]
-            found = [x for x in map(log.get, tokens) if x is not None]
-            n_tokens.append(len(tokens))
-            n_known.append(len(found))
-            base.append(math.fsum(found) - norm * (len(tokens) - len(found)))
+            n, known_n, sums = 0, 0, []
+            for tokens in tokens_of(text):
+                found = [x for x in map(log.get, tokens) if x is not None]
+                n, known_n = n + len(tokens), known_n + len(found)
+                sums.append(math.fsum(found))
+            n_tokens.append(n)
+            n_known.append(known_n)
+            base.append(math.fsum(sums) - norm * (n - known_n))
         score = np.zeros(len(texts))
-        for piece in _pieces(texts):
-            codes_, which = byte_strings([texts[i] for i in piece], depth)
-            score[piece] = np.bincount(which, log_p[place.get_indexer(codes_.astype(np.int64))], len(piece))
+        for piece, codes_, which in string_pieces(texts, depth):
+            score[piece] += np.bincount(which, log_p[place.get_indexer(codes_.astype(np.int64))], len(piece))
         size = np.array([len(t) + 1 for t in texts])
         return pa.table(
             {

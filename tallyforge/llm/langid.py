@@ -11,7 +11,7 @@ so each distinct run is bound once. Prototypes alone are broadcast: languages ti
 
 Cases: a null text, or one without letters, is ``und`` with score 0, as is every text if
 nothing was learned. Ties go to the language first by code point. Repeated rows count
-each time in training. Very long texts count whole. Other columns are not looked at,
+each time in training. A very long text counts whole and is held by one task, with some 30 bytes for each of its own. Other columns are not looked at,
 whatever their names. An empty table gives an empty result.
 """
 

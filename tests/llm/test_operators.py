@@ -669,6 +669,20 @@ def test_chunks_are_bounded_whatever_the_ids(spark, monkeypatch):
     assert max(r["count"] for r in sizes) <= 11 and sum(r["count"] for r in sizes) == 400
 
 
+def test_long_texts_in_parts_give_the_strings_of_the_whole(spark, real, monkeypatch):
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"ab \n", k=n)) for n in (0, 1, 5, 200, 3, 999, 64, 65)]
+    whole = [Counter(ctw.byte_strings([t], 4)[0].tolist()) for t in texts]
+    for most in (7, 32, 100):
+        monkeypatch.setattr(ctw, "PIECE_BYTES", most)
+        got = [Counter() for _ in texts]
+        for numbers, codes, which in ctw.string_pieces(texts, 4):
+            for c, w in zip(codes.tolist(), which.tolist(), strict=True):
+                got[numbers[w]][c] += 1
+        assert got == whole
+        assert [[w for part in ctw.tokens_of(t) for w in part] for t in texts] == [[*t.split(), b""] for t in texts]
+
+
 def test_every_node_of_the_training_texts_is_used(spark):
     """A corpus of many nodes: each held-out text is scored as by a tree of all of them, held as plain counts."""
     rng = random.Random(6)
