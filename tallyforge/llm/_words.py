@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,3 +80,11 @@ def pieces(clean: bytes, most: int = 1 << 20) -> Iterator[bytes]:
             upto = cut + 1 if cut >= 0 else len(clean)
         yield clean[at:upto]
         at = upto
+
+
+def give_back() -> None:
+    """Hand memory that finished work has freed back to the system; a worker process goes on to other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, memory stays with the process
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm._words import give_back, slices
+
 KINDS = ("assign", "access", "hex", "novel")
 #: Patterns of the base finds and the least length of what they hold.
 ASSIGN = re.compile(
@@ -199,13 +201,14 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(dictionary)
-        for batch in batches:
+        for batch in slices(batches):
             clean = []
             for x in batch.column("text"):
                 text = x.as_py()
                 spans = secret_spans(text, novelty) if text else []
                 clean.append(redacted(text, spans) if spans else text)
             yield batch.set_column(1, "text", pa.array(clean, pa.string()))
+        give_back()
 
     # The other columns travel in a struct, so their names do not matter.
     at = docs.columns.index(text_col)
