@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.sources import statements
+from tallyforge.sources import databases, statements
 
 #: Kinds of sources and their JDBC addresses; None where there is no reader.
 KINDS = {
@@ -54,6 +54,14 @@ class Connections:
             reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
         return reader.load()
 
+    def attach(self, name: str) -> None:
+        """Name the source's tables ``name.schema.table`` in texts of this session; its database gets what Spark's dialect can say."""
+        kind, options = self.held[name]
+        if not KINDS[kind]:
+            raise NotImplementedError(f"{kind} is no database")
+        own = {k: options[k] for k in ("user", "password", "driver") if k in options}
+        databases.attach(self.spark, name, self.address(name), **own)
+
     def statement(self, name: str, sql: str, **options: object) -> DataFrame:
         """The result of a statement at a source that has an HTTP interface; options as of ``statements.StatementSource``."""
         kind, own = self.held[name]
