@@ -284,7 +284,10 @@ def require_short_values(spark: SparkSession, sql: str, most: int = MOST_BYTES)
 def run_query(
     spark: SparkSession, sql: str, most: int = 1000, seconds: float = 30.0, tables: set[str] | None = None, revisions: dict[str, str] | None = None
 ) -> Bounded:
-    """Gate and validate a text, see that the tables' schemas are those captured, then run it bounded."""
+    """Gate and validate a text, see that the tables' schemas are those captured, then run it bounded.
+
+    Schemas are looked at when it runs, never from a cache, so a table that changed meanwhile is seen.
+    """
     from tallyforge.plans.validate import validate
 
     require_read_query(spark, sql, tables)

@@ -6,6 +6,11 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+import threading
+import time
+from collections import OrderedDict
+from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +77,48 @@ def require_revision(df: DataFrame, captured: str) -> DataFrame:
     if schema_revision(df) != captured:
         raise SchemaChanged("the schema changed since it was captured")
     return df
+
+
+class SchemaCache:
+    """What a loader tells of named tables, held for a lifetime; many that ask at once share one load.
+
+    An entry belongs to a source, a name and a revision, so a table whose schema changed is loaded again at once,
+    whatever the age of its entry. A load that fails is not held, and all that waited for it get its error. Beyond
+    ``most`` entries the one that nobody asked for the longest goes.
+    """
+
+    def __init__(self, seconds: float = 300.0, most: int = 10_000, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.most, self.clock = seconds, most, clock
+        self._held: OrderedDict[tuple[str, str], tuple[str, float, Future]] = OrderedDict()
+        self._lock = threading.Lock()
+
+    def get(self, source: str, name: str, revision: str, load: Callable[[], object]) -> object:
+        """``load()``, or what it gave within the lifetime for the same revision."""
+        key = (source, name)
+        with self._lock:
+            now, seen = self.clock(), self._held.get(key)
+            fresh = seen is not None and seen[0] == revision and now - seen[1] < self.seconds
+            found = seen[2] if fresh else Future()
+            if not fresh:
+                self._held[key] = (revision, now, found)
+            self._held.move_to_end(key)
+            while len(self._held) > self.most:
+                self._held.popitem(last=False)
+        if not fresh:
+            try:
+                found.set_result(load())
+            except BaseException as e:
+                with self._lock:
+                    if key in self._held and self._held[key][2] is found:
+                        del self._held[key]
+                found.set_exception(e)
+        return found.result()
+
+    def drop(self, source: str, name: str | None = None) -> None:
+        """Forget a table, or all tables of a source."""
+        with self._lock:
+            for key in [k for k in self._held if k[0] == source and name in (None, k[1])]:
+                del self._held[key]
+
+    def __len__(self) -> int:
+        return len(self._held)

@@ -6,7 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyforge.session import SchemaCache, SchemaChanged
 from tallyforge.sources import databases, statements
 
 #: Kinds of sources and their JDBC addresses; None where there is no reader.
@@ -25,6 +27,7 @@ class Connections:
 
     spark: SparkSession
     held: dict[str, tuple[str, dict]] = field(default_factory=dict)
+    schemas: SchemaCache = field(default_factory=SchemaCache)
 
     def create(self, name: str, kind: str, **options: str) -> None:
         if kind not in KINDS:
@@ -38,6 +41,7 @@ class Connections:
 
     def close(self, name: str) -> None:
         del self.held[name]
+        self.schemas.drop(name)
 
     def address(self, name: str) -> str:
         kind, options = self.held[name]
@@ -54,6 +58,18 @@ class Connections:
             reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
         return reader.load()
 
+    def schema(self, name: str, table: str, revision: str = "") -> T.StructType:
+        """The schema of a table, asked once a lifetime; another ``revision`` of the caller's asks again."""
+        return self.schemas.get(name, table, revision, lambda: self.read(name, table).schema)
+
+    def require_schema(self, name: str, table: str) -> DataFrame:
+        """A table as it is now; refused, and its held schema dropped, if that is not what was held."""
+        held, now = self.schema(name, table), self.read(name, table)
+        if now.schema != held:
+            self.schemas.drop(name, table)
+            raise SchemaChanged(f"{table} changed since its schema was held")
+        return now
+
     def attach(self, name: str) -> None:
         """Name the source's tables ``name.schema.table`` in texts of this session; its database gets what Spark's dialect can say."""
         kind, options = self.held[name]
