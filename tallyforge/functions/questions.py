@@ -127,6 +127,23 @@ def sql_of(answer: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.when(fenced != "", fenced).otherwise(bare)), r"[\s;]+$", ""), F.lit(""))
 
 
+#: What stands between alternatives of one answer, and how a failed one begins.
+ALTERNATIVE, FAILED = "---ALTERNATIVE---", "-- Failed to generate"
+
+
+def alternatives_of(answer: Column) -> Column:
+    """The SQL texts of an answer that holds two or more, in order; empty where there are fewer. Blank and failed ones do not count."""
+    parts = F.filter(F.split(answer, ALTERNATIVE), lambda p: ~F.trim(p).startswith(FAILED))
+    found = F.array_compact(F.transform(parts, sql_of))
+    return F.when(answer.contains(ALTERNATIVE) & (F.size(found) > 1), found).otherwise(F.array().cast("array<string>"))
+
+
+def search_text(text: Column) -> Column:
+    """What to search a catalog for: a question, its intent, the names it quotes, and the tables it names."""
+    kind = texts.intent(text)
+    return F.concat_ws(" ", text, F.when(kind != "UNKNOWN", kind), F.array_join(quoted_values(text), " "), F.array_join(named_tables(text), " "))
+
+
 def word_hits(words: Column, text: Column) -> Column:
     """Share of words, of two characters at least, that a text holds."""
     asked = F.filter(words, lambda w: F.length(w) >= 2)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.plans.metrics import Metric
+
 #: Names of columns that hold personal data, by kind.
 PERSONAL = {
     "phone": "phone|mobile|tel|telephone|contact_no|contact_number|cell_phone|cellphone|handset|msisdn",
@@ -154,6 +157,36 @@ def column_documents(columns: DataFrame) -> DataFrame:
     return columns.select(F.concat_ws(".", "table_name", "column_name").alias("id"), "table_name", F.concat_ws(" ", words, "data_type").alias("text"))
 
 
+#: A dimension's values are told if it has so many at most.
+MOST_VALUES = 50
+
+
+def metric_documents(metrics: list[Metric], tables: dict[str, DataFrame], most: int = MOST_VALUES) -> DataFrame:
+    """(id, fact, dimensions, text): one searchable line per metric: its name, what it computes, its dimensions and their values.
+
+    Values are read from the tables; a dimension of more than ``most`` distinct ones is told by its name alone.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    places = {(m.table, d): (m.table, d) for m in metrics for d in m.dimensions}
+    places |= {(m.lookup.table, a): (m.lookup.table, c) for m in metrics if m.lookup for a, c in m.lookup.dimensions}
+    told = []
+    for (t, alias), (_, column) in places.items():
+        some = tables[t].select(F.col(column).cast("string").alias("v")).where("v is not null").distinct().limit(most + 1)
+        said = F.when(F.count("*") <= most, F.array_join(F.sort_array(F.collect_list("v")), " ")).otherwise("")  # most + 1 rows
+        told.append(some.agg(said.alias("values")).select(F.lit(t).alias("of"), F.lit(alias).alias("dimension"), "values"))
+    values = reduce(DataFrame.unionByName, told, spark.createDataFrame([], "of string, dimension string, values string"))
+    rows = []
+    for m in metrics:
+        held = [(m.table, d) for d in m.dimensions] + [(m.lookup.table, a) for a, _ in (m.lookup.dimensions if m.lookup else ())]
+        head = f"{m.name.replace('_', ' ')} {m.aggregation} of {m.column} in {m.table}"
+        rows += [(m.name, m.table, list(m.dimension_names()), head, place, of, d) for place, (of, d) in enumerate(held or [(None, None)])]
+    x = spark.createDataFrame(rows, "id string, fact string, dimensions array<string>, head string, place int, of string, dimension string")
+    line = F.when(F.col("dimension").isNotNull(), F.rtrim(F.concat_ws(" ", F.lit("by"), F.translate("dimension", "_", " "), "values")))
+    lines = F.sort_array(F.collect_list(F.when(F.col("dimension").isNotNull(), F.struct("place", line.alias("line")))))
+    out = x.join(F.broadcast(values), ["of", "dimension"], "left").groupBy("id").agg(F.first("fact").alias("fact"), F.first("dimensions").alias("dimensions"), F.first("head").alias("head"), lines.alias("lines"))
+    return out.select("id", "fact", "dimensions", F.array_join(F.concat(F.array("head"), F.col("lines.line")), " ").alias("text"))
+
+
 def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(column_name, data_type, change): columns added and removed between two lists of (column_name, data_type)."""
     side = lambda x, y, what: x.exceptAll(y).withColumn("change", F.lit(what))

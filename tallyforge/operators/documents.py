@@ -65,13 +65,34 @@ def hash_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
     return v / max(np.linalg.norm(v), 1e-12)
 
 
-def embedded(docs: DataFrame, text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
-    """``docs`` with a hash embedding of each text."""
+def hash_vectors(texts: list[str], dimension: int = DIMENSION) -> list[np.ndarray]:
+    """Hash vectors of some texts."""
+    return [hash_vector(t, dimension) for t in texts]
+
+
+#: Fixed value: texts that a model is given at once.
+AT_ONCE = 100
+
+
+def embedded(
+    docs: DataFrame, text_col: str = "text", dimension: int = DIMENSION, model: Callable[[list[str]], list] | None = None, at_once: int = AT_ONCE
+) -> DataFrame:
+    """``docs`` with an embedding of each text, null texts as empty ones, ``at_once`` of them at most to a call of ``model``.
+
+    Without a model it is the hash embedding. A model that gives another number of vectors than it got texts fails the job.
+    """
+    ask = model or (lambda texts: hash_vectors(texts, dimension))
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: hash_vector(t or "", dimension).astype("float32"))
+            whole, out = texts.fillna("").tolist(), []
+            for i in range(0, len(whole), at_once):
+                found = ask(whole[i : i + at_once])
+                if len(found) != len(whole[i : i + at_once]):
+                    raise ValueError("a model gives one vector for each text")
+                out += [np.asarray(v, "float32") for v in found]
+            yield pd.Series(out, dtype=object)
 
     return docs.withColumn("embedding", embed(text_col))
 

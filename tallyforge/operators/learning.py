@@ -60,22 +60,28 @@ def attempt_rate(x: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFram
     return x.withColumn("_s", second).withColumn("attempts", F.count("*").over(w)).drop("_s")
 
 
-#: Edit fragments by what they touch, first match wins.
+#: Edit fragments by what they touch, first match wins; then a comparison's column, with its table if it has one.
 FRAGMENTS = (
-    ("JOIN", r"\bjoin\b"), ("GROUP", r"\bgroup\s+by\b"), ("ORDER", r"\border\s+by\b"), ("HAVING", r"\bhaving\b"),
-    ("WHERE", r"\bwhere\b"), ("AND", r"\band\b"), ("OR", r"\bor\b"), ("AGG", r"\b(sum|count|avg|min|max)\s*\("),
+    ("WHERE", r"^where\b"), ("AND", r"^and\b"), ("OR", r"^or\b"), ("JOIN", r"join"), ("GROUP_BY", r"group\s+by"), ("ORDER_BY", r"order\s+by"),
+    ("HAVING", r"having"), ("AGGREGATE", r"(sum|count|avg|max|min)\s*\("),
 )
+COMPARED = r"(?:(\w+)\.)?(\w+)\s*(?:!=|>=|<=|<>|[=><])"
 
 
 def fragment_kind(text: Column) -> Column:
-    """What part of a query an edit touches."""
-    out = None
+    """What part of a query an edit touches, by its first word, else by what it holds; null for blank texts."""
+    low, out = F.lower(F.trim(text)), F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit(None))
     for kind, pattern in FRAGMENTS:
-        hit = F.lower(text).rlike(pattern)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        out = out.when(low.rlike(pattern), kind)
     return out.otherwise("OTHER")
 
 
+def compared_column(text: Column) -> Column:
+    """struct<table,column>: the first column that an edit compares, in lower case; null without one, its table null where none is named."""
+    part = lambda i: F.lower(F.regexp_extract(text, COMPARED, i))
+    return F.when(part(2) != "", F.struct(F.nullif(part(1), F.lit("")).alias("table"), part(2).alias("column")))
+
+
 def admitted(x: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
     """``x`` with ``admitted``: an attempt passes if fewer than ``limit`` admitted ones of its key lie within the last ``seconds``.
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.functions import questions
+from tallyforge.functions import text as texts
 from tallyforge.functions.patterns import COMPLEXITY, PLANS
 from tallyforge.operators import catalog
+from tallyforge.operators.search import CatalogIndex
 
 
 def first_match(text: Column, rules: tuple, otherwise: str) -> Column:
@@ -121,3 +127,17 @@ def linked_schema(hits: DataFrame, matched: DataFrame, terms: DataFrame, columns
     wide = catalog.neighbours(found.select("table_name"), links).join(exist, "table_name", "left_semi")
     listed = columns.groupBy("table_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "column_name"))), lambda c: c["column_name"]).alias("columns"))
     return wide.join(found, "table_name", "left").join(listed, "table_name").select("table_name", "score", "is_seed", "columns")
+
+
+def question_schema(index: CatalogIndex, question: str, embed: Callable[[str], list[float]], terms: DataFrame, columns: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
+    """``linked_schema`` from a question alone: its search text, the index's hits, names that it holds, terms, neighbours by keys.
+
+    ``index`` has documents of columns with the field table_name; ``terms`` are (table_name, score) of the glossary.
+    """
+    said = questions.search_text(F.lit(question))
+    asked = columns.sparkSession.range(1).select(said.alias("s"), F.array_distinct(texts.english_tokens(said)).alias("t")).first()
+    hits = index.search(asked.t, embed(asked.s), k).groupBy("table_name").agg(F.max("score").alias("score"))
+    names = columns.select("table_name").distinct()
+    score = reduce(F.greatest, [catalog.name_score(F.col("table_name"), F.lit(""), F.lit(t), True) for t in asked.t], F.lit(0.0))
+    matched = names.withColumn("score", score).where("score >= 0.6")
+    return linked_schema(hits, matched, terms, columns, links)

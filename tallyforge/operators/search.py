@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.operators import retrieval
+from tallyforge.operators.documents import embedded
+from tallyforge.operators.vectors import VectorIndex
 from tallyforge.sources.versions import Versions
 
 #: Each arm of a hybrid search gives twice the rows asked for, and at least so many.
@@ -177,6 +179,10 @@ class PostingsIndex:
         """(doc_id, fields, len, term, tf, bucket) of all documents."""
         return self._live("postings", *self._state()).drop("seq")
 
+    def documents(self) -> DataFrame:
+        """(doc_id, fields, len) of all documents."""
+        return self._live("lengths", *self._state()).drop("seq")
+
     def search(self, terms: list[str], k: int, where: Column | None = None) -> DataFrame:
         """(doc_id, score): the ``k`` best documents by BM25 for any of ``terms``; ``where`` is over the fields, and so are all counts."""
         (segments, dead), asked = self._state(), list(dict.fromkeys(terms))
@@ -228,19 +234,35 @@ def hybrid(sparse: DataFrame, dense: DataFrame, k: int, fields: list[str] = (),
     return out.select("id", "score", *(F.coalesce(f"d_{f}", f"s_{f}").alias(f) for f in fields)).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def letter_vector(text: Column) -> Column:
-    """Counts of the letters a to z: a stand-in for an embedding model, for small catalogs and tests."""
-    low = F.lower(text)
-    return F.array(*((F.length(low) - F.length(F.translate(low, c, ""))).cast("double") for c in map(chr, range(97, 123))))
+class CatalogIndex:
+    """Documents of a catalog (id, text, fields) stored once: postings for keywords, vectors in lists for the rest."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = ()):
+        self.fields = fields
+        self.words = PostingsIndex(spark, f"{path}/words", id_col="id", fields=fields)
+        self.near = VectorIndex(spark, f"{path}/vectors", id_col="id", fields=fields)
+
+    def ready(self) -> bool:
+        return bool(self.words.versions.numbers() and self.near.versions.numbers())
+
+    def build(self, docs: DataFrame, tokens: Column, embed: Callable[[DataFrame], DataFrame] = embedded, lists: int | None = 1) -> None:
+        """Index ``docs``; ``embed`` adds a column embedding, by default hash vectors of the texts.
+
+        Hash vectors lie everywhere, so no list of them could be skipped and one will do; with a model's vectors of a
+        large catalog ``lists`` of None deals them to centroids.
+        """
+        self.words.build(docs, tokens)
+        self.near.build(embed(docs.select("id", *self.fields, "text")), lists)
 
+    def search(self, terms: list[str], vector: list[float], k: int, where: Column | None = None) -> DataFrame:
+        """(id, score, fields): the ``k`` best by keywords and by nearness, of documents that pass the filter over the fields.
 
-def search_texts(corpus: DataFrame, tokens: Column, terms: list[str], vector: list[float], k: int, fields: list[str] = ()) -> DataFrame:
-    """Hybrid search of a catalog (id, text, fields) that needs no index, with letter vectors."""
-    n = arm_size(k)
-    sparse = retrieval.bm25(corpus, tokens, terms, n, "id").withColumnRenamed("doc_id", "id")
-    dense = retrieval.cosine_top(corpus.withColumn("embedding", letter_vector(F.col("text"))), vector, n, id_col="id").withColumnRenamed("vec_id", "id")
-    known = corpus.select("id", *fields)
-    return hybrid(sparse.join(known, "id"), dense.select("id", "score").join(known, "id"), k, list(fields))
+        ``vector`` is the question's, by the same embedding as the documents'.
+        """
+        n, known = arm_size(k), self.words.documents().select(F.col("doc_id").alias("id"), *self.fields)
+        sparse = self.words.search(terms, n, where).withColumnRenamed("doc_id", "id")
+        dense = self.near.search(vector, n, where).select(F.col("vec_id").alias("id"), "score")
+        return hybrid(sparse.join(known, "id"), dense.join(known, "id"), k, list(self.fields))
 
 
 def search_targets(spark: SparkSession, targets: dict[str, Callable[[], DataFrame]], k: int) -> tuple[DataFrame, dict[str, str]]:

@@ -146,14 +146,14 @@ _sql("sql_join_inner", "SELECT n_name, count(*) AS n FROM customer JOIN nation O
 _sql("sql_join_left_zero", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 _sql("sql_semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
 _sql("sql_semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-_sql("sql_anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+_sql("sql_anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 _sql("sql_cross_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a CROSS JOIN nation b WHERE a.n_nationkey < b.n_nationkey")
 _sql("sql_scalar_sub", "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 _sql("sql_derived", "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) t WHERE n > 12")
 _sql("sql_cte", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000) SELECT o_orderstatus, count(*) AS n FROM big GROUP BY o_orderstatus")
 _sql(
     "sql_recursive",
-    "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t",
+    "WITH RECURSIVE t(k, n) AS (SELECT o_orderkey, 1 FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT k, n * 2 FROM t WHERE n < 8) SELECT k, n FROM t",
 )
 _sql("sql_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 _sql("sql_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 14")
@@ -172,7 +172,7 @@ _sql("sql_lag", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey
 _sql("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 _sql("sql_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
 _sql("sql_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
-_sql("sql_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier")
+_sql("sql_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 8500")
 _sql(
     "sql_date_functions", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)",
     "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n FROM orders GROUP BY 1, 2",

@@ -206,11 +206,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return x.select("message", validate.error_class_column(F.col("message")).alias("class"))
 
 
-@query("eq_multiset", "SELECT count(*) = count(*) AS same, (SELECT count(*) FROM labels) = (SELECT count(*) + 1 FROM labels) AS same_without_one FROM orders")
+def _equal(a: str, b: str) -> str:
+    return f"NOT EXISTS ({a} EXCEPT ALL {b}) AND NOT EXISTS ({b} EXCEPT ALL {a})"
+
+
+_KEYS_OF_ORDERS = "SELECT o_custkey AS k, o_orderstatus AS s FROM orders"
+_KEYS_BY_JOIN = "SELECT c_custkey AS k, o_orderstatus AS s FROM customer JOIN orders ON c_custkey = o_custkey"
+
+
+@query(
+    "eq_multiset",
+    f"SELECT {_equal(_KEYS_OF_ORDERS, _KEYS_BY_JOIN)} AS same, {_equal(_KEYS_OF_ORDERS, f'SELECT DISTINCT * FROM ({_KEYS_OF_ORDERS})')} AS same_without_repeats, "
+    f"{_equal(_KEYS_OF_ORDERS, f'(SELECT * FROM ({_KEYS_OF_ORDERS}) UNION ALL SELECT min(k), min(s) FROM ({_KEYS_OF_ORDERS}))')} AS same_with_one_more",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "orders").select("o_custkey", "o_orderstatus")
-    y = x.repartition(3)
-    return spark.createDataFrame([(evaluation.same_multiset(x, y), evaluation.same_multiset(x, y.union(x.limit(1))))], "same boolean, same_without_one boolean")
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    y = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(x, "k")
+    more = x.unionByName(x.agg(F.min("k").alias("k"), F.min("s").alias("s")))
+    found = (evaluation.same_multiset(x, y), evaluation.same_multiset(x, x.distinct()), evaluation.same_multiset(x, more))
+    return spark.createDataFrame([found], "same boolean, same_without_repeats boolean, same_with_one_more boolean")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import questions
 from tallyforge.operators import catalog, documents, learning, routing
 from tallyforge.registry import query
 from tallyforge.session import table
@@ -64,10 +65,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return routing.candidate_rules(x, "k", "kind", 30, "age")
 
 
-@query("edit_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'JOIN' WHEN 1 THEN 'GROUP' WHEN 2 THEN 'WHERE' WHEN 3 THEN 'AGG' ELSE 'OTHER' END AS kind FROM events) GROUP BY kind")
+_FRAGMENT = (
+    "CASE user_id % 9 WHEN 0 THEN 'WHERE ' WHEN 1 THEN ' and ' WHEN 2 THEN 'LEFT JOIN ' WHEN 3 THEN 'Group  By ' WHEN 4 THEN 'order by ' WHEN 5 THEN 'x HAVING ' WHEN 6 THEN 'avg (1) ' WHEN 7 THEN 'or ' ELSE '' END "
+    "|| CASE event_id % 4 WHEN 0 THEN event_type || '.Value >= 3' WHEN 1 THEN 'User_Id = 1' WHEN 2 THEN event_type ELSE '' END"
+)
+_KIND_SQL = "CASE WHEN trim(x) = '' THEN NULL {} ELSE 'OTHER' END".format(" ".join(f"WHEN regexp_matches(lower(trim(x)), '{p}') THEN '{k}'" for k, p in learning.FRAGMENTS))
+
+
+@query(
+    "edit_kinds",
+    f"SELECT {_KIND_SQL} AS kind, nullif(lower(regexp_extract(x, '{learning.COMPARED}', 1)), '') AS of, nullif(lower(regexp_extract(x, '{learning.COMPARED}', 2)), '') AS col, count(*) AS n "
+    f"FROM (SELECT {_FRAGMENT} AS x FROM events) GROUP BY ALL",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "events").select(F.expr(_FRAGMENT).alias("x"))
+    x = x.select(learning.fragment_kind(F.col("x")).alias("kind"), learning.compared_column(F.col("x")).alias("c"))
+    return x.groupBy("kind", F.col("c.table").alias("of"), F.col("c.column").alias("col")).agg(F.count("*").alias("n"))
+
+
+_ANSWER = (
+    "'```sql' || chr(10) || 'SELECT ' || doc_id || ' AS ' || source || ';' || chr(10) || '```' || chr(10) || CASE doc_id % 3 WHEN 0 THEN '---ALTERNATIVE---' ELSE '' END || "
+    "CASE doc_id % 2 WHEN 0 THEN 'The other: with x as (select ' || lang || ') select * from x ;' ELSE '-- Failed to generate' END || CASE doc_id % 5 WHEN 0 THEN '---ALTERNATIVE---  select ' || doc_id ELSE '' END"
+)
+_FENCED, _BARE = r"'(?is)```(?:sql)?\s*(.*?)```'", r"'(?is)\b((?:select|with)\b.*)'"
+
+
+@query(
+    "sql_alternatives",
+    f"WITH a AS (SELECT doc_id, {_ANSWER} AS x FROM documents), p AS (SELECT doc_id, unnest(string_split(x, '---ALTERNATIVE---')) AS part, generate_subscripts(string_split(x, '---ALTERNATIVE---'), 1) AS place FROM a WHERE contains(x, '---ALTERNATIVE---')), "
+    f"q AS (SELECT doc_id, place, regexp_replace(trim(CASE WHEN regexp_extract(part, {_FENCED}, 1) <> '' THEN regexp_extract(part, {_FENCED}, 1) ELSE regexp_extract(part, {_BARE}, 1) END), '[\\s;]+$', '') AS sql FROM p WHERE NOT starts_with(trim(part), '-- Failed to generate')) "
+    "SELECT doc_id, string_agg(sql, '|' ORDER BY place) AS texts, count(*) AS n FROM q WHERE sql <> '' GROUP BY doc_id HAVING count(*) > 1",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    text = F.expr("CASE event_id % 5 WHEN 0 THEN 'LEFT JOIN b' WHEN 1 THEN 'group  by x' WHEN 2 THEN 'where a > 1' WHEN 3 THEN 'sum(x)' ELSE 'x' END")
-    return table(spark, d, "events").groupBy(learning.fragment_kind(text).alias("kind")).agg(F.count("*").alias("n"))
+    x = table(spark, d, "documents").select("doc_id", questions.alternatives_of(F.expr(_ANSWER)).alias("t")).where(F.size("t") > 0)
+    return x.select("doc_id", F.array_join("t", "|").alias("texts"), F.size("t").cast("long").alias("n"))
 
 
 @query("cache_hits", "WITH h AS (SELECT event_type AS t, max(event_id) AS used FROM events GROUP BY 1 ORDER BY used DESC LIMIT 2) SELECT event_id, event_type IN (SELECT t FROM h) AS hit FROM events")

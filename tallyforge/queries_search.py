@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import catalog, learning, retrieval, routing, search, vectors
+from tallyforge.operators import catalog, documents, learning, retrieval, routing, search, vectors
+from tallyforge.plans import metrics
 from tallyforge.queries import _COS, _COS_SQL, _TERMS, _TOKENS, _VECTOR, CATALOG
-from tallyforge.queries_catalog import _C, columns
+from tallyforge.queries_catalog import _C
 from tallyforge.registry import query
-from tallyforge.session import shared_folder, table
+from tallyforge.session import TABLES, schema_revision, shared_folder, table
 from tallyforge.sources.versions import fingerprint
 
 K = 10
@@ -129,29 +131,70 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_documents(spark, d)
 
 
-_ASKED, _LETTERS = ["customer", "nationkey", "string"], [float("customer nationkey string".count(c)) for c in map(chr, range(97, 123))]
-_LETTER_SQL = "[{}]::DOUBLE[]".format(", ".join(f"length(text) - length(replace(lower(text), '{c}', ''))" for c in map(chr, range(97, 123))))
-_NEAR = "SELECT id, round(1 / (1 + distance), 6) AS score FROM (SELECT id, round(1 - list_cosine_similarity({}, {}::DOUBLE[]), 6) AS distance FROM ({})) ORDER BY distance, id LIMIT {}"
-_SCHEMA = f"{_C} SELECT table_name || '.' || column_name AS id, table_name, replace(table_name || ' ' || column_name, '_', ' ') || ' ' || data_type AS text FROM c"
-_METRICS = "SELECT * FROM (VALUES {}) AS t(id, fact, text)".format(
-    ", ".join(f"('{m.name}', '{m.table}', '{m.name.replace('_', ' ')} {m.aggregation} of {m.column} in {m.table}')" for m in CATALOG.metrics)
+_ASKED, _MEASURE = ["customer", "nationkey", "string"], ["total", "urgent", "orders"]
+#: Hash vectors in DuckDB, and nearness of a text's vector to another's.
+_HASH_SQL = (
+    "(WITH b AS (SELECT list_transform(range(256), lambda i: xor(('0x' || substr(sha256({0}), (2 * (i % 32) + 1)::INT, 2))::INT, i::INT) / 127.5 - 1) AS v) "
+    "SELECT list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT::DOUBLE) FROM b)"
+)
+_NEAR = (
+    "SELECT id, round(1 / (1 + distance), 6) AS score FROM (SELECT id, round(1 - list_cosine_similarity({}, {}::DOUBLE[]), 6) AS distance FROM ({})) ORDER BY distance, id LIMIT {}"
 )
-_HYBRID_SCHEMA = _fused(_bm25(_SCHEMA, _ARM, _ASKED), _NEAR.format(_LETTER_SQL, _LETTERS, _SCHEMA, _ARM), K)
-_MEASURE = ["revenue", "sum", "orders"]
-_MEASURE_LETTERS = [float("revenue sum orders".count(c)) for c in map(chr, range(97, 123))]
-_HYBRID_METRICS = _fused(_bm25(_METRICS, _ARM, _MEASURE), _NEAR.format(_LETTER_SQL, _MEASURE_LETTERS, _METRICS, _ARM), K)
+
+
+def _near(words: list[str], source: str) -> str:
+    return _NEAR.format(_HASH_SQL.format("text"), [float(v) for v in documents.hash_vector(" ".join(words))], source, _ARM)
+
+
+_SCHEMA = f"{_C} SELECT table_name || '.' || column_name AS id, table_name, replace(table_name || ' ' || column_name, '_', ' ') || ' ' || data_type AS text FROM c"
+
+
+def _told(of: str, column: str, alias: str) -> str:
+    """A dimension's words in DuckDB."""
+    values = f"SELECT CASE WHEN count(DISTINCT {column}) <= {catalog.MOST_VALUES} THEN string_agg(DISTINCT {column}, ' ' ORDER BY {column}) END FROM {of}"
+    return f"rtrim('by {alias.replace('_', ' ')} ' || coalesce(({values}), ''))"
+
+
+def _metric_sql(m: metrics.Metric) -> str:
+    told = [_told(m.table, d, d) for d in m.dimensions] + [_told(m.lookup.table, c, a) for a, c in m.lookup.dimensions]
+    return f"SELECT '{m.name}' AS id, '{m.table}' AS fact, concat_ws(' ', '{m.name.replace('_', ' ')} {m.aggregation} of {m.column} in {m.table}', {', '.join(told)}) AS text"
+
+
+_METRICS = " UNION ALL ".join(map(_metric_sql, CATALOG.metrics))
+_HYBRID_SCHEMA = _fused(_bm25(_SCHEMA, _ARM, _ASKED), _near(_ASKED, _SCHEMA), K)
+_HYBRID_METRICS = _fused(_bm25(_METRICS, _ARM, _MEASURE), _near(_MEASURE, _METRICS), K)
+
+
+def catalog_index(spark: SparkSession, name: str, fields: tuple[str, ...], of: dict[str, DataFrame], docs: Callable[[], DataFrame]) -> search.CatalogIndex:
+    """A stored index of documents about tables; built once for the schemas, rules and files as they are."""
+    seen = "".join(schema_revision(x) for x in of.values()) + "".join(fingerprint(spark, x.inputFiles()) for x in of.values()) + repr(CATALOG)
+    index = search.CatalogIndex(spark, f"{shared_folder(spark)}/tallyforge-index/{name}-{hashlib.sha256(seen.encode()).hexdigest()[:32]}", fields)
+    if not index.ready():
+        index.build(docs(), tx.english_tokens(F.col("text")))
+    return index
+
+
+def hash_question(words: list[str]) -> list[float]:
+    """The hash vector of a question's words."""
+    return [float(v) for v in documents.hash_vector(" ".join(words))]
 
 
 def hybrid_schema(spark: SparkSession, d: str) -> DataFrame:
     """Columns of all tables by keywords and vectors."""
-    return search.search_texts(catalog.column_documents(columns(spark, d)), tx.english_tokens(F.col("text")), _ASKED, _LETTERS, K, ["table_name"])
+    of = {t: table(spark, d, t) for t in TABLES}
+    index = catalog_index(spark, "columns", ("table_name",), of, lambda: catalog.column_documents(catalog.columns_of(spark, of)))
+    return index.search(_ASKED, hash_question(_ASKED), K)
+
+
+def metrics_index(spark: SparkSession, d: str) -> search.CatalogIndex:
+    """The stored index of the catalog's metrics, with the values of their dimensions."""
+    of = {t: table(spark, d, t) for t in ("lineitem", "orders", "customer")}
+    return catalog_index(spark, "metrics", ("fact", "dimensions"), of, lambda: catalog.metric_documents(list(CATALOG.metrics), of))
 
 
 def hybrid_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the catalog by keywords and vectors."""
-    rows = [(m.name, m.table, f"{m.name.replace('_', ' ')} {m.aggregation} of {m.column} in {m.table}") for m in CATALOG.metrics]
-    corpus = spark.createDataFrame(rows, "id string, fact string, text string")
-    return search.search_texts(corpus, tx.english_tokens(F.col("text")), _MEASURE, _MEASURE_LETTERS, K, ["fact"])
+    return metrics_index(spark, d).search(_MEASURE, hash_question(_MEASURE), K).select("id", "score", "fact")
 
 
 @query("hybrid_schema", f"SELECT h.id, h.score, t.table_name FROM ({_HYBRID_SCHEMA}) h JOIN ({_SCHEMA}) t USING (id)")
@@ -164,6 +207,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_metrics(spark, d)
 
 
+@query("metric_docs", _METRICS)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    of = {t: table(spark, d, t) for t in ("lineitem", "orders", "customer")}
+    return catalog.metric_documents(list(CATALOG.metrics), of).select("id", "fact", "text")
+
+
+def found_dimensions(index: search.CatalogIndex, words: list[str], k: int = 5) -> DataFrame:
+    """(dimension, score): dimensions of the metrics that ``words`` find, each with the sum of these metrics' scores."""
+    hits = index.search(words, hash_question(words), k)
+    return hits.select(F.explode("dimensions").alias("dimension"), "score").groupBy("dimension").agg(F.round(F.sum("score"), 8).alias("score"))
+
+
+_DIMENSIONS = " UNION ALL ".join(f"SELECT '{m.name}' AS id, unnest({list(m.dimension_names())}) AS dimension" for m in CATALOG.metrics)
+
+
+@query("found_dimensions", f"SELECT dimension, round(sum(score), 8) AS score FROM ({_fused(_bm25(_METRICS, search.arm_size(3), _MEASURE), _near(_MEASURE, _METRICS), 3)}) h JOIN ({_DIMENSIONS}) d USING (id) GROUP BY dimension")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return found_dimensions(metrics_index(spark, d), _MEASURE, 3)
+
+
 @query(
     "hybrid_union",
     f"SELECT 'schema' AS target, id, score FROM ({_HYBRID_SCHEMA}) UNION ALL SELECT 'metrics', id, score FROM ({_HYBRID_METRICS}) UNION ALL SELECT 'documents', id::VARCHAR, score FROM ({_HYBRID_DOCUMENTS})",
@@ -207,14 +270,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return learning.similar_questions(asked, history, tx.english_tokens, 0.2)
 
 
+#: Texts before and after an edit, in Spark and in DuckDB.
+_BEFORE = "'select ' || event_type || ' from t'"
+_AFTER = (
+    "CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'selec ' || event_type || ' from t' ELSE 'select ' || CASE user_id % 5 WHEN 0 THEN 'a' ELSE event_type END || ' from t' END || "
+    "CASE user_id % 4 WHEN 0 THEN ' -- limit ' || event_type WHEN 1 THEN ' limit ' || user_id WHEN 2 THEN ' ' || event_type || ' /* where */' ELSE CASE event_id % 3 WHEN 0 THEN ' where a == 1' ELSE '' END END"
+)
+_PLAIN_SQL = r"trim(regexp_replace(regexp_replace({}, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g'))"
+
+
 @query(
     "edit_meaning",
-    "SELECT event_id, b <> '' AND NOT regexp_matches(b, '==') AS plausible, CASE k WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS meaningful "
-    "FROM (SELECT event_id, event_id % 6 AS k, ['select a from t -- x', 'select a from t tehst', 'select a from t limit 5', 'select a', 'select b from t where a == 1', ''][event_id % 6 + 1] AS b FROM events)",
+    f"SELECT event_id, q <> '' AND NOT regexp_matches(q, '{learning.INVALID_SQL}') AS plausible, x <> '' AND CASE WHEN p = q THEN false WHEN starts_with(q, p) THEN len(list_filter({learning.EDIT_WORDS}, lambda w: contains(lower(trim(substr(q, length(p) + 1))), w))) > 0 ELSE true END AS meaningful "
+    f"FROM (SELECT event_id, {_AFTER} AS x, {_PLAIN_SQL.format(_BEFORE)} AS p, {_PLAIN_SQL.format(_AFTER)} AS q FROM events)",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    after = F.element_at(F.array(*map(F.lit, ("select a from t -- x", "select a from t tehst", "select a from t limit 5", "select a", "select b from t where a == 1", ""))), (F.col("event_id") % 6 + 1).cast("int"))
-    before = F.lit("select a from t")
+    before, after = F.expr(_BEFORE), F.expr(_AFTER)
     return table(spark, d, "events").select("event_id", learning.plausible_sql(after).alias("plausible"), learning.meaningful_edit(before, after).alias("meaningful"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import questions
 from tallyforge.operators import documents
 from tallyforge.sources.ddl import declared
 
@@ -74,3 +75,19 @@ def test_versions_of_texts(spark):
     assert sorted(map(tuple, documents.branched(x, "item", "version", "a", 1, "c").where("item = 'c'").collect())) == [("c", 1, "one")]
     ratio = spark.createDataFrame([("a b", "a b"), ("a b", "a c"), (None, "x")], "p string, q string").select(documents.edit_ratio(F.col("p"), F.col("q")).alias("r"))
     assert [r.r for r in ratio.collect()] == [1.0, 0.5, 0.0]
+
+
+def test_models_get_a_hundred_texts_at_once(spark):
+    docs = spark.range(1234).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("t"), "id")).alias("text"), "id").coalesce(1)
+    sized = lambda texts: [[float(len(texts)), float(len(t))] for t in texts]
+    got = documents.embedded(docs, model=sized).collect()
+    assert {r.embedding[0] for r in got} <= {float(n) for n in range(1, 101)} and max(r.embedding[0] for r in got) == 100
+    assert all(r.embedding[1] == len(r.text or "") for r in got) and len(got) == 1234
+    with pytest.raises(Exception, match="one vector for each text"):
+        documents.embedded(docs, model=lambda texts: [[1.0]]).collect()
+
+
+def test_alternatives(spark):
+    said = ["select 1---ALTERNATIVE---```sql\nselect 2;\n```---ALTERNATIVE---  ", "select 1", "select 1 ---ALTERNATIVE--- -- Failed to generate select 2", "", None]
+    got = spark.createDataFrame([(s,) for s in said], "s string").select(questions.alternatives_of(F.col("s")).alias("a")).collect()
+    assert [r.a for r in got] == [["select 1", "select 2"], [], [], [], []]

@@ -211,8 +211,11 @@ def test_sources(spark, sf):
 def test_small_operators(spark):
     x = spark.createDataFrame([("SELECT  1 ;",), (None,)], "s string").select(learning.normal_sql(F.col("s")).alias("n"))
     assert [r.n for r in x.collect()] == ["select 1", None]
-    kinds = spark.createDataFrame([("JOIN b",), ("x",)], "s string").select(learning.fragment_kind(F.col("s")).alias("k"))
-    assert [r.k for r in kinds.collect()] == ["JOIN", "OTHER"]
+    said = ["a JOIN b", "and t.X >= 3", "Where y=1", "order by z", "ORDER  BY z", "having 1", "sum (x)", "x", " ", None]
+    kinds = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", learning.fragment_kind(F.col("s")).alias("k"), learning.compared_column(F.col("s")).alias("c"))
+    got = sorted(kinds.collect())
+    assert [r.k for r in got] == ["JOIN", "AND", "WHERE", "ORDER_BY", "ORDER_BY", "HAVING", "AGGREGATE", "OTHER", None, None]
+    assert [r.c and tuple(r.c) for r in got] == [None, ("t", "x"), (None, "y")] + [None] * 7
     low, high = evaluation.wilson(F.lit(0), F.lit(0))
     assert tuple(spark.range(1).select(low.alias("a"), high.alias("b")).first()) == (None, None)
     empty = spark.createDataFrame([], "table_name string")
