@@ -7,7 +7,8 @@ names without and with the candidate, and the difference in bytes, against that
 strings of its length, is its novelty. The frame is long enough for entropy coding to act
 on the candidate's letters, so words and identifiers of any make shrink and random
 strings of any alphabet do not. Novelty alone decides; a candidate is any run of 14 or more letters, digits
-and signs of such strings, up to 80 characters after a context word or 40 before one.
+and signs of such strings, up to 80 characters after a context word or 40 before one. UUIDs
+and times are as novel as keys and mostly none: they count only right after a context word.
 
 Cases: a null or empty text has no spans. Overlapping finds of several kinds are all
 kept; equal starts go by kind. Very long texts are scanned whole in linear time and a
@@ -47,6 +48,12 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}={0,2}")
+#: Formats of ids and times, and what may stand between a context word and one that it names.
+NOTED = re.compile(
+    r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+    r"|(?:19|20)\d\d[-/_]?[01]\d[-/_]?[0-3]\d[T/_-]?[0-2]\d[-/_]?[0-5]\d(?:[-/_]?[0-5]\d(?:[-/_]?\d{3,9})?)?Z?"
+)
+NAMES_IT = re.compile(r"[\s\"'(<]{0,3}(?:(?:is|[:=]|=>)[\s\"'(<]{0,3})?")
 #: Characters after a context word, and before one, in which a candidate may lie.
 REACH, BACK = 80, 40
 #: A candidate is novel if it adds at least this part of what random strings of its length add; the README has the rates.
@@ -139,6 +146,8 @@ def novel_spans(text: str, novelty: Novelty, least: float = LEAST_NOVELTY) -> It
         start, end = m.span()
         before, after = bisect_left(ends, start + 1) - 1, bisect_left(starts, end)
         near = (before >= 0 and start - ends[before] <= REACH) or (after < len(starts) and starts[after] - end <= BACK)
+        if near and NOTED.fullmatch(m[0]):
+            near = before >= 0 and NAMES_IT.fullmatch(text[ends[before] : start]) is not None
         if near and novelty.of(text, start, end) >= least:
             yield start, end, "novel"
 

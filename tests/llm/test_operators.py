@@ -171,6 +171,53 @@ def test_novelty_decides(name):
     assert found("ZxQvLmTpRwKsYbNcJdFgHjKlQw")
 
 
+def test_ids_and_times_count_only_where_a_word_names_them():
+    """Ids and times that only stand near a word are none, ids that it names are reported at the rate of hex, random strings in both places."""
+    rng, novelty = random.Random(5), secrets.Novelty()
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    uuid = lambda: "-".join(map(hexes, (8, 4, 4, 4, 12)))
+    time = lambda: f"20{rng.randrange(10, 30)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}T{rng.randrange(24):02}-{rng.randrange(60):02}-{rng.randrange(60):02}"
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    novel = lambda t: [t[a:b] for a, b, k in secrets.secret_spans(t, novelty) if k == "novel"]
+    reported = []
+    for _ in range(40):
+        for make in (uuid, time):
+            assert novel(f"The password reset link {make()} was sent to you") == [] and novel(f"session {make()} holds a token of yours") == []
+        for named in ("bearer {}", "the signature is {} here", "access-key => '{}'"):
+            x = uuid()
+            reported.append(novel(named.format(x)) == [x])
+        assert novel(f"The password reset link {key()} was sent to you") != []
+    assert np.mean(reported) >= 0.9
+    assert novel(f"The password reset link {uuid()}-{key()} was sent") != []  # more than an id
+
+
+def _plain_novel(text):
+    """Novel spans by trying every pair of a candidate and a context word, each with a compressor of its own."""
+    noted = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+    words, out = [m.span() for m in secrets.CONTEXT.finditer(text)], []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{14,}={0,2}", text):
+        held = any(a <= m.start() and m.end() <= b for a, b, _ in base_at(text))
+        near = [b for _, b in words if 0 <= m.start() - b <= 80] + [a for a, _ in words if 0 <= a - m.end() <= 40]
+        if re.fullmatch(noted, m[0]):
+            near = [b for _, b in words if b <= m.start() and not text[b : m.start()].strip(" '\"=:")][-1:]
+        if near and not held and secrets.Novelty().of(text, *m.span()) >= secrets.LEAST_NOVELTY:
+            out.append(m.span())
+    return out
+
+
+def base_at(text):
+    return [(a, b, k) for k, a, b in base_spans(text)]
+
+
+def test_novel_spans_equal_a_plain_search():
+    rng = random.Random(17)
+    parts = ["the bearer ", "password ", " of the day ", "x" * 30, " private key: ", "550e8400-e29b-41d4-a716-446655440000", " tokens ", " token ", "Zx8Qv2LmT7pRw4Ks9YbN1cJd", "\n", "get_user_name_by_id", "q7Lm-Xp2-Vt9-Rk4-Wz8", " " * 45, "a b c d e f " * 5]
+    for _ in range(60):
+        text = "".join(rng.choices(parts, k=12))
+        got = [(a, b) for a, b, k in secrets.secret_spans(text, secrets.Novelty()) if k == "novel"]
+        assert got == _plain_novel(text), text
+
+
 def test_context_after_a_candidate_counts():
     text = "Zx8Qv2LmT7pRw4Ks9YbN1cJd is the api key"
     assert [(a, b) for a, b, _ in secrets.secret_spans(text, secrets.Novelty())] == [(0, 24)]
