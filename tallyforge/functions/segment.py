@@ -11,13 +11,20 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import CJK
+from tallyforge.session import cut_lineage
 
 MOST_LETTERS = 4
+#: Texts are cut, and their strings counted, about so many bytes or characters at a time.
+AT_ONCE = 1 << 20
+#: The first and the last Han character.
+_FIRST, _LAST = 0x4E00, 0x9FFF
 #: A dictionary is sent to all tasks, so it may have so many words.
 MOST_WORDS = 500_000
 #: Weights are logarithms in millionths, whole numbers, so that sums along paths are exact.
@@ -27,20 +34,55 @@ _PART = re.compile("([一-鿿]+)|([A-Za-z0-9_]+)")
 STOP_WORDS_ZH = "一个 没有 自己 什么 怎么 如何 为什么 可以 应该 必须 需要 所有 每个 还是 或者 然后 因为 所以 但是 如果 虽然 已经 正在".split()
 
 
+def _sliced(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts again, of about AT_ONCE bytes together; a longer one comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of one to MOST_LETTERS Han characters with their counts, by some texts at a time: a string is a number made of its characters."""
+    for batch in batches:
+        for some in _sliced(batch.column(0).cast(pa.binary())):
+            whole = b"\n".join(t for t in some.to_pylist() if t).decode("utf-8", "replace")
+            letters = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+            letters = np.where((letters >= _FIRST) & (letters <= _LAST), letters - _FIRST + 1, 0)
+            for at in range(0, len(letters), AT_ONCE):  # strings that begin in this part; they may end in the next
+                part = np.concatenate([letters[at : at + AT_ONCE + MOST_LETTERS - 1], np.zeros(MOST_LETTERS, np.int64)])
+                used, number = np.flatnonzero(np.bincount(part)[1:]) + 1, 0
+                place = np.zeros(_LAST - _FIRST + 2, np.int64)
+                place[used] = np.arange(len(used))
+                begin, part = np.flatnonzero(part[:AT_ONCE]), np.where(part > 0, place[part], -1)
+                for k in range(1, MOST_LETTERS + 1):
+                    last = part[begin + k - 1]
+                    begin, number = begin[last >= 0], (number * len(used) + last)[last >= 0]
+                    if len(used) ** k <= AT_ONCE:  # few different letters: their numbers need no sorting
+                        n = np.bincount(number, minlength=1)
+                        found = np.flatnonzero(n)
+                        n = n[found]
+                    else:
+                        found, n = np.unique(number, return_counts=True)
+                    codes = np.stack([used[found // len(used) ** (k - 1 - i) % len(used)] + _FIRST - 1 for i in range(k)], axis=1) if len(found) else found
+                    said = codes.astype(np.uint32).tobytes().decode("utf-32-le").encode()  # three bytes a character
+                    places = np.arange(len(found) + 1, dtype=np.int32) * (3 * k)
+                    words = pa.StringArray.from_buffers(len(found), pa.py_buffer(places), pa.py_buffer(said))
+                    yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "weight"])
+
+
 def discover_words(docs: DataFrame, text_col: str = "text", least: int = 5, cohesion: float = 20.0) -> DataFrame:
     """(word, weight): strings of Han characters that occur ``least`` times and hold together, with their counts.
 
     A string holds together if it is, wherever it is cut in two, ``cohesion`` times as frequent as its
     parts would make it by chance. Single characters are kept with their counts.
     """
-    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(rf"({CJK}+)"), 1)).alias("run"))
-    grams = lambda k: F.when(
-        F.length("run") >= k, F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring("run", i, F.lit(k)))
-    ).otherwise(F.array().cast("array<string>"))
-    every = runs.select(F.explode(F.concat(*(grams(k) for k in range(1, MOST_LETTERS + 1)))).alias("word"))
-    counts = every.groupBy("word").agg(F.count("*").alias("weight"))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    counts = texts.mapInArrow(_strings, "word string, weight long").groupBy("word").agg(F.sum("weight").alias("weight"))
     # Parts of a string that occurs so often occur as often themselves.
-    counts = counts.where((F.col("weight") >= least) | (F.length("word") == 1))
+    counts = cut_lineage(counts.where((F.col("weight") >= least) | (F.length("word") == 1)))  # else each use below would read all texts again
     total = counts.where(F.length("word") == 1).agg(F.sum("weight").alias("total"))
     long = counts.where(F.length("word") > 1)
     at = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at")

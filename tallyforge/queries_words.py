@@ -19,7 +19,7 @@ _HAN_SQL = f"translate(translate(lower(coalesce(text, '')), ' ', ''), '{_LATIN}'
 
 def _han(text: Column) -> Column:
     """Letters as Han characters, spaces gone; marks and other letters stay and end a run."""
-    return F.translate(F.translate(F.lower(text), " ", ""), _LATIN, _HAN)
+    return F.translate(F.replace(F.lower(text), F.lit(" "), F.lit("")), _LATIN, _HAN)
 
 
 @query(

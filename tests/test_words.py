@@ -2,7 +2,10 @@
 
 import math
 import random
+import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +80,31 @@ def test_discovery_by_hand(spark):
     assert found["葡萄"] == 60 and found["葡"] == 60 and {w for w in found if len(w) > 1} == {"葡萄"}
 
 
+def test_discovery_reads_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([("葡萄" * 9,)] * 20, "text string").select(seen("text").alias("text"))
+    assert {r.word for r in segment.discover_words(docs, cohesion=0.0).collect()} >= {"葡", "萄", "葡萄", "萄葡萄葡"} and read.value == 20
+
+
+def test_strings_are_counted_across_parts(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("中文分词器a，", weights=[9, 9, 9, 9, 9, 1, 1], k=rng.randint(0, 60))) for _ in range(80)] + [None, "".join(map(chr, range(0x4E00, 0x4F00)))]
+    want = Counter(run[i : i + k] for t in texts for run in re.findall("[一-鿿]+", t or "") for k in range(1, 5) for i in range(len(run) - k + 1))
+    for most in (7, 100, 1 << 20):
+        monkeypatch.setattr(segment, "AT_ONCE", most)
+        got = Counter()
+        for x in segment._strings(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+            for word, n in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                got[word] += n
+        assert got == want
+
+
 def test_postings_over_words(spark, words, tmp_path):
     docs = spark.createDataFrame([(1, "研究生命的起源"), (2, "北京的生命"), (3, "命的生")], "doc_id long, text string").select("doc_id", words(F.col("text")).alias("w"))
     index = search.PostingsIndex(spark, str(tmp_path / "words"))
