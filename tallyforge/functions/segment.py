@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -156,10 +155,11 @@ def segmenter(dictionary: DataFrame) -> Callable[[Column], Column]:
         raise ValueError(f"a dictionary of more than {MOST_WORDS} words")
     sent = dictionary.sparkSession.sparkContext.broadcast({r.word: r.weight for r in sorted(rows)})
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = Trie.of(sent.value)
         for texts in batches:
-            yield texts.map(trie.words)
+            for some in _sliced(texts):  # words of a whole batch would take some fifty bytes each
+                yield pa.array([trie.words(t) for t in some.to_pylist()], pa.list_(pa.string()))
 
     return cut

@@ -105,6 +105,12 @@ def test_strings_are_counted_across_parts(monkeypatch):
         assert got == want
 
 
+def test_words_are_handed_on_a_few_texts_at_a_time(words):
+    texts = ["北京的生命" * 200] * 2_000 + [None]
+    parts = list(words.func(iter([pa.array(texts)])))
+    assert len(parts) > 3 and [w for p in parts for w in p.to_pylist()] == [["北京", "生命"] * 200] * 2_000 + [[]]
+
+
 def test_postings_over_words(spark, words, tmp_path):
     docs = spark.createDataFrame([(1, "研究生命的起源"), (2, "北京的生命"), (3, "命的生")], "doc_id long, text string").select("doc_id", words(F.col("text")).alias("w"))
     index = search.PostingsIndex(spark, str(tmp_path / "words"))
