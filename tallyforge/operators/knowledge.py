@@ -10,7 +10,8 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,30 +33,35 @@ class Rule(NamedTuple):
     directives: Sequence[str] = ()
 
 
-def _fuzzy(name: str):
-    @F.pandas_udf("double")
-    def ratio(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = SequenceMatcher(None, name, "")
+def _fuzzy(names: Sequence[str]):
+    """Seven tenths of the similarity of a text to each of ``names``, 0 below 0.6; one function for all, as each takes a worker of its own."""
 
-        def of(text: str | None) -> float:
-            n, m = len(name), len(text or "")
+    @F.arrow_udf("array<double>")
+    def ratios(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matchers = [SequenceMatcher(None, name, "") for name in names]
+
+        def of(matcher: SequenceMatcher, text: str | None) -> float:
+            n, m = len(matcher.a), len(text or "")
             if not m or 2 * min(n, m) < 0.6 * (n + m):  # lengths alone rule it out, as those of long texts do
                 return 0.0
             matcher.set_seq2(text)
             x = matcher.ratio()
             return round(x * 0.7, 3) if x >= 0.6 else 0.0
 
-        for batch in texts:
-            yield batch.map(of, na_action=None).astype("float64")
+        for texts in batches:
+            coded = texts.dictionary_encode()  # equal texts of a batch are compared once
+            held = pa.array([[of(m, t) for m in matchers] for t in coded.dictionary.to_pylist()] + [[0.0] * len(matchers)], pa.list_(pa.float64()))
+            yield held.take(pc.fill_null(coded.indices, len(held) - 1))
 
-    return ratio
+    return ratios
 
 
-def term_score(term: Term, text: Column, fuzzy: bool = True) -> Column:
+def term_score(term: Term, text: Column, fuzzy: bool = True, alike: Column | None = None) -> Column:
     """How well a term matches a text, both in lower case; 0 for a null text.
 
     1 if the text holds the term, 0.95 its English form, 0.5 or 0.45 the first two letters
-    of one of three or more; else seven tenths of the similarity of sequences from 0.6 up.
+    of one of three or more; else seven tenths of the similarity of sequences from 0.6 up,
+    which may be at hand as ``alike``.
     """
     low, name, english = F.lower(F.coalesce(text, F.lit(""))), term.name.lower(), term.english.lower()
     out = F.when(low.contains(name), 1.0)
@@ -65,12 +71,16 @@ def term_score(term: Term, text: Column, fuzzy: bool = True) -> Column:
         out = out.when(low.contains(name[:2]), 0.5)
         if len(english) >= 3:
             out = out.when(low.contains(english[:2]), 0.45)
-    return out.otherwise(_fuzzy(name)(low) if fuzzy else F.lit(0.0))
+    return out.otherwise((_fuzzy([name])(low)[0] if alike is None else alike) if fuzzy else F.lit(0.0))
 
 
 def match_terms(asked: DataFrame, key: str, text: str, terms: Sequence[Term], least: float = 0.3, fuzzy: bool = True) -> DataFrame:
     """(key, term, score) of each question's terms that score ``least`` or more."""
-    scored = asked.select(key, *(term_score(t, F.col(text), fuzzy).alias(f"s{i}") for i, t in enumerate(terms)))
+    told = [F.col(key).alias("key"), F.col(text).alias("text")]
+    if fuzzy and terms:
+        told.append(_fuzzy([t.name.lower() for t in terms])(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("alike"))
+    alike = lambda i: F.col("alike")[i] if fuzzy else None
+    scored = asked.select(*told).select(F.col("key").alias(key), *(term_score(t, F.col("text"), fuzzy, alike(i)).alias(f"s{i}") for i, t in enumerate(terms)))
     each = F.array(*(F.struct(F.lit(t.name).alias("term"), F.col(f"s{i}").alias("score")) for i, t in enumerate(terms)))
     return scored.select(key, F.explode(F.filter(each, lambda x: x["score"] >= least)).alias("x")).select(key, "x.term", "x.score")
 

@@ -26,6 +26,15 @@ def test_fuzzy_terms(spark):
     assert got == want and got[0] > 0
 
 
+def test_all_terms_take_one_worker_a_task(spark):
+    terms = [knowledge.Term(t) for t in ("border", "ordeal", "murder", "x")]
+    asked = spark.createDataFrame([(1, "arder"), (2, None), (3, "arder"), (4, "Murders")], "id long, text string")
+    found = knowledge.match_terms(asked, "id", "text", terms)
+    assert found._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    want = [(r.id, t.name, s) for r in asked.collect() for t in terms if (s := spark.range(1).select(knowledge.term_score(t, F.lit(r.text).cast("string"))).first()[0]) >= 0.3]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 4
+
+
 def test_coverage(spark):
     assert _of(spark, ["aXa", "", None, "bb"], lambda c: knowledge.coverage("a|x", c)) == [1.0, 0.0, 0.0, 0.0]
 
