@@ -10,9 +10,10 @@ points of all components, so a text takes some thousand points whatever its leng
 
 Signatures are cut into bands. In each bucket of a band all texts are compared with one
 hub, the text that meets most others; links are verified on the texts. Large buckets that
-then still hold several components are split by longer keys, a second band besides their
-own, where that leaves fewer pairs, and go through hubs again. What is left is compared in
-full, in blocks, and gives out no more links than join components. Exact copies are folded before all this.
+then still hold several components are split by their texts' rarest shingles, of which similar
+texts share one, where that leaves fewer pairs, and go through hubs again. What is left is compared
+in full, in blocks, and gives out no more links than join components. Neither way loses a similar
+pair of a bucket, so the classes do not depend on its size. Exact copies are folded before all this.
 
 Cases: a null text is empty; texts without words are near nothing but equal texts. A
 text of fewer words than a shingle is one shingle. Very long texts are signed and
@@ -181,12 +182,13 @@ def _expanded(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(found + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
 
 
-def _elements(k: int):
+def _elements(k: int, lists: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words, first = word_hashes([x.as_py() for x in batch.column("text").cast(pa.binary())])
-            sets = [_expanded(words[first[i] : first[i + 1]], k).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("tk"), pa.array(sets, pa.binary())], names=["tk", "elements"])
+            sets = [_expanded(words[first[i] : first[i + 1]], k) for i in range(batch.num_rows)]
+            held = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())) if lists else pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("tk"), held], names=["tk", "elements"])
 
     return run
 
@@ -259,9 +261,9 @@ def classes(
         left = _unjoined(member, keep(components(links), "near-components"))
         large = left.where(F.col("n") > BLOCK)
         if not large.isEmpty():
-            split, longer = _longer_keys(large, nodes)
-            links = links.unionByName(_verified_links(_hub_pairs(longer), texts, k, least))
-            member = left.join(split, "key", "left_anti").select("tk", "key", "n").unionByName(longer)
+            split, rarer = _rarer_keys(large, texts, k, least)
+            links = links.unionByName(_verified_links(_hub_pairs(rarer), texts, k, least))
+            member = left.join(split, "key", "left_anti").select("tk", "key", "n").unionByName(rarer)
             left = _unjoined(member, keep(components(links), "near-components"))
         sets = texts.join(left.select("tk").distinct(), "tk", "left_semi").mapInArrow(_elements(k), "tk binary, elements binary")
         more = _blocks(left).join(sets, "tk").groupBy("key", "at").applyInArrow(lambda t: block_links(t, least), "a binary, b binary")
@@ -279,15 +281,21 @@ def _shared(member: DataFrame) -> DataFrame:
     return keep(member.join(sizes, "key"), "near-members")
 
 
-def _longer_keys(large: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rarer_keys(large: DataFrame, texts: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(keys of large buckets worth splitting, (tk, key, n) of what they fall into).
 
-    Similar texts of a bucket share a further band as well, but for 1 pair in 200,000, so each bucket may be taken apart
-    by a second band. That pays where most of its texts have little in common, and not where they all share many
-    bands: a bucket is split if fewer pairs are left to compare.
+    Two sets of a similarity of ``least`` share one of the first n - ceil(least n) + 1 elements of each, in any one order of
+    all elements; here the rarest come first. So a bucket taken apart by these elements loses no similar pair, and its
+    links are those of the whole bucket compared in full. It is split if fewer pairs are left to compare.
     """
-    others = large.select("key", "tk").join(nodes.select("tk", "bands"), "tk").select("tk", F.col("key").alias("origin"), F.explode("bands").alias("other"))
-    parts = _shared(keep(others.where("other <> origin").select("tk", "origin", F.xxhash64("origin", "other").alias("key")), "near-longer"))
+    some = texts.join(large.select("tk").distinct(), "tk", "left_semi")
+    each = keep(some.mapInArrow(_elements(k, lists=True), "tk binary, elements array<long>").select("tk", F.explode("elements").alias("element")), "near-elements")
+    met = each.join(each.groupBy("element").agg(F.count("*").alias("df")), "element")
+    first = F.slice("of", 1, (F.size("of") - F.ceil(least * F.size("of") - 1e-9) + 1).cast("int"))
+    rare = met.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("of")).select("tk", F.explode(first).alias("x"))
+    rare = rare.where("x.df > 1").select("tk", "x.element")
+    parts = large.select("tk", F.col("key").alias("origin")).join(rare, "tk").select("tk", "origin", F.xxhash64("origin", "element").alias("key"))
+    parts = _shared(keep(parts, "near-rarer"))
     pairs = parts.groupBy("origin").agg(F.sum("n").alias("after")).withColumnRenamed("origin", "key")
     whole = large.groupBy("key").agg((F.first("n") * F.first("n")).alias("before"))
     split = keep(whole.join(pairs, "key", "left").where(F.coalesce("after", F.lit(0)) < F.col("before")).select("key"), "near-split")

@@ -1045,3 +1045,24 @@ def test_every_tag_of_a_line_is_evaluated():
     text = "SPDX-License-Identifier: MIT some code; SPDX-License-Identifier: Apache-2.0 OR SPDX-License-Identifier: LicenseRef-x\nSPDX-License-Identifier: ISC"
     got = licenses.scan_text(text.encode(), licenses._automaton())
     assert got["expressions"] == ["MIT", "Apache-2.0", "LicenseRef-x", "ISC"] and got["labels"] == "apache,isc,mit" and got["score"] == 1.0
+
+
+def test_large_buckets_lose_no_pair(spark, tmp_path, monkeypatch):
+    """A large bucket falls apart by rare shingles: similar texts that share no other band stay together, as in a small bucket."""
+    monkeypatch.setattr(neardup, "keep", lambda x, name: x)
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(6, 80))]
+        texts += [" ".join(words), " ".join([*words[:-1], f"x{i}"])]
+    held = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "tk binary, text string")
+    large = held.select("tk", F.lit(5).cast("long").alias("key"), F.lit(len(texts)).cast("long").alias("n"))
+    split, parts = neardup._rarer_keys(large, held, 5, 0.8)
+    assert [r.key for r in split.collect()] == [5]
+    groups = {}
+    for r in parts.collect():
+        groups.setdefault(r.key, set()).add(r.tk[0])
+    bags = [neardup.bag(t.encode()) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if neardup.overlap(bags[i], bags[j]) >= 0.8}
+    met = {(i, j) for g in groups.values() for i in g for j in g if j < i}
+    assert near <= met and len(near) > 20 and len(met) < len(texts) ** 2 / 8
