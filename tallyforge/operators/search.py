@@ -33,19 +33,36 @@ def arm_size(k: int) -> int:
 MOST_SEGMENTS, MOST_DEAD = 8, 0.2
 
 
+#: Terms are counted about so many tokens at a time, as sorting takes several times their room.
+AT_ONCE = 1 << 18
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches again, of about AT_ONCE tokens each; a longer document comes alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def _counted(fields: tuple[str, ...]):
-    """Terms of each document with their counts: tokens lie in one row, so no row has to meet another."""
+    """Terms of each document with their counts, and the document once without a term: tokens lie in one row, so no row has to meet another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *fields]
-        for batch in batches:
+        for batch in _sliced(batches):
             tokens = batch.column("tokens")
             coded = tokens.flatten().dictionary_encode()
             size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             n = max(1, len(coded.dictionary))
             pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            row = pa.array(pair // n)
-            out = [batch.column(c).take(row) for c in names] + [pa.array(size[pair // n], pa.int32()), coded.dictionary.take(pa.array(pair % n)), pa.array(tf, pa.int32())]
+            row = np.concatenate([pair // n, np.arange(len(size))])
+            term = pa.array(np.concatenate([pair % n, np.zeros(len(size), np.int64)]), mask=np.arange(len(row)) >= len(pair))
+            out = [batch.column(c).take(pa.array(row)) for c in names]
+            out += [pa.array(size[row], pa.int32()), coded.dictionary.take(term), pa.array(np.concatenate([tf, np.zeros(len(size), np.int64)]), pa.int32())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "len", "term", "tf"])
 
     return run
@@ -68,13 +85,15 @@ class PostingsIndex:
 
     # Writing
 
-    def _segment(self, postings: DataFrame, lengths: DataFrame) -> str:
-        """Write a segment and give its name."""
+    def _segment(self, postings: DataFrame, lengths: DataFrame | None = None) -> str:
+        """Write a segment and give its name; without ``lengths`` the postings hold each document once more, in bucket -1."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/segments/{name}"
         # Adaptive execution splits the partitions of frequent terms; within a file terms lie together, so row groups can be skipped.
         dealt = postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
         dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+        if lengths is None:  # so texts are cut into tokens once
+            lengths = self.spark.read.schema(postings.schema).parquet(f"{folder}/postings").where("bucket = -1").drop("term", "tf", "bucket")
         lengths.write.parquet(f"{folder}/lengths")
         return name
 
@@ -83,7 +102,7 @@ class PostingsIndex:
         kept = T.StructType([*(f for f in x.schema.fields if f.name != "tokens"), T.StructField("len", T.IntegerType())])
         terms = x.mapInArrow(_counted(self.fields), T.StructType([*kept.fields, T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
-        return self._segment(terms.withColumn("bucket", bucket), x.select("doc_id", *self.fields, F.size("tokens").alias("len")))
+        return self._segment(terms.withColumn("bucket", F.coalesce(bucket, F.lit(-1))))
 
     def _stats(self, name: str) -> tuple[int, int]:
         r = self._lengths(name).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
@@ -172,7 +191,7 @@ class PostingsIndex:
         x = self._lengths(s.name)
         if part == "postings":
             more = [T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
-            x = self.spark.read.schema(T.StructType([*x.schema.fields, *more])).parquet(f"{self.path}/segments/{s.name}/postings")
+            x = self.spark.read.schema(T.StructType([*x.schema.fields, *more])).parquet(f"{self.path}/segments/{s.name}/postings").where("bucket >= 0")
         return x.withColumn("seq", F.lit(s.seq).cast("long"))
 
     def postings(self) -> DataFrame:

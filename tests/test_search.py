@@ -4,6 +4,7 @@ import random
 from collections import deque
 from datetime import date, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,26 @@ def test_limits_in_chinese_and_days_that_are_none(spark):
     assert {r.q: r.n for r in df.select("q", tx.limit_value(F.col("q")).alias("n")).collect()} == texts
     days = spark.createDataFrame([("2024年2月30日",), ("2024年2月29日",), ("plain",)], "q string").select("q", tx.time_range(F.col("q"), "2026-07-15").alias("r")).collect()
     assert [r.r is None for r in days] == [True, False, True]
+
+
+def test_an_index_cuts_texts_once_and_counts_them_by_parts(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(text):
+        read.add(1)
+        return text.split() if text is not None else None
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "b")], "doc_id long, text string")
+    index = search.PostingsIndex(spark, str(tmp_path / "once"))
+    index.build(docs, tokens(F.col("text")))
+    assert read.value == 4
+    assert sorted(map(tuple, index.documents().collect())) == [(1, 3), (2, 0), (3, 0), (4, 1)]
+    assert sorted((r.doc_id, r.len, r.term, r.tf) for r in index.postings().collect()) == [(1, 3, "a", 2), (1, 3, "b", 1), (4, 1, "b", 1)]
+
+
+def test_terms_are_counted_some_tokens_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2_000)), "tokens": [[f"t{i % 7}"] * 200 + ["u"] for i in range(2_000)]})
+    parts = list(search._counted(())(iter([batch])))
+    rows = [r for p in parts for r in p.to_pylist() if r["term"] is not None]
+    assert len(parts) > 1 and sorted((r["doc_id"], r["term"], r["tf"]) for r in rows) == sorted(x for i in range(2_000) for x in ((i, f"t{i % 7}", 200), (i, "u", 1)))
