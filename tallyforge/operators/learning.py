@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from tallyforge.session import cut_lineage
+
 
 def feedback_stats(x: DataFrame) -> DataFrame:
     """One row over (rating 0-5, ok, cancelled, edits): totals, means and shares."""
@@ -153,37 +157,133 @@ def normal_question(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+", " "))
 
 
+#: Sets that are put in order at once.
+AT_ONCE = 500
+#: Tokens are counted in so many buckets of hashes, a power of two: 8 MB, which the driver and each task may hold.
+BUCKETS = 1 << 20
+
+
+def _bucket_counts(counts: DataFrame) -> np.ndarray:
+    """How often the tokens of each bucket stand in ``counts`` (token, df)."""
+    found = counts.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum(F.col("df").cast("long")).alias("df")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("df").to_numpy()
+    return out
+
+
+def _ordered(sets: DataFrame, common: np.ndarray, id_col: str) -> DataFrame:
+    """(id, tokens, n): the tokens of each set, those of rare buckets first, then by hash. A set is ordered by itself, without a shuffle; empty ones go."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+    x = sets.select(id_col, "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    schema = T.StructType([x.schema[id_col], x.schema["tokens"], T.StructField("n", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                ids, tokens, hashes = batch.slice(start, AT_ONCE).columns
+                n = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                h = hashes.flatten().to_numpy(zero_copy_only=False)
+                order = np.lexsort((h, shared.value[h & (BUCKETS - 1)], np.repeat(np.arange(len(n)), n)))
+                some = n[n > 0].astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some)]).astype(np.int32), tokens.flatten().take(pa.array(order)))
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(n > 0)), lists, pa.array(some)], names=schema.names)
+
+    return x.mapInArrow(run, schema)
+
+
 def by_rarity(sets: DataFrame, counts: DataFrame, id_col: str) -> DataFrame:
-    """(id, tokens, n): the distinct tokens of each set, those rarest by ``counts`` (token, df) first; unknown ones are rarest of all."""
-    each = sets.select(id_col, F.explode("tokens").alias("token")).join(counts, "token", "left")
-    placed = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
-    return placed.select(id_col, F.col("t.token").alias("tokens"), F.size("t").alias("n"))
+    """(id, tokens, n): the tokens of each set, those rarest by ``counts`` (token, df) first; unknown ones are rarest of all.
+
+    Tokens are counted by bucket. Any order that all sets share finds the same pairs; the rarer the first tokens, the fewer candidates meet.
+    """
+    return _ordered(sets, _bucket_counts(counts), id_col)
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of sets that can have a Jaccard similarity of ``least``; ``a`` and ``b`` have (a or b, tokens by rarity, n).
+    """(a, b, key): pairs of sets that can have a Jaccard similarity of ``least``, and the hash of a token by which each met; ``a`` and ``b`` have (a or b, tokens by rarity, n).
 
     Similar sets share a token among the first n - ceil(least n) + 1 of each, so only those rare tokens meet. Of the pairs
     that meet, sizes too different go, and those whose tokens from the shared one on are too few for the overlap needed.
+    A pair that shares one of the two tokens before, too, has met there already, so near copies do not meet once for each token.
     """
-    prefix = lambda x, name: x.select(
-        name, F.col("n").alias(f"n_{name}"), F.posexplode(F.slice("tokens", 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))).alias(f"at_{name}", "token")
-    )
+
+    def prefix(x: DataFrame, name: str) -> DataFrame:
+        first = F.slice("tokens", 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
+        x = x.select(name, "n", F.transform(first, lambda t: F.xxhash64(t)).alias("first"))
+        x = x.select(name, F.col("n").alias(f"n_{name}"), "first", F.posexplode_outer("first").alias(f"at_{name}", "token"))  # outer: no filter that would put the tokens in order once more
+        before = lambda k: F.get("first", F.col(f"at_{name}") - k).alias(f"{name}{k}")
+        return x.select(name, f"n_{name}", f"at_{name}", "token", before(1), before(2))
+
     m, n = F.col("n_a"), F.col("n_b")
     needed = F.ceil(least / (1 + least) * (m + n) - 1e-9)
     left = 1 + F.least(m - F.col("at_a"), n - F.col("at_b")) - 1
+    already = F.lit(False)
+    for i in (1, 2):
+        for j in (1, 2):
+            already = already | F.coalesce(F.col(f"a{i}") == F.col(f"b{j}"), F.lit(False))
     met = prefix(a, "a").join(prefix(b, "b"), "token")
-    return met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (left >= needed)).select("a", "b").distinct()
+    met = met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (left >= needed) & ~already)
+    return met.groupBy("a", "b").agg(F.min("token").alias("key"))
+
+
+#: Sets of a block that a task holds, and sets that pass by them.
+HELD, PASSING = 128, 4096
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, key) with ``i`` and ``j``: the block of the key in which they are compared; one block for all but large keys."""
+    size = pairs.groupBy("key").agg(F.approx_count_distinct("a").alias("n_a"), F.approx_count_distinct("b").alias("n_b"))
+    large = size.where((F.col("n_a") > HELD) | (F.col("n_b") > PASSING))
+    part = lambda x, n, most: F.coalesce(F.pmod(F.xxhash64(x), F.ceil(F.col(n) / most)), F.lit(0).cast("long"))
+    return pairs.join(large, "key", "left").select("a", "b", "key", part("a", "n_a", HELD).alias("i"), part("b", "n_b", PASSING).alias("j"))
+
+
+def _compared(pairs: DataFrame, a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of those of ``pairs`` (a, b, key) whose sets, of ``a`` (a, tokens) and ``b`` (b, tokens), are ``least`` alike or more.
+
+    A set goes once to each block that it is in, not once to each of its pairs; a task holds the sets of ``a`` of one block.
+    """
+    block, at = ["key", "i", "j"], _blocks(pairs)
+    held = at.select(*block, "a").distinct().join(a.select("a", "tokens"), "a")
+    passing = at.groupBy(*block, "b").agg(F.collect_list("a").alias("others")).join(b.select("b", "tokens"), "b")
+    flow = held.select(*block, "a", F.lit(None).cast(b.schema["b"].dataType).alias("b"), F.lit(None).cast(passing.schema["others"].dataType).alias("others"), "tokens", F.lit(0).alias("turn"))
+    flow = flow.unionByName(passing.withColumn("a", F.lit(None).cast(a.schema["a"].dataType)).withColumn("turn", F.lit(1)))
+    flow = flow.repartition(*block).sortWithinPartitions(*block, "turn")
+    schema = T.StructType([T.StructField("a", a.schema["a"].dataType), T.StructField("b", b.schema["b"].dataType), T.StructField("similarity", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, HELD):
+                out = ([], [], [])
+                x = batch.slice(start, HELD)
+                columns = [x.column(c).to_pylist() for c in (*block, "a", "b", "others")]
+                words, ends = x.column("tokens").flatten().to_numpy(zero_copy_only=False), np.cumsum(x.column("tokens").value_lengths().to_numpy())
+                for key, i, j, a_id, b_id, others, first, end in zip(*columns, [0, *ends[:-1]], ends, strict=True):
+                    if (key, i, j) != now:
+                        now, sets = (key, i, j), {}
+                    own = frozenset(words[first:end])
+                    if others is None:
+                        sets[a_id] = own
+                        continue
+                    for other in others:
+                        both = len(own & sets[other])
+                        like = both / (len(own) + len(sets[other]) - both)
+                        if like >= least:
+                            for column, value in zip(out, (other, b_id, like), strict=True):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=schema.names)
+
+    return flow.mapInArrow(run, schema)
 
 
 def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of all pairs of sets, of ``a`` (a, tokens) and ``b`` (b, tokens) without repeats, with a Jaccard similarity of ``least`` or more."""
-    counts = b.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    x, y = by_rarity(a, counts, "a"), by_rarity(b, counts, "b")
-    pairs = candidate_pairs(x, y, least).join(x.select("a", F.col("tokens").alias("ta")), "a").join(y.select("b", F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    like = both / (F.size("ta") + F.size("tb") - both)
-    return pairs.select("a", "b", like.alias("similarity")).where(F.col("similarity") >= least)
+    each = b.select(F.explode_outer("tokens").alias("token"), F.lit(1).alias("df"))  # outer: a filter would cut texts into tokens once more
+    common = _bucket_counts(each.where("token is not null"))
+    pairs = cut_lineage(candidate_pairs(_ordered(a, common, "a"), _ordered(b, common, "b"), least))  # read three times
+    return _compared(pairs, a, b, least)
 
 
 def newest_ids(x: DataFrame, key: str, k: int) -> DataFrame:

@@ -130,3 +130,21 @@ def test_requests_wait_for_room(spark, tmp_path):
     run.awaitTermination(120)
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.key, r.started.timestamp()) for r in streamed.collect()) == sorted((r.who, r.started.timestamp()) for r in got if r.who and r.started)
+
+
+def test_near_copies_meet_once_and_sets_are_not_sent_with_each_pair(spark):
+    """Copies and near copies: pairs meet by few tokens, and a set goes once to each block, not once to each of its pairs."""
+    rng, words = random.Random(3), [f"v{i}" for i in range(60)]
+    rows = {i: sorted(set(words) - set(rng.sample(words, i % 4))) for i in range(400)}
+    x = spark.createDataFrame(list(rows.items()), "a long, tokens array<string>")
+    y = x.withColumnRenamed("a", "b")
+    counts = x.select(F.explode("tokens").alias("token"), F.lit(1).alias("df"))
+    pairs = learning.candidate_pairs(learning.by_rarity(x, counts, "a"), learning.by_rarity(y, counts, "b"), 0.8).cache()
+    sets = pairs.select("key", "a").distinct().count() + pairs.select("key", "b").distinct().count()
+    assert pairs.count() > 100_000 and sets < pairs.count() / 10
+    blocks = learning._blocks(pairs).groupBy("key", "i", "j").agg(F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b")).agg(F.max("n_a"), F.max("n_b")).first()
+    assert blocks[0] < 2 * learning.HELD and blocks[1] <= learning.PASSING
+    got = learning.similar_sets(x, y, 0.9).collect()
+    assert {(r.a, r.b) for r in got} == plain_pairs(rows, rows, 0.9) and len(got) == len({(r.a, r.b) for r in got})
+    plan = learning.similar_sets(x, y, 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert all("tokens" not in line for line in plan.splitlines() if "Aggregate" in line) and plan.count("MapInArrow") == 1
