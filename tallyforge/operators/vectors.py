@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import let
 from tallyforge.operators import retrieval
 from tallyforge.sources.versions import Versions
 
@@ -44,6 +45,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _unit(a: Column) -> Column:
+    """``a`` at length 1; null for what has no direction. Its length is worked out once, not once for each component."""
+
+    def scaled(norm: Column) -> Column:
+        whole = F.coalesce((norm > 0) & (norm < math.inf) & ~F.exists(a, lambda v: v.isNull()), F.lit(False))
+        return F.when(whole, F.transform(a, lambda v: v.cast("double") / norm))
+
+    return let(_norm(a), scaled)
+
+
 class VectorIndex:
     """Vectors of a table (id, embedding, fields) in a folder, partitioned by list; what has no direction is in list -1 and always read."""
 
@@ -54,9 +65,7 @@ class VectorIndex:
     def build(self, vectors: DataFrame, lists: int | None = None, seed: int = 7) -> int:
         """Index ``vectors``; by default in about as many lists as the square root of their number."""
         x = vectors.select(F.col(self.id_col).alias("vec_id"), *self.fields, "embedding")
-        norm = _norm(F.col("embedding"))
-        whole = F.coalesce((norm > 0) & (norm < math.inf) & ~F.exists("embedding", lambda v: v.isNull()), F.lit(False))
-        x = x.withColumn("unit", F.when(whole, F.transform("embedding", lambda v: v.cast("double") / norm)))
+        x = x.withColumn("unit", _unit(F.col("embedding")))
         n = x.where("unit is not null").count()
         k = min(lists or math.isqrt(n), MOST_LISTS, n)
         if k > 1:

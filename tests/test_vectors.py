@@ -69,3 +69,12 @@ def test_few_vectors_and_none(spark, tmp_path):
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.5, 0.5])], "vec_id long, embedding array<float>")
     y.build(some)
     assert y.search([1.0, 0.0], 3).collect() == retrieval.cosine_top(some, [1.0, 0.0], 3).collect()
+
+
+def test_a_length_is_worked_out_once_for_a_vector(spark):
+    """Not once for each component, which takes the square of the dimension."""
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, None), (7, [])]
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", vectors._unit(F.col("embedding")).alias("unit"))
+    assert {r.vec_id: r.unit for r in x.collect()} == {1: [0.6, 0.8], 2: None, 3: None, 4: None, 5: None, 6: None, 7: None}
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1, plan
