@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as texts
@@ -39,26 +39,34 @@ def shifted_range(text: Column, now: str) -> Column:
     ones. The next units begin on the date and hold the day on which they end.
     """
     low, today = F.lower(text), F.to_date(F.lit(now))
-    ago = [F.regexp_extract(low, r"\b(\d{1,4})\s+(day|week|month|year)s?\s+ago\b", i) for i in (1, 2)]
-    ahead = [F.regexp_extract(low, r"\bnext\s+(\d{1,4})\s+(day|week|month)s?\b", i) for i in (1, 2)]
-    n, k = (F.when(x != "", x.cast("int")).otherwise(0) for x in (ago[0], ahead[0]))
     month, year = F.to_date(F.date_trunc("month", today)), F.to_date(F.date_trunc("year", today))
     pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    return (
-        F.when(ago[1] == "day", pair(F.date_sub(today, n), F.date_sub(today, n - 1)))
-        .when(ago[1] == "week", pair(F.date_sub(today, n * 7), F.date_sub(today, n * 7 - 7)))
-        .when(ago[1] == "month", pair(F.add_months(month, -n), F.add_months(month, 1 - n)))
-        .when(ago[1] == "year", pair(F.add_months(year, n * -12), F.add_months(year, 12 - n * 12)))
-        .when(ahead[1] == "day", pair(today, F.date_add(today, k + 1)))
-        .when(ahead[1] == "week", pair(today, F.date_add(today, k * 7 + 1)))
-        .when(ahead[1] == "month", pair(today, F.date_add(F.add_months(today, k), 1)))
-    )
+    patterns = {"ago": r"\b(\d{1,4})\s+(day|week|month|year)s?\s+ago\b", "ahead": r"\bnext\s+(\d{1,4})\s+(day|week|month)s?\b"}
+    said = F.struct(*(F.regexp_extract(low, p, i).alias(f"{name}{i}") for name, p in patterns.items() for i in (1, 2)))
+
+    def shifted(x: Column) -> Column:
+        ago, ahead = ([x[f"{name}{i}"] for i in (1, 2)] for name in patterns)
+        n, k = (F.when(c != "", c.cast("int")).otherwise(0) for c in (ago[0], ahead[0]))
+        return (
+            F.when(ago[1] == "day", pair(F.date_sub(today, n), F.date_sub(today, n - 1)))
+            .when(ago[1] == "week", pair(F.date_sub(today, n * 7), F.date_sub(today, n * 7 - 7)))
+            .when(ago[1] == "month", pair(F.add_months(month, -n), F.add_months(month, 1 - n)))
+            .when(ago[1] == "year", pair(F.add_months(year, n * -12), F.add_months(year, 12 - n * 12)))
+            .when(ahead[1] == "day", pair(today, F.date_add(today, k + 1)))
+            .when(ahead[1] == "week", pair(today, F.date_add(today, k * 7 + 1)))
+            .when(ahead[1] == "month", pair(today, F.date_add(F.add_months(today, k), 1)))
+        )
+
+    return F.when(low.rlike(texts.any_of(patterns.values())), texts.let(said, shifted))
 
 
 def named_tables(text: Column) -> Column:
     """Tables that a question names, by pattern, then place; Chinese patterns count in Chinese and mixed texts, English ones in English and mixed. Final marks are cut off."""
-    lang, none = texts.language(text), F.array().cast("array<string>")
-    found = F.concat(*(F.when(lang != ("en" if spoken == "zh" else "zh"), F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1)).otherwise(none) for spoken, p in TABLES))
+    none = F.array().cast("array<string>")
+    found = texts.let(
+        texts.language(text),
+        lambda lang: F.concat(*(F.when(lang != ("en" if spoken == "zh" else "zh"), F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1)).otherwise(none) for spoken, p in TABLES)),
+    )
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"[,.;\x{ff0c}\x{3002}\x{ff1b}]+$", "")), lambda x: x != ""))
 
 
@@ -84,25 +92,34 @@ def quoted_values(text: Column) -> Column:
 def ambiguities(text: Column, intent: Column) -> Column:
     """Aspects that a question leaves open; those of aggregation only where it aggregates."""
     low = F.lower(text)
-    found = [F.when(low.rlike(p) & ((intent == "AGGREGATE") if a == "aggregation" else F.lit(True)), a) for a, p in AMBIGUITIES]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    found = []
+    for aspect in dict.fromkeys(a for a, _ in AMBIGUITIES):
+        holds = low.rlike(texts.any_of(p for a, p in AMBIGUITIES if a == aspect))
+        found.append(F.when(((intent == "AGGREGATE") & holds) if aspect == "aggregation" else holds, aspect))
+    return F.array_compact(F.array(*found))
 
 
 def orders(text: Column) -> Column:
     """Array of "column direction": the columns to order by, in order of patterns and places; the first direction said of a column counts, else ASC."""
-    lang, parts = texts.language(text), []
-    for spoken, direction, p in ORDERS:
-        other = "en" if spoken == "zh" else "zh"
-        named = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1), lambda x: F.regexp_replace(x, r"[,.;\x{ff0c}\x{3002}\x{ff1b}]+$", ""))
-        found = F.transform(named, lambda x: F.struct(x.alias("name"), F.lit(direction).alias("way")))
-        parts.append(F.when(lang != other, found).otherwise(F.filter(found, lambda x: F.lit(False))))
-    every = F.filter(F.concat(*parts), lambda x: x["name"] != "")
 
-    def directed(name: Column) -> Column:
-        said = F.filter(every, lambda x: (x["name"] == name) & (x["way"] != F.lit("")))
-        return F.concat_ws(" ", name, F.coalesce(F.get(said, F.lit(0))["way"], F.lit("ASC")))
+    def named(lang: Column) -> Column:
+        parts = []
+        for spoken, direction, p in ORDERS:
+            other = "en" if spoken == "zh" else "zh"
+            names = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1), lambda x: F.regexp_replace(x, r"[,.;\x{ff0c}\x{3002}\x{ff1b}]+$", ""))
+            found = F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(direction).alias("way")))
+            parts.append(F.when(lang != other, found).otherwise(F.array().cast("array<struct<name:string,way:string>>")))
+        return F.filter(F.concat(*parts), lambda x: x["name"] != "")
+
+    def directed(every: Column) -> Column:
+        def one(name: Column) -> Column:
+            said = F.filter(every, lambda x: (x["name"] == name) & (x["way"] != F.lit("")))
+            return F.concat_ws(" ", name, F.coalesce(F.get(said, F.lit(0))["way"], F.lit("ASC")))
+
+        return F.transform(F.array_distinct(F.transform(every, lambda x: x["name"])), one)
 
-    return F.transform(F.array_distinct(F.transform(every, lambda x: x["name"])), directed)
+    none = ~text.rlike(f"(?i){texts.any_of(p for _, _, p in ORDERS)}")
+    return F.when(none, F.array().cast("array<string>")).otherwise(texts.let(texts.let(texts.language(text), named), directed))
 
 
 def absolute_period(text: Column) -> Column:
@@ -113,11 +130,12 @@ def absolute_period(text: Column) -> Column:
     made = lambda a, b, c: F.try_make_timestamp(a, b, c, F.lit(0), F.lit(0), F.lit(0)).cast("date")
     start_day, start_month, start_quarter = made(num(y), num(m), num(day)), made(num(y), num(m), F.lit(1)), made(num(qy), num(q) * 3 - 2, F.lit(1))
     pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    return (
+    period = (
         F.when(q != "", pair(start_quarter, F.add_months(start_quarter, 3)))
         .when(day != "", pair(start_day, F.date_add(start_day, 1)))
         .when(m != "", pair(start_month, F.add_months(start_month, 1)))
     )
+    return F.when(text.rlike(r"\d{4}"), period)  # none without a year
 
 
 def sql_of(answer: Column) -> Column:
@@ -153,9 +171,24 @@ def word_hits(words: Column, text: Column) -> Column:
 
 def parsed(text: Column, now: str) -> Column:
     """All that is read from a question: language, intent, time range, what is open, limit, order, tables and quoted values."""
-    whole = lambda intent: F.struct(
-        texts.language(text).alias("language"), intent.alias("intent"), F.coalesce(texts.time_range(text, now), shifted_range(text, now), absolute_period(text)).alias("period"),
-        ambiguities(text, intent).alias("ambiguities"), texts.limit_value(text).alias("most"), orders(text).alias("ordering"),
-        named_tables(text).alias("tables"), quoted_values(text).alias("quoted"),
-    )
-    return texts.let(texts.intent(text), whole)
+
+    def whole(x: Column) -> Column:
+        text, intent = x["text"], x["intent"]
+        return F.struct(
+            texts.language(text).alias("language"), intent.alias("intent"), F.coalesce(texts.time_range(text, now), shifted_range(text, now), absolute_period(text)).alias("period"),
+            ambiguities(text, intent).alias("ambiguities"), texts.limit_value(text).alias("most"), orders(text).alias("ordering"),
+            named_tables(text).alias("tables"), quoted_values(text).alias("quoted"),
+        )
+
+    return texts.let(texts.let(text, lambda t: F.struct(t.alias("text"), texts.intent(t).alias("intent"))), whole)
+
+
+def with_parsed(x: DataFrame, text: Column, now: str, name: str = "p") -> DataFrame:
+    """``x`` with a column of what is read from each row's question; equal questions are read once.
+
+    Distinct questions are dealt out evenly, as reading takes longer than their bytes tell.
+    """
+    asked = x.withColumn("_asked", text)
+    once = asked.select("_asked").distinct().repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    once = once.select(F.col("_asked").alias("_once"), parsed(F.col("_asked"), now).alias(name))
+    return asked.join(once, F.col("_asked").eqNullSafe(F.col("_once"))).drop("_asked", "_once")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +61,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def any_of(patterns: Iterable[str]) -> str:
+    """One pattern that a text holds where it holds any of ``patterns``, which name no group by number. It spares the single ones where none can match."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def _read(text: Column) -> Column:
     return F.struct(F.lower(text).alias("low"), language(text).alias("lang"))
 
@@ -72,7 +77,13 @@ def intent(text: Column) -> Column:
     """
 
     def scores(x: Column) -> Column:
-        of = lambda patterns: sum((F.when(x["low"].rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0))
+
+        def of(patterns: tuple) -> Column:
+            if not patterns:
+                return F.lit(0)
+            each = sum((F.when(x["low"].rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0))
+            return F.when(x["low"].rlike(any_of(p for p, _ in patterns)), each).otherwise(0)
+
         sums = ((of(zh), of(en), of(both)) for zh, en, both in (INTENTS[i] for i in PRIORITY))
         return F.array(*(F.when(x["lang"] != "en", zh).otherwise(0) + F.when(x["lang"] != "zh", en).otherwise(0) + both for zh, en, both in sums))
 
@@ -134,14 +145,15 @@ def time_range(text: Column, now: str) -> Column:
     today = F.to_date(F.lit(now))
 
     def first(x: Column) -> Column:
-        out = None
+        found = []
         for spoken, patterns in (("zh", TIMES_ZH), ("en", TIMES_EN)):
-            other = "en" if spoken == "zh" else "zh"
+            other, out = "en" if spoken == "zh" else "zh", None
             for name, p in patterns:
                 groups = [F.regexp_extract(x["low"], p, i) for i in range(1, p.replace("(?", "").count("(") + 1)] or [F.lit("")]
                 start, end = _period(name, today, groups)
-                hit, value = (x["lang"] != other) & x["low"].rlike(p), F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+                hit, value = x["low"].rlike(p), F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
                 out = F.when(hit, value) if out is None else out.when(hit, value)
-        return out
+            found.append(((x["lang"] != other) & x["low"].rlike(any_of(p for _, p in patterns)), out))
+        return F.when(*found[0]).when(*found[1])
 
     return let(_read(text), first)

@@ -168,7 +168,7 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat('total of \"', event_type, '\"', CASE event_id % 4 WHEN 0 THEN ' yesterday' WHEN 1 THEN ' 3 days ago' WHEN 2 THEN ' by region' ELSE ' top 5' END)")
-    x = table(spark, d, "events").select("event_id", questions.parsed(text, _NOW).alias("p"))
+    x = questions.with_parsed(table(spark, d, "events"), text, _NOW)
     return x.select(
         "event_id", "p.language", "p.intent", F.col("p.period.start").alias("period_start"), F.array_join("p.ambiguities", ",").alias("open_aspects"), "p.most",
         F.array_join("p.quoted", ",").alias("quoted"),

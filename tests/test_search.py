@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import questions
 from tallyforge.functions import text as tx
+from tallyforge.functions.patterns import AMBIGUITIES
 from tallyforge.operators import catalog, knowledge, learning, retrieval, routing, search
 from tallyforge.plans.policy import _kind, physical_nodes
 from tallyforge.sources.versions import Versions
@@ -275,3 +276,27 @@ def test_terms_are_counted_some_tokens_at_a_time():
     parts = list(search._counted(())(iter([batch])))
     rows = [r for p in parts for r in p.to_pylist() if r["term"] is not None]
     assert len(parts) > 1 and sorted((r["doc_id"], r["term"], r["tf"]) for r in rows) == sorted(x for i in range(2_000) for x in ((i, f"t{i % 7}", 200), (i, "u", 1)))
+
+
+def test_a_question_is_read_once_however_many_ask_it(spark):
+    """Equal questions are read once, null among them, and each row gets what its own question says."""
+    asked = ["total of 'x' 3 days ago", "按地区统计平均订单 最近", "show vip orders sorted by price desc, recently", "next 2 weeks by region", "2024 q2", "rank per city in the past", None, ""]
+    x = spark.createDataFrame([(i, asked[i % len(asked)]) for i in range(400)], "id long, q string")
+    got = questions.with_parsed(x, F.col("q"), NOW)
+    want = {r.id: r.p for r in x.select("id", questions.parsed(F.col("q"), NOW).alias("p")).collect()}
+    assert {r.id: r.p for r in got.collect()} == want and len(want) == 400
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    reads = [i for i, line in enumerate(lines) if "RLIKE" in line]
+    assert reads and any("Aggregate" in line for line in lines[max(reads) :])
+
+
+def test_patterns_put_together_find_what_each_finds(spark):
+    """Aspects, and orders by the first direction said, as the single patterns give them."""
+    asked = ["按地区 平均 排名", "show vip customers lately by region", "average price ranking by region, past 3 days", "最近 3 天 大额订单", "recent 5 days top-tier", "历史 2 年", "Big ORDERS historical", "", None]
+    x, low = spark.createDataFrame([(q,) for q in asked], "q string"), F.lower("q")
+    for kind in ("AGGREGATE", "SELECT"):
+        each = [F.when(low.rlike(p) & F.lit(a != "aggregation" or kind == "AGGREGATE"), a) for a, p in AMBIGUITIES]
+        rows = x.select(questions.ambiguities(F.col("q"), F.lit(kind)).alias("got"), F.array_distinct(F.array_compact(F.array(*each))).alias("want")).collect()
+        assert all(r.got == r.want for r in rows) and sum(map(len, (r.got for r in rows))) >= 8
+    of = spark.createDataFrame([("highest price, sorted by price asc and lowest cost.",), ("no order",), (None,)], "q string").select(questions.orders(F.col("q")).alias("o")).collect()
+    assert [r.o for r in of][1:] == [[], None] and "price ASC" in of[0].o and "cost ASC" in of[0].o
