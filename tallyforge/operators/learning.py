@@ -200,7 +200,7 @@ def by_rarity(sets: DataFrame, counts: DataFrame, id_col: str) -> DataFrame:
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a, b, key): pairs of sets that can have a Jaccard similarity of ``least``, and the hash of a token by which each met; ``a`` and ``b`` have (a or b, tokens by rarity, n).
+    """(a, b, key): pairs of sets that can have a Jaccard similarity of ``least``, and the hash of the first token by which each met, the same for most pairs of a group of near copies; ``a`` and ``b`` have (a or b, tokens by rarity, n).
 
     Similar sets share a token among the first n - ceil(least n) + 1 of each, so only those rare tokens meet. Of the pairs
     that meet, sizes too different go, and those whose tokens from the shared one on are too few for the overlap needed.
@@ -223,11 +223,11 @@ def candidate_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
             already = already | F.coalesce(F.col(f"a{i}") == F.col(f"b{j}"), F.lit(False))
     met = prefix(a, "a").join(prefix(b, "b"), "token")
     met = met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (left >= needed) & ~already)
-    return met.groupBy("a", "b").agg(F.min("token").alias("key"))
+    return met.groupBy("a", "b").agg(F.min_by("token", "at_a").alias("key"))
 
 
 #: Sets of a block that a task holds, and sets that pass by them.
-HELD, PASSING = 128, 4096
+HELD, PASSING = 512, 4096
 
 
 def _blocks(pairs: DataFrame) -> DataFrame:
