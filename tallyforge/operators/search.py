@@ -284,14 +284,33 @@ class CatalogIndex:
         return hybrid(sparse.join(known, "id"), dense.join(known, "id"), k, list(self.fields))
 
 
+class TargetsFailed(RuntimeError):
+    """Targets of a search that gave no answer; ``errors`` has what each said."""
+
+    def __init__(self, errors: dict[str, str]):
+        super().__init__("; ".join(f"{name}: {e}" for name, e in errors.items()))
+        self.errors = errors
+
+
 def search_targets(spark: SparkSession, targets: dict[str, Callable[[], DataFrame]], k: int) -> tuple[DataFrame, dict[str, str]]:
-    """(target, id, score) of all targets, and the errors of those that failed; each gives ``k`` rows at most, so they are fetched."""
+    """(target, id, score) of all targets, and the errors of those that failed; each gives ``k`` rows at most, so they are fetched.
+
+    With errors the rows are not the whole answer; ``search_all`` is for those that want nothing less.
+    """
     parts, errors = [], {}
     for name, ask in targets.items():
         try:
             rows = [(name, str(r["id"]), float(r["score"])) for r in ask().select("id", "score").limit(k).collect()]
             parts.append(spark.createDataFrame(rows, "target string, id string, score double"))
         except Exception as e:  # whatever a target's source raises: the others still answer
-            errors[name] = str(e).splitlines()[0][:200]
+            errors[name] = next((line.strip() for line in str(e).splitlines() if line.strip()), type(e).__name__)[:200]
     empty = spark.createDataFrame([], "target string, id string, score double")
     return reduce(DataFrame.unionByName, parts, empty), errors
+
+
+def search_all(spark: SparkSession, targets: dict[str, Callable[[], DataFrame]], k: int) -> DataFrame:
+    """(target, id, score) of all targets; where one fails so does the search, as rows of the others alone would look like its result."""
+    found, errors = search_targets(spark, targets, k)
+    if errors:
+        raise TargetsFailed(errors)
+    return found

@@ -126,6 +126,24 @@ def test_targets_answer_though_one_fails(spark):
     assert [tuple(r) for r in found.collect()] == [("x", "a", 0.5)] and list(errors) == ["y"]
 
 
+def test_a_union_fails_where_a_target_does(spark, sf, monkeypatch):
+    """Rows of two targets are no result of a search over three; an error without a message has a name."""
+    from tallyforge import queries_search, registry
+
+    def broken(*_):
+        raise OSError
+
+    ok = spark.createDataFrame([("a", 0.5)], "id string, score double")
+    assert search.search_targets(spark, {"x": lambda: ok, "y": broken}, 1)[1] == {"y": "OSError"}
+    monkeypatch.setattr(queries_search, "hybrid_documents", broken)
+    monkeypatch.setattr(queries_search, "hybrid_schema", lambda *_: ok)
+    monkeypatch.setattr(queries_search, "hybrid_metrics", lambda *_: ok)
+    with pytest.raises(search.TargetsFailed, match="documents: OSError"):
+        registry.QUERIES["hybrid_union"](spark, sf)
+    monkeypatch.setattr(queries_search, "hybrid_documents", lambda *_: ok)
+    assert sorted(r.target for r in registry.QUERIES["hybrid_union"](spark, sf).collect()) == ["documents", "metrics", "schema"]
+
+
 def test_admission_is_exact(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice("ab"), 1_700_000_000 + rng.randrange(600)) for i in range(400)] + [(500, None, 1_700_000_000)]
