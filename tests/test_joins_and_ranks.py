@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -148,3 +149,13 @@ def test_near_copies_meet_once_and_sets_are_not_sent_with_each_pair(spark):
     assert {(r.a, r.b) for r in got} == plain_pairs(rows, rows, 0.9) and len(got) == len({(r.a, r.b) for r in got})
     plan = learning.similar_sets(x, y, 0.9)._jdf.queryExecution().executedPlan().toString()
     assert all("tokens" not in line for line in plan.splitlines() if "Aggregate" in line) and plan.count("MapInArrow") == 1
+
+
+def test_similar_texts_meet_all_with_all(spark, sf):
+    """Each document is held against every other, whatever its id."""
+    from tallyforge.queries import QUERIES
+
+    texts = {r.doc_id: set(re.split(r"\s+", (r.text or "").lower(), flags=re.ASCII)) - {""} for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = QUERIES["similar_texts"](spark, sf).collect()
+    assert {(r.a, r.b) for r in found} == {(a, b) for a, b in plain_pairs(texts, texts, 0.8) if a != b} and len(found) == len({(r.a, r.b) for r in found})
+    assert any(r.a % 20 for r in found)
