@@ -238,35 +238,46 @@ def _blocks(pairs: DataFrame) -> DataFrame:
     return pairs.join(large, "key", "left").select("a", "b", "key", part("a", "n_a", HELD).alias("i"), part("b", "n_b", PASSING).alias("j"))
 
 
-def _compared(pairs: DataFrame, a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of those of ``pairs`` (a, b, key) whose sets, of ``a`` (a, tokens) and ``b`` (b, tokens), are ``least`` alike or more.
+def _asked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whose sets the blocks of ``pairs`` (a, b, key) need: (key, i, j, a) that tasks hold and (key, i, j, b, others) that pass by them."""
+    at = _blocks(pairs)
+    return at.select(*BLOCK, "a").distinct(), at.groupBy(*BLOCK, "b").agg(F.collect_list("a").alias("others"))
+
+
+BLOCK = ["key", "i", "j"]
+
+
+def _compared(held: DataFrame, passing: DataFrame, least: float, sets: Callable[[DataFrame], DataFrame] = lambda x: x, once: bool = False) -> DataFrame:
+    """(a, b, similarity) of those of the pairs asked for whose sets are ``least`` alike or more.
 
     A set goes once to each block that it is in, not once to each of its pairs; a task holds the sets of ``a`` of one block.
+    ``held`` and ``passing`` have ``tokens``, or ``sets`` joins these to both at once; ``once``: a set that passes by again is no other.
     """
-    block, at = ["key", "i", "j"], _blocks(pairs)
-    held = at.select(*block, "a").distinct().join(a.select("a", "tokens"), "a")
-    passing = at.groupBy(*block, "b").agg(F.collect_list("a").alias("others")).join(b.select("b", "tokens"), "b")
-    flow = held.select(*block, "a", F.lit(None).cast(b.schema["b"].dataType).alias("b"), F.lit(None).cast(passing.schema["others"].dataType).alias("others"), "tokens", F.lit(0).alias("turn"))
-    flow = flow.unionByName(passing.withColumn("a", F.lit(None).cast(a.schema["a"].dataType)).withColumn("turn", F.lit(1)))
-    flow = flow.repartition(*block).sortWithinPartitions(*block, "turn")
-    schema = T.StructType([T.StructField("a", a.schema["a"].dataType), T.StructField("b", b.schema["b"].dataType), T.StructField("similarity", T.DoubleType())])
+    kind, others = held.schema["a"].dataType, passing.schema["others"].dataType
+    flow = held.withColumns({"b": F.lit(None).cast(passing.schema["b"].dataType), "others": F.lit(None).cast(others), "turn": F.lit(0)})
+    flow = sets(flow.unionByName(passing.withColumns({"a": F.lit(None).cast(kind), "turn": F.lit(1)})))
+    flow = flow.select(*BLOCK, "a", "b", "others", "tokens", "turn").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "turn")
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", passing.schema["b"].dataType), T.StructField("similarity", T.DoubleType())])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
+        now, sets, seen = None, {}, set()
         for batch in batches:
             for start in range(0, batch.num_rows, HELD):
                 out = ([], [], [])
                 x = batch.slice(start, HELD)
-                columns = [x.column(c).to_pylist() for c in (*block, "a", "b", "others")]
+                columns = [x.column(c).to_pylist() for c in (*BLOCK, "a", "b", "others")]
                 words, ends = x.column("tokens").flatten().to_numpy(zero_copy_only=False), np.cumsum(x.column("tokens").value_lengths().to_numpy())
                 for key, i, j, a_id, b_id, others, first, end in zip(*columns, [0, *ends[:-1]], ends, strict=True):
                     if (key, i, j) != now:
-                        now, sets = (key, i, j), {}
+                        now, sets, seen = (key, i, j), {}, set()
                     own = frozenset(words[first:end])
                     if others is None:
                         sets[a_id] = own
                         continue
+                    if once and b_id in seen:
+                        continue
+                    seen.add(b_id)
                     for other in others:
                         both = len(own & sets[other])
                         like = both / (len(own) + len(sets[other]) - both)
@@ -283,7 +294,8 @@ def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     each = b.select(F.explode_outer("tokens").alias("token"), F.lit(1).alias("df"))  # outer: a filter would cut texts into tokens once more
     common = _bucket_counts(each.where("token is not null"))
     pairs = cut_lineage(candidate_pairs(_ordered(a, common, "a"), _ordered(b, common, "b"), least))  # read three times
-    return _compared(pairs, a, b, least)
+    held, passing = _asked(pairs)
+    return _compared(held.join(a.select("a", "tokens"), "a"), passing.join(b.select("b", "tokens"), "b"), least)
 
 
 def newest_ids(x: DataFrame, key: str, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import catalog, documents, learning, retrieval, routing, search, vectors
+from tallyforge.operators import alike, catalog, documents, learning, retrieval, routing, search, vectors
 from tallyforge.plans import metrics
 from tallyforge.queries import _COS, _COS_SQL, _TERMS, _TOKENS, _VECTOR, CATALOG
 from tallyforge.queries_catalog import _C
@@ -336,6 +336,5 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'),
     "SELECT a, b, round(n / (m - n), 6) AS similarity FROM p WHERE n / (m - n) >= 0.8",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", learning.words_set(F.col("text")).alias("tokens"))
-    found = learning.similar_sets(x.select(F.col("doc_id").alias("a"), "tokens"), x.select(F.col("doc_id").alias("b"), "tokens"), 0.8).where("a <> b")
-    return found.withColumn("similarity", F.round("similarity", 6))
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), learning.words_set(F.col("text")).alias("tokens"))
+    return alike.similar_pairs(x, 0.8).withColumn("similarity", F.round("similarity", 6))

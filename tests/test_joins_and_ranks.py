@@ -3,13 +3,15 @@
 import math
 import random
 import re
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import evaluation, learning
+from tallyforge.operators import alike, evaluation, learning
 from tallyforge.streaming import admission
 
 
@@ -159,3 +161,44 @@ def test_similar_texts_meet_all_with_all(spark, sf):
     found = QUERIES["similar_texts"](spark, sf).collect()
     assert {(r.a, r.b) for r in found} == {(a, b) for a, b in plain_pairs(texts, texts, 0.8) if a != b} and len(found) == len({(r.a, r.b) for r in found})
     assert any(r.a % 20 for r in found)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_pairs_within_a_table_equal_all_pairs(spark, monkeypatch, least):
+    """Equal sets in slices, several groups of bitmaps, ids that occur twice or are null, sets that are empty or null."""
+    monkeypatch.setattr(alike, "SLICE", 3)
+    monkeypatch.setattr(alike, "GROUP", 7)
+    rows = [*sets_of(5, 70).items(), *((200 + i, ["copy", "of", "one"]) for i in range(8)), (3, ["w0", "w1"]), (4, ["copy", "of", "one"]), (200, ["copy", "of", "one"]), (None, ["copy", "of", "one"]), (300, None)]
+    got = alike.similar_pairs(spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3), least).collect()
+    like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    full = [(i, x) for i, x in rows if i is not None and x]
+    want = Counter((i, j, round(like(x, y), 9)) for i, x in full for j, y in full if i != j and like(x, y) >= least)
+    assert Counter((r.a, r.b, round(r.similarity, 9)) for r in got) == want and len(want) > 50
+
+
+def test_bitmaps_differ_by_no_more_than_sets():
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(-(2**62), 2**62, size=n) for n in (1, 63, 64, 65, 100, 130, 500, 700, 5000, 6000)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(-(2**62), 2**62, size=len(s) // 10)]) for s in sets if len(s) > 50]
+    n = np.array([len(s) for s in sets])
+    bits = alike._bitmaps(np.concatenate(sets), n)
+    widths = np.array([len(b.as_py()) // 8 for b in bits])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    told = alike._differing(np.frombuffer(b"".join(b.as_py() for b in bits), np.uint64), np.cumsum(widths) - widths, widths, a, b)
+    real = np.array([len(set(sets[i]) ^ set(sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (told <= real).all() and (told[a == b] == 0).all() and (told % 2 == real % 2).all()
+    assert (told > 0)[a != b].all() and set(widths) == {1, 2, 4, 8, 16, 64}
+
+
+def test_pairs_that_only_share_a_rare_token_go_without_their_sets(spark):
+    """Sets are sent for pairs alone whose bitmaps leave room for a likeness, and equal sets count as one."""
+    rows = [(i, [f"own{i}-{j}" for j in range(40)] + [f"rare{i % 4}"]) for i in range(200)] + [(1000 + i, [f"own7-{j}" for j in range(40)] + ["rare3"]) for i in range(30)]
+    rows.append((2000, [f"own7-{j}" for j in range(38)] + ["rare3"]))
+    sets = alike.distinct_sets(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.8)
+    assert sets.count() == 201 and sets.agg(F.max(F.size("ids"))).first()[0] == 31
+    # Put in front of all others, the shared tokens bring pairs together.
+    met = alike.meeting_pairs(sets.withColumn("first", F.concat(F.array(F.expr("id % 4")), "first")), 0.8).cache()
+    kept = alike.sifted_pairs(met, sets, 0.8).collect()
+    assert met.count() > 4000 and len(kept) == 1
+    named = {r.id for r in sets.where(F.col("set").isin(kept[0].a, kept[0].b)).collect()}
+    assert 2000 in named and (named - {2000}) <= {7, *range(1000, 1030)}
