@@ -231,11 +231,14 @@ HELD, PASSING = 512, 4096
 
 
 def _blocks(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, key) with ``i`` and ``j``: the block of the key in which they are compared; one block for all but large keys."""
+    """``pairs`` (a, b, key) with ``i`` and ``j``: the block of the key in which they are compared; one block for all but large keys.
+
+    Large keys are sent to all tasks, so that pairs of one key need not meet in one; there is at most one for each HELD pairs.
+    """
     size = pairs.groupBy("key").agg(F.approx_count_distinct("a").alias("n_a"), F.approx_count_distinct("b").alias("n_b"))
     large = size.where((F.col("n_a") > HELD) | (F.col("n_b") > PASSING))
     part = lambda x, n, most: F.coalesce(F.pmod(F.xxhash64(x), F.ceil(F.col(n) / most)), F.lit(0).cast("long"))
-    return pairs.join(large, "key", "left").select("a", "b", "key", part("a", "n_a", HELD).alias("i"), part("b", "n_b", PASSING).alias("j"))
+    return pairs.join(F.broadcast(large), "key", "left").select("a", "b", "key", part("a", "n_a", HELD).alias("i"), part("b", "n_b", PASSING).alias("j"))
 
 
 def _asked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

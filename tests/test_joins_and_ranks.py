@@ -202,3 +202,15 @@ def test_pairs_that_only_share_a_rare_token_go_without_their_sets(spark):
     assert met.count() > 4000 and len(kept) == 1
     named = {r.id for r in sets.where(F.col("set").isin(kept[0].a, kept[0].b)).collect()}
     assert 2000 in named and (named - {2000}) <= {7, *range(1000, 1030)}
+
+
+def test_pairs_of_one_key_need_not_lie_in_one_task(spark):
+    """A group of copies is dealt by its sets, not by the key that all its pairs have."""
+    pairs = spark.range(400_000).select((F.col("id") % 2000).alias("a"), F.floor(F.col("id") / 2000).alias("b"), F.expr("id % 1 + 7 AS key")).repartition(8)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # what few pairs would hide
+    try:
+        dealt = learning._blocks(pairs).groupBy("i", F.spark_partition_id().alias("task")).count().collect()
+        assert len({r.task for r in dealt}) == 8 and len({r.i for r in dealt}) > 1 and sum(r["count"] for r in dealt) == 400_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
