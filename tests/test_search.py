@@ -1,6 +1,7 @@
 """The stored index, hybrid search, admission, and questions with answers worked out by hand."""
 
 import random
+import re
 from collections import deque
 from datetime import date, timedelta
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import questions
 from tallyforge.functions import text as tx
-from tallyforge.functions.patterns import AMBIGUITIES
+from tallyforge.functions.patterns import AMBIGUITIES, STOP_WORDS
 from tallyforge.operators import catalog, knowledge, learning, retrieval, routing, search
 from tallyforge.plans.policy import _kind, physical_nodes
 from tallyforge.sources.versions import Versions
@@ -318,3 +319,13 @@ def test_patterns_put_together_find_what_each_finds(spark):
         assert all(r.got == r.want for r in rows) and sum(map(len, (r.got for r in rows))) >= 8
     of = spark.createDataFrame([("highest price, sorted by price asc and lowest cost.",), ("no order",), (None,)], "q string").select(questions.orders(F.col("q")).alias("o")).collect()
     assert [r.o for r in of][1:] == [[], None] and "price ASC" in of[0].o and "cost ASC" in of[0].o
+
+
+def test_english_tokens_are_cut_and_sifted_in_one_pass_each(spark):
+    """One class of characters and one filter over the words; letters that only lower case makes ASCII part words as before."""
+    texts = ["The Quick_fox's 2nd\tjump, and  A  nap!", "café naïve 中文 a\U0001f600b", "İstanbul 5K ſtop ª² Ａ ١", "__ _ 0", "a\nb\r\nc\x00d e", " ,.", "", "of the", None]
+    x = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "id long, text string").select("id", tx.english_tokens(F.col("text")).alias("t"))
+    want = [None if t is None else [w for w in re.sub(r"[^A-Za-z0-9_]+", " ", t).lower().split(" ") if w and w not in STOP_WORDS] for t in texts]
+    assert sorted((r.id, r.t) for r in x.collect()) == sorted(list(enumerate(want)) * 2) and ["stanbul", "5", "top"] in want
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 1 and "[^" not in plan
