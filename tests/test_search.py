@@ -2,7 +2,8 @@
 
 import random
 import re
-from collections import deque
+import zlib
+from collections import Counter, deque
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -329,3 +330,22 @@ def test_english_tokens_are_cut_and_sifted_in_one_pass_each(spark):
     assert sorted((r.id, r.t) for r in x.collect()) == sorted(list(enumerate(want)) * 2) and ["stanbul", "5", "top"] in want
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(") == 1 and "[^" not in plan
+
+
+def test_counted_terms_come_in_the_order_they_are_stored(monkeypatch):
+    """Each part is one run by bucket and term, its documents first; null and repeated ids, null fields and texts of no words are kept."""
+    monkeypatch.setattr(search, "AT_ONCE", 40)
+    rng = random.Random(3)
+    docs = [(i % 17 or None, rng.choice(["en", None]), rng.choice([None, [], rng.choices(["é", "中", "_", *map(str, range(30))], k=rng.randint(1, 60))])) for i in range(60)]
+    kinds = pa.schema({"doc_id": pa.int64(), "lang": pa.string(), "tokens": pa.list_(pa.string())})
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, d, strict=True)) for d in some], kinds) for some in (docs, [(1, "en", None), (1, "en", [])])]
+    parts = [p.to_pylist() for p in search._counted(("lang",), 4)(iter(batches))]
+    key = lambda r: (r["bucket"], (r["term"] or "").encode())
+    assert len(parts) > 5 and all(p == sorted(p, key=key) for p in parts)
+    got = Counter((r["doc_id"], r["lang"], r["len"], r["term"], r["tf"], r["bucket"]) for p in parts for r in p)
+    want = Counter()
+    for i, lang, words in [*docs, (1, "en", None), (1, "en", [])]:
+        n = len(words or [])
+        want[i, lang, n, None, 0, -1] += 1
+        want.update((i, lang, n, t, tf, zlib.crc32(t.encode()) % 4) for t, tf in Counter(words or []).items())
+    assert got == want
